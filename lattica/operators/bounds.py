@@ -111,16 +111,17 @@ def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
         F.sum(F.col("lam") * F.col("a")).alias("lam_a"))
     lam_b = lam.join(rows.select(PID, "row", "b").distinct(), [PID, "row"]).groupBy(PID).agg(
         F.sum(F.col("lam") * F.col("b")).alias("lam_b"))
-    per_problem = vmin.groupBy(PID).agg(F.bool_and(F.col("c") == F.floor("c")).alias("int_obj")) \
+    per_problem = vmin.groupBy(PID).agg(F.bool_and(F.col("c") == F.floor("c")).alias("int_obj"),
+                                        F.min("var").alias("first_var")) \
         .join(lam_b, PID, "left") \
         .join(empty_row_violations(program).withColumn("infeasible", F.lit(True)), PID, "left") \
-        .select(PID, "int_obj", F.coalesce("lam_b", F.lit(0.0)).alias("lam_b"),
+        .select(PID, "int_obj", "first_var", F.coalesce("lam_b", F.lit(0.0)).alias("lam_b"),
                 F.coalesce("infeasible", F.lit(False)).alias("infeasible"))
     return vmin.join(cols, [PID, "var"], "left").join(per_problem, PID).select(
         PID, "var", F.col("lb").alias("vlb"), F.col("ub").alias("vub"), "c",
         (F.col("c") + F.coalesce("lam_a", F.lit(0.0))).alias("rc"),
         F.coalesce("terms", F.array().cast(T.ArrayType(TERM))).alias("terms"),
-        "int_obj", "lam_b", "infeasible")
+        "int_obj", "lam_b", "infeasible", (F.col("var") == F.col("first_var")).alias("lead"))
 
 
 def expand_frontier(frontier: DataFrame, model: DataFrame, n_partitions: int) -> DataFrame:
@@ -138,7 +139,7 @@ def expand_frontier(frontier: DataFrame, model: DataFrame, n_partitions: int) ->
         "var",
         tighten_lower("vlb", F.try_element_at("lower", F.col("var"))).alias("lb"),
         tighten_upper("vub", F.try_element_at("upper", F.col("var"))).alias("ub"),
-        "vlb", "vub", "c", "rc", "terms")
+        "vlb", "vub", "c", "rc", "terms", "lead")
     return e.repartition(n_partitions, PID, "node_id")  # node-clustered, like every level
 
 

@@ -68,7 +68,8 @@ def bucket_results(solutions: DataFrame, nodes: DataFrame, sense: str = "min",
     s = 1.0 if sense == "min" else -1.0
     best = solutions.groupBy("bucket").agg(F.min_by(
         F.struct("problem_id", "objective", "status"),
-        F.struct((F.lit(s) * F.col("objective")).alias("o"), F.col("problem_id"))).alias("solution"))
+        F.when(F.col("objective").isNotNull(),
+               F.struct((F.lit(s) * F.col("objective")).alias("o"), F.col("problem_id")))).alias("solution"))
     cols = [c for c in nodes.columns if c != "bucket"]
     keyed = nodes.withColumn("_k", F.xxhash64(*cols))
     sharded = _shards(keyed, "bucket", "_k", None, rows_per_list)

@@ -121,7 +121,8 @@ def best_solution(solutions: DataFrame, incumbent: DataFrame | None = None, sens
         cand = old.unionByName(cand)
     best = cand.groupBy(PID).agg(F.min_by(
         F.struct("objective", "status", "values"),
-        F.struct((F.lit(s) * F.col("objective")).alias("o"), F.col("_new"), F.col("_tie"))).alias("b"))
+        F.when(F.col("objective").isNotNull(),
+               F.struct((F.lit(s) * F.col("objective")).alias("o"), F.col("_new"), F.col("_tie")))).alias("b"))
     return best.select(PID, "b.objective", "b.status", "b.values")
 
 

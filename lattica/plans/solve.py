@@ -11,8 +11,10 @@ and the branching choice group on supersets of that key and run without a
 shuffle.  Per level there is one full shuffle (children to their partitions)
 and a few node-sized ones (per-problem best, prune join).  Each level is cut
 from its lineage with a reliable ``checkpoint`` into ``spark.checkpoint.dir``,
-so a lost executor only recomputes the current level.  The driver receives one
-small metrics row per level; no node, solution or count list is collected.
+so a lost executor only recomputes the current level.  A level is one Spark
+action: its children and its new incumbents are written by the same
+checkpoint, and the level's counters come back through an ``Observation`` (one
+small row); no node, solution or count list is collected to the driver.
 """
 
 from __future__ import annotations
@@ -20,8 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica import schemas
@@ -35,6 +36,7 @@ from lattica.sources.program import PID, Program, root_nodes
 MAX_ITERATIONS = 100
 N_BUCKETS = 40
 IMPROVE_EPS = 1e-9   # strict improvement for non-integral objectives
+WIN = "#"            # pseudo node holding a level's new incumbent values
 
 
 @dataclass
@@ -71,75 +73,72 @@ def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float
     sign = program.sign
 
     model = cut(prepare_model(program, method).repartition(n, PID))
-    fe = cut(expand_frontier(root_nodes(program.vars, n_buckets), model, n))
+    root_obs = Observation("lattica_root")
+    fe = cut(expand_frontier(root_nodes(program.vars, n_buckets), model, n)
+             .observe(root_obs, F.count_if("lead").alias("n_nodes")))
+    n_open = root_obs.get["n_nodes"]
 
-    log: list[DataFrame] = []
+    levels: list[DataFrame] = []   # checkpoint of every level (children + new incumbents)
     metrics_rows = []
     level_nodes = []
     total_nodes = 0
     level = 0
-    open_left = True
-    while level < max_iterations:
+    open_left = n_open > 0
+    while open_left and level < max_iterations:
         # The one full shuffle of the level: cluster the level's rows by node.
-        fep = propagate(fe.repartition(n, PID, "node_id"), rounds).persist(StorageLevel.MEMORY_AND_DISK)
+        nodes = fe.where(F.col("node_id") != WIN)
+        fep = propagate(nodes.repartition(n, PID, "node_id"), rounds)
         st = node_stats(fep, rel_gap)
 
         # Best candidate of this level per problem, against the carried incumbent.
         per_problem = st.groupBy(PID).agg(
             F.min("inc").alias("inc"),
-            F.min_by(F.struct("node_id", "cand_kind"), F.struct("cand_obj", "node_id")).alias("w"),
+            # A struct with a null field is not null and sorts first: order only rows with a candidate.
+            F.min_by(F.struct("node_id", "cand_kind"),
+                     F.when(F.col("cand_obj").isNotNull(), F.struct("cand_obj", "node_id"))).alias("w"),
             F.min("cand_obj").alias("obj"))
         improved = F.col("obj").isNotNull() & (F.col("inc").isNull() | (F.col("obj") < F.col("inc") - IMPROVE_EPS))
         per_problem = per_problem.select(
             PID, F.col("w.node_id").alias("w_node"), F.col("w.cand_kind").alias("w_kind"), "obj",
             improved.alias("improved"), F.when(improved, F.col("obj")).otherwise(F.col("inc")).alias("new_inc"))
-        stk = st.join(per_problem, PID).select(
-            *[c for c in st.columns], "new_inc",
-            (F.col("improved") & (F.col("node_id") == F.col("w_node"))).alias("winner"), "w_kind", "obj",
-            (~F.col("infeasible") & ~F.col("all_fixed") & F.col("bvar").isNotNull()
-             & ~_pruned(F.col("bound"), F.col("new_inc"), rel_gap)).alias("keep"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-
-        # One scalar row per level reaches the driver.
-        m = stk.agg(
-            F.count(F.lit(1)).alias("n_open"),
-            F.count_if(F.col("is_easy")).alias("n_easy"),
-            F.count_if(~F.col("is_easy")).alias("n_hard"),
-            F.count_if(F.col("infeasible") | F.col("all_fixed")).alias("n_completed"),
-            F.count_if("keep").alias("n_keep"),
-            F.count_if("winner").alias("n_win"),
-        ).first()
-        n_keep = m["n_keep"]
-        metrics_rows.append((level, None, m["n_easy"], m["n_hard"], None, m["n_open"],
-                             m["n_open"] - m["n_completed"] - n_keep, m["n_completed"], "solve"))
-        level_nodes.append(m["n_open"])
-        total_nodes += m["n_open"]
-
-        # Values of the new incumbents, appended to the solution log.
-        if m["n_win"]:
-            winners = stk.where("winner").select(*NODE_KEY, "w_kind", "obj")
-            values = fep.join(winners, NODE_KEY).groupBy(PID).agg(
-                F.any_value("obj").alias("objective"),
-                F.map_from_entries(F.collect_list(F.struct(
-                    F.col("var"), F.when(F.col("w_kind") == "c", _x_c()).otherwise(_x_r())))).alias("values"))
-            log.append(cut(values.withColumn("level", F.lit(level))))
-
+        stk = st.join(per_problem, PID)
+
+        # Prune and branch (F2, F3, P4, P5): children of the kept nodes.
+        keep = stk.where(~F.col("infeasible") & ~F.col("all_fixed") & F.col("bvar").isNotNull()
+                         & ~_pruned(F.col("bound"), F.col("new_inc"), rel_gap)) \
+                  .select(*NODE_KEY, "bvar", "split", "bound", "new_inc")
+        children = branch_expanded(fep, keep)
+        # New incumbents ride along as rows of a pseudo node '#' (value in lb/ub,
+        # objective in pbound, level in depth): same job, same checkpoint.
+        winners = stk.where(F.col("improved") & (F.col("node_id") == F.col("w_node"))) \
+                     .select(*NODE_KEY, "w_kind", "obj")
+        x = F.when(F.col("w_kind") == "c", _x_c()).otherwise(_x_r())
+        vals = fep.join(winners, NODE_KEY).select(
+            PID, F.lit(WIN).alias("node_id"), *[F.lit(None).cast(t).alias(c) for c, t in
+                                               (("parent_id", "string"), ("subtree_id", "string"),
+                                                ("subtree_root_depth", "int"), ("bucket", "int"))],
+            F.lit(level).alias("depth"), F.lit(False).alias("is_easy"), F.col("obj").alias("pbound"),
+            F.lit(None).cast("double").alias("inc"), "int_obj", "lam_b", "var",
+            x.alias("lb"), x.alias("ub"), "vlb", "vub", "c", "rc", "terms", F.lit(False).alias("lead"))
+        obs = Observation(f"lattica_level_{level}")
+        fe = cut(children.unionByName(vals).observe(
+            obs, F.count_if("lead").alias("n_children"), F.count_if(F.col("node_id") == WIN).alias("n_win_rows")))
+        levels.append(fe)
+        n_children = obs.get["n_children"]
+
+        n_kept = n_children // 2
+        metrics_rows.append((level, None, 0, n_open, None, n_open, n_open - n_kept, None, "solve"))
+        level_nodes.append(n_open)
+        total_nodes += n_open
         level += 1
-        if n_keep == 0:
-            open_left = False
-        else:
-            # Prune and branch (F2, F3, P4, P5): children of the kept nodes.
-            choice = stk.where("keep").select(*NODE_KEY, "bvar", "split", "bound", "new_inc")
-            fe = cut(branch_expanded(fep, choice))
-        stk.unpersist()
-        fep.unpersist()
-        if not open_left:
-            break
-
-    frontier = collapse_frontier(fe) if open_left else spark.createDataFrame([], schemas.FRONTIER)
+        n_open = n_children
+        open_left = n_children > 0
+
+    frontier = collapse_frontier(fe.where(F.col("node_id") != WIN)) if open_left \
+        else spark.createDataFrame([], schemas.FRONTIER)
     if open_left:
         frontier = frontier.withColumn("bound", F.lit(sign) * F.col("bound"))
-    incumbent = _final_incumbent(program, log, fe if open_left else None, rel_gap, sign)
+    incumbent = _final_incumbent(program, levels, fe if open_left else None, rel_gap, sign)
     metrics = spark.createDataFrame(metrics_rows, schemas.RUN_METRICS)
     return SolveResult(incumbent, frontier, metrics, level, total_nodes, level_nodes)
 
@@ -162,24 +161,32 @@ def branch_expanded(expanded: DataFrame, choice: DataFrame) -> DataFrame:
         "var",
         F.when(on_var & (F.col("side") == 1), F.col("split") + 1).otherwise(F.col("lb")).alias("lb"),
         F.when(on_var & (F.col("side") == 0), F.col("split")).otherwise(F.col("ub")).alias("ub"),
-        "vlb", "vub", "c", "rc", "terms",
+        "vlb", "vub", "c", "rc", "terms", on_var.alias("lead"),
     )
 
 
-def _final_incumbent(program: Program, log: list[DataFrame], open_fe: DataFrame | None,
+def _final_incumbent(program: Program, levels: list[DataFrame], open_fe: DataFrame | None,
                      rel_gap: float, sign: float) -> DataFrame:
-    """Best logged solution per problem (earliest on ties, D14) and its status."""
+    """Best logged solution per problem (earliest on ties, D14) and its status.
+
+    The '#' rows of every level hold that level's new incumbents; they are
+    folded per (problem, level) into a map and the best per problem wins.
+    """
     spark = program.vars.sparkSession
     problems = program.vars.select(PID).distinct()
-    if log:
-        sols = reduce(DataFrame.unionByName, log)
+    if levels:
+        wins = reduce(DataFrame.unionByName, [lv.where(F.col("node_id") == WIN) for lv in levels])
+        sols = wins.groupBy(PID, F.col("depth").alias("level")).agg(
+            F.any_value("pbound").alias("objective"),
+            F.map_from_entries(F.collect_list(F.struct("var", "lb"))).alias("values"))
         best = sols.groupBy(PID).agg(F.min_by(F.struct("objective", "values"), F.struct("objective", "level")).alias("b"))
         best = best.select(PID, F.col("b.objective").alias("objective"), F.col("b.values").alias("values"))
     else:
         best = spark.createDataFrame([], "problem_id bigint, objective double, values map<string,double>")
     out = problems.join(best, PID, "left")
     if open_fe is not None:
-        out = out.join(open_fe.select(PID).distinct().withColumn("open", F.lit(True)), PID, "left")
+        still = open_fe.where(F.col("node_id") != WIN).select(PID).distinct().withColumn("open", F.lit(True))
+        out = out.join(still, PID, "left")
     else:
         out = out.withColumn("open", F.lit(None).cast("boolean"))
     is_open = F.coalesce(F.col("open"), F.lit(False))

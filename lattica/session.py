@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Confs the solver relies on.  AQE re-plans joins from runtime sizes (so the
@@ -65,13 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and drop its lineage (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
-    # A reliable checkpoint writes in a second job; persisting first avoids
-    # computing the plan twice.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    # An eager reliable checkpoint computes the plan once and writes it.
+    return df.checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
