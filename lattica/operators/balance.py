@@ -369,3 +369,25 @@ def select_nodes(df: DataFrame, k: int, part: str = "bucket", order: str = "boun
     s = s.withColumn("_r", F.row_number().over(Window.partitionBy(part, "shard").orderBy(*ords))).where(F.col("_r") <= k)
     s = s.withColumn("_r", F.row_number().over(Window.partitionBy(part).orderBy(*ords))).where(F.col("_r") <= k)
     return s.drop("_r", "shard")
+
+
+# ------------------------------------------------------------------------- W8
+def makes_donations(moves: DataFrame) -> DataFrame:
+    """Sources that give at least one node (``src``)."""
+    return moves.where(F.col("n") > 0).select("src").distinct()
+
+
+def add_donation(moves: DataFrame, src: int, dst: int, n: int) -> DataFrame:
+    """Set the count of one (src, dst) pair, replacing any previous count."""
+    one = moves.sparkSession.createDataFrame([(src, dst, n)], "src int, dst int, n bigint")
+    return moves.join(one.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(one)
+
+
+def donation(moves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Count for each requested (src, dst) pair, 0 when the plan has none."""
+    return pairs.join(moves, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def receivers(moves: DataFrame, src: int) -> DataFrame:
+    """Destinations (and counts) of one source."""
+    return moves.where((F.col("src") == src) & (F.col("n") > 0)).select("dst", "n")

@@ -219,58 +219,115 @@ def _x_r() -> F.Column:
     return F.when(F.col("rc") > 0, F.col("lb")).when(F.col("rc") < 0, F.col("ub")).otherwise(_x_c())
 
 
+def _x_n(lam: F.Column, a: F.Column) -> F.Column:
+    """Candidate 3 (one-row nodes): the reduced cost at the node's own
+    multiplier decides; at rc = 0 (the critical entry) take the bound that
+    lowers the row activity — the greedy fill."""
+    rc = F.col("c") + lam * a
+    return (F.when(rc < 0, F.col("ub")).when(rc > 0, F.col("lb"))
+            .when(a > 0, F.col("lb")).when(a < 0, F.col("ub")).otherwise(_x_c()))
+
+
 def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
-    """Per node: bound, infeasibility, fixedness, the two candidates and the
+    """Per node: bound, infeasibility, fixedness, the candidates and the
     branching choice (U4, P5).  One row per (problem_id, node_id).
 
-    bound = max(box, Lagrangian, parent bound), rounded up for integral costs;
-    box = Σ min(c·lb, c·ub); Lagrangian = Σ min(rc·lb, rc·ub) − Σ λ·b.
+    bound = max(box, Lagrangian at the root multipliers, node Lagrangian,
+    parent bound), rounded up for integral costs; box = Σ min(c·lb, c·ub);
+    Lagrangian = Σ min(rc·lb, rc·ub) − Σ λ·b.  For a node with a single row the
+    multiplier is re-derived per node (its critical ratio: a running window sum
+    over the row's entries ordered by breakpoint), which is the node's LP
+    bound, and the greedy fill at that ratio is a third candidate.
     Branch on the free variable with the greatest |rc|·(ub − lb), ties by name;
     ``split = floor((lb + ub) / 2)``: down ``ub = split``, up ``lb = split + 1``.
+    Everything groups on (problem, node, ...) keys: no shuffle.
     """
     e = expanded.withColumn("x_c", _x_c()).withColumn("x_r", _x_r())
     score = F.abs(F.col("rc")) * (F.col("ub") - F.col("lb"))
+    no_terms = F.size("terms") == 0
     by_var = e.groupBy(*NODE_KEY).agg(
         *[F.any_value(a).alias(a) for a in NODE_ATTRS],
         F.sum(F.least(F.col("c") * F.col("lb"), F.col("c") * F.col("ub"))).alias("box"),
         F.sum(F.least(F.col("rc") * F.col("lb"), F.col("rc") * F.col("ub"))).alias("lag"),
         F.sum(F.col("c") * F.col("x_c")).alias("obj_c"),
         F.sum(F.col("c") * F.col("x_r")).alias("obj_r"),
+        F.sum(F.when(no_terms, F.least(F.col("c") * F.col("lb"), F.col("c") * F.col("ub")))).alias("box_free"),
+        F.sum(F.when(no_terms, F.col("c") * F.col("x_c"))).alias("obj_free"),
         F.bool_or(F.col("lb") > F.col("ub")).alias("var_infeasible"),
         F.bool_and(F.col("lb") == F.col("ub")).alias("all_fixed"),
         F.min_by(F.struct(F.col("var").alias("bvar"), F.col("lb").alias("blb"), F.col("ub").alias("bub")),
                  F.when(F.col("lb") < F.col("ub"), F.struct((-score).alias("s"), F.col("var")))).alias("branch"),
         F.count(F.lit(1)).alias("n_vars"),
     )
-    t = _terms(e, "x_c", "x_r")
+    t = _terms(e, "c", "x_c", "x_r")
+    a, c, lb, ub = F.col("a"), F.col("c"), F.col("lb"), F.col("ub")
+    # Per (node, row) critical ratio: slope of the dual just above 0, then the
+    # first breakpoint where the running slope reaches 0.
+    x0 = F.when(c > 0, lb).when(c < 0, ub).when(a > 0, lb).otherwise(ub)
+    bp = F.when((a != 0) & (lb < ub) & ((-c / F.when(a != 0, a)) > 0), -c / F.when(a != 0, a))
+    delta = F.when(bp.isNotNull(), F.when(a > 0, a * (lb - ub)).otherwise(a * (ub - lb)))
+    w_row = Window.partitionBy(PID, "node_id", "row")
+    w_run = w_row.orderBy(F.col("bp").asc_nulls_last(), F.col("var")).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("bp", bp).withColumn("delta", delta) \
+         .withColumn("s0", F.sum(a * x0).over(w_row) - F.col("b")) \
+         .withColumn("cum", F.sum("delta").over(w_run))
+    t = t.withColumn("lam", F.when(F.col("s0") <= 0, F.lit(0.0)).otherwise(F.coalesce(
+        F.min(F.when(F.col("bp").isNotNull() & (F.col("s0") + F.col("cum") <= 0), F.col("bp"))).over(w_row),
+        F.max("bp").over(w_row), F.lit(0.0))))
+    rc_n = c + F.col("lam") * a
+    x_n = _x_n(F.col("lam"), a)
     by_row = t.groupBy(PID, "node_id", "row").agg(
         F.sum(_min_term()).alias("minact"),
-        F.sum(F.col("a") * F.col("x_c")).alias("act_c"),
-        F.sum(F.col("a") * F.col("x_r")).alias("act_r"),
+        F.sum(a * F.col("x_c")).alias("act_c"),
+        F.sum(a * F.col("x_r")).alias("act_r"),
+        F.sum(a * x_n).alias("act_n"),
+        F.sum(c * x_n).alias("obj_n_row"),
+        F.sum(F.least(rc_n * lb, rc_n * ub)).alias("lag_n_row"),
+        F.max("lam").alias("lam"),
         F.max("b").alias("b"),
     ).groupBy(*NODE_KEY).agg(
         F.bool_or(F.col("minact") > F.col("b") + ROW_EPS).alias("row_infeasible"),
         F.bool_and(F.col("act_c") <= F.col("b") + ROW_EPS).alias("feas_c"),
         F.bool_and(F.col("act_r") <= F.col("b") + ROW_EPS).alias("feas_r"),
+        F.bool_and(F.col("act_n") <= F.col("b") + ROW_EPS).alias("feas_n"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("obj_n_row").alias("obj_n_rows"),
+        F.sum(F.col("lag_n_row") - F.col("lam") * F.col("b")).alias("lag_n_rows"),
+        F.max("lam").alias("lam_n"),
     )
     s = by_var.join(by_row, NODE_KEY, "left")
+    one_row = F.coalesce(F.col("n_rows") == 1, F.lit(False))
     infeasible = F.col("var_infeasible") | F.coalesce(F.col("row_infeasible"), F.lit(False))
-    raw = F.greatest(F.col("box"), F.col("lag") - F.col("lam_b"), F.col("pbound"))
+    lag_n = F.when(one_row, F.col("lag_n_rows") + F.coalesce(F.col("box_free"), F.lit(0.0)))
+    raw = F.greatest(F.col("box"), F.col("lag") - F.col("lam_b"), lag_n, F.col("pbound"))
     bound = F.when(F.col("int_obj"), F.ceil(raw - BOUND_ROUND_EPS).cast("double")).otherwise(raw)
     ok_c = ~infeasible & F.coalesce(F.col("feas_c"), F.lit(True))
     ok_r = ~infeasible & F.coalesce(F.col("feas_r"), F.lit(True))
-    cand = F.least(F.when(ok_c, F.col("obj_c")), F.when(ok_r, F.col("obj_r")))
-    kind = F.when(ok_c & (~ok_r | (F.col("obj_c") <= F.col("obj_r"))), F.lit("c")).when(ok_r, F.lit("r"))
+    ok_n = ~infeasible & one_row & F.coalesce(F.col("feas_n"), F.lit(False))
+    obj_n = F.col("obj_n_rows") + F.coalesce(F.col("obj_free"), F.lit(0.0))
+    o_c, o_r, o_n = F.when(ok_c, F.col("obj_c")), F.when(ok_r, F.col("obj_r")), F.when(ok_n, obj_n)
+    cand = F.least(o_c, o_r, o_n)
+    kind = (F.when(o_n.isNotNull() & (o_n == cand), F.lit("n"))
+            .when(o_r.isNotNull() & (o_r == cand), F.lit("r"))
+            .when(o_c.isNotNull(), F.lit("c")))
     return s.select(
         *NODE_KEY, *NODE_ATTRS, "n_vars",
         infeasible.alias("infeasible"), F.col("all_fixed"),
         F.when(~infeasible, bound).alias("bound"),
         cand.alias("cand_obj"), kind.alias("cand_kind"),
+        F.when(one_row, F.col("lam_n")).otherwise(F.lit(0.0)).alias("lam_n"),
         F.col("branch.bvar").alias("bvar"),
         F.floor((F.col("branch.blb") + F.col("branch.bub")) / 2).cast("double").alias("split"),
     )
 
 
+def candidate_value(kind: F.Column, lam_n: F.Column) -> F.Column:
+    """Value of a variable (an expanded row) under candidate ``kind``."""
+    a1 = F.coalesce(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["a"]), F.lit(0.0))
+    return (F.when(kind == "c", _x_c()).when(kind == "r", _x_r())
+            .otherwise(F.when(F.size("terms") == 0, _x_c()).otherwise(_x_n(lam_n, a1))))
+
+
 def bound_nodes(frontier: DataFrame, program: Program, method: str = "box", rounds: int = 2,
                 n_partitions: int | None = None) -> DataFrame:
     """Bound every node of a map-form frontier (U4): expand, propagate, summarise.

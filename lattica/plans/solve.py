@@ -19,15 +19,19 @@ small row); no node, solution or count list is collected to the driver.
 
 from __future__ import annotations
 
+import os
+import sys
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica import schemas
 from lattica.operators.bounds import (
-    NODE_KEY, _x_c, _x_r, collapse_frontier, expand_frontier, node_stats, prepare_model, propagate,
+    NODE_KEY, candidate_value, collapse_frontier, expand_frontier, node_stats, prepare_model, propagate,
 )
 from lattica.session import cut, shuffle_partitions
 from lattica.sources.program import PID, Program, root_nodes
@@ -84,24 +88,29 @@ def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float
     total_nodes = 0
     level = 0
     open_left = n_open > 0
+    trace = os.environ.get("LATTICA_TRACE") == "1"
     while open_left and level < max_iterations:
+        t0 = time.perf_counter()
         # The one full shuffle of the level: cluster the level's rows by node.
         nodes = fe.where(F.col("node_id") != WIN)
-        fep = propagate(nodes.repartition(n, PID, "node_id"), rounds)
-        st = node_stats(fep, rel_gap)
+        # Used by the stats, the children and the incumbent values of the same
+        # job: persisted so the level's windows run once (dropped after the cut).
+        fep = propagate(nodes.repartition(n, PID, "node_id"), rounds).persist(StorageLevel.MEMORY_AND_DISK)
+        st = node_stats(fep, rel_gap).persist(StorageLevel.MEMORY_AND_DISK)
 
         # Best candidate of this level per problem, against the carried incumbent.
         per_problem = st.groupBy(PID).agg(
             F.min("inc").alias("inc"),
             # A struct with a null field is not null and sorts first: order only rows with a candidate.
-            F.min_by(F.struct("node_id", "cand_kind"),
+            F.min_by(F.struct("node_id", "cand_kind", "lam_n"),
                      F.when(F.col("cand_obj").isNotNull(), F.struct("cand_obj", "node_id"))).alias("w"),
             F.min("cand_obj").alias("obj"))
         improved = F.col("obj").isNotNull() & (F.col("inc").isNull() | (F.col("obj") < F.col("inc") - IMPROVE_EPS))
         per_problem = per_problem.select(
-            PID, F.col("w.node_id").alias("w_node"), F.col("w.cand_kind").alias("w_kind"), "obj",
+            PID, F.col("w.node_id").alias("w_node"), F.col("w.cand_kind").alias("w_kind"),
+            F.col("w.lam_n").alias("w_lam"), "obj",
             improved.alias("improved"), F.when(improved, F.col("obj")).otherwise(F.col("inc")).alias("new_inc"))
-        stk = st.join(per_problem, PID)
+        stk = st.drop("lam_n").join(per_problem, PID)
 
         # Prune and branch (F2, F3, P4, P5): children of the kept nodes.
         keep = stk.where(~F.col("infeasible") & ~F.col("all_fixed") & F.col("bvar").isNotNull()
@@ -111,8 +120,8 @@ def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float
         # New incumbents ride along as rows of a pseudo node '#' (value in lb/ub,
         # objective in pbound, level in depth): same job, same checkpoint.
         winners = stk.where(F.col("improved") & (F.col("node_id") == F.col("w_node"))) \
-                     .select(*NODE_KEY, "w_kind", "obj")
-        x = F.when(F.col("w_kind") == "c", _x_c()).otherwise(_x_r())
+                     .select(*NODE_KEY, "w_kind", "w_lam", "obj")
+        x = candidate_value(F.col("w_kind"), F.col("w_lam"))
         vals = fep.join(winners, NODE_KEY).select(
             PID, F.lit(WIN).alias("node_id"), *[F.lit(None).cast(t).alias(c) for c, t in
                                                (("parent_id", "string"), ("subtree_id", "string"),
@@ -121,10 +130,17 @@ def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float
             F.lit(None).cast("double").alias("inc"), "int_obj", "lam_b", "var",
             x.alias("lb"), x.alias("ub"), "vlb", "vub", "c", "rc", "terms", F.lit(False).alias("lead"))
         obs = Observation(f"lattica_level_{level}")
+        t_built = time.perf_counter()
         fe = cut(children.unionByName(vals).observe(
             obs, F.count_if("lead").alias("n_children"), F.count_if(F.col("node_id") == WIN).alias("n_win_rows")))
         levels.append(fe)
         n_children = obs.get["n_children"]
+        if trace:
+            print(f"level {level}: {n_open} nodes, {n_children} children, {time.perf_counter() - t0:.2f}s"
+                  f" (build {t_built - t0:.2f}s)",
+                  file=sys.stderr, flush=True)
+        st.unpersist()
+        fep.unpersist()
 
         n_kept = n_children // 2
         metrics_rows.append((level, None, 0, n_open, None, n_open, n_open - n_kept, None, "solve"))
