@@ -172,6 +172,43 @@ def _min_term() -> F.Column:
     return F.when(F.col("a") > 0, F.col("a") * F.col("lb")).otherwise(F.col("a") * F.col("ub"))
 
 
+def _round_exprs():
+    """Column expressions of one propagation round (built once per process)."""
+    w_row = Window.partitionBy(PID, "node_id", "row")
+    w_var = Window.partitionBy(PID, "node_id", "var")
+    mt = _min_term()
+    q = (F.col("b") - (F.sum(mt).over(w_row) - mt)) / F.when(F.col("a") != 0, F.col("a"))
+    # Clamp to [lb-1, ub+1] before rounding: keeps floor/ceil in range and
+    # still proves infeasibility when the implied bound crosses.
+    ub_imp = F.when(F.col("a") > 0, F.floor(F.least(F.greatest(q + ROUND_EPS, F.col("lb") - 1), F.col("ub"))))
+    lb_imp = F.when(F.col("a") < 0, F.ceil(F.greatest(F.least(q - ROUND_EPS, F.col("ub") + 1), F.col("lb"))))
+    base = [c for c in EXPANDED_COLS if c != "terms"]
+    keep = [c for c in base if c not in ("lb", "ub")] + ["row", "a", "b"]
+    step1 = [F.col(c) for c in keep] + [F.col("lb"), F.col("ub"),
+                                        ub_imp.cast("double").alias("ub_imp"), lb_imp.cast("double").alias("lb_imp")]
+    step2 = [F.col(c) for c in keep] + [F.greatest(F.col("lb"), F.max("lb_imp").over(w_var)).alias("lb"),
+                                        F.least(F.col("ub"), F.min("ub_imp").over(w_var)).alias("ub")]
+    explode = [F.col(c) for c in base] + [F.explode_outer("terms").alias("t")]
+    flat = [F.col(c) for c in base] + [F.col("t.row").alias("row"), F.col("t.a").alias("a"), F.col("t.b").alias("b")]
+    rest = [c for c in base if c not in NODE_KEY and c != "var"]
+    fold = [F.any_value(c).alias(c) for c in rest] + [
+        F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "a", "b"))).alias("terms")]
+    return explode, flat, step1, step2, fold, [F.col(c) for c in EXPANDED_COLS]
+
+
+_MEMO: dict = {}
+
+
+def _memo(name, build):
+    """Build Column expressions once per JVM (they are unresolved, by name,
+    so any DataFrame with those columns can use them)."""
+    from pyspark import SparkContext
+    key = (name, id(SparkContext._gateway))
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def propagate(expanded: DataFrame, rounds: int = 2) -> DataFrame:
     """Activity-based bound tightening (Savelsbergh 1994), ``rounds`` times.
 
@@ -185,27 +222,11 @@ def propagate(expanded: DataFrame, rounds: int = 2) -> DataFrame:
     both inside the (problem, node) hash partitions, so no round shuffles.  The
     variables are then folded back to one row each (terms re-collected).
     """
-    base = [c for c in EXPANDED_COLS if c != "terms"]
-    x = expanded.select(*base, F.explode_outer("terms").alias("t")).select(
-        *base, F.col("t.row").alias("row"), F.col("t.a").alias("a"), F.col("t.b").alias("b"))
-    w_row = Window.partitionBy(PID, "node_id", "row")
-    w_var = Window.partitionBy(PID, "node_id", "var")
+    explode, flat, step1, step2, fold, out_cols = _memo("round", _round_exprs)
+    x = expanded.select(*explode).select(*flat)
     for _ in range(rounds):
-        mt = _min_term()
-        q = (F.col("b") - (F.sum(mt).over(w_row) - mt)) / F.when(F.col("a") != 0, F.col("a"))
-        # Clamp to [lb-1, ub+1] before rounding: keeps floor/ceil in range and
-        # still proves infeasibility when the implied bound crosses.
-        ub_imp = F.when(F.col("a") > 0, F.floor(F.least(F.greatest(q + ROUND_EPS, F.col("lb") - 1), F.col("ub"))))
-        lb_imp = F.when(F.col("a") < 0, F.ceil(F.greatest(F.least(q - ROUND_EPS, F.col("ub") + 1), F.col("lb"))))
-        x = x.select(*[c for c in x.columns], ub_imp.cast("double").alias("ub_imp"), lb_imp.cast("double").alias("lb_imp"))
-        x = x.select(*[c for c in x.columns if c not in ("lb", "ub", "ub_imp", "lb_imp")],
-                     F.greatest(F.col("lb"), F.max("lb_imp").over(w_var)).alias("lb"),
-                     F.least(F.col("ub"), F.min("ub_imp").over(w_var)).alias("ub"))
-    keep = [c for c in base if c not in NODE_KEY and c != "var"]
-    return x.groupBy(PID, "node_id", "var").agg(
-        *[F.any_value(c).alias(c) for c in keep],
-        F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "a", "b"))).alias("terms"),
-    ).select(*EXPANDED_COLS)
+        x = x.select(*step1).select(*step2)
+    return x.groupBy(PID, "node_id", "var").agg(*fold).select(*out_cols)
 
 
 # --------------------------------------------------------------- node stats
@@ -242,11 +263,20 @@ def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
     ``split = floor((lb + ub) / 2)``: down ``ub = split``, up ``lb = split + 1``.
     Everything groups on (problem, node, ...) keys: no shuffle.
     """
-    e = expanded.withColumn("x_c", _x_c()).withColumn("x_r", _x_r())
+    ex = _memo("stats", _stats_exprs)
+    e = expanded.select("*", *ex["xcols"])
+    by_var = e.groupBy(*NODE_KEY).agg(*ex["by_var"])
+    t = e.select(*ex["t_explode"]).select(*ex["t_flat"]).select("*", *ex["t_bp"])
+    t = t.select("*", *ex["t_w1"]).select("*", *ex["t_lam"])
+    by_row = t.groupBy(PID, "node_id", "row").agg(*ex["row_aggs"]).groupBy(*NODE_KEY).agg(*ex["node_aggs"])
+    return by_var.join(by_row, NODE_KEY, "left").select(*ex["out"])
+
+
+def _stats_exprs():
+    """Column expressions of ``node_stats`` (built once per process)."""
     score = F.abs(F.col("rc")) * (F.col("ub") - F.col("lb"))
     no_terms = F.size("terms") == 0
-    by_var = e.groupBy(*NODE_KEY).agg(
-        *[F.any_value(a).alias(a) for a in NODE_ATTRS],
+    by_var = [F.any_value(a).alias(a) for a in NODE_ATTRS] + [
         F.sum(F.least(F.col("c") * F.col("lb"), F.col("c") * F.col("ub"))).alias("box"),
         F.sum(F.least(F.col("rc") * F.col("lb"), F.col("rc") * F.col("ub"))).alias("lag"),
         F.sum(F.col("c") * F.col("x_c")).alias("obj_c"),
@@ -258,8 +288,11 @@ def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
         F.min_by(F.struct(F.col("var").alias("bvar"), F.col("lb").alias("blb"), F.col("ub").alias("bub")),
                  F.when(F.col("lb") < F.col("ub"), F.struct((-score).alias("s"), F.col("var")))).alias("branch"),
         F.count(F.lit(1)).alias("n_vars"),
-    )
-    t = _terms(e, "c", "x_c", "x_r")
+    ]
+    cols = ["c", "x_c", "x_r"]
+    t_explode = [F.col(c) for c in (PID, "node_id", "var", "lb", "ub", *cols)] + [F.explode("terms").alias("t")]
+    t_flat = [F.col(c) for c in (PID, "node_id", "var", "lb", "ub", *cols)] + [
+        F.col("t.row").alias("row"), F.col("t.a").alias("a"), F.col("t.b").alias("b")]
     a, c, lb, ub = F.col("a"), F.col("c"), F.col("lb"), F.col("ub")
     # Per (node, row) critical ratio: slope of the dual just above 0, then the
     # first breakpoint where the running slope reaches 0.
@@ -268,15 +301,14 @@ def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
     delta = F.when(bp.isNotNull(), F.when(a > 0, a * (lb - ub)).otherwise(a * (ub - lb)))
     w_row = Window.partitionBy(PID, "node_id", "row")
     w_run = w_row.orderBy(F.col("bp").asc_nulls_last(), F.col("var")).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("bp", bp).withColumn("delta", delta) \
-         .withColumn("s0", F.sum(a * x0).over(w_row) - F.col("b")) \
-         .withColumn("cum", F.sum("delta").over(w_run))
-    t = t.withColumn("lam", F.when(F.col("s0") <= 0, F.lit(0.0)).otherwise(F.coalesce(
+    t_bp = [bp.alias("bp"), delta.alias("delta")]
+    t_w1 = [(F.sum(a * x0).over(w_row) - F.col("b")).alias("s0"), F.sum("delta").over(w_run).alias("cum")]
+    t_lam = [F.when(F.col("s0") <= 0, F.lit(0.0)).otherwise(F.coalesce(
         F.min(F.when(F.col("bp").isNotNull() & (F.col("s0") + F.col("cum") <= 0), F.col("bp"))).over(w_row),
-        F.max("bp").over(w_row), F.lit(0.0))))
+        F.max("bp").over(w_row), F.lit(0.0))).alias("lam")]
     rc_n = c + F.col("lam") * a
     x_n = _x_n(F.col("lam"), a)
-    by_row = t.groupBy(PID, "node_id", "row").agg(
+    row_aggs = [
         F.sum(_min_term()).alias("minact"),
         F.sum(a * F.col("x_c")).alias("act_c"),
         F.sum(a * F.col("x_r")).alias("act_r"),
@@ -285,7 +317,8 @@ def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
         F.sum(F.least(rc_n * lb, rc_n * ub)).alias("lag_n_row"),
         F.max("lam").alias("lam"),
         F.max("b").alias("b"),
-    ).groupBy(*NODE_KEY).agg(
+    ]
+    node_aggs = [
         F.bool_or(F.col("minact") > F.col("b") + ROW_EPS).alias("row_infeasible"),
         F.bool_and(F.col("act_c") <= F.col("b") + ROW_EPS).alias("feas_c"),
         F.bool_and(F.col("act_r") <= F.col("b") + ROW_EPS).alias("feas_r"),
@@ -294,8 +327,7 @@ def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
         F.sum("obj_n_row").alias("obj_n_rows"),
         F.sum(F.col("lag_n_row") - F.col("lam") * F.col("b")).alias("lag_n_rows"),
         F.max("lam").alias("lam_n"),
-    )
-    s = by_var.join(by_row, NODE_KEY, "left")
+    ]
     one_row = F.coalesce(F.col("n_rows") == 1, F.lit(False))
     infeasible = F.col("var_infeasible") | F.coalesce(F.col("row_infeasible"), F.lit(False))
     lag_n = F.when(one_row, F.col("lag_n_rows") + F.coalesce(F.col("box_free"), F.lit(0.0)))
@@ -310,15 +342,17 @@ def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
     kind = (F.when(o_n.isNotNull() & (o_n == cand), F.lit("n"))
             .when(o_r.isNotNull() & (o_r == cand), F.lit("r"))
             .when(o_c.isNotNull(), F.lit("c")))
-    return s.select(
-        *NODE_KEY, *NODE_ATTRS, "n_vars",
-        infeasible.alias("infeasible"), F.col("all_fixed"),
+    out = [F.col(k) for k in NODE_KEY] + [F.col(k) for k in NODE_ATTRS] + [
+        F.col("n_vars"), infeasible.alias("infeasible"), F.col("all_fixed"),
         F.when(~infeasible, bound).alias("bound"),
         cand.alias("cand_obj"), kind.alias("cand_kind"),
         F.when(one_row, F.col("lam_n")).otherwise(F.lit(0.0)).alias("lam_n"),
         F.col("branch.bvar").alias("bvar"),
         F.floor((F.col("branch.blb") + F.col("branch.bub")) / 2).cast("double").alias("split"),
-    )
+    ]
+    return {"xcols": [_x_c().alias("x_c"), _x_r().alias("x_r")], "by_var": by_var, "t_explode": t_explode,
+            "t_flat": t_flat, "t_bp": t_bp, "t_w1": t_w1, "t_lam": t_lam, "row_aggs": row_aggs,
+            "node_aggs": node_aggs, "out": out}
 
 
 def candidate_value(kind: F.Column, lam_n: F.Column) -> F.Column:

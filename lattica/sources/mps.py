@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.session import cut
 from lattica.sources.program import Program, program_from_tables
 
 SECTIONS = ("NAME", "ROWS", "COLUMNS", "RHS", "RANGES", "BOUNDS", "ENDATA", "OBJSENSE")
@@ -66,7 +67,9 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
     l = last_before(l, F.when(is_header, head), "section")
     l = l.where(~is_header).withColumn("tok", F.split(F.trim("line"), r"\s+"))
     pid = problem_id if problem_id is not None else F.xxhash64("file")
-    l = l.withColumn("problem_id", pid)
+    # The classified lines feed five readers (rows, columns, rhs, ranges,
+    # bounds): one reliable checkpoint instead of five recomputations.
+    l = cut(l.select("file", "chunk", "line_no", "section", "tok", pid.cast("bigint").alias("problem_id")))
 
     rows = l.where(F.col("section") == "ROWS").select(
         "problem_id", F.upper(F.get(F.col("tok"), 0)).alias("type"), F.get(F.col("tok"), 1).alias("con"))
