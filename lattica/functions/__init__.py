@@ -1,0 +1 @@
+"""Column functions over bound maps and status flags."""

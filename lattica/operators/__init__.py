@@ -1,0 +1 @@
+"""DataFrame → DataFrame operators: relaxation (bounds), search, balance, report."""

@@ -1,0 +1 @@
+"""Inputs: the driver's parquet tables, program tables, MPS files."""

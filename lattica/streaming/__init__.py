@@ -1,0 +1,2 @@
+"""Nothing here on purpose: the reference has no streaming, watermark, window
+or state-store code (SURVEY §2.9), so no streaming operator is built."""
