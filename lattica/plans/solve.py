@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lattica import schemas
 from lattica.operators.bounds import (
-    NODE_KEY, candidate_value, collapse_frontier, expand_frontier, node_stats, prepare_model, propagate,
+    NODE_KEY, _memo, candidate_value, collapse_frontier, expand_frontier, node_stats, prepare_model, propagate,
 )
 from lattica.session import cut, shuffle_partitions
 from lattica.sources.program import PID, Program, root_nodes
@@ -99,40 +99,20 @@ def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float
         st = node_stats(fep, rel_gap).persist(StorageLevel.MEMORY_AND_DISK)
 
         # Best candidate of this level per problem, against the carried incumbent.
-        per_problem = st.groupBy(PID).agg(
-            F.min("inc").alias("inc"),
-            # A struct with a null field is not null and sorts first: order only rows with a candidate.
-            F.min_by(F.struct("node_id", "cand_kind", "lam_n"),
-                     F.when(F.col("cand_obj").isNotNull(), F.struct("cand_obj", "node_id"))).alias("w"),
-            F.min("cand_obj").alias("obj"))
-        improved = F.col("obj").isNotNull() & (F.col("inc").isNull() | (F.col("obj") < F.col("inc") - IMPROVE_EPS))
-        per_problem = per_problem.select(
-            PID, F.col("w.node_id").alias("w_node"), F.col("w.cand_kind").alias("w_kind"),
-            F.col("w.lam_n").alias("w_lam"), "obj",
-            improved.alias("improved"), F.when(improved, F.col("obj")).otherwise(F.col("inc")).alias("new_inc"))
+        ex = _memo(("loop", rel_gap), lambda: _loop_exprs(rel_gap))
+        per_problem = st.groupBy(PID).agg(*ex["pp_aggs"]).select(*ex["pp_cols"])
         stk = st.drop("lam_n").join(per_problem, PID)
 
         # Prune and branch (F2, F3, P4, P5): children of the kept nodes.
-        keep = stk.where(~F.col("infeasible") & ~F.col("all_fixed") & F.col("bvar").isNotNull()
-                         & ~_pruned(F.col("bound"), F.col("new_inc"), rel_gap)) \
-                  .select(*NODE_KEY, "bvar", "split", "bound", "new_inc")
+        keep = stk.where(ex["keep"]).select(*ex["keep_cols"])
         children = branch_expanded(fep, keep)
         # New incumbents ride along as rows of a pseudo node '#' (value in lb/ub,
         # objective in pbound, level in depth): same job, same checkpoint.
-        winners = stk.where(F.col("improved") & (F.col("node_id") == F.col("w_node"))) \
-                     .select(*NODE_KEY, "w_kind", "w_lam", "obj")
-        x = candidate_value(F.col("w_kind"), F.col("w_lam"))
-        vals = fep.join(winners, NODE_KEY).select(
-            PID, F.lit(WIN).alias("node_id"), *[F.lit(None).cast(t).alias(c) for c, t in
-                                               (("parent_id", "string"), ("subtree_id", "string"),
-                                                ("subtree_root_depth", "int"), ("bucket", "int"))],
-            F.lit(level).alias("depth"), F.lit(False).alias("is_easy"), F.col("obj").alias("pbound"),
-            F.lit(None).cast("double").alias("inc"), "int_obj", "lam_b", "var",
-            x.alias("lb"), x.alias("ub"), "vlb", "vub", "c", "rc", "terms", F.lit(False).alias("lead"))
+        winners = stk.where(ex["winner"]).select(*ex["winner_cols"])
+        vals = fep.join(winners, NODE_KEY).select(*ex["vals_head"], F.lit(level).alias("depth"), *ex["vals_tail"])
         obs = Observation(f"lattica_level_{level}")
         t_built = time.perf_counter()
-        fe = cut(children.unionByName(vals).observe(
-            obs, F.count_if("lead").alias("n_children"), F.count_if(F.col("node_id") == WIN).alias("n_win_rows")))
+        fe = cut(children.unionByName(vals).observe(obs, *ex["observed"]))
         levels.append(fe)
         n_children = obs.get["n_children"]
         if trace:
@@ -159,6 +139,38 @@ def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float
     return SolveResult(incumbent, frontier, metrics, level, total_nodes, level_nodes)
 
 
+def _loop_exprs(rel_gap: float) -> dict:
+    """Column expressions of the level loop (built once per JVM and gap)."""
+    improved = F.col("obj").isNotNull() & (F.col("inc").isNull() | (F.col("obj") < F.col("inc") - IMPROVE_EPS))
+    x = candidate_value(F.col("w_kind"), F.col("w_lam"))
+    return {
+        "pp_aggs": [
+            F.min("inc").alias("inc"),
+            # A struct with a null field is not null and sorts first: order only rows with a candidate.
+            F.min_by(F.struct("node_id", "cand_kind", "lam_n"),
+                     F.when(F.col("cand_obj").isNotNull(), F.struct("cand_obj", "node_id"))).alias("w"),
+            F.min("cand_obj").alias("obj")],
+        "pp_cols": [
+            F.col(PID), F.col("w.node_id").alias("w_node"), F.col("w.cand_kind").alias("w_kind"),
+            F.col("w.lam_n").alias("w_lam"), F.col("obj"),
+            improved.alias("improved"), F.when(improved, F.col("obj")).otherwise(F.col("inc")).alias("new_inc")],
+        "keep": (~F.col("infeasible") & ~F.col("all_fixed") & F.col("bvar").isNotNull()
+                 & ~_pruned(F.col("bound"), F.col("new_inc"), rel_gap)),
+        "keep_cols": [F.col(c) for c in (*NODE_KEY, "bvar", "split", "bound", "new_inc")],
+        "winner": F.col("improved") & (F.col("node_id") == F.col("w_node")),
+        "winner_cols": [F.col(c) for c in (*NODE_KEY, "w_kind", "w_lam", "obj")],
+        "vals_head": [F.col(PID), F.lit(WIN).alias("node_id")] + [
+            F.lit(None).cast(t).alias(c) for c, t in (("parent_id", "string"), ("subtree_id", "string"),
+                                                      ("subtree_root_depth", "int"), ("bucket", "int"))],
+        "vals_tail": [F.lit(False).alias("is_easy"), F.col("obj").alias("pbound"),
+                      F.lit(None).cast("double").alias("inc"), F.col("int_obj"), F.col("lam_b"), F.col("var"),
+                      x.alias("lb"), x.alias("ub")] + [F.col(c) for c in ("vlb", "vub", "c", "rc", "terms")] + [
+                      F.lit(False).alias("lead")],
+        "observed": [F.count_if("lead").alias("n_children"),
+                     F.count_if(F.col("node_id") == WIN).alias("n_win_rows")],
+    }
+
+
 def branch_expanded(expanded: DataFrame, choice: DataFrame) -> DataFrame:
     """Two children per chosen node in expanded form (P4): the down child gets
     ``ub = split`` and the up child ``lb = split + 1`` on the branching variable;
