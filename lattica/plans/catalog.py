@@ -315,6 +315,13 @@ def q21_apply_moves(spark: SparkSession, sf: str) -> DataFrame:
     return B.count_by_bucket(frontier, N_BUCKETS, trees=False).select("bucket", "n_hard")
 
 
+def q24_leaves_by_subtree(spark: SparkSession, sf: str) -> DataFrame:
+    """Live leaves per subtree (A3): work items as nodes, (bucket, grp) as subtree."""
+    n = _wi_nodes(spark, sf).select(F.col("bucket").cast("bigint").alias("problem_id"), "subtree_id", "is_easy")
+    return B.leaves_by_subtree(n).select(
+        "problem_id", F.col("subtree_id").cast("int").alias("grp"), "n_easy", "n_hard")
+
+
 # ---------------------------------------------------------------- Q22 – Q23
 def q22_solve_selection(spark: SparkSession, sf: str) -> DataFrame:
     res = solve(X.selection_program(spark, sf))
@@ -351,4 +358,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q21_apply_moves": q21_apply_moves,
     "q22_solve_selection": q22_solve_selection,
     "q23_solve_mix": q23_solve_mix,
+    "q24_leaves_by_subtree": q24_leaves_by_subtree,
 }

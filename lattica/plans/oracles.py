@@ -216,6 +216,12 @@ x AS (SELECT codes.l_orderkey, code, need, n,
 SELECT l_orderkey AS problem_id, CAST(min(sv) AS BIGINT) AS best_v FROM x WHERE sw >= need AND sx = n GROUP BY 1""",
 }
 
+ORACLE["q24_leaves_by_subtree"] = f"""
+WITH {WI}
+SELECT CAST(bucket AS BIGINT) AS problem_id, grp, count(*) FILTER (WHERE NOT hard) AS n_easy,
+       count(*) FILTER (WHERE hard) AS n_hard
+FROM wi GROUP BY 1, 2"""
+
 ORACLE["q05_solution_rows"] = f"""
 WITH best AS ({ORACLE['q22_solve_selection']})
 SELECT problem_id, best_v AS chosen_v, true AS fits FROM best"""
