@@ -372,7 +372,7 @@ def bound_nodes(frontier: DataFrame, program: Program, method: str = "box", roun
     """
     n = n_partitions or int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = prepare_model(program, method)
-    st = node_stats(propagate(expand_frontier(frontier, model), rounds))
+    st = node_stats(propagate(expand_frontier(frontier, model, n), rounds))
     sign = program.sign
     return st.select(
         *NODE_KEY, "depth", "infeasible", "all_fixed",

@@ -16,7 +16,7 @@ from lattica.functions.bounds import bounds_changed, merge_lower, merge_upper, s
 from lattica.operators import balance as B
 from lattica.operators import report as R
 from lattica.operators import search as S
-from lattica.operators.bounds import effective_bounds
+from lattica.operators.bounds import bound_nodes, effective_bounds
 from lattica.plans import fixtures as X
 from lattica.plans.solve import solve
 from lattica.sources.mps import parse_mps
@@ -322,6 +322,16 @@ def q24_leaves_by_subtree(spark: SparkSession, sf: str) -> DataFrame:
         "problem_id", F.col("subtree_id").cast("int").alias("grp"), "n_easy", "n_hard")
 
 
+def q25_bound_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Root bound of every order's knapsack (U4): propagation drops items
+    heavier than the capacity, then the node's critical ratio gives the LP bound,
+    rounded down for integral values."""
+    prog = X.selection_program(spark, sf)
+    roots = root_nodes(prog.vars, N_BUCKETS)
+    b = bound_nodes(roots, prog, method="lagrangian")
+    return b.select("problem_id", F.col("bound").cast("bigint").alias("root_bound"))
+
+
 # ---------------------------------------------------------------- Q22 – Q23
 def q22_solve_selection(spark: SparkSession, sf: str) -> DataFrame:
     res = solve(X.selection_program(spark, sf))
@@ -359,4 +369,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q22_solve_selection": q22_solve_selection,
     "q23_solve_mix": q23_solve_mix,
     "q24_leaves_by_subtree": q24_leaves_by_subtree,
+    "q25_bound_nodes": q25_bound_nodes,
 }

@@ -222,6 +222,19 @@ SELECT CAST(bucket AS BIGINT) AS problem_id, grp, count(*) FILTER (WHERE NOT har
        count(*) FILTER (WHERE hard) AS n_hard
 FROM wi GROUP BY 1, 2"""
 
+ORACLE["q25_bound_nodes"] = f"""
+WITH it AS (SELECT l_orderkey, {CENTS} AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
+cap AS (SELECT l_orderkey, sum(w) // 2 AS cap FROM it GROUP BY 1),
+fit AS (SELECT it.l_orderkey, v, w, cap FROM it JOIN cap USING (l_orderkey) WHERE w <= cap),
+ord AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey ORDER BY v / w DESC, v DESC
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw FROM fit),
+lp AS (SELECT l_orderkey,
+              sum(CASE WHEN cw <= cap THEN v
+                       WHEN cw - w < cap THEN (cap - (cw - w)) * (v / w) ELSE 0 END) AS lp
+       FROM ord GROUP BY 1)
+SELECT cap.l_orderkey AS problem_id, CAST(floor(coalesce(lp.lp, 0) + 1e-6) AS BIGINT) AS root_bound
+FROM cap LEFT JOIN lp USING (l_orderkey)"""
+
 ORACLE["q05_solution_rows"] = f"""
 WITH best AS ({ORACLE['q22_solve_selection']})
 SELECT problem_id, best_v AS chosen_v, true AS fits FROM best"""
