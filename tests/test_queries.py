@@ -27,7 +27,8 @@ def _rows(cols, rows):
 
 @pytest.mark.parametrize("name", ["q01_root_nodes", "q08_merge_bounds", "q09_branch", "q11_best_solution",
                                   "q14_halt_subtrees", "q15_split_groups", "q16_count_by_bucket",
-                                  "q19_allocate_budget", "q20_plan_moves", "q21_apply_moves"])
+                                  "q19_allocate_budget", "q20_plan_moves", "q21_apply_moves",
+                                  "q24_leaves_by_subtree", "q25_bound_nodes"])
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
