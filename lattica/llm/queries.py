@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, rules
+from . import bpe, counts, langid, pack, rules
+from .common import shared_folder
+
+
+#: Vocabulary files of the queries; the operators take any path.
+WORDS, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(WORDS), capacity=4096, end_id=1)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so that every run counts all distinct texts."""
+    return counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(WORDS), shared_folder(spark, "token_cache"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer(RANKS), public_tokenizers.PATTERN)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
@@ -19,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_byte_bpe, op5_language_id, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
