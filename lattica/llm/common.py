@@ -11,7 +11,10 @@ Conventions that hold for every operator of the package:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,3 +87,74 @@ def by_hash(key: Column, n_rows: int, bound: int) -> Column:
 
 def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def by_group(rows: DataFrame, keys: list[str], task: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``task`` of the rows of each key, which may run over several Arrow batches.
+
+    Keys must not be null, and the caller keeps the groups bounded: one group
+    and one batch are in a worker's memory at a time.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            at = _edges(table, keys)
+            yield from (task(table.slice(lo, hi - lo)) for lo, hi in zip(at[:-2], at[1:-1]))
+            held = table.slice(at[-2]).to_batches() if len(at) > 1 else []
+        if held:
+            yield task(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_in_large(stream), schema)
+
+
+def _in_large(stream: Callable) -> Callable:
+    """``stream`` whose many small batches leave as few larger ones."""
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in stream(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 10_000 or len(held) >= 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return large
+
+
+def _edges(table: pa.Table, keys: list[str]) -> list[int]:
+    """Where a new key begins, and the end."""
+    n = table.num_rows
+    if not n:
+        return [0]
+    new = np.ones(n + 1, bool)
+    values = [table.column(k).to_numpy() for k in keys]
+    new[1:-1] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+    return np.flatnonzero(new).tolist()
+
+
+class Union:
+    """Union-find over places 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def forest(self) -> list[tuple[int, int]]:
+        """A link from every place that is not its class's first to that first."""
+        return [(x, r) for x in range(len(self.up)) if (r := self.root(x)) != x]
