@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, embed_dedup, langid, pack, rules, simhash, tokenfile
+from . import bpe, counts, embed_dedup, langid, line_dedup, pack, quality_cnn, rules, simhash, tokenfile
 from .common import shared_folder
 
 
@@ -51,6 +51,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -61,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_token_files,
-    op9_simhash_dedup, op10_quality_rules)}
+    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules)}
 #: None of them can be said in SQL: they rest on vocabulary files, learned models,
 #: random projections or 64-bit hashes; tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {}
