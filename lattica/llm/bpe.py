@@ -77,7 +77,7 @@ class Bpe:
         for word, rank in ranks.items():
             self.bytes_of[rank] = word
         self.names = [str(i) for i in range(n)]
-        self._chunks = ChunkEncoder(cut_before_words, lambda many: [np.asarray(self._ids(c), "<u4").tobytes() for c in many])
+        self._chunks = ChunkEncoder(cut_before_words, lambda many: [np.asarray(self._ids(c), "<u4").tobytes() for c in many], " ")
         self._merged = functools.lru_cache(200_000)(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Chunks that a worker remembers, and the longest that it does.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_200_000
 CACHE_CHARS = 64
 _SPACE_THEN_WORD = re.compile(r" (?=\S)")
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|$)")
@@ -37,30 +37,36 @@ def cut_before_words(text: str) -> list[str]:
 
     A pre-token begins at every space that a visible character follows, whatever
     stands before; other white space may join its neighbours and isn't cut at.
+    The space itself is left out: it leads every chunk but the first.
     """
-    if _SPACE_THEN_SPACE.search(text):
-        parts = _SPACE_THEN_WORD.split(text)
-    else:
-        parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
+    return _SPACE_THEN_WORD.split(text) if _SPACE_THEN_SPACE.search(text) else text.split(" ")
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; ``encode_many`` gives the ids of new chunks."""
+    """Encodes texts chunk by chunk; ``encode_many`` gives the ids of new chunks.
 
-    def __init__(self, cut: Callable, encode_many: Callable, whole: tuple[str, ...] = ()):
+    ``lead`` stands before every chunk but a text's first.
+    """
+
+    def __init__(self, cut: Callable, encode_many: Callable, lead: str = "", whole: tuple[str, ...] = ()):
         """``whole``: strings that make a text be encoded in one piece."""
-        self._cut, self._encode_many, self._whole = cut, encode_many, whole
+        self._cut, self._encode_many, self._lead, self._whole = cut, encode_many, lead, whole
         self._known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._whole):
             return self._encode_many([text])[0]
         chunks = self._cut(text)
+        first = chunks[0]
+        if self._lead:  # remembered under a name that no chunk has, as it has no lead
+            chunks[0] = self._lead + first
         got = list(map(self._known.get, chunks))
         if None in got:
             missing = list({c for c, g in zip(chunks, got) if g is None})
-            new = dict(zip(missing, self._encode_many(missing)))
+            texts = [self._lead + c for c in missing]
+            if self._lead and got[0] is None:
+                texts[missing.index(chunks[0])] = first
+            new = dict(zip(missing, self._encode_many(texts)))
             got = [new[c] if g is None else g for c, g in zip(chunks, got)]
             if len(self._known) < CACHE_CHUNKS:
                 self._known.update((c, i) for c, i in new.items() if len(c) <= CACHE_CHARS)
@@ -84,20 +90,31 @@ def json_encoder(path: str) -> ChunkEncoder:
     import json
 
     library = _library(path)
-
-    def encode_many(texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     before = spec.get("pre_tokenizer") or {}
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    plain = spec["added_tokens"] and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
     special = tuple(t["content"] for t in spec["added_tokens"])
+
+    def encode_whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_many(texts: list[str]) -> list[bytes]:
+        """Many texts without special strings in one call, with one between each:
+        the library encodes what stands between them separately."""
+        if len(texts) < 2:
+            return encode_whole(texts)
+        joined = library.encode_batch_fast([special[0].join(texts)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<u4")
+        ends = [*np.flatnonzero(ids == library.token_to_id(special[0])).tolist(), len(ids)]
+        content = ids.tobytes()
+        return [content[4 * a:4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+
     if plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer"):
-        return ChunkEncoder(cut_before_words, encode_many, special)
+        return ChunkEncoder(cut_before_words, encode_many, " ", special)
     if plain and drops_white_space(spec):
-        return ChunkEncoder(cut_at_white_space, encode_many, special)
-    return ChunkEncoder(lambda text: [text], encode_many)
+        return ChunkEncoder(cut_at_white_space, encode_many, "", special)
+    return ChunkEncoder(lambda text: [text], encode_whole)
 
 
 def drops_white_space(spec: dict) -> bool:
