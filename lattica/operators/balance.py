@@ -5,28 +5,31 @@ plan the moves that even out the load, apply them, place rows on their
 bucket's partition, and split a bucket's budget over its groups.
 
 Skew: a single bucket may hold a large share of all rows, so no operator here
-sorts or collects a whole bucket in one task.  Row-level work uses partial
-aggregates, hash shards sized from the counts, and chunked prefix scans; only
-tables whose size is bounded by the *parameter* ``n_buckets`` (counts:
-``n_buckets`` rows, moves: at most ``n_buckets²``) are windowed without a
-partition key or broadcast.  ``plan_moves`` checkpoints those small tables
-between its steps (reliably, into ``spark.checkpoint.dir``) so that the
-second pass does not re-embed the first pass's plan at every reference.
+sorts or collects a whole bucket in one task.  Ranks and running aggregates
+range-partition the rows by (bucket, order), so a hot bucket spreads over many
+partitions; each partition is scanned by itself and the counts or totals of the
+partitions before it are added.  Ranks are those of the key order at any size
+and for any number of partitions.  Only tables whose size is bounded by the
+*parameter* ``n_buckets`` (counts, move plans) reach the driver or a broadcast.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import cut
+from lattica.session import cut, shuffle_partitions
 
 # Fixed reference values.
 N_BUCKETS = 40            # 10 machines x 4 cores
 MIN_HARD_PER_BUCKET = 5   # farm threshold per core
 W_EASY, W_HARD = 1, 10    # 6 s and 60 s per easy / hard node, in units of an easy node
 BUDGET_LO, BUDGET_HI = 50, 100   # 300 s .. 600 s per iteration, in the same unit
-ROWS_PER_SHARD = 1 << 20  # rows one task ranks or scans in one window group
+BROADCAST_ROWS = 1 << 17  # small tables with more rows are joined by a shuffle
 
 
 def all_buckets(spark, n_buckets: int) -> DataFrame:
@@ -34,20 +37,31 @@ def all_buckets(spark, n_buckets: int) -> DataFrame:
     return spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` materialised, with a broadcast hint if its counted size allows one."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 # ------------------------------------------------------------------ A1 A2 A3
-def count_by_bucket(nodes: DataFrame, n_buckets: int = N_BUCKETS, trees: bool = True,
-                    bucket: str = "bucket", easy: str = "is_easy", tree: str = "subtree_id") -> DataFrame:
+def count_by_bucket(nodes: DataFrame, n_buckets: int = N_BUCKETS, trees: bool = True, bucket: str = "bucket",
+                    easy: str = "is_easy", tree: tuple[str, ...] | None = None) -> DataFrame:
     """Easy nodes, hard nodes and distinct trees per bucket, every bucket present.
 
-    ``groupBy(bucket)`` with partial aggregation (a hot bucket is pre-counted in
-    every map task), right-joined to all bucket ids with zeros.  ``count_distinct``
-    is planned by Spark as a two-level aggregate on (bucket, tree) first.
+    A tree is a (problem, subtree) pair; ``tree`` names other columns.  Rows whose
+    bucket is null or not in ``0 .. n_buckets - 1`` are counted in one more row,
+    with a null bucket, which is there only if there are such rows.  Partial
+    aggregation pre-counts a hot bucket in every map task; ``count_distinct`` is
+    planned as a two-level aggregate on (bucket, tree) first.
     """
+    tree = tree or tuple(c for c in ("problem_id", "subtree_id") if c in nodes.columns)
+    b = F.col(bucket).cast("int")
     aggs = [F.count_if(F.col(easy)).alias("n_easy"), F.count_if(~F.col(easy)).alias("n_hard")]
-    aggs.append(F.count_distinct(F.col(tree)).alias("n_trees") if trees else F.lit(0).cast("bigint").alias("n_trees"))
-    counts = nodes.groupBy(F.col(bucket).cast("int").alias("bucket")).agg(*aggs)
-    return all_buckets(nodes.sparkSession, n_buckets).join(F.broadcast(counts), "bucket", "left").select(
-        "bucket", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_easy", "n_hard", "n_trees")])
+    aggs.append(F.count_distinct(F.struct(*tree)).alias("n_trees") if trees else F.lit(0).cast("bigint").alias("n_trees"))
+    counts = nodes.groupBy(F.when((b >= 0) & (b < n_buckets), b).alias("bucket")).agg(*aggs)
+    # At most n_buckets + 1 rows; zero rows for the buckets without work.
+    zeros = all_buckets(nodes.sparkSession, n_buckets).select("bucket", *[F.lit(0).cast("bigint").alias(c) for c in ("n_easy", "n_hard", "n_trees")])
+    return counts.unionByName(zeros).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n_easy", "n_hard", "n_trees")])
 
 
 def leaves_by_subtree(nodes: DataFrame, key: tuple[str, ...] = ("problem_id", "subtree_id"),
@@ -62,10 +76,9 @@ def needs_rebalance(counts: DataFrame, threshold: int = MIN_HARD_PER_BUCKET) ->
     """One row: ``min_hard`` over all buckets (zero-filled) and whether the run is
     in its solution phase (``min_hard > threshold``, strict, D16); rebalance
     otherwise (A5)."""
-    return counts.agg(F.min("n_hard").alias("min_hard")).select(
-        F.coalesce("min_hard", F.lit(0)).alias("min_hard"),
-        (F.coalesce("min_hard", F.lit(0)) > threshold).alias("solution_phase"),
-        (~(F.coalesce("min_hard", F.lit(0)) > threshold)).alias("needs_rebalance"))
+    least = F.coalesce("min_hard", F.lit(0))
+    return counts.where("bucket is not null").agg(F.min("n_hard").alias("min_hard")).select(
+        least.alias("min_hard"), (least > threshold).alias("solution_phase"), (least <= threshold).alias("needs_rebalance"))
 
 
 def iteration_budget(counts: DataFrame, w_easy: float = W_EASY, w_hard: float = W_HARD,
@@ -73,117 +86,92 @@ def iteration_budget(counts: DataFrame, w_easy: float = W_EASY, w_hard: float =
     """One row: average easy/hard nodes per bucket (all buckets) and the budget
     ``least(greatest(w_hard·avg_hard + w_easy·avg_easy, lo), hi)`` in node
     expansions (A6, D7)."""
-    a = counts.agg(F.avg("n_easy").alias("avg_easy"), F.avg("n_hard").alias("avg_hard"))
+    a = counts.where("bucket is not null").agg(F.avg("n_easy").alias("avg_easy"), F.avg("n_hard").alias("avg_hard"))
     raw = F.lit(w_hard) * F.col("avg_hard") + F.lit(w_easy) * F.col("avg_easy")
     return a.select("avg_easy", "avg_hard", F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)).alias("budget"))
 
 
-# ---------------------------------------------------------------------- W5-W8
-def _everything() -> Window:
-    # Global window over a table of at most n_buckets (or n_buckets²) rows.
-    return Window.partitionBy(F.lit(0))
-
-
-def _plan_pass(c: DataFrame) -> DataFrame:
-    """One donation pass over ``c(bucket, load, mov, T)`` (T constant), as the
-    greedy loop "one unit from the highest donor to the lowest receiver" would
-    do it, without enumerating units.
-
-    Receiver slots run through levels ``load..T-1`` (level ascending, then
-    bucket); donor units through levels ``load..load-u+1`` with
-    ``u = min(mov, load - T)`` (level descending, then bucket).  Slot k pairs
-    with unit k.  Between breakpoints the active sets are constant, so each
-    side is a list of segments (start position, active list, period k); every
-    elementary interval of positions where both segments are fixed repeats the
-    pairing with period k·k', so one period is enumerated and weighted.  All
-    tables are bounded by functions of ``n_buckets``.  Output ``(src, dst, n)``.
-    """
-    c = cut(c)
-    rec = c.where(F.col("load") < F.col("T"))
-    # Receiver segments: start levels = distinct receiver loads.
-    r_seg = rec.select("load", "T").distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy("load")
-    r_seg = r_seg.select(
-        (F.row_number().over(w) - 1).alias("i"), F.col("load").alias("v"),
-        F.coalesce(F.lead("load").over(w), F.col("T")).alias("v_end"))
-    seg_m = r_seg.select("i", F.col("v").alias("load"), F.count(F.lit(1)).over(_everything()).alias("m"))
-    r_mem = rec.join(seg_m, "load") \
-        .select("bucket", F.explode(F.sequence(F.col("i"), F.col("m") - 1)).alias("i")) \
-        .withColumn("idx", F.row_number().over(Window.partitionBy("i").orderBy("bucket")) - 1)
-    r_mem = cut(r_mem)
-    k = r_mem.groupBy("i").agg(F.count(F.lit(1)).alias("k"))
-    r_seg = r_seg.join(k, "i").withColumn("size", F.col("k") * (F.col("v_end") - F.col("v")))
-    r_seg = r_seg.withColumn("S", F.coalesce(F.sum("size").over(
-        Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r_seg = cut(r_seg)
-
-    don = c.where((F.col("load") > F.col("T")) & (F.col("mov") > 0)).select(
-        "bucket", F.col("load").alias("hi"),
-        (F.col("load") - F.least(F.col("mov"), F.col("load") - F.col("T")) + 1).alias("lo"))
-    cuts = don.select(F.col("hi").alias("b")).union(don.select((F.col("lo") - 1).alias("b"))).distinct()
-    wd = Window.partitionBy(F.lit(0)).orderBy(F.col("b").desc())
-    d_seg = cuts.select((F.row_number().over(wd) - 1).alias("j"), "b",
-                        (F.col("b") - F.lead("b").over(wd)).alias("len")).where(F.col("len").isNotNull())
-    j_of = cuts.select("b", (F.row_number().over(wd) - 1).alias("jb"))
-    don_j = don.join(j_of.select(F.col("b").alias("hi"), F.col("jb").alias("j_hi")), "hi") \
-               .join(j_of.select((F.col("b") + 1).alias("lo"), F.col("jb").alias("j_lo")), "lo")
-    d_mem = don_j.select("bucket", F.explode(F.sequence(F.col("j_hi"), F.col("j_lo") - 1)).alias("j")) \
-        .withColumn("idx", F.row_number().over(Window.partitionBy("j").orderBy("bucket")) - 1)
-    d_mem = cut(d_mem)
-    k2 = d_mem.groupBy("j").agg(F.count(F.lit(1)).alias("k"))
-    d_seg = d_seg.join(k2, "j").withColumn("size", F.col("k") * F.col("len"))
-    d_seg = d_seg.withColumn("Q", F.coalesce(F.sum("size").over(
-        Window.partitionBy(F.lit(0)).orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d_seg = cut(d_seg)
-
-    # Elementary intervals [a, b) of positions below K = min(slots, units).
-    pts = (r_seg.select(F.col("S").alias("a"), F.col("i"), F.lit(None).cast("long").alias("j"),
-                        F.col("size").alias("rs"), F.lit(0).cast("long").alias("ds"))
-           .unionByName(d_seg.select(F.col("Q").alias("a"), F.lit(None).cast("long").alias("i"), F.col("j"),
-                                     F.lit(0).cast("long").alias("rs"), F.col("size").alias("ds"))))
-    pts = pts.withColumn("K", F.least(F.sum("rs").over(_everything()), F.sum("ds").over(_everything()))) \
-             .where(F.col("a") < F.col("K"))
-    wp = Window.partitionBy(F.lit(0)).orderBy("a", F.col("i").asc_nulls_first(), F.col("j").asc_nulls_first())
-    pts = pts.select("a", "K",
-                     F.last("i", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, 0)).alias("i"),
-                     F.last("j", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, 0)).alias("j"))
-    pts = pts.groupBy("a", "K").agg(F.max("i").alias("i"), F.max("j").alias("j"))
-    wa = Window.partitionBy(F.lit(0)).orderBy("a")
-    iv = pts.select("a", "i", "j", F.coalesce(F.lead("a").over(wa), F.col("K")).alias("b"))
-    iv = iv.join(r_seg.select("i", F.col("k").alias("kr"), "S"), "i").join(
-        d_seg.select("j", F.col("k").alias("kd"), "Q"), "j")
-    period = F.col("kr") * F.col("kd")
-    pos = iv.select("i", "j", "kr", "kd", "S", "Q", "b", period.alias("per"),
-                    F.explode(F.sequence(F.col("a"), F.col("a") + F.least(F.col("b") - F.col("a"), period) - 1)).alias("p"))
-    pos = pos.select("i", "j",
-                     F.pmod(F.col("p") - F.col("S"), F.col("kr")).alias("ridx"),
-                     F.pmod(F.col("p") - F.col("Q"), F.col("kd")).alias("didx"),
-                     (F.floor((F.col("b") - 1 - F.col("p")) / F.col("per")) + 1).alias("cnt"))
-    pairs = pos.join(r_mem.select("i", F.col("idx").alias("ridx"), F.col("bucket").alias("dst")), ["i", "ridx"]) \
-               .join(d_mem.select("j", F.col("idx").alias("didx"), F.col("bucket").alias("src")), ["j", "didx"])
-    return pairs.groupBy("src", "dst").agg(F.sum("cnt").cast("bigint").alias("n"))
-
-
-def _apply_pass(c: DataFrame, moves: DataFrame) -> DataFrame:
-    """Counts after a pass: the donor loses, the receiver gains; received units
-    count as movable in the receiver (the reference's counter update)."""
-    out = moves.groupBy(F.col("src").alias("bucket")).agg(F.sum("n").alias("out"))
-    inn = moves.groupBy(F.col("dst").alias("bucket")).agg(F.sum("n").alias("inn"))
-    j = c.join(out, "bucket", "left").join(inn, "bucket", "left").fillna(0, ["out", "inn"])
-    return j.select("bucket",
-                    (F.col("load") - F.col("out") + F.col("inn")).alias("load"),
-                    (F.col("mov") - F.col("out") + F.col("inn")).alias("mov"))
+# ---------------------------------------------------------------------- W5-W7
+def _receiver_runs(load: dict[int, int], t: int) -> list[tuple[list[int], int]]:
+    """Slots in the order they are filled: (buckets in turn, number of rounds)."""
+    below = sorted((n, b) for b, n in load.items() if n < t)
+    levels = sorted({n for n, _ in below}) + [t]
+    return [(sorted(b for n, b in below if n <= lo), hi - lo) for lo, hi in zip(levels, levels[1:])]
+
+
+def _donor_runs(load: dict[int, int], mov: dict[int, int], t: int) -> list[tuple[list[int], int]]:
+    """Units in the order they are given: a donor gives from its load down to
+    ``t``, as far as its movable units reach."""
+    spans = {b: (n - min(mov[b], n - t), n) for b, n in load.items() if n > t and mov[b] > 0}
+    levels = sorted({x for span in spans.values() for x in span}, reverse=True)
+    runs = [(sorted(b for b, (lo, hi) in spans.items() if lo <= low and hi >= high), high - low) for high, low in zip(levels, levels[1:])]
+    return [r for r in runs if r[0]]
+
+
+def _pairs(first: int, last: int, s: int, q: int, receivers: list[int], donors: list[int], out: dict) -> None:
+    """Counts of (donor, receiver) over the positions ``first .. last - 1``, where
+    position p is receiver ``(p - s) mod k`` and donor ``(p - q) mod m``."""
+    k, m = len(receivers), len(donors)
+    g = math.gcd(k, m)
+    i, j = np.arange(k)[:, None], np.arange(m)[None, :]
+    apart = (q + j) - (s + i)
+    # p = s + i + k x with k x = apart (mod m) has a solution if g divides apart.
+    x = (apart // g) * pow(k // g, -1, m // g) % (m // g) if m > g else np.zeros_like(apart)
+    period = k * m // g
+    start = first + (s + i + k * x - first) % period
+    n = np.where((apart % g == 0) & (start < last), (last - 1 - start) // period + 1, 0)
+    for a, b in zip(*np.nonzero(n)):
+        out[donors[b], receivers[a]] += int(n[a, b])
+
+
+def _plan_pass(load: dict[int, int], mov: dict[int, int], t: int) -> dict[tuple[int, int], int]:
+    """The greedy loop "one unit from the highest donor to the lowest receiver"
+    against threshold ``t``, by runs: the k-th slot is filled by the k-th unit,
+    and between two changes of the active sets both repeat."""
+    out: dict = defaultdict(int)
+    slots, units = _receiver_runs(load, t), _donor_runs(load, mov, t)
+    i = j = p = s = q = 0  # position, and where the current runs begin
+    while i < len(slots) and j < len(units):
+        (receivers, up), (donors, down) = slots[i], units[j]
+        s_end, q_end = s + len(receivers) * up, q + len(donors) * down
+        end = min(s_end, q_end)
+        _pairs(p, end, s, q, receivers, donors, out)
+        p = end
+        if s_end == end:
+            i, s = i + 1, end
+        if q_end == end:
+            j, q = j + 1, end
+    return dict(out)
+
+
+def _moved(load: dict, mov: dict, moves: dict) -> None:
+    """Loads after a pass; units received may move again (the reference's counter update)."""
+    for (src, dst), n in moves.items():
+        for x in (load, mov):
+            x[src] -= n
+            x[dst] += n
 
 
 def plan_loads(existing: DataFrame, movable: DataFrame) -> DataFrame:
     """``(bucket, load, mov)``: hard nodes that stay plus hard nodes that may move."""
-    e = existing.select("bucket", F.col("n_hard").alias("n_old"))
-    m = movable.select("bucket", F.col("n_hard").alias("mov"))
+    e = existing.where("bucket is not null").select("bucket", F.col("n_hard").alias("n_old"))
+    m = movable.where("bucket is not null").select("bucket", F.col("n_hard").alias("mov"))
     return e.join(m, "bucket", "full").select(
         "bucket", (F.coalesce("n_old", F.lit(0)) + F.coalesce("mov", F.lit(0))).alias("load"),
         F.coalesce("mov", F.lit(0)).alias("mov"))
 
 
+def _passes(existing: DataFrame, movable: DataFrame, threshold: int, second_pass: bool):
+    """(threshold, moves, loads after) of each pass, from one row per bucket."""
+    rows = plan_loads(existing, movable).collect()  # bounded by the parameter n_buckets
+    load, mov = {r["bucket"]: r["load"] for r in rows}, {r["bucket"]: r["mov"] for r in rows}
+    for number in range(1 + second_pass):
+        t = threshold if number == 0 else sum(load.values()) // max(len(load), 1)
+        moves = _plan_pass(load, mov, t)
+        _moved(load, mov, moves)
+        yield t, moves, dict(load)
+
+
 def plan_moves(existing: DataFrame, movable: DataFrame, threshold: int = MIN_HARD_PER_BUCKET,
                second_pass: bool = True) -> DataFrame:
     """Donation plan ``moves(src, dst, n)``.
@@ -192,71 +180,55 @@ def plan_moves(existing: DataFrame, movable: DataFrame, threshold: int = MIN_HAR
     above it that have movable nodes; pass 2 repeats against the floor of the
     average load (D6).  Receiver = lowest load strictly below T (lowest id on
     ties), donor = highest load strictly above T with movable nodes (lowest id
-    on ties), one node per step — computed in closed form per pass.
+    on ties), one node per step — computed in closed form per pass, so its cost
+    depends on the number of buckets, not on how many units move.
     ``existing``/``movable`` are ``bucket_counts`` tables covering every bucket.
     """
-    c = cut(plan_loads(existing, movable))
-    p1 = cut(_plan_pass(c.withColumn("T", F.lit(threshold).cast("bigint"))))
-    if not second_pass:
-        return p1
-    c2 = _apply_pass(c, p1)
-    avg = F.floor(F.sum("load").over(_everything()) / F.count(F.lit(1)).over(_everything())).cast("bigint")
-    p2 = _plan_pass(c2.withColumn("T", avg))
-    return p1.unionByName(p2).groupBy("src", "dst").agg(F.sum("n").cast("bigint").alias("n"))
+    total: dict = defaultdict(int)
+    for _, moves, _ in _passes(existing, movable, threshold, second_pass):
+        for pair, n in moves.items():
+            total[pair] += n
+    return existing.sparkSession.createDataFrame([(s, d, n) for (s, d), n in sorted(total.items())], "src int, dst int, n bigint")
 
 
 def pass_summary(existing: DataFrame, movable: DataFrame, threshold: int = MIN_HARD_PER_BUCKET) -> DataFrame:
     """One row per pass: its threshold, moves, and the loads' min/max after it."""
-    c = cut(plan_loads(existing, movable))
-    p1 = cut(_plan_pass(c.withColumn("T", F.lit(threshold).cast("bigint"))))
-    c1 = cut(_apply_pass(c, p1))
-    t2 = F.floor(F.sum("load").over(_everything()) / F.count(F.lit(1)).over(_everything())).cast("bigint")
-    c1t = c1.withColumn("T", t2)
-    p2 = _plan_pass(c1t)
-    c2 = _apply_pass(c1, p2)
-
-    def row(passno, t, moves, after):
-        # Three one-row aggregates folded by a union + groupBy (no join).
-        parts = (t.select(F.col("threshold"), F.lit(None).cast("bigint").alias("moves"),
-                          F.lit(None).cast("bigint").alias("min_load"), F.lit(None).cast("bigint").alias("max_load"))
-                 .unionByName(moves.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("moves")), allowMissingColumns=True)
-                 .unionByName(after.agg(F.min("load").cast("bigint").alias("min_load"),
-                                        F.max("load").cast("bigint").alias("max_load")), allowMissingColumns=True))
-        return parts.agg(*[F.max(c).alias(c) for c in ("threshold", "moves", "min_load", "max_load")]) \
-                    .select(F.lit(passno).alias("pass"), "threshold", "moves", "min_load", "max_load")
-    t1 = c.agg(F.lit(threshold).cast("bigint").alias("threshold"))
-    t2r = c1t.agg(F.max("T").cast("bigint").alias("threshold"))
-    return row(1, t1, p1, c1).unionByName(row(2, t2r, p2, c2))
+    rows = [(k, t, sum(moves.values()), min(load.values(), default=None), max(load.values(), default=None))
+            for k, (t, moves, load) in enumerate(_passes(existing, movable, threshold, True), 1)]
+    return existing.sparkSession.createDataFrame(rows, "pass int, threshold bigint, moves bigint, min_load bigint, max_load bigint")
 
 
 # ---------------------------------------------------------------------- J4 S5
-def _shards(df: DataFrame, part: str, key: str, flag: Column | None = None,
-            rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Add ``shard``: a hash of ``key`` into ``ceil(rows of the part / rows_per_shard)``
-    shards, so no shard of a hot part is larger than about ``rows_per_shard``."""
-    sel = df if flag is None else df.where(flag)
-    sizes = sel.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    n_sh = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_shard))).cast("bigint")
-    sizes = sizes.select(part, n_sh.alias("_s"))
-    return df.join(sizes, part, "left").withColumn(
-        "shard", F.pmod(F.xxhash64(F.col(key)), F.coalesce(F.col("_s"), F.lit(1))).cast("bigint")).drop("_s")
-
-
-def rank_within(df: DataFrame, part: str, key: str, flag: Column | None = None,
-                rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Exact 1-based rank of the flagged rows inside ``part`` without a window
-    over the whole part: rows are hashed into count-sized shards, each shard is
-    ranked by ``key``, and shard offsets come from a prefix sum over the small
-    (part, shard) count table.  The order is (shard, key), deterministic and
-    stable under recomputation.  Unflagged rows get a null rank."""
-    flag = flag if flag is not None else F.lit(True)
-    s = _shards(df.withColumn("_f", flag), part, key, F.col("_f"), rows_per_shard)
-    cnt = s.where("_f").groupBy(part, "shard").agg(F.count(F.lit(1)).alias("_c"))
-    off = cnt.select(part, "shard", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(part).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(part, "shard", "_f").orderBy(key))
-    s = s.withColumn("_local", local).join(off, [part, "shard"], "left")
-    return s.withColumn("rank", F.when(F.col("_f"), F.col("_off") + F.col("_local"))).drop("_f", "_local", "_off", "shard")
+def _ranged(df: DataFrame, part: str, orders: list[Column], n_partitions: int | None) -> DataFrame:
+    """``df`` sorted by (part, orders) over range partitions, cut, with the partition ``_p``.
+
+    Equal sort keys share a partition; a part larger than one spreads over several.
+    """
+    n = n_partitions or shuffle_partitions(df.sparkSession)
+    return cut(df.repartitionByRange(n, F.col(part), *orders)).withColumn("_p", F.spark_partition_id())
+
+
+def _key(key: str | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def rank_within(df: DataFrame, part: str, key: str | tuple[str, ...], flag: Column | None = None,
+                n_partitions: int | None = None) -> DataFrame:
+    """Exact 1-based rank of the flagged rows inside ``part``, in the order of ``key``.
+
+    Only flagged rows are sorted; the others get a null rank.  ``key`` should be
+    unique in a part; the order of equal keys is arbitrary.
+    """
+    flag = F.coalesce(flag, F.lit(False)) if flag is not None else F.lit(True)
+    orders = [F.col(k).asc() for k in _key(key)]
+    s = _ranged(df.where(flag), part, orders, n_partitions)
+    counts = s.groupBy(part, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = small_side(counts.select(F.col(part).alias("_part"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    local = F.row_number().over(Window.partitionBy(part, "_p").orderBy(*orders))
+    s = s.withColumn("_local", local).join(off, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_p") == F.col("_q")))
+    ranked = s.withColumn("rank", F.col("_off") + F.col("_local")).drop("_part", "_p", "_q", "_off", "_local")
+    return ranked.unionByName(df.where(~flag).withColumn("rank", F.lit(None).cast("bigint")))
 
 
 def move_intervals(moves: DataFrame) -> DataFrame:
@@ -268,19 +240,24 @@ def move_intervals(moves: DataFrame) -> DataFrame:
 
 
 def apply_moves(nodes: DataFrame, moves: DataFrame, movable: Column | None = None,
-                key: str = "node_id", bucket: str = "bucket") -> DataFrame:
+                key: str | tuple[str, ...] = ("problem_id", "node_id"), bucket: str = "bucket",
+                n_partitions: int | None = None) -> DataFrame:
     """Re-key rows by the plan (J4, D12): the k-th movable row of a source
     (ranked by ``key``) goes to the destination whose interval holds k;
-    leftovers and unmovable rows stay.  The plan is broadcast (bounded by
-    n_buckets²) and matched with an equi-join on the source plus a range
-    condition.  Adds ``moved``; ``bucket`` becomes the destination."""
-    mv = movable if movable is not None else ~F.col("is_easy")
-    ranked = rank_within(nodes, bucket, key, mv)
-    iv = move_intervals(moves)
-    j = ranked.join(F.broadcast(iv), (ranked[bucket] == iv["src"]) & ranked["rank"].between(iv["lo"], iv["hi"]), "left")
-    return j.withColumn("moved", F.col("dst").isNotNull()) \
+    leftovers and unmovable rows stay.  Adds ``moved``; ``bucket`` becomes the
+    destination.  Only the movable rows of sources are ranked and shuffled; the
+    plan is matched with an equi-join on the source plus a range condition."""
+    mv = F.coalesce(movable if movable is not None else ~F.col("is_easy"), F.lit(False))
+    iv = small_side(move_intervals(moves))
+    sources = iv.select(F.col("src").alias("_src")).distinct()
+    marked = nodes.join(small_side(sources), F.col(bucket) == F.col("_src"), "left").withColumn("_f", mv & F.col("_src").isNotNull()).drop("_src")
+    stay = marked.where(~F.col("_f")).drop("_f").withColumn("moved", F.lit(False))
+    ranked = rank_within(marked.where("_f").drop("_f"), bucket, key, None, n_partitions)
+    j = ranked.join(iv, (F.col(bucket) == iv["src"]) & F.col("rank").between(iv["lo"], iv["hi"]), "left")
+    gone = j.withColumn("moved", F.col("dst").isNotNull()) \
             .withColumn(bucket, F.coalesce(F.col("dst").cast("int"), F.col(bucket))) \
             .drop("src", "dst", "lo", "hi", "rank")
+    return stay.unionByName(gone)
 
 
 def place(df: DataFrame, n_buckets: int = N_BUCKETS, bucket: str = "bucket") -> DataFrame:
@@ -296,39 +273,36 @@ def grow_frontier(surviving: DataFrame, new_nodes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- W1-W4
-def running_agg(df: DataFrame, part: str, order: str, value: str, how: str = "min",
-                reverse: bool = False, tie: str | None = None, out: str | None = None,
-                rows_per_chunk: int = ROWS_PER_SHARD) -> DataFrame:
-    """Running ``min``/``max``/``sum`` of ``value`` inside ``part`` in ``order``
+_COMBINE = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
+
+
+def running_agg(df: DataFrame, part: str, order: str, value: str, how: str = "min", reverse: bool = False,
+                tie: str | None = None, out: str | None = None, first: str | None = None,
+                n_partitions: int | None = None) -> DataFrame:
+    """Running ``min``/``max``/``sum`` of ``value`` inside ``part`` in ``order``, then ``tie``
     (inclusive of the current row; ``reverse`` runs from the end).
 
-    Skew-safe prefix scan: each part is cut into equal-width chunks of
-    ``order`` (count-sized), each chunk scanned by a window of its own, and the
-    chunk totals carried in through a prefix over the small chunk table.
+    A prefix scan over range partitions: each is scanned by a window of its own,
+    and the totals of those before it are carried in.  ``first`` names a column
+    that is true for the one row that comes first in its part.
     """
-    out = out or f"running_{how}"
-    agg = {"min": F.min, "max": F.max, "sum": F.sum}[how]
-    comb = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + b}[how]
-    o = F.col(order).cast("double")
-    stats = df.groupBy(part).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    stats = stats.select(part, "_lo", "_hi",
-                         F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_chunk))).alias("_c"))
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_c")
-    chunk = F.when(width > 0, F.least(F.floor((o - F.col("_lo")) / width), F.col("_c") - 1)).otherwise(F.lit(0))
-    d = df.join(stats, part).withColumn("_chunk", chunk.cast("bigint"))
-    ords = [F.col(order).desc() if reverse else F.col(order).asc()]
-    if tie:
-        ords.append(F.col(tie).asc())
-    local = agg(value).over(Window.partitionBy(part, "_chunk").orderBy(*ords)
-                            .rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_local", local)
-    tot = d.groupBy(part, "_chunk").agg(agg(value).alias("_tot"))
-    corder = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
-    carry = tot.select(part, "_chunk", agg("_tot").over(
-        Window.partitionBy(part).orderBy(corder).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    d = d.join(carry, [part, "_chunk"], "left")
-    res = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(comb(F.col("_local"), F.col("_carry")))
-    return d.withColumn(out, res).drop("_lo", "_hi", "_c", "_chunk", "_local", "_carry")
+    agg, combine = _COMBINE[how]
+    orders = [F.col(c).desc() if reverse else F.col(c).asc() for c in [order, *([tie] if tie else [])]]
+    s = _ranged(df, part, orders, n_partitions)
+    w = Window.partitionBy(part, "_p").orderBy(*orders)
+    s = s.withColumn("_local", agg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if first:
+        s = s.withColumn("_row", F.row_number().over(w))
+    totals = s.groupBy(part, "_p").agg(agg(value).alias("_total"))
+    # Partition numbers follow the sort order, by part ascending.
+    before = Window.partitionBy(part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = small_side(totals.select(F.col(part).alias("_part"), F.col("_p").alias("_q"), agg("_total").over(before).alias("_carry"),
+                                     (F.count(F.lit(1)).over(before) == 0).alias("_head")))
+    s = s.join(carry, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_p") == F.col("_q")))
+    s = s.withColumn(out or f"running_{how}", F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(combine(F.col("_local"), F.col("_carry"))))
+    if first:
+        s = s.withColumn(first, F.col("_head") & (F.col("_row") == 1)).drop("_row")
+    return s.drop("_part", "_p", "_q", "_local", "_carry", "_head")
 
 
 def running_best(df: DataFrame, part: str = "bucket", order: str = "pos", value: str = "objective",
@@ -344,31 +318,28 @@ def allocate_budget(df: DataFrame, budget: float | str, w_easy: float = W_EASY,
     ``w = w_easy·n_easy + w_hard·n_hard``; ``demand`` = Σ w in the bucket;
     ``remaining`` = work left from this subtree on (suffix sum, W2).
     share = 0 if budget <= 0; if budget > demand: w, plus the whole surplus for
-    the first subtree; else ``greatest(floor, budget·w/demand)``.
+    the one subtree that comes first by (order, tie); else
+    ``greatest(floor, budget·w/demand)``.
     """
     b = F.col(budget) if isinstance(budget, str) else F.lit(float(budget))
     d = df.withColumn("w", F.lit(w_easy) * F.col("n_easy") + F.lit(w_hard) * F.col("n_hard"))
-    d = running_agg(d, part, order, "w", "sum", reverse=True, tie=tie, out="remaining")
-    per = d.groupBy(part).agg(F.sum("w").alias("demand"), F.min(order).alias("_first"))
-    d = d.join(per, part)
-    first = F.col(order) == F.col("_first")
+    d = running_agg(d, part, order, "w", "sum", tie=tie, out="_upto", first="_first")
+    per = small_side(d.groupBy(F.col(part).alias("_of")).agg(F.sum("w").alias("demand")))
+    d = d.join(per, F.col(part).eqNullSafe(F.col("_of"))).withColumn("remaining", F.col("demand") - F.col("_upto") + F.col("w"))
     share = (F.when(b <= 0, F.lit(0.0))
-             .when(b > F.col("demand"), F.col("w") + F.when(first, b - F.col("demand")).otherwise(F.lit(0.0)))
+             .when(b > F.col("demand"), F.col("w") + F.when(F.col("_first"), b - F.col("demand")).otherwise(F.lit(0.0)))
              .otherwise(F.greatest(F.lit(float(floor)), b * F.col("w") / F.col("demand"))))
-    return d.withColumn("share", share.cast("double")).drop("_first")
+    return d.withColumn("share", share.cast("double")).drop("_first", "_upto", "_of")
 
 
-def select_nodes(df: DataFrame, k: int, part: str = "bucket", order: str = "bound", tie: str = "node_id",
-                 depth_first: bool = False, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+def select_nodes(df: DataFrame, k: int, part: str = "bucket", order: str = "bound", tie: str | tuple[str, ...] = ("problem_id", "node_id"),
+                 depth_first: bool = False) -> DataFrame:
     """Top-k rows per ``part`` (W4): best-first by ``order`` ascending, or
-    depth-first (deepest first), ties by ``tie``.  Two phases: top-k inside
-    count-sized hash shards, then top-k of the ≤ shards·k survivors — no
-    window sorts a whole hot part."""
-    ords = [F.col("depth").desc(), F.col(tie).asc()] if depth_first else [F.col(order).asc(), F.col(tie).asc()]
-    s = _shards(df, part, tie, None, rows_per_shard)
-    s = s.withColumn("_r", F.row_number().over(Window.partitionBy(part, "shard").orderBy(*ords))).where(F.col("_r") <= k)
-    s = s.withColumn("_r", F.row_number().over(Window.partitionBy(part).orderBy(*ords))).where(F.col("_r") <= k)
-    return s.drop("_r", "shard")
+    depth-first (deepest first), ties by ``tie``.  Spark limits each task to k
+    rows per part before the shuffle (a rank filter on a window), so a hot part's
+    last task reads k rows from each task, not the part."""
+    ords = [F.col("depth").desc() if depth_first else F.col(order).asc(), *[F.col(t).asc() for t in _key(tie)]]
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(part).orderBy(*ords))).where(F.col("_r") <= k).drop("_r")
 
 
 # ------------------------------------------------------------------------- W8

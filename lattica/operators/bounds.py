@@ -1,41 +1,33 @@
-"""Set-based node relaxation: effective bounds, propagation, bounds, candidates.
-
-Everything is minimised internally (``c = sign * obj``) with rows ``a·x <= b``.
-The search keeps its open nodes *expanded*: one row per (problem, node,
-variable) holding the node's current bounds and the variable's column of the
-matrix (``terms``).  Such a frontier is hash-partitioned by
-``(problem_id, node_id)``, and every step below groups or joins on a superset
-of that key, so a whole level runs inside the partitions without a shuffle.
+"""Node relaxation: effective bounds, propagation, bounds, candidates, branching choice.
+
+A program is one row of the *model*: its variables in name order as arrays, and
+its rows as dense coefficient arrays, all minimised (``c = sign · obj``) with
+``a·x <= b``.  A node is one row of the map-form frontier: only the bounds that
+differ from the model's.  Evaluating nodes is one join on ``problem_id`` (which
+adaptive execution splits for a problem with very many nodes) and higher-order
+functions on the node's arrays: no explode, sort or fold over rows, and no model
+column in the frontier.  The unit of work is the node: its arrays must fit one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lattica.functions.bounds import tighten_lower, tighten_upper
-from lattica.sources.program import PID, Program, empty_row_violations, normalized_rows
+from lattica.sources.program import PID, Program, normalized_rows
 
 # Fixed numeric tolerances.
 ROW_EPS = 1e-9        # slack allowed on a row activity
 ROUND_EPS = 1e-9      # guard when flooring/ceiling an implied bound
 BOUND_ROUND_EPS = 1e-6  # guard when rounding a bound up for integer objectives
+SUBGRADIENT_STEPS = 60  # root multipliers of programs with several rows
+REPAIR_STEPS = 12       # single changes that may lead a candidate back to all rows
 
 NODE_KEY = [PID, "node_id"]
 
-# Node attributes repeated on each row of an expanded node.
-NODE_ATTRS = ["parent_id", "subtree_id", "subtree_root_depth", "bucket", "depth", "is_easy",
-              "pbound", "inc", "int_obj", "lam_b"]
-VAR_ATTRS = ["var", "lb", "ub", "vlb", "vub", "c", "rc", "terms"]
-EXPANDED_COLS = [PID, "node_id"] + NODE_ATTRS + VAR_ATTRS
-
-TERM = T.StructType([
-    T.StructField("row", T.StringType(), False),
-    T.StructField("a", T.DoubleType(), False),
-    T.StructField("b", T.DoubleType(), False),
-])
-
 
 # --------------------------------------------------------------------------- P1
 def effective_bounds(frontier: DataFrame, vars: DataFrame) -> DataFrame:
@@ -55,337 +47,220 @@ def effective_bounds(frontier: DataFrame, vars: DataFrame) -> DataFrame:
     )
 
 
-# --------------------------------------------------------------------- model
-def critical_multipliers(rows: DataFrame, vars_min: DataFrame, max_vars: int = 100_000) -> DataFrame:
-    """Lagrange multiplier of one-row problems at the LP optimum (critical ratio).
-
-    For ``min c·x, a·x <= b, lb <= x <= ub`` the dual function is concave and
-    piecewise linear in λ; its slope ``a·x(λ) − b`` drops at each breakpoint
-    ``−c/a``.  λ* is the first breakpoint where the running slope reaches 0 (a
-    cumulative window sum ordered by breakpoint).  Any λ >= 0 gives a valid
-    bound, so problems with more than ``max_vars`` variables keep λ = 0 instead
-    of being sorted in one task.  Output ``(problem_id, row, lam)``.
-    """
-    sizes = rows.groupBy(PID).agg(F.countDistinct("row").alias("n_rows"), F.count(F.lit(1)).alias("n_terms"))
-    one_row = sizes.where((F.col("n_rows") == 1) & (F.col("n_terms") <= max_vars)).select(PID)
-    t = rows.join(one_row, PID, "left_semi").join(vars_min, [PID, "var"])
-    a, c, lb, ub = F.col("a"), F.col("c"), F.col("lb"), F.col("ub")
-    # Minimiser of the Lagrangian just above λ = 0.
-    x0 = F.when(c > 0, lb).when(c < 0, ub).when(a > 0, lb).otherwise(ub)
-    slope0 = t.groupBy(PID, "row").agg((F.sum(a * x0) - F.max("b")).alias("s0"))
-    bp = t.where((a != 0) & ((-c / F.when(a != 0, a)) > 0)).select(
-        PID, "row", "var", (-c / a).alias("bp"),
-        F.when(a > 0, a * (lb - ub)).otherwise(a * (ub - lb)).alias("delta"))
-    w = Window.partitionBy(PID, "row").orderBy("bp", "var").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = bp.withColumn("cum", F.sum("delta").over(w)).join(slope0, [PID, "row"])
-    crit = cum.groupBy(PID, "row").agg(
-        F.min(F.when(F.col("s0") + F.col("cum") <= 0, F.col("bp"))).alias("crit"),
-        F.max("bp").alias("max_bp"))
-    return slope0.join(crit, [PID, "row"], "left").select(
-        PID, "row",
-        F.when(F.col("s0") <= 0, F.lit(0.0))
-        .otherwise(F.coalesce("crit", "max_bp", F.lit(0.0))).alias("lam"))
+# --------------------------------------------------------------- array helpers
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _activity(a: Column, x: Column) -> Column:
+    """Least value of ``a·x`` over the box ``x`` (array of l, u)."""
+    return _sum(F.zip_with(a, x, lambda a, v: F.when(a > 0, a * v["l"]).otherwise(a * v["u"])))
+
+
+def _dot(a: Column, xs: Column) -> Column:
+    return _sum(F.zip_with(a, xs, lambda a, v: a * v))
+
+
+def _tighten(x: Column, r: Column) -> Column:
+    """Bounds implied by one row (Savelsbergh 1994): for a > 0 ``ub' = floor((b −
+    rest)/a)``, for a < 0 ``lb' = ceil((b − rest)/a)``, rest without the own term."""
+    def with_activity(least: Column) -> Column:
+        def one(a: Column, v: Column) -> Column:
+            q = (r["b"] - least) / F.when(a != 0, a) + F.when(a > 0, v["l"]).otherwise(v["u"])
+            # Clamped before rounding: in range, and still crossing if infeasible.
+            up = F.floor(F.least(F.greatest(q + ROUND_EPS, v["l"] - 1), v["u"])).cast("double")
+            lo = F.ceil(F.greatest(F.least(q - ROUND_EPS, v["u"] + 1), v["l"])).cast("double")
+            return F.struct(F.when(a < 0, F.greatest(v["l"], lo)).otherwise(v["l"]).alias("l"),
+                            F.when(a > 0, F.least(v["u"], up)).otherwise(v["u"]).alias("u"))
+        return F.zip_with(r["a"], x, one)
+    return _let(_activity(r["a"], x), with_activity)
+
+
+def _reduced(c: Column, rows: Column, lam: Column) -> Column:
+    """``c + Σ λ·a`` per variable."""
+    return F.transform(c, lambda cj, j: cj + _sum(F.zip_with(rows, lam, lambda r, m: m * r["a"][j])))
+
+
+def _lagrangian(x: Column, rc: Column, rows: Column, lam: Column) -> Column:
+    """``Σ min(rc·l, rc·u) − Σ λ·b``, a lower bound for any λ >= 0."""
+    return _sum(F.zip_with(x, rc, lambda v, r: F.least(r * v["l"], r * v["u"]))) - _sum(F.zip_with(rows, lam, lambda r, m: m * r["b"]))
+
+
+def _critical(c: Column, x: Column, r: Column) -> Column:
+    """Multiplier of a single row at the LP optimum: the dual's slope ``a·x(λ) − b``
+    drops at each breakpoint ``−c/a``; the first where it reaches 0."""
+    e = F.zip_with(F.zip_with(c, x, lambda cj, v: F.struct(cj.alias("c"), v["l"].alias("l"), v["u"].alias("u"))), r["a"],
+                   lambda v, a: F.struct(a.alias("a"), v["c"].alias("c"), v["l"].alias("l"), v["u"].alias("u")))
+    start = lambda v: v["a"] * F.when(v["c"] > 0, v["l"]).when(v["c"] < 0, v["u"]).when(v["a"] > 0, v["l"]).otherwise(v["u"])
+    moves = F.array_sort(F.transform(
+        F.filter(e, lambda v: (v["a"] != 0) & (v["l"] < v["u"]) & (-v["c"] / F.when(v["a"] != 0, v["a"]) > 0)),
+        lambda v: F.struct((-v["c"] / v["a"]).alias("bp"), (-F.abs(v["a"]) * (v["u"] - v["l"])).alias("d"))))
+
+    def scan(slope: Column) -> Column:
+        def with_moves(m: Column) -> Column:
+            end = F.aggregate(m, F.struct(slope.alias("s"), F.lit(None).cast("double").alias("lam")), lambda s, b: F.struct(
+                (s["s"] + b["d"]).alias("s"), F.when(s["lam"].isNull() & (s["s"] + b["d"] <= 0), b["bp"]).otherwise(s["lam"]).alias("lam")))
+            last = F.try_element_at(m, F.lit(-1))["bp"]
+            return F.when(slope <= 0, F.lit(0.0)).otherwise(F.coalesce(end["lam"], last, F.lit(0.0)))
+        return _let(moves, with_moves)
+    return _let(_sum(F.transform(e, start)) - r["b"], scan)
+
+
+def _subgradient(c: Column, x: Column, rows: Column) -> Column:
+    """Multipliers of several rows: projected subgradient steps from λ = 0, the best kept."""
+    zero = F.transform(rows, lambda r: F.lit(0.0))
+    scale = F.array_max(F.zip_with(c, x, lambda cj, v: F.abs(cj) * (v["u"] - v["l"])))
+    start = F.struct(zero.alias("lam"), zero.alias("best"), F.lit(float("-inf")).alias("value"))
+
+    def step(s: Column, k: Column) -> Column:
+        def with_rc(rc: Column) -> Column:
+            def with_slope(g: Column) -> Column:
+                length = F.coalesce(scale, F.lit(0.0)) * F.pow(F.lit(0.9), k) / (_sum(F.transform(g, lambda v: v * v)) + F.lit(1e-9))
+                value = _lagrangian(x, rc, rows, s["lam"])
+                better = value > s["value"]
+                return F.struct(
+                    F.zip_with(s["lam"], g, lambda m, v: F.greatest(F.lit(0.0), m + length * v)).alias("lam"),
+                    F.when(better, s["lam"]).otherwise(s["best"]).alias("best"), F.greatest(value, s["value"]).alias("value"))
+            at = F.zip_with(x, rc, lambda v, r: F.when(r > 0, v["l"]).otherwise(v["u"]))
+            return _let(F.transform(rows, lambda r: _dot(r["a"], at) - r["b"]), with_slope)
+        return _let(_reduced(c, rows, s["lam"]), with_rc)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SUBGRADIENT_STEPS - 1)), start, step)["best"]
+
+
+def _repaired(xs: Column, c: Column, x: Column, rows: Column) -> Column:
+    """A point led towards all rows: each step the change by one unit that lowers
+    the total violation most cheaply, until none is left or none helps."""
+    violation = lambda acts: _sum(F.zip_with(acts, rows, lambda v, r: F.greatest(F.lit(0.0), v - r["b"])))
+
+    def step(s: Column, _: Column) -> Column:
+        def with_violation(now: Column) -> Column:
+            def moves(sign: float) -> Column:
+                def one(cj: Column, j: Column) -> Column:
+                    after = _sum(F.transform(rows, lambda r, k: F.greatest(F.lit(0.0), s["acts"][k] + r["a"][j] * sign - r["b"])))
+                    inside = (s["xs"][j] + sign <= x[j]["u"]) & (s["xs"][j] + sign >= x[j]["l"])
+                    return _let(now - after, lambda gain: F.when(inside & (gain > ROW_EPS), F.struct(
+                        (cj * sign / gain).alias("price"), j.alias("j"), F.lit(sign).alias("d"))))
+                return F.transform(c, one)
+
+            def go(m: Column) -> Column:
+                return F.when(m.isNull(), s).otherwise(F.struct(
+                    F.transform(s["xs"], lambda v, j: F.when(j == m["j"], v + m["d"]).otherwise(v)).alias("xs"),
+                    F.zip_with(s["acts"], rows, lambda v, r: v + r["a"][m["j"]] * m["d"]).alias("acts")))
+            return F.when(now <= ROW_EPS, s).otherwise(_let(F.array_min(F.concat(moves(1.0), moves(-1.0))), go))
+        return _let(violation(s["acts"]), with_violation)
+    start = F.struct(xs.alias("xs"), F.transform(rows, lambda r: _dot(r["a"], xs)).alias("acts"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(REPAIR_STEPS)), start, step)["xs"]
 
 
+# --------------------------------------------------------------------- model
 def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
-    """Per (problem, variable): base bounds, minimised cost ``c``, reduced cost
-    ``rc = c + Σ λ·a`` and the variable's matrix column ``terms``; per problem:
-    ``int_obj`` (integral costs → bounds round up), ``lam_b = Σ λ·b`` and
-    ``infeasible`` (an empty row that cannot hold).
+    """One row per problem: names, c, vlb, vub, rows (a, b), lam, int_obj.
 
-    ``method`` is ``"box"`` (λ = 0) or ``"lagrangian"`` (critical-ratio λ for
-    one-row problems, λ = 0 otherwise; the bound used is the better of both).
+    Boxes of integer variables are rounded inward.  ``method`` is ``"box"``
+    (λ = 0) or ``"lagrangian"`` (root multipliers for programs with several rows;
+    a single row's are found per node).  Problems of ``check_program`` must be
+    left out before.
     """
     if method not in ("box", "lagrangian"):
         raise ValueError(f"method must be 'box' or 'lagrangian', not {method!r}")
     sign = program.sign
-    vmin = program.vars.select(PID, "var", "lb", "ub", (F.lit(sign) * F.col("obj")).alias("c"))
-    rows = normalized_rows(program)
-    if method == "lagrangian":
-        lam = critical_multipliers(rows, vmin)
-    else:
-        lam = rows.select(PID, "row").distinct().withColumn("lam", F.lit(0.0))
-    rows_l = rows.join(lam, [PID, "row"], "left").withColumn("lam", F.coalesce("lam", F.lit(0.0)))
-    cols = rows_l.groupBy(PID, "var").agg(
-        F.collect_list(F.struct(F.col("row"), F.col("a"), F.col("b"))).alias("terms"),
-        F.sum(F.col("lam") * F.col("a")).alias("lam_a"))
-    lam_b = lam.join(rows.select(PID, "row", "b").distinct(), [PID, "row"]).groupBy(PID).agg(
-        F.sum(F.col("lam") * F.col("b")).alias("lam_b"))
-    per_problem = vmin.groupBy(PID).agg(F.bool_and(F.col("c") == F.floor("c")).alias("int_obj"),
-                                        F.min("var").alias("first_var")) \
-        .join(lam_b, PID, "left") \
-        .join(empty_row_violations(program).withColumn("infeasible", F.lit(True)), PID, "left") \
-        .select(PID, "int_obj", "first_var", F.coalesce("lam_b", F.lit(0.0)).alias("lam_b"),
-                F.coalesce("infeasible", F.lit(False)).alias("infeasible"))
-    return vmin.join(cols, [PID, "var"], "left").join(per_problem, PID).select(
-        PID, "var", F.col("lb").alias("vlb"), F.col("ub").alias("vub"), "c",
-        (F.col("c") + F.coalesce("lam_a", F.lit(0.0))).alias("rc"),
-        F.coalesce("terms", F.array().cast(T.ArrayType(TERM))).alias("terms"),
-        "int_obj", "lam_b", "infeasible", (F.col("var") == F.col("first_var")).alias("lead"))
-
-
-def expand_frontier(frontier: DataFrame, model: DataFrame, n_partitions: int) -> DataFrame:
-    """Map-form frontier → expanded frontier, hash-partitioned by (problem, node).
-
-    Problems marked infeasible in the model are dropped here.
-    """
-    f = frontier.select(
-        PID, "node_id", "parent_id", "subtree_id", "subtree_root_depth", "bucket", "depth", "is_easy",
-        F.coalesce(F.col("bound"), F.lit(float("-inf"))).alias("pbound"), "lower", "upper")
-    m = model.where(~F.col("infeasible"))
-    e = f.join(m, PID).select(
-        PID, "node_id", "parent_id", "subtree_id", "subtree_root_depth", "bucket", "depth", "is_easy",
-        "pbound", F.lit(None).cast("double").alias("inc"), "int_obj", "lam_b",
-        "var",
-        tighten_lower("vlb", F.try_element_at("lower", F.col("var"))).alias("lb"),
-        tighten_upper("vub", F.try_element_at("upper", F.col("var"))).alias("ub"),
-        "vlb", "vub", "c", "rc", "terms", "lead")
-    return e.repartition(n_partitions, PID, "node_id")  # node-clustered, like every level
-
-
-def collapse_frontier(expanded: DataFrame) -> DataFrame:
-    """Expanded frontier → map-form ``frontier`` rows: overrides only where a
-    node's bound differs from the variable's base bound."""
-    return expanded.groupBy(*NODE_KEY).agg(
-        F.any_value("parent_id").alias("parent_id"),
-        F.any_value("subtree_id").alias("subtree_id"),
-        F.any_value("subtree_root_depth").alias("subtree_root_depth"),
-        F.any_value("bucket").alias("bucket"),
-        F.any_value("depth").alias("depth"),
-        F.any_value("is_easy").alias("is_easy"),
-        F.map_from_entries(F.collect_list(F.when(F.col("lb") > F.col("vlb"), F.struct("var", "lb")))).alias("lower"),
-        F.map_from_entries(F.collect_list(F.when(F.col("ub") < F.col("vub"), F.struct("var", "ub")))).alias("upper"),
-        F.any_value("pbound").alias("bound"),
-    ).withColumn("bound", F.when(F.col("bound") > float("-inf"), F.col("bound"))) \
-     .withColumn("status", F.lit("open"))
-
-
-# --------------------------------------------------------------- propagation
-def _terms(expanded: DataFrame, *extra: str) -> DataFrame:
-    """One row per (node, row, var): the matrix entries of the node's variables."""
-    t = expanded.select(PID, "node_id", "var", "lb", "ub", *extra, F.explode("terms").alias("t"))
-    return t.select(PID, "node_id", "var", "lb", "ub", *extra,
-                    F.col("t.row").alias("row"), F.col("t.a").alias("a"), F.col("t.b").alias("b"))
-
-
-def _min_term() -> F.Column:
-    return F.when(F.col("a") > 0, F.col("a") * F.col("lb")).otherwise(F.col("a") * F.col("ub"))
-
-
-def _round_exprs():
-    """Column expressions of one propagation round (built once per process)."""
-    w_row = Window.partitionBy(PID, "node_id", "row")
-    w_var = Window.partitionBy(PID, "node_id", "var")
-    mt = _min_term()
-    q = (F.col("b") - (F.sum(mt).over(w_row) - mt)) / F.when(F.col("a") != 0, F.col("a"))
-    # Clamp to [lb-1, ub+1] before rounding: keeps floor/ceil in range and
-    # still proves infeasibility when the implied bound crosses.
-    ub_imp = F.when(F.col("a") > 0, F.floor(F.least(F.greatest(q + ROUND_EPS, F.col("lb") - 1), F.col("ub"))))
-    lb_imp = F.when(F.col("a") < 0, F.ceil(F.greatest(F.least(q - ROUND_EPS, F.col("ub") + 1), F.col("lb"))))
-    base = [c for c in EXPANDED_COLS if c != "terms"]
-    keep = [c for c in base if c not in ("lb", "ub")] + ["row", "a", "b"]
-    step1 = [F.col(c) for c in keep] + [F.col("lb"), F.col("ub"),
-                                        ub_imp.cast("double").alias("ub_imp"), lb_imp.cast("double").alias("lb_imp")]
-    step2 = [F.col(c) for c in keep] + [F.greatest(F.col("lb"), F.max("lb_imp").over(w_var)).alias("lb"),
-                                        F.least(F.col("ub"), F.min("ub_imp").over(w_var)).alias("ub")]
-    explode = [F.col(c) for c in base] + [F.explode_outer("terms").alias("t")]
-    flat = [F.col(c) for c in base] + [F.col("t.row").alias("row"), F.col("t.a").alias("a"), F.col("t.b").alias("b")]
-    rest = [c for c in base if c not in NODE_KEY and c != "var"]
-    fold = [F.any_value(c).alias(c) for c in rest] + [
-        F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "a", "b"))).alias("terms")]
-    return explode, flat, step1, step2, fold, [F.col(c) for c in EXPANDED_COLS]
-
-
-_MEMO: dict = {}
-
-
-def _memo(name, build):
-    """Build Column expressions once per JVM (they are unresolved, by name,
-    so any DataFrame with those columns can use them)."""
-    from pyspark import SparkContext
-    key = (name, id(SparkContext._gateway))
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
-
-
-def propagate(expanded: DataFrame, rounds: int = 2) -> DataFrame:
-    """Activity-based bound tightening (Savelsbergh 1994), ``rounds`` times.
-
-    Per (node, row) the minimum activity; each entry's implied bound from the
-    row's slack without its own term: for a > 0 ``ub' = floor((b − rest)/a)``,
-    for a < 0 ``lb' = ceil((b − rest)/a)``; the strictest per (node, var) wins.
-    A node whose bounds cross (lb > ub) is infeasible; ``node_stats`` sees it.
-
-    The entries are exploded once; the row activity is a window over
-    (problem, node, row) and the new bounds a window over (problem, node, var),
-    both inside the (problem, node) hash partitions, so no round shuffles.  The
-    variables are then folded back to one row each (terms re-collected).
+    v = program.vars.groupBy(PID).agg(F.sort_array(F.collect_list(F.struct(
+        "var", (F.lit(sign) * F.col("obj")).alias("c"), F.ceil(F.col("lb") - ROUND_EPS).cast("double").alias("l"),
+        F.floor(F.col("ub") + ROUND_EPS).cast("double").alias("u")))).alias("v"))
+    entries = normalized_rows(program).groupBy(PID, "row").agg(
+        F.max("b").alias("b"), F.sort_array(F.collect_list(F.when(F.col("var").isNotNull(), F.struct("var", "a")))).alias("e"))
+    rows = entries.groupBy(PID).agg(F.sort_array(F.collect_list(F.struct("row", "b", "e"))).alias("sparse"))
+    dense = F.transform("sparse", lambda r: F.struct(
+        _let(F.map_from_entries(r["e"]), lambda m: F.transform("names", lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0)))).alias("a"),
+        r["b"].alias("b")))
+    model = (v.join(rows, PID, "left").withColumn("sparse", F.coalesce("sparse", F.array().cast(rows.schema["sparse"].dataType)))
+             .select(PID, F.transform("v", lambda e: e["var"]).alias("names"), F.transform("v", lambda e: e["c"]).alias("c"),
+                     F.transform("v", lambda e: e["l"]).alias("vlb"), F.transform("v", lambda e: e["u"]).alias("vub"), "sparse"))
+    model = model.select(PID, "names", "c", "vlb", "vub", dense.alias("rows"), F.forall("c", lambda c: c == F.floor(c)).alias("int_obj"))
+    zero = F.transform("rows", lambda r: F.lit(0.0))
+    if method == "box":
+        return model.withColumn("lam", zero).withColumn("single", F.lit(False))
+    box = F.zip_with("vlb", "vub", lambda l, u: F.struct(l.alias("l"), u.alias("u")))
+    several = F.size("rows") > 1
+    return (model.withColumn("lam", F.when(several & F.forall(box, lambda b: b["l"] <= b["u"]), _subgradient(F.col("c"), box, F.col("rows"))).otherwise(zero))
+            .withColumn("single", F.size("rows") == 1))
+
+
+# --------------------------------------------------------------- evaluation
+def by_reduced_cost(v: Column) -> Column:
+    """Default branching score of a variable (fields c, r, l, u): ``|rc|·(ub − lb)``."""
+    return F.abs(v["r"]) * (v["u"] - v["l"])
+
+
+def by_cost(v: Column) -> Column:
+    """``|c|·(ub − lb)``."""
+    return F.abs(v["c"]) * (v["u"] - v["l"])
+
+
+def evaluation(sign: float, rounds: int = 2, branch_rule: Callable[[Column], Column] = by_reduced_cost) -> list[dict[str, Column]]:
+    """The steps of ``evaluate`` as columns over a node joined to its model.
+
+    They are built once for all levels of a search.
     """
-    explode, flat, step1, step2, fold, out_cols = _memo("round", _round_exprs)
-    x = expanded.select(*explode).select(*flat)
-    for _ in range(rounds):
-        x = x.select(*step1).select(*step2)
-    return x.groupBy(PID, "node_id", "var").agg(*fold).select(*out_cols)
-
-
-# --------------------------------------------------------------- node stats
-def _x_c() -> F.Column:
-    """Candidate 1: each variable at the bound its cost prefers."""
-    return F.when(F.col("c") >= 0, F.col("lb")).otherwise(F.col("ub"))
-
-
-def _x_r() -> F.Column:
-    """Candidate 2: each variable at the bound its reduced cost prefers."""
-    return F.when(F.col("rc") > 0, F.col("lb")).when(F.col("rc") < 0, F.col("ub")).otherwise(_x_c())
-
-
-def _x_n(lam: F.Column, a: F.Column) -> F.Column:
-    """Candidate 3 (one-row nodes): the reduced cost at the node's own
-    multiplier decides; at rc = 0 (the critical entry) take the bound that
-    lowers the row activity — the greedy fill."""
-    rc = F.col("c") + lam * a
-    return (F.when(rc < 0, F.col("ub")).when(rc > 0, F.col("lb"))
-            .when(a > 0, F.col("lb")).when(a < 0, F.col("ub")).otherwise(_x_c()))
-
-
-def node_stats(expanded: DataFrame, rel_gap: float = 0.0) -> DataFrame:
-    """Per node: bound, infeasibility, fixedness, the candidates and the
-    branching choice (U4, P5).  One row per (problem_id, node_id).
-
-    bound = max(box, Lagrangian at the root multipliers, node Lagrangian,
-    parent bound), rounded up for integral costs; box = Σ min(c·lb, c·ub);
-    Lagrangian = Σ min(rc·lb, rc·ub) − Σ λ·b.  For a node with a single row the
-    multiplier is re-derived per node (its critical ratio: a running window sum
-    over the row's entries ordered by breakpoint), which is the node's LP
-    bound, and the greedy fill at that ratio is a third candidate.
-    Branch on the free variable with the greatest |rc|·(ub − lb), ties by name;
-    ``split = floor((lb + ub) / 2)``: down ``ub = split``, up ``lb = split + 1``.
-    Everything groups on (problem, node, ...) keys: no shuffle.
-    """
-    ex = _memo("stats", _stats_exprs)
-    e = expanded.select("*", *ex["xcols"])
-    by_var = e.groupBy(*NODE_KEY).agg(*ex["by_var"])
-    t = e.select(*ex["t_explode"]).select(*ex["t_flat"]).select("*", *ex["t_bp"])
-    t = t.select("*", *ex["t_w1"]).select("*", *ex["t_lam"])
-    by_row = t.groupBy(PID, "node_id", "row").agg(*ex["row_aggs"]).groupBy(*NODE_KEY).agg(*ex["node_aggs"])
-    return by_var.join(by_row, NODE_KEY, "left").select(*ex["out"])
-
-
-def _stats_exprs():
-    """Column expressions of ``node_stats`` (built once per process)."""
-    score = F.abs(F.col("rc")) * (F.col("ub") - F.col("lb"))
-    no_terms = F.size("terms") == 0
-    by_var = [F.any_value(a).alias(a) for a in NODE_ATTRS] + [
-        F.sum(F.least(F.col("c") * F.col("lb"), F.col("c") * F.col("ub"))).alias("box"),
-        F.sum(F.least(F.col("rc") * F.col("lb"), F.col("rc") * F.col("ub"))).alias("lag"),
-        F.sum(F.col("c") * F.col("x_c")).alias("obj_c"),
-        F.sum(F.col("c") * F.col("x_r")).alias("obj_r"),
-        F.sum(F.when(no_terms, F.least(F.col("c") * F.col("lb"), F.col("c") * F.col("ub")))).alias("box_free"),
-        F.sum(F.when(no_terms, F.col("c") * F.col("x_c"))).alias("obj_free"),
-        F.bool_or(F.col("lb") > F.col("ub")).alias("var_infeasible"),
-        F.bool_and(F.col("lb") == F.col("ub")).alias("all_fixed"),
-        F.min_by(F.struct(F.col("var").alias("bvar"), F.col("lb").alias("blb"), F.col("ub").alias("bub")),
-                 F.when(F.col("lb") < F.col("ub"), F.struct((-score).alias("s"), F.col("var")))).alias("branch"),
-        F.count(F.lit(1)).alias("n_vars"),
-    ]
-    cols = ["c", "x_c", "x_r"]
-    t_explode = [F.col(c) for c in (PID, "node_id", "var", "lb", "ub", *cols)] + [F.explode("terms").alias("t")]
-    t_flat = [F.col(c) for c in (PID, "node_id", "var", "lb", "ub", *cols)] + [
-        F.col("t.row").alias("row"), F.col("t.a").alias("a"), F.col("t.b").alias("b")]
-    a, c, lb, ub = F.col("a"), F.col("c"), F.col("lb"), F.col("ub")
-    # Per (node, row) critical ratio: slope of the dual just above 0, then the
-    # first breakpoint where the running slope reaches 0.
-    x0 = F.when(c > 0, lb).when(c < 0, ub).when(a > 0, lb).otherwise(ub)
-    bp = F.when((a != 0) & (lb < ub) & ((-c / F.when(a != 0, a)) > 0), -c / F.when(a != 0, a))
-    delta = F.when(bp.isNotNull(), F.when(a > 0, a * (lb - ub)).otherwise(a * (ub - lb)))
-    w_row = Window.partitionBy(PID, "node_id", "row")
-    w_run = w_row.orderBy(F.col("bp").asc_nulls_last(), F.col("var")).rowsBetween(Window.unboundedPreceding, 0)
-    t_bp = [bp.alias("bp"), delta.alias("delta")]
-    t_w1 = [(F.sum(a * x0).over(w_row) - F.col("b")).alias("s0"), F.sum("delta").over(w_run).alias("cum")]
-    t_lam = [F.when(F.col("s0") <= 0, F.lit(0.0)).otherwise(F.coalesce(
-        F.min(F.when(F.col("bp").isNotNull() & (F.col("s0") + F.col("cum") <= 0), F.col("bp"))).over(w_row),
-        F.max("bp").over(w_row), F.lit(0.0))).alias("lam")]
-    rc_n = c + F.col("lam") * a
-    x_n = _x_n(F.col("lam"), a)
-    row_aggs = [
-        F.sum(_min_term()).alias("minact"),
-        F.sum(a * F.col("x_c")).alias("act_c"),
-        F.sum(a * F.col("x_r")).alias("act_r"),
-        F.sum(a * x_n).alias("act_n"),
-        F.sum(c * x_n).alias("obj_n_row"),
-        F.sum(F.least(rc_n * lb, rc_n * ub)).alias("lag_n_row"),
-        F.max("lam").alias("lam"),
-        F.max("b").alias("b"),
-    ]
-    node_aggs = [
-        F.bool_or(F.col("minact") > F.col("b") + ROW_EPS).alias("row_infeasible"),
-        F.bool_and(F.col("act_c") <= F.col("b") + ROW_EPS).alias("feas_c"),
-        F.bool_and(F.col("act_r") <= F.col("b") + ROW_EPS).alias("feas_r"),
-        F.bool_and(F.col("act_n") <= F.col("b") + ROW_EPS).alias("feas_n"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum("obj_n_row").alias("obj_n_rows"),
-        F.sum(F.col("lag_n_row") - F.col("lam") * F.col("b")).alias("lag_n_rows"),
-        F.max("lam").alias("lam_n"),
+    x, c, rows, lam, v = (F.col(n) for n in ("_x", "c", "rows", "_lam", "_v"))
+    base = F.zip_with(F.zip_with("names", "vlb", lambda n, b: F.greatest(b, F.try_element_at(F.col("lower"), n))),
+                      F.zip_with("names", "vub", lambda n, b: F.least(b, F.try_element_at(F.col("upper"), n))),
+                      lambda l, u: F.struct(l.alias("l"), u.alias("u")))
+    crossing = F.exists(x, lambda v: v["l"] > v["u"]) | F.exists(rows, lambda r: _activity(r["a"], x) > r["b"] + ROW_EPS)
+    raw = F.greatest(_sum(F.transform(v, lambda e: F.least(e["c"] * e["l"], e["c"] * e["u"]))),
+                     _lagrangian(x, F.col("_rc"), rows, lam), F.lit(sign) * F.col("bound"))
+    cheap = lambda e: F.when(e["c"] >= 0, e["l"]).otherwise(e["u"])
+    reduced = lambda e: F.when(e["r"] > 0, e["l"]).when(e["r"] < 0, e["u"])
+    # At a single row's critical entry (rc = 0) the bound that lowers the activity: the greedy fill.
+    greedy = F.zip_with(v, F.get(rows, F.lit(0))["a"], lambda e, a: F.coalesce(reduced(e), F.when(a > 0, e["l"]).when(a < 0, e["u"]), cheap(e)))
+    by_rc = F.transform(v, lambda e: F.coalesce(reduced(e), cheap(e)))
+    third = F.when(F.size(rows) == 1, greedy).when(F.size(rows) > 1, _repaired(F.col("_xr"), c, x, rows)).otherwise(F.col("_xr"))
+    ok = lambda xs: F.forall(rows, lambda r: _dot(r["a"], xs) <= r["b"] + ROW_EPS)
+    point = lambda kind, xs: F.when(ok(xs), F.struct(_dot(c, xs).alias("obj"), F.lit(kind).alias("kind"), xs.alias("xs")))
+    free = F.filter(F.transform(v, lambda e, j: F.when(e["l"] < e["u"], F.struct((-branch_rule(e)).alias("s"), j.alias("j")))), lambda e: e.isNotNull())
+    chosen = F.get(v, F.col("_j"))
+    return [
+        {"_x": F.aggregate(F.flatten(F.array_repeat(rows, rounds)), base, _tighten) if rounds else base},
+        {"infeasible": crossing},
+        {"_lam": F.when(F.col("single"), F.array(_critical(c, x, F.get(rows, F.lit(0))))).otherwise(F.col("lam"))},
+        {"_rc": _reduced(c, rows, lam)},
+        {"_v": F.zip_with(F.zip_with(c, x, lambda cj, b: F.struct(cj.alias("c"), b["l"].alias("l"), b["u"].alias("u"))), "_rc",
+                          lambda e, r: F.struct(e["c"].alias("c"), r.alias("r"), e["l"].alias("l"), e["u"].alias("u")))},
+        {"_raw": raw, "_xc": F.transform(v, cheap), "_xr": by_rc, "_j": F.array_min(free)["j"]},
+        {"_xg": F.when(~F.col("infeasible"), third)},
+        {"bound": F.when(~F.col("infeasible"), F.lit(sign) * F.when(F.col("int_obj"), F.ceil(F.col("_raw") - BOUND_ROUND_EPS).cast("double")).otherwise(F.col("_raw"))),
+         "all_fixed": F.forall(x, lambda b: b["l"] == b["u"]),
+         "_best": F.when(~F.col("infeasible"), F.array_min(F.array(point("c", F.col("_xc")), point("g", F.col("_xg")), point("r", F.col("_xr"))))),
+         "var": F.get("names", F.col("_j")), "split": F.floor((chosen["l"] + chosen["u"]) / 2).cast("double")},
+        {"cand_obj": F.lit(sign) * F.col("_best.obj"), "cand_kind": F.col("_best.kind"), "cand_x": F.col("_best.xs")},
     ]
-    one_row = F.coalesce(F.col("n_rows") == 1, F.lit(False))
-    infeasible = F.col("var_infeasible") | F.coalesce(F.col("row_infeasible"), F.lit(False))
-    lag_n = F.when(one_row, F.col("lag_n_rows") + F.coalesce(F.col("box_free"), F.lit(0.0)))
-    raw = F.greatest(F.col("box"), F.col("lag") - F.col("lam_b"), lag_n, F.col("pbound"))
-    bound = F.when(F.col("int_obj"), F.ceil(raw - BOUND_ROUND_EPS).cast("double")).otherwise(raw)
-    ok_c = ~infeasible & F.coalesce(F.col("feas_c"), F.lit(True))
-    ok_r = ~infeasible & F.coalesce(F.col("feas_r"), F.lit(True))
-    ok_n = ~infeasible & one_row & F.coalesce(F.col("feas_n"), F.lit(False))
-    obj_n = F.col("obj_n_rows") + F.coalesce(F.col("obj_free"), F.lit(0.0))
-    o_c, o_r, o_n = F.when(ok_c, F.col("obj_c")), F.when(ok_r, F.col("obj_r")), F.when(ok_n, obj_n)
-    cand = F.least(o_c, o_r, o_n)
-    kind = (F.when(o_n.isNotNull() & (o_n == cand), F.lit("n"))
-            .when(o_r.isNotNull() & (o_r == cand), F.lit("r"))
-            .when(o_c.isNotNull(), F.lit("c")))
-    out = [F.col(k) for k in NODE_KEY] + [F.col(k) for k in NODE_ATTRS] + [
-        F.col("n_vars"), infeasible.alias("infeasible"), F.col("all_fixed"),
-        F.when(~infeasible, bound).alias("bound"),
-        cand.alias("cand_obj"), kind.alias("cand_kind"),
-        F.when(one_row, F.col("lam_n")).otherwise(F.lit(0.0)).alias("lam_n"),
-        F.col("branch.bvar").alias("bvar"),
-        F.floor((F.col("branch.blb") + F.col("branch.bub")) / 2).cast("double").alias("split"),
-    ]
-    return {"xcols": [_x_c().alias("x_c"), _x_r().alias("x_r")], "by_var": by_var, "t_explode": t_explode,
-            "t_flat": t_flat, "t_bp": t_bp, "t_w1": t_w1, "t_lam": t_lam, "row_aggs": row_aggs,
-            "node_aggs": node_aggs, "out": out}
 
 
-def candidate_value(kind: F.Column, lam_n: F.Column) -> F.Column:
-    """Value of a variable (an expanded row) under candidate ``kind``."""
-    a1 = F.coalesce(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["a"]), F.lit(0.0))
-    return (F.when(kind == "c", _x_c()).when(kind == "r", _x_r())
-            .otherwise(F.when(F.size("terms") == 0, _x_c()).otherwise(_x_n(lam_n, a1))))
+RESULT = ["infeasible", "all_fixed", "cand_obj", "cand_kind", "cand_x", "var", "split"]
 
 
-def bound_nodes(frontier: DataFrame, program: Program, method: str = "box", rounds: int = 2,
-                n_partitions: int | None = None) -> DataFrame:
-    """Bound every node of a map-form frontier (U4): expand, propagate, summarise.
+def evaluate(frontier: DataFrame, model: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    """Frontier rows with their bound renewed and RESULT added (U4, P5).
 
-    Output: one row per node with ``bound`` (in the program's own sense),
-    ``infeasible``, ``all_fixed``, the better candidate objective and the
-    branching variable.
+    ``bound`` = max(box, Lagrangian, parent bound), rounded for integral costs, in
+    the program's own sense; the Lagrangian of a single row is the node's LP
+    bound.  ``cand_obj`` / ``cand_x`` are the best of the candidate points that
+    hold in all rows (rounding by cost, by reduced cost, and the greedy fill or
+    repair), ``var`` / ``split`` the branching choice: the free variable with the
+    greatest score, ties by name; null if all are fixed.
     """
-    n = n_partitions or int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = prepare_model(program, method)
-    st = node_stats(propagate(expand_frontier(frontier, model, n), rounds))
-    sign = program.sign
-    return st.select(
-        *NODE_KEY, "depth", "infeasible", "all_fixed",
-        (F.lit(sign) * F.col("bound")).alias("bound"),
-        (F.lit(sign) * F.col("cand_obj")).alias("cand_obj"),
-        "cand_kind", "bvar", "split")
-
-
-def candidates(expanded: DataFrame, sign: float = 1.0) -> DataFrame:
-    """Per (node, kind) the candidate assignment as rows ``(problem_id, node_id,
-    kind, var, value)``; feasibility and objective are in ``node_stats``."""
-    e = expanded.withColumn("x_c", _x_c()).withColumn("x_r", _x_r())
-    return e.select(*NODE_KEY, "var", F.explode(F.array(
-        F.struct(F.lit("c").alias("kind"), F.col("x_c").alias("value")),
-        F.struct(F.lit("r").alias("kind"), F.col("x_r").alias("value")))).alias("k")) \
-        .select(*NODE_KEY, F.col("k.kind").alias("kind"), "var", F.col("k.value").alias("value"))
+    df = frontier.join(model, PID)
+    for step in steps:
+        df = df.withColumns(step)
+    return df.select(*frontier.columns, *RESULT)
+
+
+def bound_nodes(frontier: DataFrame, program: Program, method: str = "box", rounds: int = 2,
+                branch_rule: Callable[[Column], Column] = by_reduced_cost) -> DataFrame:
+    """Bound every node of a map-form frontier (U4): the frontier with RESULT added."""
+    return evaluate(frontier, prepare_model(program, method), evaluation(program.sign, rounds, branch_rule))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica import schemas
-from lattica.operators.balance import _shards
+from lattica.operators.balance import rank_within
 from lattica.sources.program import PID
 
 ROWS_PER_LIST = 1 << 16  # longest node list kept in one result row
@@ -56,36 +56,37 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").parquet(path)
 
 
-def bucket_results(solutions: DataFrame, nodes: DataFrame, sense: str = "min",
+def bucket_results(solutions: DataFrame, nodes: DataFrame, sense: str = "min", key: str | tuple[str, ...] | None = None,
                    rows_per_list: int = ROWS_PER_LIST) -> DataFrame:
     """Per bucket its best solution and its node list (A9), as a reporting view.
 
-    A bucket's list is cut into count-sized hash shards (one row per
-    (bucket, shard), each list at most about ``rows_per_list`` long), so a hot
-    bucket is never collected into one row or one task; every row of a bucket
-    carries the bucket's best solution.
+    Part 0 of a bucket holds its best solution (the smallest problem id among
+    equal ones), if it has any; parts from 1 on hold its nodes in the order of
+    ``key`` (all columns by default), at most ``rows_per_list`` in each, so a hot
+    bucket is never collected into one row or one task.
     """
     s = 1.0 if sense == "min" else -1.0
-    best = solutions.groupBy("bucket").agg(F.min_by(
-        F.struct("problem_id", "objective", "status"),
-        F.when(F.col("objective").isNotNull(),
-               F.struct((F.lit(s) * F.col("objective")).alias("o"), F.col("problem_id")))).alias("solution"))
+    one = F.struct("problem_id", "objective", "status")
+    best = solutions.groupBy("bucket").agg(F.min_by(one, F.when(
+        F.col("objective").isNotNull(), F.struct((F.lit(s) * F.col("objective")).alias("o"), F.col("problem_id")))).alias("solution"))
     cols = [c for c in nodes.columns if c != "bucket"]
-    keyed = nodes.withColumn("_k", F.xxhash64(*cols))
-    sharded = _shards(keyed, "bucket", "_k", None, rows_per_list)
-    lists = sharded.groupBy("bucket", "shard").agg(F.collect_list(F.struct(*cols)).alias("nodes"))
-    return best.join(lists, "bucket", "full").select(
-        "bucket", F.coalesce("shard", F.lit(0)).alias("shard"), F.struct("solution", "nodes").alias("result"))
+    ranked = rank_within(nodes, "bucket", key or tuple(cols))
+    part = F.ceil(F.col("rank") / rows_per_list).cast("int").alias("part")
+    lists = ranked.groupBy("bucket", part).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("nodes") if key is None
+                                               else F.collect_list(F.struct(*cols)).alias("nodes"))
+    heads = best.where("solution is not null").select("bucket", F.lit(0).alias("part"), "solution")
+    both = heads.unionByName(lists, allowMissingColumns=True)
+    return both.select("bucket", "part", F.struct("solution", "nodes").alias("result"))
 
 
 def solution_of(results: DataFrame) -> DataFrame:
-    """The solution out of a result (P6), once per bucket."""
-    return results.where(F.col("shard") == 0).select("bucket", "result.solution.*")
+    """The solution out of a result (P6), once per bucket that has one."""
+    return results.where("result.solution is not null").select("bucket", "result.solution.*")
 
 
 def nodes_of(results: DataFrame) -> DataFrame:
     """The node list out of a result."""
-    return results.select("bucket", F.col("result.nodes").alias("nodes"))
+    return results.where("result.nodes is not null").select("bucket", "part", F.col("result.nodes").alias("nodes"))
 
 
 def flatten_nodes(results: DataFrame) -> DataFrame:

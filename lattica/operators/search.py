@@ -1,4 +1,4 @@
-"""Search operators on the map-form ``frontier``.
+"""Search operators on the map-form ``frontier``.
 
 All take and return DataFrames.  Per-problem tables (``incumbent``) are joined
 with plain equi-joins: they grow with the number of problems, so no broadcast
@@ -26,30 +26,13 @@ def _sign(sense: str) -> float:
     return 1.0 if sense == "min" else -1.0
 
 
-def choose_branch(bounds: DataFrame, score: Column | None = None) -> DataFrame:
-    """Branching choice per node from its effective bounds (P5).
-
-    ``bounds``: ``(problem_id, node_id, var, lb, ub, ...)``.  Among free
-    variables (lb < ub) pick the greatest ``score`` (default
-    ``|obj|·(ub − lb)``), ties by the smallest name; ``split = floor((lb+ub)/2)``.
-    One partial+final aggregate per node (``min_by``), no window.
-    """
-    sc = score if score is not None else F.abs(F.col("obj")) * (F.col("ub") - F.col("lb"))
-    free = bounds.where(F.col("lb") < F.col("ub"))
-    best = free.groupBy(*NODE_KEY).agg(
-        F.min_by(F.struct("var", "lb", "ub"), F.struct((-sc).alias("s"), F.col("var"))).alias("b"))
-    return best.select(*NODE_KEY, F.col("b.var").alias("var"),
-                       F.floor((F.col("b.lb") + F.col("b.ub")) / 2).cast("double").alias("split"))
-
-
-def branch(nodes: DataFrame, choice: DataFrame, easy_when: Column | None = None) -> DataFrame:
-    """Two children per chosen node (P4, P11): down ``upper[var] = split``, up
-    ``lower[var] = split + 1``, merged into the parent's maps keeping the
-    stricter bound (P3).  ``depth + 1``; ``node_id`` = parent id + ``0``/``1``;
-    children are hard unless ``easy_when`` (a Column over the child) says so.
-    Nodes without a choice are not branched (they are dropped)."""
-    j = nodes.join(choice.select(*NODE_KEY, "var", "split"), NODE_KEY)
-    j = j.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+def branch(nodes: DataFrame, easy_when: Column | None = None) -> DataFrame:
+    """Two children per node with a branching choice ``var`` / ``split`` (P4, P11):
+    down ``upper[var] = split``, up ``lower[var] = split + 1``, merged into the
+    parent's maps keeping the stricter bound (P3).  ``depth + 1``; ``node_id`` =
+    parent id + ``0``/``1``; children are hard unless ``easy_when`` (a Column over
+    the child) says so.  Nodes without a choice are not branched (they are dropped)."""
+    j = nodes.where(F.col("var").isNotNull()).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     one = F.create_map(F.col("var"), F.col("split"))
     one_up = F.create_map(F.col("var"), F.col("split") + 1)
     out = j.select(
@@ -66,6 +49,16 @@ def branch(nodes: DataFrame, choice: DataFrame, easy_when: Column | None = None)
     return out
 
 
+def replace_farmed(nodes: DataFrame, easy_when: Column | None = None) -> DataFrame:
+    """Farmed parents replaced by their children (F6): every child of a node with
+    ``farmed`` starts a subtree of its own; the other nodes stay as they are.
+    A farmed node without a branching choice stays too."""
+    farmed = F.col("farmed") & F.col("var").isNotNull()
+    stay = nodes.where(~farmed).select(*[f.name for f in schemas.FRONTIER.fields])
+    children = branch(nodes.where(farmed), easy_when)
+    return stay.unionByName(children.withColumn("subtree_id", F.col("node_id")).withColumn("subtree_root_depth", F.col("depth")))
+
+
 def prune_nodes(nodes: DataFrame, incumbent: DataFrame, sense: str = "min",
                 bound: str = "bound", objective: str = "objective") -> DataFrame:
     """Keep nodes whose bound can still beat their problem's incumbent.
@@ -128,20 +121,16 @@ def best_solution(solutions: DataFrame, incumbent: DataFrame | None = None, sens
 
 def split_groups(nodes: DataFrame, max_hard: int = MAX_HARD_LEAVES, farm_all: bool = False,
                  key: str = "subtree_id") -> DataFrame:
-    """Farming decision per node.
+    """Farming decision per node (F5): adds ``farmed``.
 
     Never for a subtree root or an easy node; always when its (problem,
     subtree) group holds more than ``max_hard`` hard nodes; otherwise
-    ``farm_all``.  Farmed nodes start their own subtree (``subtree_id`` =
-    ``node_id``, root depth = depth).  The group count is an aggregate joined
-    back (no window, so a hot group is not sorted in one task).
+    ``farm_all``.  The group count is an aggregate joined back (no window, so a
+    hot group is not sorted in one task); null keys are groups too.
     """
-    counts = nodes.groupBy(PID, key).agg(F.count_if(~F.col("is_easy")).alias("n_hard_group"))
-    j = nodes.join(counts, [PID, key])
+    counts = nodes.groupBy(F.col(PID).alias("_p"), F.col(key).alias("_k")).agg(F.count_if(~F.col("is_easy")).alias("n_hard_group"))
+    j = nodes.join(counts, F.col(PID).eqNullSafe(F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))).drop("_p", "_k")
     farm = (F.when(is_subtree_root("depth", "subtree_root_depth") | F.col("is_easy"), F.lit(False))
             .when(F.col("n_hard_group") > max_hard, F.lit(True))
             .otherwise(F.lit(bool(farm_all))))
-    j = j.withColumn("farmed", farm)
-    return j.withColumn(key, F.when(F.col("farmed"), F.col("node_id")).otherwise(F.col(key))) \
-            .withColumn("subtree_root_depth",
-                        F.when(F.col("farmed"), F.col("depth")).otherwise(F.col("subtree_root_depth")))
+    return j.withColumn("farmed", F.coalesce(farm, F.lit(False)))

@@ -1,4 +1,4 @@
-"""Test queries Q01–Q23: one per operator family, each with a DuckDB oracle.
+"""Test queries: at least one per operator family, each with a DuckDB oracle.
 
 Every query reads the driver's tables (or tables Spark derives from them) in
 full.  Money is integer cents and quantities BIGINT on both sides, so sums are
@@ -16,11 +16,11 @@ from lattica.functions.bounds import bounds_changed, merge_lower, merge_upper, s
 from lattica.operators import balance as B
 from lattica.operators import report as R
 from lattica.operators import search as S
-from lattica.operators.bounds import bound_nodes, effective_bounds
+from lattica.operators.bounds import bound_nodes, by_cost, effective_bounds
 from lattica.plans import fixtures as X
 from lattica.plans.solve import solve
 from lattica.sources.mps import parse_mps
-from lattica.sources.program import check_program, program_from_tables, root_nodes
+from lattica.sources.program import Program, check_program, program_from_tables, root_nodes
 from lattica.sources.tables import table
 
 # Fixed query parameters.
@@ -40,9 +40,6 @@ def _line_var() -> F.Column:
     return F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"))
 
 
-LINE_VAR_SQL = "concat_ws(':', l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT))"
-
-
 def _line_program(spark, sf):
     """Selection-program variables named by content (for Q01, Q09)."""
     li = _li(spark, sf)
@@ -182,20 +179,24 @@ def q08_merge_bounds(spark: SparkSession, sf: str) -> DataFrame:
             .select("problem_id", "var", "up", F.try_element_at("lo", F.col("var")).alias("lo"), "changed")
 
 
-def q09_branch(spark: SparkSession, sf: str) -> DataFrame:
+def _roots_with_choice(spark, sf):
+    """Root node of every order with its branching choice by cost (no rows)."""
     vars = _line_program(spark, sf)
-    roots = root_nodes(vars, N_BUCKETS)
-    choice = S.choose_branch(effective_bounds(roots, vars))
-    kids = S.branch(roots, choice)
-    return kids.join(choice.select("problem_id", "var"), "problem_id").select(
+    none = vars.select("problem_id", F.lit("c").alias("con"), F.lit("<=").alias("sense"), F.lit(0.0).alias("rhs"), "var", F.lit(0.0).alias("coef")).limit(0)
+    prog = Program(vars, none.select("problem_id", "con", "sense", "rhs"), none.select("problem_id", "con", "var", "coef"), "max")
+    return bound_nodes(root_nodes(vars, N_BUCKETS), prog, rounds=0, branch_rule=by_cost)
+
+
+def q09_branch(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = _roots_with_choice(spark, sf)
+    kids = S.branch(nodes)
+    return kids.join(nodes.select("problem_id", "var"), "problem_id").select(
         "problem_id", "node_id", "parent_id", "depth", "var",
         F.try_element_at("lower", F.col("var")).alias("lower_v"),
         F.try_element_at("upper", F.col("var")).alias("upper_v"))
 
 
-def q10_bucket_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items collected per bucket with the bucket's cheapest order, then
-    flattened back: an identity on the items."""
+def _bucket_results(spark, sf, rows_per_list=R.ROWS_PER_LIST):
     li = _li(spark, sf)
     nodes = li.select(F.pmod("l_suppkey", F.lit(N_BUCKETS)).cast("int").alias("bucket"),
                       "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -203,13 +204,36 @@ def q10_bucket_results(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod("o_orderkey", F.lit(N_BUCKETS)).cast("int").alias("bucket"),
         F.col("o_orderkey").alias("problem_id"), F.col("o_totalprice").alias("objective"),
         F.lit("feasible").alias("status"))
-    res = R.bucket_results(sols, nodes)
-    return R.flatten_nodes(res)
+    return R.bucket_results(sols, nodes, rows_per_list=rows_per_list)
+
+
+def q10_bucket_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items collected per bucket with the bucket's cheapest order, then
+    flattened back beside that order."""
+    res = _bucket_results(spark, sf)
+    best = B.small_side(R.solution_of(res).select("bucket", F.col("problem_id").alias("best_order"), F.col("objective").alias("best_price")))
+    return R.flatten_nodes(res).join(best, "bucket", "left")
+
+
+def q28_nodes_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Node lists of at most 100 rows (P7): their number and sizes per bucket."""
+    lists = R.nodes_of(_bucket_results(spark, sf, 100))
+    return lists.select("bucket", "part", F.size("nodes").cast("bigint").alias("n"))
+
+
+def q29_assemble_solution(spark: SparkSession, sf: str) -> DataFrame:
+    """Values folded to one map per order and read back by name."""
+    rows = _li(spark, sf).select(F.col("l_orderkey").alias("problem_id"), F.concat(F.lit("P"), "l_partkey").alias("var"), "l_quantity")
+    rows = rows.groupBy("problem_id", "var").agg(F.max("l_quantity").alias("value"))
+    maps = R.assemble_solution(rows)
+    return rows.select("problem_id", "var").join(maps, "problem_id").select(
+        "problem_id", "var", R.variable_value("values", "var").alias("value"), R.variable_value("values", F.lit("none")).alias("absent"))
 
 
 # ---------------------------------------------------------------- Q11 – Q15
-def _order_solutions(spark, sf, year):
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == year)
+def _order_solutions(spark, sf, old: bool):
+    """Orders up to 1997 (old) or later as solutions of their customer's problem."""
+    o = table(spark, sf, "orders").where((F.year("o_orderdate") <= 1997) == old)
     st = status_of(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus") == "F")
     return o.select(F.col("o_custkey").alias("problem_id"), F.col("o_totalprice").alias("objective"),
                     st.alias("status"), F.lit(None).cast("map<string,double>").alias("values"),
@@ -217,8 +241,8 @@ def _order_solutions(spark, sf, year):
 
 
 def q11_best_solution(spark: SparkSession, sf: str) -> DataFrame:
-    inc = S.best_solution(_order_solutions(spark, sf, 1997))
-    best = S.best_solution(_order_solutions(spark, sf, 1998), inc)
+    inc = S.best_solution(_order_solutions(spark, sf, True))
+    best = S.best_solution(_order_solutions(spark, sf, False), inc)
     return best.select("problem_id", "objective", "status")
 
 
@@ -229,47 +253,90 @@ def q12_drop_completed(spark: SparkSession, sf: str) -> DataFrame:
     return S.drop_completed(o.select("o_orderkey", st.alias("status")))
 
 
-def q13_prune_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def _prune(spark, sf, sense):
     o = table(spark, sf, "orders")
     nodes = o.select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").cast("string").alias("node_id"),
                      "o_orderkey", F.col("o_totalprice").alias("bound"))
-    inc = o.where(F.year("o_orderdate") == 2000).groupBy(F.col("o_custkey").alias("problem_id")).agg(
-        F.min("o_totalprice").alias("objective"))
-    return S.prune_nodes(nodes, inc, "min").select("o_orderkey", "problem_id")
+    best = F.min if sense == "min" else F.max
+    inc = o.where(F.col("o_orderstatus") == "P").groupBy(F.col("o_custkey").alias("problem_id")).agg(best("o_totalprice").alias("objective"))
+    return S.prune_nodes(nodes, inc, sense).select("o_orderkey", "problem_id")
 
 
-def q14_halt_subtrees(spark: SparkSession, sf: str) -> DataFrame:
+def q13_prune_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _prune(spark, sf, "min")
+
+
+def _halt(spark, sf, sense):
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("problem_id"))
     nodes = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         "problem_id", F.col("o_custkey").cast("string").alias("subtree_id"), "o_orderkey",
         F.col("o_totalprice").alias("bound"))
+    best = F.min if sense == "min" else F.max
     inc = o.where(F.col("o_orderpriority") == "1-URGENT").join(c, F.col("o_custkey") == F.col("c_custkey")) \
-        .groupBy("problem_id").agg(F.min("o_totalprice").alias("objective"))
-    return S.halt_subtrees(nodes, inc, GAP, "min").select("o_orderkey")
+        .groupBy("problem_id").agg(best("o_totalprice").alias("objective"))
+    return S.halt_subtrees(nodes, inc, GAP, sense).select("o_orderkey")
+
+
+def q14_halt_subtrees(spark: SparkSession, sf: str) -> DataFrame:
+    return _halt(spark, sf, "min")
+
+
+def q34_prune_halt_max(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two with the greatest objective as the best."""
+    pruned = _prune(spark, sf, "max").select("o_orderkey", F.lit("pruned").alias("step"))
+    return pruned.unionByName(_halt(spark, sf, "max").select("o_orderkey", F.lit("halted").alias("step")))
+
+
+def _farm_nodes(spark, sf):
+    """Lines as nodes of their supplier's bucket, at depths 0 to 2 of subtrees whose root is at 0 or 1."""
+    it = X.items(spark, sf)
+    grp = F.pmod("l_partkey", F.lit(X.N_GROUPS)).cast("int")
+    return it.select(F.pmod("l_suppkey", F.lit(N_BUCKETS)).cast("bigint").alias("problem_id"), grp.alias("grp"),
+                     F.col("item_id").alias("node_id"), grp.cast("string").alias("subtree_id"),
+                     (F.col("l_quantity") < X.HARD_QTY).alias("is_easy"), F.pmod("v", F.lit(3)).cast("int").alias("depth"),
+                     F.pmod(grp, F.lit(2)).alias("subtree_root_depth"))
 
 
 def q15_split_groups(spark: SparkSession, sf: str) -> DataFrame:
-    n = _wi_nodes(spark, sf).select(F.col("bucket").cast("bigint").alias("problem_id"), "bucket", "grp",
-                                    F.col("item_id").alias("node_id"), "subtree_id", "is_easy",
-                                    F.lit(1).alias("depth"), F.lit(0).alias("subtree_root_depth"))
-    out = S.split_groups(n, S.MAX_HARD_LEAVES)
-    return out.groupBy("bucket", "grp").agg(
+    n = _farm_nodes(spark, sf)
+    parts = [S.split_groups(n, S.MAX_HARD_LEAVES, farm_all).withColumn("farm_all", F.lit(farm_all)) for farm_all in (False, True)]
+    return parts[0].unionByName(parts[1]).groupBy("farm_all", F.col("problem_id").cast("int").alias("bucket"), "grp").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("is_easy")).alias("n_hard"),
         F.count_if("farmed").alias("n_farmed"))
 
 
+def q30_branch_easy(spark: SparkSession, sf: str) -> DataFrame:
+    """Children with a variable fixed at 0 are easy, the others hard."""
+    kids = S.branch(_roots_with_choice(spark, sf), easy_when=F.exists(F.map_values("upper"), lambda u: u == 0))
+    return kids.select("problem_id", "node_id", "is_easy")
+
+
+def q31_replace_farmed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of over five lines are farmed: two subtrees each instead of the root."""
+    nodes = _roots_with_choice(spark, sf)
+    n_lines = _li(spark, sf).groupBy(F.col("l_orderkey").alias("problem_id")).agg((F.count(F.lit(1)) > 5).alias("farmed"))
+    out = S.replace_farmed(nodes.join(n_lines, "problem_id"))
+    return out.select("problem_id", "node_id", "subtree_id", "subtree_root_depth", "depth")
+
+
 # ---------------------------------------------------------------- Q16 – Q21
 def q16_count_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return B.count_by_bucket(_wi_nodes(spark, sf), N_BUCKETS)
 
 
 def q17_needs_rebalance(spark: SparkSession, sf: str) -> DataFrame:
-    return B.needs_rebalance(B.count_by_bucket(_wi_nodes(spark, sf), N_BUCKETS))
+    """Against the fixed threshold and a high one, for either outcome."""
+    counts = B.count_by_bucket(_wi_nodes(spark, sf), N_BUCKETS)
+    parts = [B.needs_rebalance(counts, t).withColumn("threshold", F.lit(t)) for t in (B.MIN_HARD_PER_BUCKET, 10**9)]
+    return parts[0].unionByName(parts[1])
 
 
 def q18_iteration_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return B.iteration_budget(B.count_by_bucket(_wi_nodes(spark, sf), N_BUCKETS))
+    """Clamped to the fixed limits, and without limits."""
+    counts = B.count_by_bucket(_wi_nodes(spark, sf), N_BUCKETS)
+    free = B.iteration_budget(counts, lo=0, hi=1e12).select(F.col("budget").alias("free_budget"))
+    return B.iteration_budget(counts).join(F.broadcast(free))  # one row each
 
 
 def _subtrees(spark, sf):
@@ -281,9 +348,10 @@ def _subtrees(spark, sf):
 
 
 def q19_allocate_budget(spark: SparkSession, sf: str) -> DataFrame:
-    st = _subtrees(spark, sf)
-    a = B.allocate_budget(st, BUDGET, part="bucket", order="grp")
-    a = B.running_best(a, part="bucket", order="grp", value="best")
+    """Subtrees walked by tier, ties by group: budget, running best and the best three."""
+    st = _subtrees(spark, sf).withColumn("tier", F.pmod("grp", F.lit(4)))
+    a = B.allocate_budget(st, BUDGET, part="bucket", order="tier", tie="grp")
+    a = B.running_best(a, part="bucket", order="tier", value="best", tie="grp")
     top = B.select_nodes(st, TOP_K, part="bucket", order="best", tie="grp").select(
         "bucket", "grp", F.lit(True).alias("selected"))
     a = a.join(top, ["bucket", "grp"], "left")
@@ -293,6 +361,12 @@ def q19_allocate_budget(spark: SparkSession, sf: str) -> DataFrame:
                     F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
+def q33_select_depth_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The three deepest subtrees of each bucket (W4): depth = group modulo 7."""
+    st = _subtrees(spark, sf).withColumn("depth", F.pmod("grp", F.lit(7)))
+    return B.select_nodes(st, TOP_K, part="bucket", tie="grp", depth_first=True).select("bucket", "grp", "depth")
+
+
 def _wi_counts(spark, sf):
     n = _wi_nodes(spark, sf)
     hard = n.where("is_hard")
@@ -306,13 +380,30 @@ def q20_plan_moves(spark: SparkSession, sf: str) -> DataFrame:
     return B.plan_moves(existing, movable, B.MIN_HARD_PER_BUCKET)
 
 
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_shipdate", "l_returnflag", "l_linestatus")
+
+
 def q21_apply_moves(spark: SparkSession, sf: str) -> DataFrame:
-    n, existing, movable = _wi_counts(spark, sf)
+    """Every line after the moves: easy and unmovable lines stay, the first movable
+    ones of a donor (by all their columns) go."""
+    _, existing, movable = _wi_counts(spark, sf)
     moves = B.plan_moves(existing, movable, B.MIN_HARD_PER_BUCKET)
-    hard = n.where("is_hard").withColumnRenamed("item_id", "node_id")
-    moved = B.apply_moves(hard, moves, movable=F.col("movable"), key="node_id")
+    rows = _li(spark, sf).withColumn("bucket", F.pmod("l_suppkey", F.lit(N_BUCKETS)).cast("int"))
+    may = (F.col("l_quantity") >= X.HARD_QTY) & (F.col("l_linestatus") == "O")
+    moved = B.apply_moves(rows, moves, movable=may, key=LINE_KEY)
     frontier = B.grow_frontier(moved.where(~F.col("moved")), moved.where("moved"))
-    return B.count_by_bucket(frontier, N_BUCKETS, trees=False).select("bucket", "n_hard")
+    return frontier.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "bucket", "moved")
+
+
+def q32_plan_accessors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of buckets: what the plan moves, and whether its source gives at all."""
+    _, existing, movable = _wi_counts(spark, sf)
+    moves = B.plan_moves(existing, movable, B.MIN_HARD_PER_BUCKET)
+    ids = B.all_buckets(spark, N_BUCKETS)  # n_buckets squared pairs: bounded by the parameter
+    pairs = ids.select(F.col("bucket").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(N_BUCKETS - 1))).alias("dst"))
+    gives = B.makes_donations(moves).withColumn("gives", F.lit(True))
+    return B.donation(moves, pairs).join(gives, "src", "left").select("src", "dst", "n", F.coalesce("gives", F.lit(False)).alias("gives"))
 
 
 def q24_leaves_by_subtree(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,13 +426,47 @@ def q25_bound_nodes(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- Q22 – Q23
 def q22_solve_selection(spark: SparkSession, sf: str) -> DataFrame:
     res = solve(X.selection_program(spark, sf))
-    return res.incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best_v"))
+    return res.incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best_v"), "status")
 
 
 def q23_solve_mix(spark: SparkSession, sf: str) -> DataFrame:
     res = solve(X.mix_program(spark, sf))
-    return res.incumbent.where(F.col("status") == "optimal").select(
-        "problem_id", F.col("objective").cast("bigint").alias("best_v"))
+    return res.incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best_v"), "status")
+
+
+def q26_solver_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress rows of the search (S7): its first level, per bucket and in total."""
+    res = solve(X.selection_program(spark, sf), max_iterations=1, track=True)
+    return res.metrics.select("iteration", "bucket", "n_easy", "n_hard", "n_trees", "n_open", "phase")
+
+
+def q27_solve_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """One problem per part: maximise x and y with x + y <= half the part's size,
+    0 <= x <= size / 3 (a broken bound), 0 <= y <= 2.  By the part's key modulo 5 it
+    is clean, has a continuous x, an unbounded y, a second entry for y, or an
+    empty box for y; only the clean and the empty ones may be solved."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("problem_id"), F.col("p_size").cast("double").alias("s"), F.pmod("p_partkey", F.lit(5)).alias("k"))
+    x = p.select("problem_id", F.lit("x").alias("var"), F.lit(0.0).alias("lb"), (F.col("s") / 3).alias("ub"), F.lit(3.0).alias("obj"), (F.col("k") != 1).alias("is_int"))
+    y = p.select("problem_id", F.lit("y").alias("var"), F.when(F.col("k") == 4, F.lit(3.0)).otherwise(F.lit(0.0)).alias("lb"),
+                 F.when(F.col("k") == 2, F.lit(float("inf"))).otherwise(F.lit(2.0)).alias("ub"), F.lit(2.0).alias("obj"), F.lit(True).alias("is_int"))
+    cons = p.select("problem_id", F.lit("c").alias("con"), F.lit("<=").alias("sense"), (F.col("s") / 2).alias("rhs"))
+    entry = p.select("problem_id", F.lit("c").alias("con"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("var"), F.lit(1.0).alias("coef"))
+    twice = p.where("k = 3").select("problem_id", F.lit("c").alias("con"), F.lit("y").alias("var"), F.lit(1.0).alias("coef"))
+    res = solve(program_from_tables(x.unionByName(y), cons, entry.unionByName(twice), "max"))
+    return res.incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best"), "status")
+
+
+def q35_mix_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Root bounds of the mix program (U4): the Lagrangian one is no worse than the
+    box bound and no better than the optimum."""
+    prog = X.mix_program(spark, sf)
+    roots = root_nodes(prog.vars, N_BUCKETS)
+    box = bound_nodes(roots, prog, "box", rounds=0).select("problem_id", F.col("bound").alias("box"))
+    lag = bound_nodes(roots, prog, "lagrangian", rounds=0).select("problem_id", F.col("bound").alias("lag"))
+    best = solve(prog).incumbent.select("problem_id", "objective")
+    j = box.join(lag, "problem_id").join(best, "problem_id")
+    return j.select("problem_id", F.col("objective").cast("bigint").alias("best_v"),
+                    (F.col("box") <= F.col("lag")).alias("not_worse"), (F.col("lag") <= F.col("objective")).alias("valid"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -370,4 +495,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q23_solve_mix": q23_solve_mix,
     "q24_leaves_by_subtree": q24_leaves_by_subtree,
     "q25_bound_nodes": q25_bound_nodes,
+    "q26_solver_metrics": q26_solver_metrics,
+    "q27_solve_refused": q27_solve_refused,
+    "q28_nodes_of": q28_nodes_of,
+    "q29_assemble_solution": q29_assemble_solution,
+    "q30_branch_easy": q30_branch_easy,
+    "q31_replace_farmed": q31_replace_farmed,
+    "q32_plan_accessors": q32_plan_accessors,
+    "q33_select_depth_first": q33_select_depth_first,
+    "q34_prune_halt_max": q34_prune_halt_max,
+    "q35_mix_bounds": q35_mix_bounds,
 }

@@ -22,7 +22,6 @@ from lattica.sources.tables import table, with_row_key
 N_BUCKETS = 40          # bucket = l_suppkey % 40
 HARD_QTY = 25           # is_hard = l_quantity >= 25
 N_GROUPS = 24           # grp = l_partkey % 24
-MIX_MAX_LINES = 5
 MIX_MAX_UNITS = 2
 MIX_COVER_NUM, MIX_COVER_DEN = 7, 10   # ceil(70 %) as (7 * W + 9) div 10
 
@@ -64,11 +63,9 @@ def selection_program(spark: SparkSession, sf_dir: str) -> Program:
 
 
 def mix_program(spark: SparkSession, sf_dir: str) -> Program:
-    """Orders of at most 5 lines; x in 0..2; min Σ v·x; Σ w·x >= ceil(0.7 Σ w); Σ x = n."""
+    """One program per order: x in 0..2; min Σ v·x; Σ w·x >= ceil(0.7 Σ w); Σ x = n."""
     it = items(spark, sf_dir)
-    per_order = it.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("W")) \
-        .where(F.col("n") <= MIX_MAX_LINES)
-    it = it.join(per_order.select("l_orderkey"), "l_orderkey", "left_semi")
+    per_order = it.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("W"))
     vars = it.select(F.col("l_orderkey").alias("problem_id"), F.col("item_id").alias("var"),
                      F.lit(0.0).alias("lb"), F.lit(float(MIX_MAX_UNITS)).alias("ub"),
                      F.col("v").cast("double").alias("obj"), F.lit(True).alias("is_int"))

@@ -1,20 +1,16 @@
-"""Level-synchronous branch and bound over many programs at once.
-
-One loop turn = one tree level for every open node of every problem:
-
-    propagate → node_stats → best candidate per problem (incumbent)
-              → prune (bound vs incumbent, gap) → branch → next level
-
-The open nodes live in an *expanded* frontier (one row per node × variable)
-hash-partitioned by ``(problem_id, node_id)``; propagation, bounds, candidates
-and the branching choice group on supersets of that key and run without a
-shuffle.  Per level there is one full shuffle (children to their partitions)
-and a few node-sized ones (per-problem best, prune join).  Each level is cut
-from its lineage with a reliable ``checkpoint`` into ``spark.checkpoint.dir``,
-so a lost executor only recomputes the current level.  A level is one Spark
-action: its children and its new incumbents are written by the same
-checkpoint, and the level's counters come back through an ``Observation`` (one
-small row); no node, solution or count list is collected to the driver.
+"""Level-synchronous branch and bound over many programs at once.
+
+One loop turn = one tree level for the open nodes of every problem:
+
+    evaluate (join to the model) → best candidate per problem (incumbent)
+    → prune and halt → [budget: the rest waits] → branch → next level
+
+with the same operators that stand alone in ``operators``.  The frontier holds
+one small row per open node (bounds that differ from the model's); model columns
+never travel with it.  Evaluated nodes, incumbents and the next frontier are
+reliable checkpoints, so a lost executor costs one step of one level; the
+session's ``spark.cleaner.referenceTracking.cleanCheckpoints`` deletes those of
+earlier levels.  Counters come back through Observations (one small row each).
 """
 
 from __future__ import annotations
@@ -22,205 +18,125 @@ from __future__ import annotations
 import os
 import sys
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica import schemas
-from lattica.operators.bounds import (
-    NODE_KEY, _memo, candidate_value, collapse_frontier, expand_frontier, node_stats, prepare_model, propagate,
-)
-from lattica.session import cut, shuffle_partitions
-from lattica.sources.program import PID, Program, root_nodes
-
-# Fixed defaults (reference parameters): iteration limit 100, 40 buckets.
-MAX_ITERATIONS = 100
+from lattica.operators.balance import count_by_bucket, select_nodes
+from lattica.operators.bounds import NODE_KEY, by_reduced_cost, evaluate, evaluation, prepare_model
+from lattica.operators.report import metrics_row
+from lattica.operators.search import best_solution, branch, halt_subtrees, prune_nodes
+from lattica.session import cut
+from lattica.sources.program import PID, Program, root_nodes, unsupported_problems, without_problems
+
 N_BUCKETS = 40
-IMPROVE_EPS = 1e-9   # strict improvement for non-integral objectives
-WIN = "#"            # pseudo node holding a level's new incumbent values
+_INCUMBENT = "problem_id bigint, objective double, status string, values array<double>"
 
 
 @dataclass
 class SolveResult:
     incumbent: DataFrame          # problem_id, objective, status, values
     frontier: DataFrame           # open nodes left at the iteration limit (map form)
-    metrics: DataFrame            # run_metrics rows, one per level
+    metrics: DataFrame            # run_metrics rows, one per level (and bucket, if tracked)
     levels: int = 0
     nodes: int = 0
     level_nodes: list = field(default_factory=list)
 
 
-def _pruned(bound: F.Column, inc: F.Column, rel_gap: float) -> F.Column:
-    """A node is dropped when its bound cannot beat the incumbent (>= when
-    minimising, F2), or when it is within ``rel_gap`` of it (F3's gap test
-    with |incumbent| in the denominator, D8)."""
-    cond = bound >= inc - IMPROVE_EPS
-    if rel_gap > 0:
-        cond = cond | ((inc - bound) <= F.lit(rel_gap) * (F.abs(inc) + F.lit(1e-10)))
-    return inc.isNotNull() & cond
-
-
-def solve(program: Program, max_iterations: int = MAX_ITERATIONS, rel_gap: float = 0.0,
-          method: str = "lagrangian", n_buckets: int = N_BUCKETS, rounds: int = 2,
-          n_partitions: int | None = None) -> SolveResult:
+def solve(program: Program, max_iterations: int | None = None, rel_gap: float = 0.0, method: str = "lagrangian",
+          n_buckets: int = N_BUCKETS, rounds: int = 2, frontier: DataFrame | None = None, incumbent: DataFrame | None = None,
+          budget: int | None = None, depth_first: bool = False, branch_rule: Callable[[Column], Column] = by_reduced_cost,
+          easy_when: Column | None = None, track: bool = False) -> SolveResult:
     """Solve every program of the batch to optimality (or to ``rel_gap``).
 
     Returns the incumbent per problem in the program's own sense, with status
-    ``optimal`` (search finished, gap 0), ``feasible`` (iteration limit or gap
-    > 0), ``infeasible`` or ``unknown`` (limit hit without a solution).
+    ``optimal`` (search finished, gap 0), ``feasible`` (open nodes left, or gap
+    > 0), ``infeasible``, ``unknown`` (open nodes and no solution) or ``error``
+    (continuous variables, infinite bounds, duplicate or unknown entries: the
+    problem is not touched).
+
+    ``max_iterations`` levels are done at most; ``frontier`` and ``incumbent`` of
+    such a result go on with it.  ``budget`` expands that many nodes per bucket
+    and level, best bound first or deepest first; the others wait, none is
+    dropped.  ``rel_gap`` halts whole subtrees.  ``track`` adds metrics rows per
+    bucket, read from the levels' checkpoints.
     """
     spark = program.vars.sparkSession
-    n = n_partitions or shuffle_partitions(spark)
-    sign = program.sign
-
-    model = cut(prepare_model(program, method).repartition(n, PID))
-    root_obs = Observation("lattica_root")
-    fe = cut(expand_frontier(root_nodes(program.vars, n_buckets), model, n)
-             .observe(root_obs, F.count_if("lead").alias("n_nodes")))
-    n_open = root_obs.get["n_nodes"]
-
-    levels: list[DataFrame] = []   # checkpoint of every level (children + new incumbents)
-    metrics_rows = []
-    level_nodes = []
-    total_nodes = 0
-    level = 0
-    open_left = n_open > 0
+    sense, sign = program.sense, program.sign
+    bad = cut(unsupported_problems(program))
+    clean = without_problems(program, bad)
+    model = cut(prepare_model(clean, method))
+    steps = evaluation(sign, rounds, branch_rule)
+
+    names = model.select(PID, "names")
+    if incumbent is None:
+        best = spark.createDataFrame([], _INCUMBENT)
+    else:
+        known = incumbent.where(F.col("values").isNotNull()).join(names, PID)
+        best = cut(known.select(PID, "objective", F.lit(schemas.FEASIBLE).alias("status"),
+                                F.transform("names", lambda n: F.try_element_at("values", n)).alias("values")))
+    start = frontier if frontier is not None else root_nodes(clean.vars, n_buckets)
+    seen = Observation("lattica_root")
+    open_ = cut(start.join(bad, PID, "left_anti").select(*[f.name for f in schemas.FRONTIER.fields]).observe(seen, F.count(F.lit(1)).alias("n")))
+    n_open = seen.get["n"]
+
+    level, total, level_nodes, metrics = 0, 0, [], []
     trace = os.environ.get("LATTICA_TRACE") == "1"
-    while open_left and level < max_iterations:
+    while n_open and (max_iterations is None or level < max_iterations):
         t0 = time.perf_counter()
-        # The one full shuffle of the level: cluster the level's rows by node.
-        nodes = fe.where(F.col("node_id") != WIN)
-        # Used by the stats, the children and the incumbent values of the same
-        # job: persisted so the level's windows run once (dropped after the cut).
-        fep = propagate(nodes.repartition(n, PID, "node_id"), rounds).persist(StorageLevel.MEMORY_AND_DISK)
-        st = node_stats(fep, rel_gap).persist(StorageLevel.MEMORY_AND_DISK)
-
-        # Best candidate of this level per problem, against the carried incumbent.
-        ex = _memo(("loop", rel_gap), lambda: _loop_exprs(rel_gap))
-        per_problem = st.groupBy(PID).agg(*ex["pp_aggs"]).select(*ex["pp_cols"])
-        stk = st.drop("lam_n").join(per_problem, PID)
-
-        # Prune and branch (F2, F3, P4, P5): children of the kept nodes.
-        keep = stk.where(ex["keep"]).select(*ex["keep_cols"])
-        children = branch_expanded(fep, keep)
-        # New incumbents ride along as rows of a pseudo node '#' (value in lb/ub,
-        # objective in pbound, level in depth): same job, same checkpoint.
-        winners = stk.where(ex["winner"]).select(*ex["winner_cols"])
-        vals = fep.join(winners, NODE_KEY).select(*ex["vals_head"], F.lit(level).alias("depth"), *ex["vals_tail"])
-        obs = Observation(f"lattica_level_{level}")
-        t_built = time.perf_counter()
-        fe = cut(children.unionByName(vals).observe(obs, *ex["observed"]))
-        levels.append(fe)
-        n_children = obs.get["n_children"]
+        chosen = open_
+        if budget is not None:
+            order = F.lit(sign) * F.coalesce("bound", F.lit(sign * float("-inf")))
+            chosen = cut(select_nodes(open_.withColumn("_o", order), budget, order="_o", tie=tuple(NODE_KEY), depth_first=depth_first).drop("_o"))
+        counted = Observation(f"lattica_level_{level}")
+        nodes = cut(evaluate(chosen, model, steps).observe(
+            counted, F.count(F.lit(1)).alias("n"), F.count_if("is_easy").alias("n_easy"), F.count(F.col("cand_obj")).alias("n_candidates"),
+            F.count_if(F.col("infeasible") | F.col("all_fixed")).alias("n_done")))
+        at = counted.get
+        if at["n_candidates"]:
+            points = nodes.where("cand_obj is not null").select(
+                PID, F.col("cand_obj").alias("objective"), F.lit(schemas.FEASIBLE).alias("status"), F.col("cand_x").alias("values"), "node_id")
+            best = cut(best_solution(points, best, sense))
+        kept = prune_nodes(nodes.where(~F.col("infeasible") & F.col("var").isNotNull()), best, sense)
+        if rel_gap > 0:
+            kept = halt_subtrees(kept, best, rel_gap, sense)
+        children = branch(kept, easy_when)
+        if budget is not None:
+            children = children.unionByName(open_.join(chosen.select(*NODE_KEY), NODE_KEY, "left_anti"))
+        seen = Observation(f"lattica_next_{level}")
+        before, open_ = open_, cut(children.observe(seen, F.count(F.lit(1)).alias("n")))
+        n_next = seen.get["n"]
+        waiting = n_open - at["n"]
+        n_branched = (n_next - waiting) // 2
+        if track:
+            metrics.append(metrics_row(spark, level, count_by_bucket(before, n_buckets), "solve", at["n"] - n_branched - at["n_done"], at["n_done"]))
+        else:
+            row = (level, None, at["n_easy"], at["n"] - at["n_easy"], None, n_open, at["n"] - n_branched - at["n_done"], at["n_done"], "solve")
+            metrics.append(spark.createDataFrame([row], schemas.RUN_METRICS))
         if trace:
-            print(f"level {level}: {n_open} nodes, {n_children} children, {time.perf_counter() - t0:.2f}s"
-                  f" (build {t_built - t0:.2f}s)",
-                  file=sys.stderr, flush=True)
-        st.unpersist()
-        fep.unpersist()
-
-        n_kept = n_children // 2
-        metrics_rows.append((level, None, 0, n_open, None, n_open, n_open - n_kept, None, "solve"))
-        level_nodes.append(n_open)
-        total_nodes += n_open
-        level += 1
-        n_open = n_children
-        open_left = n_children > 0
-
-    frontier = collapse_frontier(fe.where(F.col("node_id") != WIN)) if open_left \
-        else spark.createDataFrame([], schemas.FRONTIER)
-    if open_left:
-        frontier = frontier.withColumn("bound", F.lit(sign) * F.col("bound"))
-    incumbent = _final_incumbent(program, levels, fe if open_left else None, rel_gap, sign)
-    metrics = spark.createDataFrame(metrics_rows, schemas.RUN_METRICS)
-    return SolveResult(incumbent, frontier, metrics, level, total_nodes, level_nodes)
-
-
-def _loop_exprs(rel_gap: float) -> dict:
-    """Column expressions of the level loop (built once per JVM and gap)."""
-    improved = F.col("obj").isNotNull() & (F.col("inc").isNull() | (F.col("obj") < F.col("inc") - IMPROVE_EPS))
-    x = candidate_value(F.col("w_kind"), F.col("w_lam"))
-    return {
-        "pp_aggs": [
-            F.min("inc").alias("inc"),
-            # A struct with a null field is not null and sorts first: order only rows with a candidate.
-            F.min_by(F.struct("node_id", "cand_kind", "lam_n"),
-                     F.when(F.col("cand_obj").isNotNull(), F.struct("cand_obj", "node_id"))).alias("w"),
-            F.min("cand_obj").alias("obj")],
-        "pp_cols": [
-            F.col(PID), F.col("w.node_id").alias("w_node"), F.col("w.cand_kind").alias("w_kind"),
-            F.col("w.lam_n").alias("w_lam"), F.col("obj"),
-            improved.alias("improved"), F.when(improved, F.col("obj")).otherwise(F.col("inc")).alias("new_inc")],
-        "keep": (~F.col("infeasible") & ~F.col("all_fixed") & F.col("bvar").isNotNull()
-                 & ~_pruned(F.col("bound"), F.col("new_inc"), rel_gap)),
-        "keep_cols": [F.col(c) for c in (*NODE_KEY, "bvar", "split", "bound", "new_inc")],
-        "winner": F.col("improved") & (F.col("node_id") == F.col("w_node")),
-        "winner_cols": [F.col(c) for c in (*NODE_KEY, "w_kind", "w_lam", "obj")],
-        "vals_head": [F.col(PID), F.lit(WIN).alias("node_id")] + [
-            F.lit(None).cast(t).alias(c) for c, t in (("parent_id", "string"), ("subtree_id", "string"),
-                                                      ("subtree_root_depth", "int"), ("bucket", "int"))],
-        "vals_tail": [F.lit(False).alias("is_easy"), F.col("obj").alias("pbound"),
-                      F.lit(None).cast("double").alias("inc"), F.col("int_obj"), F.col("lam_b"), F.col("var"),
-                      x.alias("lb"), x.alias("ub")] + [F.col(c) for c in ("vlb", "vub", "c", "rc", "terms")] + [
-                      F.lit(False).alias("lead")],
-        "observed": [F.count_if("lead").alias("n_children"),
-                     F.count_if(F.col("node_id") == WIN).alias("n_win_rows")],
-    }
-
-
-def branch_expanded(expanded: DataFrame, choice: DataFrame) -> DataFrame:
-    """Two children per chosen node in expanded form (P4): the down child gets
-    ``ub = split`` and the up child ``lb = split + 1`` on the branching variable;
-    every other variable keeps the parent's (propagated) bounds.  Children carry
-    the parent's bound and the problem's incumbent.  Node id = parent id + 0/1."""
-    j = expanded.drop("inc").join(choice, NODE_KEY)
-    side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
-    j = j.select("*", side)
-    on_var = F.col("var") == F.col("bvar")
-    return j.select(
-        PID,
-        F.concat(F.col("node_id"), F.col("side").cast("string")).alias("node_id"),
-        F.col("node_id").alias("parent_id"), "subtree_id", "subtree_root_depth", "bucket",
-        (F.col("depth") + 1).alias("depth"), F.lit(False).alias("is_easy"),
-        F.col("bound").alias("pbound"), F.col("new_inc").alias("inc"), "int_obj", "lam_b",
-        "var",
-        F.when(on_var & (F.col("side") == 1), F.col("split") + 1).otherwise(F.col("lb")).alias("lb"),
-        F.when(on_var & (F.col("side") == 0), F.col("split")).otherwise(F.col("ub")).alias("ub"),
-        "vlb", "vub", "c", "rc", "terms", on_var.alias("lead"),
-    )
-
-
-def _final_incumbent(program: Program, levels: list[DataFrame], open_fe: DataFrame | None,
-                     rel_gap: float, sign: float) -> DataFrame:
-    """Best logged solution per problem (earliest on ties, D14) and its status.
-
-    The '#' rows of every level hold that level's new incumbents; they are
-    folded per (problem, level) into a map and the best per problem wins.
-    """
-    spark = program.vars.sparkSession
-    problems = program.vars.select(PID).distinct()
-    if levels:
-        wins = reduce(DataFrame.unionByName, [lv.where(F.col("node_id") == WIN) for lv in levels])
-        sols = wins.groupBy(PID, F.col("depth").alias("level")).agg(
-            F.any_value("pbound").alias("objective"),
-            F.map_from_entries(F.collect_list(F.struct("var", "lb"))).alias("values"))
-        best = sols.groupBy(PID).agg(F.min_by(F.struct("objective", "values"), F.struct("objective", "level")).alias("b"))
-        best = best.select(PID, F.col("b.objective").alias("objective"), F.col("b.values").alias("values"))
-    else:
-        best = spark.createDataFrame([], "problem_id bigint, objective double, values map<string,double>")
-    out = problems.join(best, PID, "left")
-    if open_fe is not None:
-        still = open_fe.where(F.col("node_id") != WIN).select(PID).distinct().withColumn("open", F.lit(True))
-        out = out.join(still, PID, "left")
-    else:
-        out = out.withColumn("open", F.lit(None).cast("boolean"))
-    is_open = F.coalesce(F.col("open"), F.lit(False))
-    has = F.col("objective").isNotNull()
-    status = (F.when(has & ~is_open & F.lit(rel_gap <= 0), F.lit(schemas.OPTIMAL))
+            print(f"level {level}: {n_open} open, {at['n']} expanded, {n_next} next, {time.perf_counter() - t0:.2f}s", file=sys.stderr, flush=True)
+        level_nodes.append(at["n"])
+        total += at["n"]
+        level, n_open = level + 1, n_next
+
+    result = _with_status(program, names, best, open_, bad, rel_gap)
+    table = reduce(DataFrame.unionByName, metrics) if metrics else spark.createDataFrame([], schemas.RUN_METRICS)
+    return SolveResult(result, open_, table, level, total, level_nodes)
+
+
+def _with_status(program: Program, names: DataFrame, best: DataFrame, open_: DataFrame, bad: DataFrame, rel_gap: float) -> DataFrame:
+    """Every problem of the batch with its objective, status and values as a map."""
+    out = (program.vars.select(PID).distinct().join(names, PID, "left").join(best.drop("status"), PID, "left")
+           .join(open_.select(PID).distinct().withColumn("_open", F.lit(True)), PID, "left")
+           .join(bad.select(PID).withColumn("_bad", F.lit(True)), PID, "left"))
+    still, has = F.coalesce("_open", F.lit(False)), F.col("objective").isNotNull()
+    status = (F.when(F.col("_bad"), F.lit(schemas.ERROR))
+              .when(has & ~still & F.lit(rel_gap <= 0), F.lit(schemas.OPTIMAL))
               .when(has, F.lit(schemas.FEASIBLE))
-              .when(is_open, F.lit(schemas.UNKNOWN))
+              .when(still, F.lit(schemas.UNKNOWN))
               .otherwise(F.lit(schemas.INFEASIBLE)))
-    return out.select(PID, (F.lit(sign) * F.col("objective")).alias("objective"), status.alias("status"), "values")
+    return out.select(PID, "objective", status.alias("status"), F.map_from_arrays("names", "values").alias("values"))

@@ -63,8 +63,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialise ``df`` reliably and drop its lineage (survives executor loss).
+
+    Needs the session's shared checkpoint folder: ``spark.checkpoint.dir`` on a
+    cluster, ``ensure_checkpoint_dir`` in tests, benches and tools.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(configured)
     # An eager reliable checkpoint computes the plan once and writes it.
     return df.checkpoint(eager=True)
 

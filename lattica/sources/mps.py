@@ -8,9 +8,13 @@ chunk (a window over one split) or else the last header of the earlier
 chunks (a prefix over the small per-chunk table).  Records are split on
 whitespace and typed by section into the ``vars`` / ``cons`` / ``coefs`` tables.
 
-Supported: NAME, ROWS (N/L/G/E), COLUMNS with INTORG/INTEND markers, RHS,
-RANGES (turns a row into two), BOUNDS (UP LO FX FR MI PL BV LI UI), ENDATA.
-Default bounds are [0, +inf); the engine needs finite integer boxes, which
+Supported: NAME, OBJSENSE (per file), ROWS (N/L/G/E), COLUMNS with INTORG/INTEND
+markers, RHS, RANGES (turns a row into two), BOUNDS (UP LO FX FR MI PL BV LI UI),
+ENDATA.  The first N row in the file is the objective, further ones are left
+out.  RHS, RANGES and BOUNDS lines may lack the set name.  A right-hand side of
+the objective is the negative of a constant, kept as a variable ``#constant``
+fixed at 1.  Default bounds are [0, +inf); a negative UP without a lower bound
+frees the lower one.  The engine needs finite integer boxes, which
 ``check_program`` reports.
 """
 
@@ -53,10 +57,22 @@ def last_before(df: DataFrame, value, out: str, key: str = "file") -> DataFrame:
             .drop("_v", "_in", "_carry")
 
 
+def _pairs(s: DataFrame) -> DataFrame:
+    """(problem_id, con, val) of RHS or RANGES lines, with or without a set name:
+    one or two (row, value) pairs; an odd number of fields means a name leads."""
+    named = F.size("tok") % 2 == 1
+    at = lambda k: F.when(named, F.get(F.col("tok"), F.lit(k + 1))).otherwise(F.get(F.col("tok"), F.lit(k)))
+    both = s.select("problem_id", F.explode(F.array(
+        F.struct(at(0).alias("con"), at(1).alias("val")), F.struct(at(2).alias("con"), at(3).alias("val")))).alias("e"))
+    return both.where(F.col("e.val").isNotNull()).select("problem_id", F.col("e.con").alias("con"), F.col("e.val").cast("double").alias("val"))
+
+
 def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
     """MPS lines ``(file, [chunk,] line_no, line)`` → a program batch, one problem per file.
 
     ``problem_id`` defaults to ``xxhash64(file)``; pass a Column to override.
+    ``sense`` is the batch's, and that of files without an OBJSENSE; the costs of a
+    file with the other sense are negated, so its objective comes out negated.
     Without a ``chunk`` column, lines are chunked by ``line_no div 2^20``.
     """
     if "chunk" not in lines.columns:
@@ -65,15 +81,22 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
     head = F.split(F.trim("line"), r"\s+").getItem(0)
     is_header = ~F.col("line").rlike(r"^\s") & head.isin(*SECTIONS)
     l = last_before(l, F.when(is_header, head), "section")
-    l = l.where(~is_header).withColumn("tok", F.split(F.trim("line"), r"\s+"))
+    # "OBJSENSE MAX" on one line is a header with its value.
+    inline = is_header & (head == "OBJSENSE") & (F.size(F.split(F.trim("line"), r"\s+")) > 1)
+    text = F.when(inline, F.regexp_replace(F.trim("line"), r"^\S+\s+", "")).otherwise(F.trim("line"))
+    l = l.where(~is_header | inline).withColumn("tok", F.split(text, r"\s+"))
     pid = problem_id if problem_id is not None else F.xxhash64("file")
     # The classified lines feed five readers (rows, columns, rhs, ranges,
     # bounds): one reliable checkpoint instead of five recomputations.
     l = cut(l.select("file", "chunk", "line_no", "section", "tok", pid.cast("bigint").alias("problem_id")))
 
     rows = l.where(F.col("section") == "ROWS").select(
-        "problem_id", F.upper(F.get(F.col("tok"), 0)).alias("type"), F.get(F.col("tok"), 1).alias("con"))
-    obj_row = rows.where(F.col("type") == "N").groupBy("problem_id").agg(F.min("con").alias("obj_row"))
+        "problem_id", F.upper(F.get(F.col("tok"), 0)).alias("type"), F.get(F.col("tok"), 1).alias("con"), "chunk", "line_no")
+    # The first N row of the file is the objective; others are free rows without effect.
+    obj_row = rows.where(F.col("type") == "N").groupBy("problem_id").agg(F.min_by("con", F.struct("chunk", "line_no")).alias("obj_row"))
+    other = "max" if sense == "min" else "min"
+    flipped = (l.where(F.col("section") == "OBJSENSE").groupBy("problem_id")
+               .agg(F.max(F.lower(F.substring(F.get(F.col("tok"), F.lit(0)), 1, 3)) == other).alias("flip")))
 
     col = l.where(F.col("section") == "COLUMNS")
     marker = F.get(F.col("tok"), 1) == "'MARKER'"
@@ -89,18 +112,15 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
         .select("problem_id", "var", "is_int", F.col("e.con").alias("con"), F.col("e.val").cast("double").alias("coef"))
     e = entries.join(obj_row, "problem_id", "left")
     obj = e.where(F.col("con") == F.col("obj_row")).groupBy("problem_id", "var").agg(F.sum("coef").alias("obj"))
-    coefs = e.where(F.col("con") != F.col("obj_row")).select("problem_id", "con", "var", "coef")
+    free_rows = rows.where(F.col("type") == "N").select("problem_id", "con")
+    coefs = e.join(free_rows, ["problem_id", "con"], "left_anti").select("problem_id", "con", "var", "coef")
     var_int = entries.groupBy("problem_id", "var").agg(F.max("is_int").alias("is_int"))
 
-    def pairs(section):
-        s = l.where(F.col("section") == section)
-        return s.select("problem_id", F.explode(F.array(
-            F.struct(F.get(F.col("tok"), 1).alias("con"), F.get(F.col("tok"), 2).alias("val")),
-            F.struct(F.get(F.col("tok"), 3).alias("con"), F.get(F.col("tok"), 4).alias("val")))).alias("e")) \
-            .where(F.col("e.con").isNotNull()) \
-            .select("problem_id", F.col("e.con").alias("con"), F.col("e.val").cast("double").alias("val"))
-    rhs = pairs("RHS").groupBy("problem_id", "con").agg(F.sum("val").alias("rhs"))
-    ranges = pairs("RANGES").groupBy("problem_id", "con").agg(F.sum("val").alias("rng"))
+    all_rhs = _pairs(l.where(F.col("section") == "RHS"))
+    rhs = all_rhs.groupBy("problem_id", "con").agg(F.sum("val").alias("rhs"))
+    ranges = _pairs(l.where(F.col("section") == "RANGES")).groupBy("problem_id", "con").agg(F.sum("val").alias("rng"))
+    constant = rhs.join(obj_row, "problem_id").where((F.col("con") == F.col("obj_row")) & (F.col("rhs") != 0)).select(
+        "problem_id", F.lit("#constant").alias("var"), F.lit(1.0).alias("lb"), F.lit(1.0).alias("ub"), (-F.col("rhs")).alias("obj"), F.lit(True).alias("is_int"))
     base = rows.where(F.col("type") != "N").join(rhs, ["problem_id", "con"], "left") \
                .join(ranges, ["problem_id", "con"], "left") \
                .withColumn("rhs", F.coalesce("rhs", F.lit(0.0)))
@@ -126,9 +146,15 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
             "var", "coef"))
     cons = plain.unionByName(ranged)
 
+    # Type, [set,] variable, [value]: types without a value have two or three fields.
+    bt = F.upper(F.get(F.col("tok"), F.lit(0)))
+    valued = ~bt.isin("FR", "MI", "PL", "BV")
+    fields = F.size("tok") - F.when(valued, F.lit(1)).otherwise(F.lit(0))
     b = l.where(F.col("section") == "BOUNDS").select(
-        "problem_id", F.upper(F.get(F.col("tok"), 0)).alias("bt"), F.get(F.col("tok"), 2).alias("var"),
-        F.get(F.col("tok"), 3).cast("double").alias("val"))
+        "problem_id", bt.alias("bt"),
+        # A value may follow BV and the like all the same: then there are four fields.
+        F.when(~valued & (F.size("tok") >= 4), F.get(F.col("tok"), F.lit(2))).otherwise(F.get(F.col("tok"), fields - 1)).alias("var"),
+        F.when(valued, F.get(F.col("tok"), F.size("tok") - 1)).cast("double").alias("val"))
     bb = b.groupBy("problem_id", "var").agg(
         F.max(F.when(F.col("bt").isin("LO", "LI", "FX"), F.col("val"))
               .when(F.col("bt").isin("FR", "MI"), F.lit(float("-inf")))
@@ -137,12 +163,14 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
               .when(F.col("bt").isin("FR", "PL"), F.lit(float("inf")))
               .when(F.col("bt") == "BV", F.lit(1.0))).alias("bub"),
         F.max(F.col("bt").isin("BV", "LI", "UI")).alias("bint"))
+    lower = F.coalesce("blb", F.when(F.col("bub") < 0, F.lit(float("-inf"))), F.lit(0.0))
     vars = var_int.join(obj, ["problem_id", "var"], "left").join(bb, ["problem_id", "var"], "left").select(
-        "problem_id", "var",
-        F.coalesce("blb", F.lit(0.0)).alias("lb"),
+        "problem_id", "var", lower.alias("lb"),
         F.coalesce("bub", F.lit(float("inf"))).alias("ub"),
         F.coalesce("obj", F.lit(0.0)).alias("obj"),
         (F.col("is_int") | F.coalesce("bint", F.lit(False))).alias("is_int"))
+    vars = vars.unionByName(constant).join(flipped, "problem_id", "left").withColumn(
+        "obj", F.when(F.col("flip"), -F.col("obj")).otherwise(F.col("obj"))).drop("flip")
     return program_from_tables(vars, cons, coefs_r, sense)
 
 

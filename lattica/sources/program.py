@@ -63,9 +63,10 @@ def program_from_tables(vars: DataFrame, cons: DataFrame, coefs: DataFrame, sens
 def normalized_rows(program: Program) -> DataFrame:
     """All rows as ``a·x <= b``: ``>=`` rows negated, ``=`` rows split in two.
 
-    Output ``(problem_id, row, var, a, b)``; ``row`` is ``con#le`` or ``con#ge``.
+    Output ``(problem_id, row, var, a, b)``; ``row`` is ``con#le`` or ``con#ge``; a
+    constraint without coefficients has one row with a null variable.
     """
-    joined = program.coefs.join(program.cons, [PID, "con"])
+    joined = program.cons.join(program.coefs, [PID, "con"], "left")
     le = joined.where(F.col("sense").isin("<=", "=")).select(
         PID, F.concat(F.col("con"), F.lit("#le")).alias("row"), "var",
         F.col("coef").alias("a"), F.col("rhs").alias("b"))
@@ -75,17 +76,6 @@ def normalized_rows(program: Program) -> DataFrame:
     return le.unionByName(ge)
 
 
-def empty_row_violations(program: Program) -> DataFrame:
-    """Problems with a constraint that has no coefficient and cannot hold (0 vs rhs)."""
-    empty = program.cons.join(program.coefs.select(PID, "con"), [PID, "con"], "left_anti")
-    bad = (
-        ((F.col("sense") == "<=") & (F.col("rhs") < 0))
-        | ((F.col("sense") == ">=") & (F.col("rhs") > 0))
-        | ((F.col("sense") == "=") & (F.col("rhs") != 0))
-    )
-    return empty.where(bad).select(PID).distinct()
-
-
 def check_program(program: Program) -> DataFrame:
     """Problems that break the engine's assumptions, one row per finding.
 
@@ -116,6 +106,21 @@ def check_program(program: Program) -> DataFrame:
             .unionByName(bad_sense).unionByName(continuous).unionByName(infinite).unionByName(empty))
 
 
+#: Findings that make a problem unsolvable here; the others are remarks.
+UNSUPPORTED = ("unknown_var", "duplicate_var", "duplicate_coef", "bad_sense", "continuous_var", "infinite_bound")
+
+
+def unsupported_problems(program: Program) -> DataFrame:
+    """(problem_id) of the problems that the solver must not touch."""
+    return check_program(program).where(F.col("kind").isin(*UNSUPPORTED)).select(PID).distinct()
+
+
+def without_problems(program: Program, problems: DataFrame) -> Program:
+    """The program batch without the given problems (anti join, no collect)."""
+    gone = problems.select(PID)
+    return Program(*(t.join(gone, PID, "left_anti") for t in (program.vars, program.cons, program.coefs)), program.sense)
+
+
 def bucket_of(problem_id: Column | str, n_buckets: int) -> Column:
     """Home bucket of a problem: ``pmod(problem_id, n)`` (not Spark's hash), so the
     bucket number is the partition number under ``repartitionById``."""
@@ -147,5 +152,5 @@ def empty_frontier(spark) -> DataFrame:
 
 __all__ = [
     "Program", "program_from_tables", "normalized_rows", "check_program", "root_nodes",
-    "bucket_of", "empty_frontier", "empty_row_violations", "PID", "T",
+    "bucket_of", "empty_frontier", "unsupported_problems", "without_problems", "UNSUPPORTED", "PID", "T",
 ]

@@ -52,7 +52,7 @@ def test_apply_moves_conserves_and_follows_plan(spark):
         rows += [(f"b{b}m{i}", b, True) for i in range(mov[b])]
     nodes = spark.createDataFrame(rows, "node_id string, bucket int, movable boolean").withColumn("is_easy", F.lit(False))
     moves = B.plan_moves(_counts(spark, old), _counts(spark, mov), 5)
-    out = B.apply_moves(nodes, moves, movable=F.col("movable"))
+    out = B.apply_moves(nodes, moves, movable=F.col("movable"), key="node_id")
     assert out.count() == len(rows)
     after = {r["bucket"]: r["count"] for r in out.groupBy("bucket").count().collect()}
     _, want_load = greedy([o + m for o, m in zip(old, mov)], mov, 5)
@@ -60,9 +60,11 @@ def test_apply_moves_conserves_and_follows_plan(spark):
     assert out.where(~F.col("movable") & F.col("moved")).count() == 0
 
 
-def test_rank_within_is_exact_with_tiny_shards(spark):
+def test_rank_within_is_exact_for_any_number_of_partitions(spark):
     df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("k"))
-    r = B.rank_within(df, "g", "k", rows_per_shard=16)
+    r = B.rank_within(df, "g", "k", n_partitions=40)
+    same = [sorted(map(tuple, B.rank_within(df, "g", "k", F.col("k") != "7", n).collect()), key=str) for n in (1, 3, 60)]
+    assert same[0] == same[1] == same[2] and sum(x[2] is None for x in same[0]) == 1
     per = r.groupBy("g").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"),
                              F.count_distinct("rank").alias("d"), F.count(F.lit(1)).alias("n")).collect()
     for x in per:
@@ -76,12 +78,12 @@ def test_running_agg_and_topk_match_pandas(spark):
     pdf = pd.DataFrame(data, columns=["p", "pos", "v"]).sort_values(["p", "pos"])
     pdf["rmin"] = pdf.groupby("p")["v"].cummin()
     pdf["rsum_rev"] = pdf.iloc[::-1].groupby("p")["v"].cumsum()
-    got = B.running_agg(df, "p", "pos", "v", "min", out="rmin", rows_per_chunk=7)
-    got = B.running_agg(got, "p", "pos", "v", "sum", reverse=True, out="rsum_rev", rows_per_chunk=11).toPandas()
+    got = B.running_agg(df, "p", "pos", "v", "min", out="rmin", n_partitions=7)
+    got = B.running_agg(got, "p", "pos", "v", "sum", reverse=True, out="rsum_rev", n_partitions=50).toPandas()
     m = pdf.merge(got, on=["p", "pos"], suffixes=("", "_s"))
     assert len(m) == 300 and (m["rmin"] == m["rmin_s"]).all() and (m["rsum_rev"] == m["rsum_rev_s"]).all()
     top = B.select_nodes(df.withColumn("node_id", F.col("pos").cast("string")), 4, part="p", order="v",
-                         tie="node_id", rows_per_shard=10).toPandas()
+                         tie="node_id").toPandas()
     for p, g in pdf.assign(node_id=pdf["pos"].astype(str)).groupby("p"):
         want = set(g.sort_values(["v", "node_id"]).head(4)["pos"])
         assert set(top[top["p"] == p]["pos"]) == want
@@ -93,3 +95,52 @@ def test_counts_zero_filled(spark):
     assert c == {0: (0, 0, 0), 1: (1, 1, 1), 2: (0, 0, 0), 3: (0, 1, 1), 4: (0, 0, 0)}
     nr = B.needs_rebalance(B.count_by_bucket(nodes, 5)).first()
     assert nr["min_hard"] == 0 and nr["needs_rebalance"]
+
+
+def test_counts_name_trees_by_problem_and_report_stray_buckets(spark):
+    nodes = spark.createDataFrame([(p, "r", p % 4, False) for p in range(200)] + [(1, "r", None, True), (2, "r", 9, False), (3, "r", -1, False)],
+                                  "problem_id long, subtree_id string, bucket int, is_easy boolean")
+    c = {r["bucket"]: (r["n_easy"], r["n_hard"], r["n_trees"]) for r in B.count_by_bucket(nodes, 4).collect()}
+    assert c == {**{b: (0, 50, 50) for b in range(4)}, None: (1, 2, 3)}
+    assert B.needs_rebalance(B.count_by_bucket(nodes, 4)).first()["min_hard"] == 50
+
+
+def test_surplus_goes_to_one_row_on_ties(spark):
+    df = spark.createDataFrame([(0, 1, "b", 1, 0), (0, 1, "a", 1, 0), (0, 2, "c", 1, 0), (1, 5, "d", 0, 1)], "bucket int, pos int, id string, n_easy int, n_hard int")
+    for tie in ("id", None):
+        got = {r["id"]: (r["share"], r["remaining"]) for r in B.allocate_budget(df, 13.0, tie=tie).collect()}
+        assert sum(s for s, _ in got.values()) == 26.0 and sorted(s for s, _ in got.values()) == [1.0, 1.0, 11.0, 13.0]
+        if tie:
+            assert got == {"a": (11.0, 3), "b": (1.0, 2), "c": (1.0, 1), "d": (13.0, 10)}
+
+
+def test_hot_bucket_outlier_and_repeated_rows(spark):
+    rows = [(0 if i % 100 else 1, float(10**9 if i == 500 else i // 2), i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "bucket int, pos double, v int")
+    pdf = pd.DataFrame(rows, columns=["bucket", "pos", "v"]).sort_values(["bucket", "pos", "v"], kind="stable")
+    pdf["s"] = pdf.groupby("bucket")["v"].cumsum()
+    for n in (1, 16, 200):
+        got = B.running_agg(df, "bucket", "pos", "v", "sum", tie="v", out="s", n_partitions=n).toPandas()
+        assert sorted(map(tuple, got[["bucket", "pos", "v", "s"]].to_numpy().tolist())) == sorted(map(tuple, pdf[["bucket", "pos", "v", "s"]].to_numpy().tolist()))
+
+
+def test_which_rows_move_does_not_depend_on_partitions(spark):
+    rows = [(p, f"n{i:03}", i % 2, i % 3 == 0) for p in range(3) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "problem_id long, node_id string, bucket int, is_easy boolean")
+    moves = spark.createDataFrame([(0, 1, 5), (0, 2, 30), (1, 3, 1)], "src int, dst int, n bigint")
+    runs = [sorted(map(tuple, B.apply_moves(nodes, moves, n_partitions=n).select("problem_id", "node_id", "bucket", "moved").collect())) for n in (1, 5, 64)]
+    assert runs[0] == runs[1] == runs[2]
+    want = {}
+    for b, targets in ((0, [1] * 5 + [2] * 30), (1, [3])):
+        for (p, i, _, _), t in zip(sorted(r for r in rows if r[2] == b and not r[3]), targets):
+            want[p, i] = t
+    assert {(p, i): b for p, i, b, m in runs[0] if m} == want
+
+
+def test_plan_of_many_buckets_and_units_follows_greedy(spark):
+    rnd = random.Random(9)
+    for n in (30, 60):
+        old, mov = [rnd.randrange(60) for _ in range(n)], [rnd.randrange(90) for _ in range(n)]
+        want, _ = greedy([o + m for o, m in zip(old, mov)], mov, 50)
+        got = {(r["src"], r["dst"]): r["n"] for r in B.plan_moves(_counts(spark, old), _counts(spark, mov), 50).collect()}
+        assert got == want
