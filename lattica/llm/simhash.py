@@ -187,12 +187,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
     """One document of each group of near duplicates, with all its columns.
 
     Kept is the one with the smallest doc_id (null before all others); of rows
     that repeat an id, the one whose text has the smallest hash, once.  The
-    default radius is a similarity of fingerprints of 0.92.
+    default radius is a similarity of fingerprints of 0.95.
     """
     columns = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
