@@ -25,6 +25,7 @@ ROUND_EPS = 1e-9      # guard when flooring/ceiling an implied bound
 BOUND_ROUND_EPS = 1e-6  # guard when rounding a bound up for integer objectives
 SUBGRADIENT_STEPS = 60  # root multipliers of programs with several rows
 REPAIR_STEPS = 12       # single changes that may lead a candidate back to all rows
+REPAIR_EVERY = 3        # levels between two repairs on a path
 
 NODE_KEY = [PID, "node_id"]
 
@@ -219,7 +220,7 @@ def evaluation(sign: float, rounds: int = 2, branch_rule: Callable[[Column], Col
     # At a single row's critical entry (rc = 0) the bound that lowers the activity: the greedy fill.
     greedy = F.zip_with(v, F.get(rows, F.lit(0))["a"], lambda e, a: F.coalesce(reduced(e), F.when(a > 0, e["l"]).when(a < 0, e["u"]), cheap(e)))
     by_rc = F.transform(v, lambda e: F.coalesce(reduced(e), cheap(e)))
-    third = F.when(F.size(rows) == 1, greedy).when(F.size(rows) > 1, _repaired(F.col("_xr"), c, x, rows)).otherwise(F.col("_xr"))
+    third = F.when(F.size(rows) == 1, greedy).when((F.size(rows) > 1) & (F.col("depth") % REPAIR_EVERY == 0), _repaired(F.col("_xr"), c, x, rows)).otherwise(F.col("_xr"))
     ok = lambda xs: F.forall(rows, lambda r: _dot(r["a"], xs) <= r["b"] + ROW_EPS)
     point = lambda kind, xs: F.when(ok(xs), F.struct(_dot(c, xs).alias("obj"), F.lit(kind).alias("kind"), xs.alias("xs")))
     free = F.filter(F.transform(v, lambda e, j: F.when(e["l"] < e["u"], F.struct((-branch_rule(e)).alias("s"), j.alias("j")))), lambda e: e.isNotNull())

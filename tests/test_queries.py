@@ -28,7 +28,10 @@ def _rows(cols, rows):
 @pytest.mark.parametrize("name", ["q01_root_nodes", "q08_merge_bounds", "q09_branch", "q11_best_solution",
                                   "q14_halt_subtrees", "q15_split_groups", "q16_count_by_bucket",
                                   "q19_allocate_budget", "q20_plan_moves", "q21_apply_moves",
-                                  "q24_leaves_by_subtree", "q25_bound_nodes"])
+                                  "q24_leaves_by_subtree", "q25_bound_nodes", "q10_bucket_results", "q13_prune_nodes",
+                                  "q17_needs_rebalance", "q18_iteration_budget", "q27_solve_refused", "q28_nodes_of",
+                                  "q29_assemble_solution", "q30_branch_easy", "q31_replace_farmed", "q32_plan_accessors",
+                                  "q33_select_depth_first", "q34_prune_halt_max"])
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
