@@ -4,7 +4,7 @@
   flag and a group, for the balancing operators.
 * ``selection_program``: one 0/1 knapsack per order (maximise value within half
   of the order's quantity).
-* ``mix_program``: orders of at most 5 lines, 0..2 units per line, exactly n
+* ``mix_program``: one program per order, 0..2 units per line, exactly n
   units, at least 70 % of the quantity covered, least value.
 
 Item identity is ``row_key`` (file position), which needs no global sort.
