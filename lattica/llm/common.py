@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lattica.session import ensure_checkpoint_dir
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the named columns, whatever else ``df`` holds (names match by case)."""
@@ -50,9 +52,7 @@ def with_result(df: DataFrame, udf, source: str) -> tuple[DataFrame, str]:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table, under the session's shared checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = ensure_checkpoint_dir(spark)  # the session's; a new local one in an unconfigured local session
     return f"{base.rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
 
 
@@ -70,6 +70,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for the small tables of an iteration."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
