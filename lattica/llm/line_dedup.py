@@ -5,9 +5,8 @@ inserted, deleted or replaced turns one into the other.  Then deleting the word
 at that place from both (or from the longer) leaves the same words, so:
 
 1. equal lines are counted once, as their earliest occurrence;
-2. a line that has a near duplicate shares one half of its words with it, before
-   or after the middle of the shorter; lines that share no half with another
-   go no further (nothing is lost, as one edit leaves one half alone);
+2. of the three thirds of a line, one edit leaves two alone; lines that share no
+   two thirds with another go no further (so nothing is lost);
 3. the others emit the hash of every one-word deletion with its place, and
    their own hash; equal hashes are joined to the earliest line of each;
 4. the words of such a pair are compared, and a line with an earlier near
@@ -31,7 +30,8 @@ MIN_WORDS = 10
 _NO_ID = -(1 << 63)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LINES = "array<struct<line:int,digest:binary,h0:bigint,h1:bigint,h2:bigint,h3:bigint>>"
+_THIRDS = [f"h{i}" for i in range(6)]
+_LINES = f"array<struct<line:int,digest:binary,{','.join(f'{h}:bigint' for h in _THIRDS)}>>"
 
 
 def normalised(line: str) -> list[bytes]:
@@ -39,17 +39,18 @@ def normalised(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-def half_keys(words: list[bytes]) -> list[int]:
-    """Hashes of both halves, as the shorter and as the longer line of a pair.
+def third_keys(words: list[bytes]) -> list[int]:
+    """Hashes of any two thirds, as the shorter and as the longer line of a pair.
 
-    The halves of a pair are those of its shorter line's length: the words before
-    its middle, and as many as follow it, counted from the end.
+    The thirds of a pair are those of its shorter line: what stands before the
+    edit is counted from the start, what follows it from the end.
     """
-    out = []
-    for shorter in (len(words), len(words) - 1):
-        before = shorter // 2
-        for side, half in (("a", words[:before]), ("z", words[len(words) - (shorter - before):])):
-            out.append(xxhash.xxh3_64_intdigest(b" ".join(half) + f" {side}{shorter}".encode()))
+    out, n = [], len(words)
+    for shorter in (n, n - 1):
+        first, second = shorter // 3, 2 * shorter // 3
+        start, end = words[:first], words[n - (shorter - second):]
+        for side, kept in (("a", words[:second]), ("z", words[n - (shorter - first):]), ("m", [*start, b"", *end])):
+            out.append(xxhash.xxh3_64_intdigest(b" ".join(kept) + f" {side}{shorter}".encode()))
     return np.array(out, np.uint64).view(np.int64).tolist()
 
 
@@ -84,8 +85,8 @@ def _lines_of(min_words: int):
             for number, line in enumerate(text.split("\n")):
                 words = normalised(line)
                 if words:
-                    halves = half_keys(words) if len(words) >= min_words else [None] * 4
-                    found.append((number, xxhash.xxh3_128_digest(b" ".join(words)), *halves))
+                    thirds = third_keys(words) if len(words) >= min_words else [None] * len(_THIRDS)
+                    found.append((number, xxhash.xxh3_128_digest(b" ".join(words)), *thirds))
             out.append(found)
         return pd.Series(out)
 
@@ -120,45 +121,46 @@ def _keys(doc_id: Column, text: Column) -> dict[str, Column]:
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest) of the lines that have an earlier line one word away.
 
-    ``distinct``: digest, first (_id, _text, line), h0 to h3 of every distinct
-    line; ``docs``: _id, _text, text.
+    ``distinct``: digest, first (_id, _text, line), h0 to h5 of every distinct
+    line; ``docs``: _id, _text, text.  Up to the pairs, a line goes by a 64-bit
+    hash of its digest; two lines of one hash are told apart by their words.
     """
     words_of = F.pandas_udf(_words_of, "array<struct<line:int,words:string>>")
     variants = F.pandas_udf(_variants, "array<struct<hash:bigint,place:int>>")
     near = F.pandas_udf(_near, "boolean")
-    long = distinct.filter("h0 is not null")
-    keyed = long.select("digest", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
-    shared = written(keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "shared_halves")
+    long = distinct.filter("h0 is not null").withColumn("id", F.xxhash64("digest"))
+    keyed = long.select("id", F.explode(F.array(*_THIRDS)).alias("third"))
+    shared = written(keyed.groupBy("third").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("third"), "shared_thirds")
     # Both sides of these joins are plain shuffles, which adaptive execution may
-    # split where very many lines share a half or a deletion.
-    some = written(keyed.join(shared, "half").select("digest").distinct(), "lines_sharing_halves")
-    some = long.join(some, "digest").select("digest", "first._id", "first._text", "first.line")
+    # split where very many lines share a third or a deletion.
+    some = written(keyed.join(shared, "third").select("id").distinct(), "lines_sharing_thirds")
+    some = long.select("id", "digest", "first._id", "first._text", "first.line").join(some, "id")
+    some = written(some, "lines_to_compare")
     wanted = some.groupBy("_id", "_text").agg(F.collect_list("line").alias("lines"))
     texts = docs.hint("shuffle_hash").join(wanted.hint("shuffle_hash"), ["_id", "_text"])
     texts = texts.select("_id", "_text", F.inline(words_of("text", "lines"))).dropDuplicates(["_id", "_text", "line"])
     lines = written(some.join(texts, ["_id", "_text", "line"])
-                    .select("digest", F.struct("_id", "_text", "line").alias("at"), "words"), "candidate_lines")
-    emitted = written(lines.select("digest", "at", F.inline(variants("words"))), "line_deletions")
+                    .select("id", "digest", F.struct("_id", "_text", "line").alias("at"), "words"), "candidate_lines")
+    emitted = written(lines.select("id", F.inline(variants("words"))), "line_deletions")
     # Hashes that several lines have; of these, the earliest line at each place.
-    several = written(emitted.groupBy("hash").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    several = written(emitted.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b"))
                       .filter("a != b").select("hash"), "shared_deletions")
-    emitted = written(emitted.join(several, "hash"), "joined_deletions")
-    earliest = emitted.groupBy("hash", "place").agg(F.min(F.struct("at", "digest")).alias("e"))
-    earliest = written(earliest.select("hash", "place", "e.at", "e.digest"), "earliest_deletions")
+    emitted = written(emitted.join(several, "hash").join(lines.select("id", "at"), "id"), "joined_deletions")
+    earliest = emitted.groupBy("hash", "place").agg(F.min(F.struct("at", "id")).alias("e"))
+    earliest = written(earliest.select("hash", "place", "e.at", "e.id"), "earliest_deletions")
     # A line meets the earliest that lacks the same place (one word replaced), ...
-    replaced = emitted.filter("place >= 0").join(
-        earliest.select("hash", "place", F.col("at").alias("at0"), F.col("digest").alias("digest0")), ["hash", "place"])
+    first = [F.col("at").alias("at0"), F.col("id").alias("id0")]
+    replaced = emitted.filter("place >= 0").join(earliest.select("hash", "place", *first), ["hash", "place"])
     # ... that is what it leaves (one deleted), ...
-    shorter = earliest.filter("place = -1").select("hash", F.col("at").alias("at0"), F.col("digest").alias("digest0"))
-    deleted = emitted.filter("place >= 0").join(shorter, "hash")
+    deleted = emitted.filter("place >= 0").join(earliest.filter("place = -1").select("hash", *first), "hash")
     # ... and that leaves it (one inserted).
-    longer = written(earliest.filter("place >= 0").groupBy("hash").agg(F.min(F.struct("at", "digest")).alias("e"))
-                     .select("hash", F.col("e.at").alias("at0"), F.col("e.digest").alias("digest0")), "longer_lines")
+    longer = written(earliest.filter("place >= 0").groupBy("hash").agg(F.min(F.struct("at", "id")).alias("e"))
+                     .select("hash", F.col("e.at").alias("at0"), F.col("e.id").alias("id0")), "longer_lines")
     inserted = emitted.filter("place = -1").join(longer, "hash")
-    pairs = [p.filter("at0 < at").select("digest", "digest0") for p in (replaced, deleted, inserted)]
+    pairs = [p.filter("at0 < at").select("id", "id0") for p in (replaced, deleted, inserted)]
     pairs = written(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), "line_pairs")
-    words = lines.select("digest", "words")
-    pairs = pairs.join(words, "digest").join(words.select(F.col("digest").alias("digest0"), F.col("words").alias("words0")), "digest0")
+    pairs = pairs.join(lines.select("id", "digest", "words"), "id").join(
+        lines.select(F.col("id").alias("id0"), F.col("words").alias("words0")), "id0")
     return pairs.filter(near("words", "words0")).select("digest").distinct()
 
 
@@ -170,9 +172,8 @@ def _decided(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("doc_id", *[c.alias(n) for n, c in _keys(F.col("doc_id"), F.col("text")).items()], F.col(name).alias("lines"))
     rows = written(rows, "document_lines")
     lines = rows.select("_id", "_text", F.inline("lines"))
-    halves = [f"h{i}" for i in range(4)]
-    distinct = lines.groupBy("digest").agg(F.min(F.struct("_id", "_text", "line", *halves)).alias("e"))
-    distinct = written(distinct.select("digest", F.struct("e._id", "e._text", "e.line").alias("first"), *[f"e.{h}" for h in halves]), "distinct_lines")
+    distinct = lines.groupBy("digest").agg(F.min(F.struct("_id", "_text", "line", *_THIRDS)).alias("e"))
+    distinct = written(distinct.select("digest", F.struct("e._id", "e._text", "e.line").alias("first"), *[f"e.{h}" for h in _THIRDS]), "distinct_lines")
     whole = slim.select("text", *[c.alias(n) for n, c in _keys(F.col("doc_id"), F.col("text")).items()])
     gone = written(near_lines(distinct, whole), "near_lines")
     kept = distinct.join(gone, "digest", "left_anti").groupBy("first._id", "first._text").agg(F.sort_array(F.collect_list("first.line")).alias("kept_lines"))

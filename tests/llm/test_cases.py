@@ -330,13 +330,13 @@ def test_near_lines_against_all_pairs(spark):
 def test_edit_distance_and_deletions():
     rng = random.Random(4)
     for _ in range(3000):
-        a = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 6))]
-        b = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 6))]
+        a = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 8))]
+        b = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 8))]
         near = a == b or any(a[:i] + a[i + 1:] == b for i in range(len(a))) or any(b[:i] + b[i + 1:] == a for i in range(len(b))) or \
             (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
         assert line_dedup.within_one(a, b) == near
         if near and a != b:
-            assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
+            assert set(line_dedup.third_keys(a)) & set(line_dedup.third_keys(b))
     words = [f"w{i % 7}".encode() for i in range(40)]
     without, _ = line_dedup.deletions(words)
     assert without == [line_dedup.deletions(words[:i] + words[i + 1:])[1] for i in range(40)]
