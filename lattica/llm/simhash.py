@@ -207,8 +207,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     # Equal sets have equal first shingles.
     sets = found.groupBy("node").agg(F.min(F.struct("id", "row", "_key")).alias("first"), F.first("n").alias("n"), F.first("first_shingles").alias("first_shingles"))
     sets = written(sets, "distinct_shingle_sets")
-    texts = flat.select("_key", F.coalesce(text, F.lit("")).alias("text")).join(sets.select("node", "first._key"), "_key").select("node", "text")
-    classes = shingles.groups(sets.select("node", "n", "first_shingles"), texts, words, least)
+    texts = flat.select("_key", F.coalesce(text, F.lit("")).alias("text"))
+    classes = shingles.groups(sets.select("node", "first._key", "n", "first_shingles"), texts, words, least)
     per = sets.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     kept = written(per.groupBy("class").agg(F.min("first").alias("first")).select("first._key"), "kept_documents")
     # The join leaves equal rows together, so repeats go without another shuffle.
