@@ -4,9 +4,12 @@ Every pass draws random directions, concatenates the signs of a vector's
 projections on them to one key, and sorts all vectors by it: near vectors agree
 in the first bits and stand near each other.  Neighbours in a window are
 compared exactly, and the pairs found over all passes are united.  Two vectors
-whose angle is t agree in the first b bits with probability (1 - t / pi)^b; they
-meet in a pass if fewer than a window's vectors share those bits, so the number
-of passes bounds the chance of a miss.
+whose angle is t agree in the first b bits with probability (1 - t / pi)^b.  The
+number of passes follows from the number of vectors, so that a linked pair
+agrees in b bits in some pass with probability ``RECALL`` at least.  Prefixes
+of b bits that at most a window's vectors share lie within the window; the members
+of more crowded ones are compared in bounded tiles, except with those of their
+own class.  So the recall holds for every pair, however the vectors crowd.
 
 Inside the classes found, all pairs are then compared in bounded tiles, so that
 the links of a dense class are all counted however large it is.
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import Union, by_group, cut, pick, written
 from .components import components
 
+#: Passes, at least.
 PASSES = 16
 BITS = 60
+#: Least probability that a pair of the least cosine is compared.
+RECALL = 0.999
 #: Vectors that a vector is compared with on each side in a pass, at least.
 WINDOW = 128
 #: Vectors of one side of a tile.
@@ -38,6 +44,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def passes_and_depth(n: int, least: float, window: int, passes: int | None = None) -> tuple[int, int]:
+    """Passes for ``n`` vectors, and the bits of a prefix in which a pair of cosine
+    ``least`` agrees in one of them with probability ``RECALL``."""
+    same = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi
+    missed = lambda depth, k: (1 - same ** depth) ** k
+    if passes is None:
+        # Evenly spread vectors leave a quarter of a window to a prefix.
+        depth, passes = min(BITS, max(0, int(np.ceil(np.log2(max(1, 4 * n / window)))))), PASSES
+        while missed(depth, passes) > 1 - RECALL:
+            passes += 1
+    return passes, max(d for d in range(BITS + 1) if missed(d, passes) <= 1 - RECALL)
+
+
 def _directions(dim: int, number: int) -> np.ndarray:
     return np.random.default_rng([dim, number, 2024]).standard_normal((dim, BITS))
 
@@ -146,6 +165,42 @@ def window_links(vectors: DataFrame, least: float, passes: int, window: int) ->
     return rows.filter("a is not null").select("a", "b").unionByName(met)
 
 
+def crowded_links(vectors: DataFrame, members: DataFrame, least: float, passes: int, window: int, depth: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between classes, among vectors that share a prefix with more than a window's."""
+    group = ["pass", "dim", "prefix"]
+    keys = _keyed(vectors, passes).select("pass", "dim", F.shiftright("key", BITS - depth).alias("prefix"), "node")
+    keys = written(keys, "prefixes")
+    crowds = cut(keys.groupBy(*group).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > window).select(*group))
+    rows = keys.join(crowds, group).join(members, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    rows = written(rows.select(*group, "node", "class"), "crowded_prefixes")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    sizes = cut(sizes.filter("lo != hi").select(*group, F.ceil(F.col("m") / tile).cast("int").alias("shards")))
+    rows = rows.join(sizes, group).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda other: F.struct(
+        F.least(F.col("shard"), other).alias("i"), F.greatest(F.col("shard"), other).alias("j")))
+    rows = rows.join(vectors.select("node", "vec"), "node").withColumn("tile", F.explode(others))
+    rows = rows.select(*group, "tile.i", "tile.j", "shard", "node", F.xxhash64("class").alias("class"), "vec")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        shard, label = table.column("shard").to_numpy(), table.column("class").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        x = _matrix(table.column("vec"), table.column("dim")[0].as_py())
+        order = np.argsort(label, kind="stable")
+        left, right = order[shard[order] == i], order[shard[order] == j]
+        union = Union(len(x))
+        for lo in range(0, len(left), 256):
+            part = left[lo:lo + 256]
+            # A block of one class meets the others only.
+            to = right if label[part[0]] != label[part[-1]] else right[label[right] != label[part[0]]]
+            p, q = np.nonzero((x[part] @ x[to].T >= least) & (label[part][:, None] != label[to]))
+            for a, b in zip(part[p].tolist(), to[q].tolist()):
+                union.add(a, b)
+        nodes, found = table.column("node").to_pylist(), union.forest()
+        return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.string()), pa.array([nodes[b] for _, b in found], pa.string())], names=["a", "b"])
+
+    return by_group(rows, [*group, "i", "j"], compare, "a string, b string")
+
+
 def count_links(vectors: DataFrame, members: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """(node, links): how many vectors, with copies, each node of a class links with directly."""
     sizes = cut(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -177,13 +232,14 @@ def count_links(vectors: DataFrame, members: DataFrame, least: float, tile: int
     return parts.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.95, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.95, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do vectors of different lengths.  Equal vectors are one
     node with copies.  ``component_id`` is the smallest vec_id that links reach,
     null only if all of the class are null; equal rows are separate vectors.
+    ``passes`` follow from the number of vectors unless given.
     """
     raw = pick(embeddings, "vec_id", "embedding")
     vec = F.col("embedding").cast("array<double>")
@@ -196,7 +252,13 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.95, passes: int = PA
     vectors = written(rows.filter("node is not null").groupBy("node").agg(
         F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("smallest"))
         .withColumn("dim", F.size("vec")), "vectors")
-    members = components(window_links(vectors, least, passes, window))
+    passes, depth = passes_and_depth(vectors.count(), least, window, passes)
+    met = written(window_links(vectors, least, passes, window), "met_links")
+    members = components(met)
+    # Pairs in crowded prefixes that no window brought together.
+    more = written(crowded_links(vectors, members, least, passes, window, depth), "crowded_links")
+    if not more.isEmpty():
+        members = components(met.unionByName(more))
     linked = written(count_links(vectors.select("node", "dim", "vec", "copies"), members, least), "link_counts")
     per = (vectors.select("node", "copies", "smallest").join(members, "node", "left").join(linked, "node", "left")
            .select("node", "smallest", F.coalesce("component", "node").alias("component"),

@@ -199,6 +199,29 @@ def test_dense_class_larger_than_a_window_and_a_tile(spark):
     assert vectors is None and got == dict(enumerate((near.sum(1) - 1).tolist()))
 
 
+def test_isolated_pairs_inside_a_large_topic(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    x = unit(np.sqrt(0.85) * centre + np.sqrt(0.15) * unit(rng.standard_normal((2000, 64))))
+    away = rng.standard_normal((150, 64))
+    away = unit(away - (away * x[:150]).sum(1, keepdims=True) * x[:150])
+    cos = rng.uniform(0.9501, 0.96, (150, 1))
+    x = np.concatenate([x, cos * x[:150] + np.sqrt(1 - cos ** 2) * away])
+    near = x @ x.T >= 0.95
+    assert 2 * 150 <= near.sum() - len(x) < 2 * 400
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, 0.95, window=16).collect()}
+    assert got == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000, 100_000, 10**9])
+def test_passes_reach_the_recall(n):
+    passes, depth = embed_dedup.passes_and_depth(n, 0.95, 128)
+    assert passes >= embed_dedup.PASSES and 2 ** depth * 128 >= 4 * n
+    assert (1 - (1 - np.arccos(0.95) / np.pi) ** depth) ** passes <= 1 - embed_dedup.RECALL
+
+
 def test_language(spark, docs, none):
     got = langid.predict(docs).collect()
     assert len(got) == len(_rows())
