@@ -44,3 +44,27 @@ def test_flagship_totals(spark):
     df = QUERIES["q22_solve_selection"](spark, SF001)
     r = df.selectExpr("count(*) n", "sum(best_v) s").first()
     assert (r["n"], r["s"]) == (1473, 20757609751)
+
+
+def test_root_bounds_are_held_against_the_optimum(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lattica.plans import catalog
+
+    lines = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    lines.filter("l_orderkey <= 40").write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = c.execute(ORACLE["q35_mix_bounds"])
+    cols = [d[0] for d in want.description]
+    got = QUERIES["q35_mix_bounds"](spark, str(tmp_path))
+    assert "best_v" in cols and _rows(got.columns, got.collect()) == _rows(cols, want.fetchall())
+    # A bound above the optimum shows, also where the root has no candidate.
+    plain = catalog.bound_nodes
+
+    def above(nodes, prog, kind, **more):
+        out = plain(nodes, prog, kind, **more)
+        return out if kind == "box" else out.withColumns({"bound": F.lit(1e12), "cand_obj": F.lit(None).cast("double")})
+
+    monkeypatch.setattr(catalog, "bound_nodes", above)
+    assert {r["valid"] for r in QUERIES["q35_mix_bounds"](spark, str(tmp_path)).select("valid").collect()} == {False}
