@@ -21,7 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
 from .common import Union, by_group, cut, pick, with_result, written
 from .components import components
 
@@ -188,28 +187,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns.
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """One document of each group that ``near_duplicates`` links, with all its columns.
 
-    Documents link if the Jaccard similarity of their shingles is ``least`` or
-    more.  At 0.8 fingerprints differ in up to a quarter of their bits, too many
-    for buckets of shared bits, so the links are those of ``shingles``, all of them.
-    Kept is the one with the smallest doc_id (null before all others); of rows
-    that repeat an id, the one whose text has the smallest hash, once.
+    Kept is the one with the smallest doc_id, null before all others; of rows that
+    repeat an id, the one with the smallest hash of all its columns; of equal rows, one.
+    Map columns take no part in that hash.
     """
     columns = docs.columns
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
-    doc_id, text = (F.col(f"_c{columns.index(c)}") for c in ("doc_id", "text"))
-    row = F.xxhash64(F.coalesce(text, F.lit("")))
-    flat = flat.withColumn("_key", F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), F.hex(row)))
-    slim = flat.select(doc_id.alias("id"), row.alias("row"), "_key", text.alias("text"))
-    found = written(shingles.with_shingles(slim, words, least), "document_shingles")
-    # Equal sets have equal first shingles.
-    sets = found.groupBy("node").agg(F.min(F.struct("id", "row", "_key")).alias("first"), F.first("n").alias("n"), F.first("first_shingles").alias("first_shingles"))
-    sets = written(sets, "distinct_shingle_sets")
-    texts = flat.select("_key", F.coalesce(text, F.lit("")).alias("text"))
-    classes = shingles.groups(sets.select("node", "first._key", "n", "first_shingles"), texts, words, least)
-    per = sets.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    kept = written(per.groupBy("class").agg(F.min("first").alias("first")).select("first._key"), "kept_documents")
+    flat, f = fingerprints(docs, words)
+    names = [f"_c{i}" for i in range(len(columns))]
+    flat = flat.toDF(*names, "_f")
+    doc_id = F.col(f"_c{columns.index('doc_id')}")
+    plain = [F.col(n) for n in names if flat.schema[n].dataType.typeName() != "map"]
+    # Which columns are null counts too: the hash itself passes over nulls.
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in plain])
+    row = F.concat(F.hex(F.xxhash64(*plain, nulls)), F.hex(F.xxhash64(nulls, *plain)))
+    slim = written(flat.select(doc_id.alias("id"), row.alias("row"), F.col("_f").alias("f")), "document_fingerprints")
+    per = slim.groupBy("f").agg(F.min(F.struct("id", "row")).alias("first"))
+    per = per.join(groups(slim, radius), "f", "left").withColumn("class", F.coalesce("class", "f"))
+    kept = written(per.groupBy("class").agg(F.min("first").alias("first")).select("first.id", "first.row"), "kept_documents")
+    flat = flat.drop("_f").withColumns({"_id": doc_id, "_row": row})
+    stays = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row"))
     # The join leaves equal rows together, so repeats go without another shuffle.
-    return flat.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").toDF(*columns)
+    return flat.join(kept, stays, "left_semi").dropDuplicates(["_id", "_row"]).drop("_id", "_row").toDF(*columns)
