@@ -33,9 +33,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: a Jaccard similarity of
-    five-word shingles of 0.8 or more."""
-    return simhash.keep_one(docs, words=5, least=0.8)
+    """One document of each group of near duplicates: fingerprints of three-word
+    shingles that differ in three bits at most."""
+    return simhash.keep_one(docs, words=3, radius=3)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
