@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, counts, embed_dedup, langid, line_dedup, pack, quality_cnn, rules, simhash, tokenfile
+from . import bpe, counts, embed_dedup, langid, line_dedup, pack, periodic, quality_cnn, rules, simhash, tokenfile
 from .common import shared_folder
 
 
@@ -67,9 +70,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth text by crc32 of the decimal doc_id repeats some words to its end."""
+    if doc_id is None or not words:
+        return words
+    g, rest = divmod(zlib.crc32(b"%d" % doc_id), 10)
+    if rest:
+        return words
+    n, a = len(words), g % len(words)
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + period] * -(-(n - a) // period))[:n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_table(spark, sf_dir, "documents"), edit=_repeat_tail)
+    # Greatest length first, then smallest start and period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), lines.alias("lines"), "collapsed")
+    return found.select("doc_id", "n_runs", (-F.col("b.s")).alias("start"), F.col("b.l").alias("length"), (-F.col("b.p")).alias("period"),
+                        F.expr("(1000 * b.l) div (-b.p)").alias("exponent_milli"),
+                        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_token_files,
-    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules)}
+    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules, op13_periodic_runs)}
 #: None of them can be said in SQL: they rest on vocabulary files, learned models,
 #: random projections or 64-bit hashes; tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {}
