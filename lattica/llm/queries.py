@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, embed_dedup, langid, line_dedup, pack, periodic, quality_cnn, rules, simhash, tokenfile
+from . import ann_tree, bpe, counts, embed_dedup, langid, line_dedup, pack, periodic, quality_cnn, rules, simhash, tokenfile
 from .common import shared_folder
 
 
@@ -70,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def _repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Every tenth text by crc32 of the decimal doc_id repeats some words to its end."""
     if doc_id is None or not words:
@@ -96,7 +100,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_token_files,
-    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules, op13_periodic_runs)}
+    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules, op12_nearest_neighbours, op13_periodic_runs)}
 #: None of them can be said in SQL: they rest on vocabulary files, learned models,
 #: random projections or 64-bit hashes; tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {}
