@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, counts, embed_dedup, langid, line_dedup, pack, periodic, quality_cnn, rules, simhash, tokenfile
+from . import ann_tree, bpe, counts, embed_dedup, langid, line_dedup, pack, periodic, prefix_trie, quality_cnn, rules, simhash, tokenfile
 from .common import shared_folder
 
 
@@ -70,6 +70,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))
+    convs = prefix_trie.lengths(turns)
+    # The first crc32(decimal id) % 4 turns are those of conversation id - id % 20 (the remainder has the sign of the id, as in SQL).
+    source, n = F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie.prefix_trie(*prefix_trie.borrowed_turns(turns, convs, source, n, 3))
+
+
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -100,7 +108,30 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_byte_bpe, op4_embedding_dedup, op5_language_id, op6_token_files,
-    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules, op12_nearest_neighbours, op13_periodic_runs)}
-#: None of them can be said in SQL: they rest on vocabulary files, learned models,
+    op7_quality_classifier, op8_line_dedup, op9_simhash_dedup, op10_quality_rules, op11_prefix_trie, op12_nearest_neighbours, op13_periodic_runs)}
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, CAST(3988292384 AS BIGINT)) ELSE r // 2 END)), CAST(4294967295 AS BIGINT))"""
+
+#: The others can't be said in SQL: they rest on vocabulary files, learned models,
 #: random projections or 64-bit hashes; tests/llm compares them with brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_prefix_trie": f"""
+WITH conv AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+len AS (SELECT conv_id, max(pos) AS n FROM conv GROUP BY 1),
+plan AS (SELECT c.conv_id, h, least(h, coalesce(s.n, 0)) AS m, c.n - h AS own, c.conv_id - c.conv_id % 20 AS source
+  FROM (SELECT conv_id, n, {_CRC32.replace("CAST(c AS", "CAST(conv_id AS")} % 4 AS h FROM len) c LEFT JOIN len s ON s.conv_id = c.conv_id - c.conv_id % 20),
+turns AS (SELECT plan.conv_id, pos AS d, role, text FROM plan JOIN conv ON conv.conv_id = source AND pos <= h
+  UNION ALL SELECT conv_id, pos - h + m, role, text FROM plan JOIN conv USING (conv_id) WHERE pos > h),
+steps AS (SELECT conv_id, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER
+  (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM len),
+prefixes AS (SELECT *, lag(path) OVER w AS parent, lead(path) OVER w IS NULL AS ends FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+nodes AS (SELECT d, path, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2),
+children AS (SELECT d - 1 AS d, parent AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1, 2),
+-- Every ancestor of a node, and itself, is a prefix of its smallest member.
+above AS (SELECT a.d, a.path, count(*) FILTER (WHERE c.k IS NULL) AS leaves, sum((nodes.n - 1) * nodes.words) AS saved
+  FROM nodes JOIN prefixes a ON a.conv_id = nodes.conv_id AND a.d <= nodes.d LEFT JOIN children c ON c.d = nodes.d AND c.path = nodes.path GROUP BY 1, 2)
+SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(c.k, 0) AS n_children,
+  above.leaves AS n_leaves, CAST(above.saved AS BIGINT) AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN above USING (d, path) LEFT JOIN children c USING (d, path) LEFT JOIN nodes up ON up.d = nodes.d - 1 AND up.path = nodes.parent"""}
