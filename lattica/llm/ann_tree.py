@@ -364,6 +364,9 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 10, recall: float =
         visits = calibrated_visits(placed, asked, trees, k, recall)
     callers = written(visited(asked.select("query_id", "a", "b", "dim", "vec"), trees, visits), "visited_leaves")
     found = written(_search_tiles(placed, callers, k, tile), "tile_neighbours")
+    # The k + 1 nearest vectors of all tiles; only their rows can be results.
+    near = Window.partitionBy("query_id", "a", "b").orderBy("score", F.get("ids", F.lit(0)).asc_nulls_last())
+    found = found.withColumn("_v", F.row_number().over(near)).filter(F.col("_v") <= k + 1)
     # Of the query's own vector one row is the query itself.
     mine = F.array_position("ids", F.col("query_id"))
     others = F.when(F.col("own") & (mine > 0), F.filter("ids", lambda _, i: i + 1 != mine)).otherwise(F.col("ids"))
