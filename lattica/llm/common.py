@@ -50,6 +50,21 @@ def with_result(df: DataFrame, udf, source: str) -> tuple[DataFrame, str]:
     return flat.toDF(*df.columns, name), name
 
 
+_HELD: list = [None, None]
+
+
+def held(owner: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from batch to batch for ``owner``, made when first asked for.
+
+    Workers serve one operator after another; what an earlier one kept is let go
+    when another asks, so that memory doesn't add up along a pipeline.
+    """
+    if _HELD[0] != owner:
+        _HELD[:] = [None, None]
+        _HELD[:] = [owner, make()]
+    return _HELD[1]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table, under the session's shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)  # the session's; a new local one in an unconfigured local session

@@ -8,14 +8,13 @@ from four characters down to one.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, pick, remainder, with_result, written
+from .common import by_hash, held, pick, remainder, with_result, written
 
 #: Documents that the model is learned from, at most (about; chosen by hash of the id).
 MAX_LEARNED = 8_000
@@ -29,7 +28,7 @@ MIN_SCORE = 0.5
 UNKNOWN = "und"
 #: Chunks of text (white-space runs between) whose scores a worker remembers.
 _CACHE_ROWS = 400_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -155,6 +154,7 @@ def _predictor(spark, model: Model):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        held("language model", object)  # lets go of what other operators kept; the model holds its own words
         return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict
@@ -163,8 +163,8 @@ def _predictor(spark, model: Model):
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter,
-    or nothing could be learned.
+    ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter
+    (Unicode category L), or nothing could be learned.
     """
     model = learn(docs) if model is None else model
     rows, name = with_result(pick(docs, "doc_id", "text"), _predictor(docs.sparkSession, model), "text")

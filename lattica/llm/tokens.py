@@ -17,6 +17,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import held
+
 #: Chunks that a worker remembers, and the longest that it does.
 CACHE_CHUNKS = 1_200_000
 CACHE_CHARS = 64
@@ -80,11 +82,16 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=4)
 def json_encoder(path: str) -> ChunkEncoder:
     """The tokenizers library's ids for a vocabulary file, without added special tokens.
 
-    One encoder per worker and file.  A vocabulary with a byte-level pattern is
+    A worker keeps the encoder of the file it used last.
+    """
+    return held(f"encoder {path}", lambda: _json_encoder(path))
+
+
+def _json_encoder(path: str) -> ChunkEncoder:
+    """A vocabulary with a byte-level pattern is
     cut before words, one that drops white space at it; any other not at all.
     """
     import json
