@@ -285,9 +285,9 @@ def calibrated_visits(placed: DataFrame, queries: DataFrame, trees: dict[int, KM
 
 
 def visited(queries: DataFrame, trees: dict[int, KMeansTree], visits: int) -> DataFrame:
-    """Each query once for every leaf it visits."""
+    """Each query once for every leaf it visits, and which visit it is (``turn``, from 0)."""
     held = queries.sparkSession.sparkContext.broadcast(trees)
-    schema = T.StructType([*queries.schema.fields, T.StructField("leaf", T.IntegerType())])
+    schema = T.StructType([*queries.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("turn", T.IntegerType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,13 +297,15 @@ def visited(queries: DataFrame, trees: dict[int, KMeansTree], visits: int) -> Da
                     leaves = [[leaf for leaf, _ in zip(tree.best_first(q), range(visits))] for q in x[lo:lo + 64]]
                     at = pa.array(np.repeat(np.arange(lo, lo + len(leaves)), [len(m) for m in leaves]))
                     rows = mine.take(at)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([leaf for m in leaves for leaf in m], pa.int32())], names=[*rows.schema.names, "leaf"])
+                    new = [pa.array([x for m in leaves for x in f(m)], pa.int32()) for f in (list, lambda m: range(len(m)))]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*rows.schema.names, "leaf", "turn"])
 
     return queries.mapInArrow(walk, schema)
 
 
 def _search_tiles(placed: DataFrame, asked: DataFrame, k: int, tile: int) -> DataFrame:
-    """(query_id, a, b, score, ids, own) for the k + 1 nearest vectors of each tile of a visited leaf."""
+    """(query_id, a, b, score, ids, own) for the k + 1 nearest vectors of each tile of a
+    visited leaf, as far as they are within the query's ``limit``."""
     side = F.greatest(F.lit(64), F.least(F.lit(tile), F.floor(F.lit(TILE_BYTES) / (F.col("dim") * 16)).cast("int")))
     members = placed.groupBy("leaf", "dim").agg(F.count(F.lit(1)).alias("n")).select("leaf", F.ceil(F.col("n") / side).cast("int").alias("shards"))
     callers = asked.groupBy("leaf", "dim").agg(F.count(F.lit(1)).alias("n")).select("leaf", F.ceil(F.col("n") / side).cast("int").alias("blocks"))
@@ -312,15 +314,16 @@ def _search_tiles(placed: DataFrame, asked: DataFrame, k: int, tile: int) -> Dat
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = lambda t: F.lit(None).cast(t)
     left = (placed.join(sizes, "leaf").withColumn("shard", place("shards", "a", "b")).withColumn("block", every("blocks"))
-            .select("leaf", "shard", "block", F.lit(False).alias("asks"), none("long").alias("query_id"), "a", "b", "dim", "vec", "ids"))
+            .select("leaf", "shard", "block", F.lit(False).alias("asks"), none("long").alias("query_id"), "a", "b", "dim", "vec", "ids", none("double").alias("limit")))
     right = (asked.join(sizes, "leaf").withColumn("block", place("blocks", "query_id", "a", "b")).withColumn("shard", every("shards"))
-             .select("leaf", "shard", "block", F.lit(True).alias("asks"), "query_id", "a", "b", "dim", "vec", none("array<long>").alias("ids")))
+             .select("leaf", "shard", "block", F.lit(True).alias("asks"), "query_id", "a", "b", "dim", "vec", none("array<long>").alias("ids"), "limit"))
     schema = pa.schema([("query_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64())), ("own", pa.bool_())])
 
     def search(rows: pa.Table) -> pa.RecordBatch:
         asks = rows.column("asks").to_numpy()
         dim = rows.column("dim")[0].as_py()
         x = _matrix(rows.column("vec").combine_chunks(), dim)
+        limit = rows.column("limit").to_numpy()
         ask, have = np.flatnonzero(asks), np.flatnonzero(~asks)
         # Ties go to the smaller first id; ids are null last.
         ids = rows.column("ids").take(pa.array(have)).combine_chunks()
@@ -329,7 +332,8 @@ def _search_tiles(placed: DataFrame, asked: DataFrame, k: int, tile: int) -> Dat
         found = []
         for lo in range(0, len(ask), 256):  # bounds the matrix of distances
             q, at, d = nearest_rows(x[ask[lo:lo + 256]], x[have], smallest, k + 1)
-            found.append((q + lo, at, d))
+            inside = d <= limit[ask[q + lo]]
+            found.append((q[inside] + lo, at[inside], d[inside]))
         q, at, d = (np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         name = {c: rows.column(c).to_numpy() for c in ("a", "b")}
         qa, qb = name["a"][ask[q]], name["b"][ask[q]]
@@ -363,10 +367,18 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 10, recall: float =
     if visits is None:
         visits = calibrated_visits(placed, asked, trees, k, recall)
     callers = written(visited(asked.select("query_id", "a", "b", "dim", "vec"), trees, visits), "visited_leaves")
-    found = written(_search_tiles(placed, callers, k, tile), "tile_neighbours")
-    # The k + 1 nearest vectors of all tiles; only their rows can be results.
     near = Window.partitionBy("query_id", "a", "b").orderBy("score", F.get("ids", F.lit(0)).asc_nulls_last())
-    found = found.withColumn("_v", F.row_number().over(near)).filter(F.col("_v") <= k + 1)
+    first_of = lambda t: t.withColumn("_v", F.row_number().over(near)).filter(F.col("_v") <= k + 1)
+    # The first visits give each query a distance within which k + 1 vectors lie; the
+    # others report what is as near only.
+    some = int(np.ceil(np.sqrt(visits)))
+    begun = _search_tiles(placed, callers.filter(F.col("turn") < some).withColumn("limit", F.lit(float("inf"))), k, tile)
+    begun = written(first_of(written(begun, "first_neighbours")), "nearest_so_far")
+    limits = begun.groupBy("query_id", "a", "b").agg(F.max(F.when(F.col("_v") == k + 1, F.col("score"))).alias("limit"))
+    rest = callers.filter(F.col("turn") >= some).join(limits, ["query_id", "a", "b"], "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    found = begun.drop("_v").unionByName(written(_search_tiles(placed, rest, k, tile), "later_neighbours"))
+    # Only rows of the k + 1 nearest vectors can be results.
+    found = first_of(found)
     # Of the query's own vector one row is the query itself.
     mine = F.array_position("ids", F.col("query_id"))
     others = F.when(F.col("own") & (mine > 0), F.filter("ids", lambda _, i: i + 1 != mine)).otherwise(F.col("ids"))
