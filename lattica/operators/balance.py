@@ -16,9 +16,9 @@ and for any number of partitions.  Only tables whose size is bounded by the
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ N_BUCKETS = 40            # 10 machines x 4 cores
 MIN_HARD_PER_BUCKET = 5   # farm threshold per core
 W_EASY, W_HARD = 1, 10    # 6 s and 60 s per easy / hard node, in units of an easy node
 BUDGET_LO, BUDGET_HI = 50, 100   # 300 s .. 600 s per iteration, in the same unit
+_HELD_MOVES = 1 << 23       # moves held before equal pairs are added up
 BROADCAST_ROWS = 1 << 17  # small tables with more rows are joined by a shuffle
 
 
@@ -92,64 +93,65 @@ def iteration_budget(counts: DataFrame, w_easy: float = W_EASY, w_hard: float =
 
 
 # ---------------------------------------------------------------------- W5-W7
-def _receiver_runs(load: dict[int, int], t: int) -> list[tuple[list[int], int]]:
+def _receiver_runs(ids: np.ndarray, load: np.ndarray, t: int):
     """Slots in the order they are filled: (buckets in turn, number of rounds)."""
-    below = sorted((n, b) for b, n in load.items() if n < t)
-    levels = sorted({n for n, _ in below}) + [t]
-    return [(sorted(b for n, b in below if n <= lo), hi - lo) for lo, hi in zip(levels, levels[1:])]
+    levels = np.append(np.unique(load[load < t]), t).tolist()
+    for lo, hi in zip(levels, levels[1:]):
+        yield ids[load <= lo], hi - lo
 
 
-def _donor_runs(load: dict[int, int], mov: dict[int, int], t: int) -> list[tuple[list[int], int]]:
+def _donor_runs(ids: np.ndarray, load: np.ndarray, mov: np.ndarray, t: int):
     """Units in the order they are given: a donor gives from its load down to
     ``t``, as far as its movable units reach."""
-    spans = {b: (n - min(mov[b], n - t), n) for b, n in load.items() if n > t and mov[b] > 0}
-    levels = sorted({x for span in spans.values() for x in span}, reverse=True)
-    runs = [(sorted(b for b, (lo, hi) in spans.items() if lo <= low and hi >= high), high - low) for high, low in zip(levels, levels[1:])]
-    return [r for r in runs if r[0]]
-
-
-def _pairs(first: int, last: int, s: int, q: int, receivers: list[int], donors: list[int], out: dict) -> None:
-    """Counts of (donor, receiver) over the positions ``first .. last - 1``, where
-    position p is receiver ``(p - s) mod k`` and donor ``(p - q) mod m``."""
-    k, m = len(receivers), len(donors)
-    g = math.gcd(k, m)
-    i, j = np.arange(k)[:, None], np.arange(m)[None, :]
-    apart = (q + j) - (s + i)
-    # p = s + i + k x with k x = apart (mod m) has a solution if g divides apart.
-    x = (apart // g) * pow(k // g, -1, m // g) % (m // g) if m > g else np.zeros_like(apart)
-    period = k * m // g
-    start = first + (s + i + k * x - first) % period
-    n = np.where((apart % g == 0) & (start < last), (last - 1 - start) // period + 1, 0)
-    for a, b in zip(*np.nonzero(n)):
-        out[donors[b], receivers[a]] += int(n[a, b])
-
-
-def _plan_pass(load: dict[int, int], mov: dict[int, int], t: int) -> dict[tuple[int, int], int]:
+    gives = (load > t) & (mov > 0)
+    ids, high = ids[gives], load[gives]
+    low = high - np.minimum(mov[gives], high - t)
+    levels = np.unique(np.concatenate([low, high]))[::-1].tolist()
+    for hi, lo in zip(levels, levels[1:]):
+        active = (low <= lo) & (high >= hi)
+        if active.any():
+            yield ids[active], hi - lo
+
+
+def _plan_pass(load: dict[int, int], mov: dict[int, int], t: int) -> pd.DataFrame:
     """The greedy loop "one unit from the highest donor to the lowest receiver"
-    against threshold ``t``, by runs: the k-th slot is filled by the k-th unit,
-    and between two changes of the active sets both repeat."""
-    out: dict = defaultdict(int)
-    slots, units = _receiver_runs(load, t), _donor_runs(load, mov, t)
-    i = j = p = s = q = 0  # position, and where the current runs begin
-    while i < len(slots) and j < len(units):
-        (receivers, up), (donors, down) = slots[i], units[j]
-        s_end, q_end = s + len(receivers) * up, q + len(donors) * down
+    against threshold ``t``, as (src, dst, n), by runs: the k-th slot is filled by the
+    k-th unit, and between two changes of the active sets both repeat.  There a pair
+    meets once in each least common multiple of their numbers, so only the
+    places of one such period, or of the run if that is shorter, are looked at."""
+    ids = np.array(sorted(load), np.int64)
+    loads, movs = (np.array([x[b] for b in ids.tolist()], np.int64) for x in (load, mov))
+    slots, units = _receiver_runs(ids, loads, t), _donor_runs(ids, loads, movs, t)
+    slot, unit = next(slots, None), next(units, None)
+    parts: list[pd.DataFrame] = []
+    held = p = s = q = 0  # rows held, position, and where the current runs begin
+    while slot is not None and unit is not None:
+        (receivers, up), (donors, down) = slot, unit
+        k, m = len(receivers), len(donors)
+        s_end, q_end = s + k * up, q + m * down
         end = min(s_end, q_end)
-        _pairs(p, end, s, q, receivers, donors, out)
+        period = math.lcm(k, m)
+        places = np.arange(min(end - p, period))
+        n = (end - p) // period + (places < (end - p) % period)
+        parts.append(pd.DataFrame({"src": donors[(p - q + places) % m], "dst": receivers[(p - s + places) % k], "n": n}))
+        held += len(places)
+        if held > _HELD_MOVES:
+            parts = [pd.concat(parts).groupby(["src", "dst"], as_index=False)["n"].sum()]
+            held = len(parts[0])
         p = end
         if s_end == end:
-            i, s = i + 1, end
+            slot, s = next(slots, None), end
         if q_end == end:
-            j, q = j + 1, end
-    return dict(out)
+            unit, q = next(units, None), end
+    return pd.concat(parts).groupby(["src", "dst"], as_index=False)["n"].sum() if parts else pd.DataFrame({"src": [], "dst": [], "n": []}, dtype=np.int64)
 
 
-def _moved(load: dict, mov: dict, moves: dict) -> None:
+def _moved(load: dict, mov: dict, moves: pd.DataFrame) -> None:
     """Loads after a pass; units received may move again (the reference's counter update)."""
-    for (src, dst), n in moves.items():
-        for x in (load, mov):
-            x[src] -= n
-            x[dst] += n
+    for side, sign in (("src", -1), ("dst", 1)):
+        for bucket, n in moves.groupby(side)["n"].sum().items():
+            for x in (load, mov):
+                x[bucket] += sign * int(n)
 
 
 def plan_loads(existing: DataFrame, movable: DataFrame) -> DataFrame:
@@ -184,18 +186,9 @@ def plan_moves(existing: DataFrame, movable: DataFrame, threshold: int = MIN_HAR
     depends on the number of buckets, not on how many units move.
     ``existing``/``movable`` are ``bucket_counts`` tables covering every bucket.
     """
-    total: dict = defaultdict(int)
-    for _, moves, _ in _passes(existing, movable, threshold, second_pass):
-        for pair, n in moves.items():
-            total[pair] += n
-    return existing.sparkSession.createDataFrame([(s, d, n) for (s, d), n in sorted(total.items())], "src int, dst int, n bigint")
-
-
-def pass_summary(existing: DataFrame, movable: DataFrame, threshold: int = MIN_HARD_PER_BUCKET) -> DataFrame:
-    """One row per pass: its threshold, moves, and the loads' min/max after it."""
-    rows = [(k, t, sum(moves.values()), min(load.values(), default=None), max(load.values(), default=None))
-            for k, (t, moves, load) in enumerate(_passes(existing, movable, threshold, True), 1)]
-    return existing.sparkSession.createDataFrame(rows, "pass int, threshold bigint, moves bigint, min_load bigint, max_load bigint")
+    passes = pd.concat([moves for _, moves, _ in _passes(existing, movable, threshold, second_pass)])
+    total = passes.groupby(["src", "dst"], as_index=False)["n"].sum().astype({"src": "int32", "dst": "int32", "n": "int64"})
+    return existing.sparkSession.createDataFrame(total, "src int, dst int, n bigint")
 
 
 # ---------------------------------------------------------------------- J4 S5
@@ -311,25 +304,65 @@ def running_best(df: DataFrame, part: str = "bucket", order: str = "pos", value:
     return running_agg(df, part, order, value, "min" if sense == "min" else "max", tie=tie, out="running_best")
 
 
-def allocate_budget(df: DataFrame, budget: float | str, w_easy: float = W_EASY, w_hard: float = W_HARD,
-                    floor: float = 1.0, part: str = "bucket", order: str = "pos", tie: str | None = None) -> DataFrame:
-    """Share of a bucket's budget per subtree (W2, W3, D7), in node expansions.
+def fair_shares(df: DataFrame, budget: float | str, w_easy: float = W_EASY, w_hard: float = W_HARD,
+                floor: float = 1.0, part: str = "bucket", order: str = "pos", tie: str | None = None) -> DataFrame:
+    """Share of a bucket's budget per subtree (W3, D7), in node expansions, without a scan.
 
-    ``w = w_easy·n_easy + w_hard·n_hard``; ``demand`` = Σ w in the bucket;
-    ``remaining`` = work left from this subtree on (suffix sum, W2).
-    share = 0 if budget <= 0; if budget > demand: w, plus the whole surplus for
-    the one subtree that comes first by (order, tie); else
-    ``greatest(floor, budget·w/demand)``.
+    ``w = w_easy·n_easy + w_hard·n_hard``; ``demand`` = Σ w in the bucket.  share = 0 if budget
+    <= 0; if budget > demand: w, plus the whole surplus for the one subtree that
+    comes first by (order, tie); else ``greatest(floor, budget·w/demand)``.  ``budget``
+    may be a column.  (order, tie) should be unique in a bucket.
     """
     b = F.col(budget) if isinstance(budget, str) else F.lit(float(budget))
     d = df.withColumn("w", F.lit(w_easy) * F.col("n_easy") + F.lit(w_hard) * F.col("n_hard"))
+    place = F.struct(*[F.col(c) for c in [order, *([tie] if tie else [])]])
+    per = small_side(d.groupBy(F.col(part).alias("_of")).agg(F.sum("w").alias("demand"), F.min(place).alias("_head")))
+    d = d.join(per, F.col(part).eqNullSafe(F.col("_of")))
+    return d.withColumn("share", _share(b, place.eqNullSafe(F.col("_head")), floor)).drop("_of", "_head")
+
+
+def _share(b: Column, first: Column, floor: float) -> Column:
+    return (F.when(b <= 0, F.lit(0.0))
+            .when(b > F.col("demand"), F.col("w") + F.when(first, b - F.col("demand")).otherwise(F.lit(0.0)))
+            .otherwise(F.greatest(F.lit(float(floor)), b * F.col("w") / F.col("demand")))).cast("double")
+
+
+def allocate_budget(df: DataFrame, budget: float | str, w_easy: float = W_EASY, w_hard: float = W_HARD,
+                    floor: float = 1.0, part: str = "bucket", order: str = "pos", tie: str | None = None) -> DataFrame:
+    """The shares of ``fair_shares`` with ``remaining`` = work left from this subtree on
+    (suffix sum, W2); any (order, tie) may repeat, then one row comes first."""
+    b = F.col(budget) if isinstance(budget, str) else F.lit(float(budget))
+    d = df.withColumn("w", F.lit(w_easy) * F.col("n_easy") + F.lit(w_hard) * F.col("n_hard"))
     d = running_agg(d, part, order, "w", "sum", tie=tie, out="_upto", first="_first")
     per = small_side(d.groupBy(F.col(part).alias("_of")).agg(F.sum("w").alias("demand")))
     d = d.join(per, F.col(part).eqNullSafe(F.col("_of"))).withColumn("remaining", F.col("demand") - F.col("_upto") + F.col("w"))
-    share = (F.when(b <= 0, F.lit(0.0))
-             .when(b > F.col("demand"), F.col("w") + F.when(F.col("_first"), b - F.col("demand")).otherwise(F.lit(0.0)))
-             .otherwise(F.greatest(F.lit(float(floor)), b * F.col("w") / F.col("demand"))))
-    return d.withColumn("share", share.cast("double")).drop("_first", "_upto", "_of")
+    return d.withColumn("share", _share(b, F.col("_first"), floor)).drop("_first", "_upto", "_of")
+
+
+def node_cost(w_easy: float = W_EASY, w_hard: float = W_HARD) -> Column:
+    """What expanding a node takes from a share."""
+    return F.when(F.col("is_easy"), F.lit(float(w_easy))).otherwise(F.lit(float(w_hard)))
+
+
+def select_by_share(nodes: DataFrame, shares: DataFrame, order: str = "bound", tie: tuple[str, ...] = ("problem_id", "node_id"),
+                    depth_first: bool = False, w_easy: float = W_EASY, w_hard: float = W_HARD,
+                    key: tuple[str, ...] = ("problem_id", "subtree_id")) -> DataFrame:
+    """The first nodes of every subtree that its share pays for (W4 with a k per group).
+
+    Nodes are taken best-first by ``order`` ascending, or deepest first, while
+    their costs sum up to the subtree's ``share`` at most.  No subtree takes more
+    than the greatest share pays for: Spark limits each task to so many rows
+    per subtree before the shuffle, so a huge subtree never meets in one task.
+    """
+    least = float(min(w_easy, w_hard))
+    most = int((shares.agg(F.max("share")).first()[0] or 0.0) // least)
+    ords = [F.col("depth").desc() if depth_first else F.col(order).asc(), *[F.col(t).asc() for t in tie]]
+    w = Window.partitionBy(*key).orderBy(*ords)
+    j = nodes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    j = j.withColumn("_spent", F.sum(node_cost(w_easy, w_hard)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    paid = shares.select(*[F.col(k).alias(f"_s_{k}") for k in key], F.col("share").alias("_share"))
+    on = [F.col(k) == F.col(f"_s_{k}") for k in key]
+    return j.join(paid, on).where(F.col("_spent") <= F.col("_share")).drop("_r", "_spent", "_share", *[f"_s_{k}" for k in key])
 
 
 def select_nodes(df: DataFrame, k: int, part: str = "bucket", order: str = "bound", tie: str | tuple[str, ...] = ("problem_id", "node_id"),

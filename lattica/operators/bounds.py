@@ -24,6 +24,9 @@ ROW_EPS = 1e-9        # slack allowed on a row activity
 ROUND_EPS = 1e-9      # guard when flooring/ceiling an implied bound
 BOUND_ROUND_EPS = 1e-6  # guard when rounding a bound up for integer objectives
 SUBGRADIENT_STEPS = 60  # root multipliers of programs with several rows
+STEP_DECAY = 0.9        # each step's length against the one before
+NODE_STEPS = 3          # dual steps of a node from its parent's multipliers ...
+NODE_DECAY, NODE_BEGIN = 0.5, 5  # ... whose lengths begin small, as these are near the optimum
 REPAIR_STEPS = 12       # single changes that may lead a candidate back to all rows
 REPAIR_EVERY = 3        # levels between two repairs on a path
 
@@ -112,16 +115,16 @@ def _critical(c: Column, x: Column, r: Column) -> Column:
     return _let(_sum(F.transform(e, start)) - r["b"], scan)
 
 
-def _subgradient(c: Column, x: Column, rows: Column) -> Column:
-    """Multipliers of several rows: projected subgradient steps from λ = 0, the best kept."""
-    zero = F.transform(rows, lambda r: F.lit(0.0))
+def _subgradient(c: Column, x: Column, rows: Column, first: Column, begin: int, steps: int, decay: float = STEP_DECAY) -> Column:
+    """Multipliers of several rows: projected subgradient steps from ``first``, the
+    best kept; step k has the length of ``decay^(begin + k)``."""
     scale = F.array_max(F.zip_with(c, x, lambda cj, v: F.abs(cj) * (v["u"] - v["l"])))
-    start = F.struct(zero.alias("lam"), zero.alias("best"), F.lit(float("-inf")).alias("value"))
+    start = F.struct(first.alias("lam"), first.alias("best"), F.lit(float("-inf")).alias("value"))
 
     def step(s: Column, k: Column) -> Column:
         def with_rc(rc: Column) -> Column:
             def with_slope(g: Column) -> Column:
-                length = F.coalesce(scale, F.lit(0.0)) * F.pow(F.lit(0.9), k) / (_sum(F.transform(g, lambda v: v * v)) + F.lit(1e-9))
+                length = F.coalesce(scale, F.lit(0.0)) * F.pow(F.lit(decay), k) / (_sum(F.transform(g, lambda v: v * v)) + F.lit(1e-9))
                 value = _lagrangian(x, rc, rows, s["lam"])
                 better = value > s["value"]
                 return F.struct(
@@ -130,7 +133,7 @@ def _subgradient(c: Column, x: Column, rows: Column) -> Column:
             at = F.zip_with(x, rc, lambda v, r: F.when(r > 0, v["l"]).otherwise(v["u"]))
             return _let(F.transform(rows, lambda r: _dot(r["a"], at) - r["b"]), with_slope)
         return _let(_reduced(c, rows, s["lam"]), with_rc)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(SUBGRADIENT_STEPS - 1)), start, step)["best"]
+    return F.aggregate(F.sequence(F.lit(begin), F.lit(begin + steps - 1)), start, step)["best"]
 
 
 def _repaired(xs: Column, c: Column, x: Column, rows: Column) -> Column:
@@ -160,7 +163,7 @@ def _repaired(xs: Column, c: Column, x: Column, rows: Column) -> Column:
 
 # --------------------------------------------------------------------- model
 def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
-    """One row per problem: names, c, vlb, vub, rows (a, b), lam, int_obj.
+    """One row per problem: names, sign, c, vlb, vub, rows (a, b), lam, int_obj.
 
     Boxes of integer variables are rounded inward.  ``method`` is ``"box"``
     (λ = 0) or ``"lagrangian"`` (root multipliers for programs with several rows;
@@ -169,9 +172,8 @@ def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
     """
     if method not in ("box", "lagrangian"):
         raise ValueError(f"method must be 'box' or 'lagrangian', not {method!r}")
-    sign = program.sign
-    v = program.vars.groupBy(PID).agg(F.sort_array(F.collect_list(F.struct(
-        "var", (F.lit(sign) * F.col("obj")).alias("c"), F.ceil(F.col("lb") - ROUND_EPS).cast("double").alias("l"),
+    v = program.with_sign(program.vars).groupBy(PID).agg(F.max("sign").alias("sign"), F.sort_array(F.collect_list(F.struct(
+        "var", (F.col("sign") * F.col("obj")).alias("c"), F.ceil(F.col("lb") - ROUND_EPS).cast("double").alias("l"),
         F.floor(F.col("ub") + ROUND_EPS).cast("double").alias("u")))).alias("v"))
     entries = normalized_rows(program).groupBy(PID, "row").agg(
         F.max("b").alias("b"), F.sort_array(F.collect_list(F.when(F.col("var").isNotNull(), F.struct("var", "a")))).alias("e"))
@@ -180,16 +182,16 @@ def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
         _let(F.map_from_entries(r["e"]), lambda m: F.transform("names", lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0)))).alias("a"),
         r["b"].alias("b")))
     model = (v.join(rows, PID, "left").withColumn("sparse", F.coalesce("sparse", F.array().cast(rows.schema["sparse"].dataType)))
-             .select(PID, F.transform("v", lambda e: e["var"]).alias("names"), F.transform("v", lambda e: e["c"]).alias("c"),
+             .select(PID, "sign", F.transform("v", lambda e: e["var"]).alias("names"), F.transform("v", lambda e: e["c"]).alias("c"),
                      F.transform("v", lambda e: e["l"]).alias("vlb"), F.transform("v", lambda e: e["u"]).alias("vub"), "sparse"))
-    model = model.select(PID, "names", "c", "vlb", "vub", dense.alias("rows"), F.forall("c", lambda c: c == F.floor(c)).alias("int_obj"))
+    model = model.select(PID, "sign", "names", "c", "vlb", "vub", dense.alias("rows"), F.forall("c", lambda c: c == F.floor(c)).alias("int_obj"))
     zero = F.transform("rows", lambda r: F.lit(0.0))
     if method == "box":
-        return model.withColumn("lam", zero).withColumn("single", F.lit(False))
+        return model.withColumns({"lam": zero, "single": F.lit(False), "several": F.lit(False)})
     box = F.zip_with("vlb", "vub", lambda l, u: F.struct(l.alias("l"), u.alias("u")))
     several = F.size("rows") > 1
-    return (model.withColumn("lam", F.when(several & F.forall(box, lambda b: b["l"] <= b["u"]), _subgradient(F.col("c"), box, F.col("rows"))).otherwise(zero))
-            .withColumn("single", F.size("rows") == 1))
+    return (model.withColumn("lam", F.when(several & F.forall(box, lambda b: b["l"] <= b["u"]), _subgradient(F.col("c"), box, F.col("rows"), zero, 0, SUBGRADIENT_STEPS)).otherwise(zero))
+            .withColumns({"single": F.size("rows") == 1, "several": several}))
 
 
 # --------------------------------------------------------------- evaluation
@@ -203,10 +205,11 @@ def by_cost(v: Column) -> Column:
     return F.abs(v["c"]) * (v["u"] - v["l"])
 
 
-def evaluation(sign: float, rounds: int = 2, branch_rule: Callable[[Column], Column] = by_reduced_cost) -> list[dict[str, Column]]:
+def evaluation(rounds: int = 2, branch_rule: Callable[[Column], Column] = by_reduced_cost, node_steps: int = 0) -> list[dict[str, Column]]:
     """The steps of ``evaluate`` as columns over a node joined to its model.
 
-    They are built once for all levels of a search.
+    They are built once for all levels of a search.  ``node_steps`` dual steps improve a
+    node's multipliers of several rows from its parent's.
     """
     x, c, rows, lam, v = (F.col(n) for n in ("_x", "c", "rows", "_lam", "_v"))
     base = F.zip_with(F.zip_with("names", "vlb", lambda n, b: F.greatest(b, F.try_element_at(F.col("lower"), n))),
@@ -214,7 +217,7 @@ def evaluation(sign: float, rounds: int = 2, branch_rule: Callable[[Column], Col
                       lambda l, u: F.struct(l.alias("l"), u.alias("u")))
     crossing = F.exists(x, lambda v: v["l"] > v["u"]) | F.exists(rows, lambda r: _activity(r["a"], x) > r["b"] + ROW_EPS)
     raw = F.greatest(_sum(F.transform(v, lambda e: F.least(e["c"] * e["l"], e["c"] * e["u"]))),
-                     _lagrangian(x, F.col("_rc"), rows, lam), F.lit(sign) * F.col("bound"))
+                     _lagrangian(x, F.col("_rc"), rows, lam), F.col("sign") * F.col("bound"))
     cheap = lambda e: F.when(e["c"] >= 0, e["l"]).otherwise(e["u"])
     reduced = lambda e: F.when(e["r"] > 0, e["l"]).when(e["r"] < 0, e["u"])
     # At a single row's critical entry (rc = 0) the bound that lowers the activity: the greedy fill.
@@ -225,20 +228,23 @@ def evaluation(sign: float, rounds: int = 2, branch_rule: Callable[[Column], Col
     point = lambda kind, xs: F.when(ok(xs), F.struct(_dot(c, xs).alias("obj"), F.lit(kind).alias("kind"), xs.alias("xs")))
     free = F.filter(F.transform(v, lambda e, j: F.when(e["l"] < e["u"], F.struct((-branch_rule(e)).alias("s"), j.alias("j")))), lambda e: e.isNotNull())
     chosen = F.get(v, F.col("_j"))
+    found = F.when(F.col("single"), F.array(_critical(c, x, F.get(rows, F.lit(0)))))
+    if node_steps:
+        found = found.when(F.col("several") & ~F.col("infeasible") & F.col("_own").isNotNull(), _subgradient(c, x, rows, F.col("_own"), NODE_BEGIN, node_steps, NODE_DECAY))
     return [
         {"_x": F.aggregate(F.flatten(F.array_repeat(rows, rounds)), base, _tighten) if rounds else base},
         {"infeasible": crossing},
-        {"_lam": F.when(F.col("single"), F.array(_critical(c, x, F.get(rows, F.lit(0))))).otherwise(F.col("lam"))},
+        {"_lam": found.otherwise(F.col("lam"))},
         {"_rc": _reduced(c, rows, lam)},
         {"_v": F.zip_with(F.zip_with(c, x, lambda cj, b: F.struct(cj.alias("c"), b["l"].alias("l"), b["u"].alias("u"))), "_rc",
                           lambda e, r: F.struct(e["c"].alias("c"), r.alias("r"), e["l"].alias("l"), e["u"].alias("u")))},
         {"_raw": raw, "_xc": F.transform(v, cheap), "_xr": by_rc, "_j": F.array_min(free)["j"]},
         {"_xg": F.when(~F.col("infeasible"), third)},
-        {"bound": F.when(~F.col("infeasible"), F.lit(sign) * F.when(F.col("int_obj"), F.ceil(F.col("_raw") - BOUND_ROUND_EPS).cast("double")).otherwise(F.col("_raw"))),
+        {"bound": F.when(~F.col("infeasible"), F.col("sign") * F.when(F.col("int_obj"), F.ceil(F.col("_raw") - BOUND_ROUND_EPS).cast("double")).otherwise(F.col("_raw"))),
          "all_fixed": F.forall(x, lambda b: b["l"] == b["u"]),
          "_best": F.when(~F.col("infeasible"), F.array_min(F.array(point("c", F.col("_xc")), point("g", F.col("_xg")), point("r", F.col("_xr"))))),
          "var": F.get("names", F.col("_j")), "split": F.floor((chosen["l"] + chosen["u"]) / 2).cast("double")},
-        {"cand_obj": F.lit(sign) * F.col("_best.obj"), "cand_kind": F.col("_best.kind"), "cand_x": F.col("_best.xs")},
+        {"cand_obj": F.col("sign") * F.col("_best.obj"), "cand_kind": F.col("_best.kind"), "cand_x": F.col("_best.xs")},
     ]
 
 
@@ -253,15 +259,20 @@ def evaluate(frontier: DataFrame, model: DataFrame, steps: list[dict[str, Column
     bound.  ``cand_obj`` / ``cand_x`` are the best of the candidate points that
     hold in all rows (rounding by cost, by reduced cost, and the greedy fill or
     repair), ``var`` / ``split`` the branching choice: the free variable with the
-    greatest score, ties by name; null if all are fixed.
+    greatest score, ties by name; null if all are fixed.  A column ``lam`` of the
+    frontier holds the parent's multipliers of several rows: the node improves them by a
+    few dual steps and hands them on; without it, or where it is null, the root's are used.
     """
-    df = frontier.join(model, PID)
+    carried = "lam" in frontier.columns
+    own = F.col("lam") if carried else F.lit(None).cast("array<double>")
+    df = frontier.withColumn("_own", own).drop("lam").join(model, PID)
     for step in steps:
         df = df.withColumns(step)
-    return df.select(*frontier.columns, *RESULT)
+    lam = [F.when(F.col("several"), F.col("_lam")).alias("lam")] if carried else []
+    return df.select(*[c for c in frontier.columns if c != "lam"], *lam, *RESULT)
 
 
 def bound_nodes(frontier: DataFrame, program: Program, method: str = "box", rounds: int = 2,
                 branch_rule: Callable[[Column], Column] = by_reduced_cost) -> DataFrame:
     """Bound every node of a map-form frontier (U4): the frontier with RESULT added."""
-    return evaluate(frontier, prepare_model(program, method), evaluation(program.sign, rounds, branch_rule))
+    return evaluate(frontier, prepare_model(program, method), evaluation(rounds, branch_rule))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +54,64 @@ def metrics_row(spark: SparkSession, iteration: int, counts: DataFrame, phase: s
     return per.unionByName(tot).select(*[f.name for f in schemas.RUN_METRICS.fields])
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Progress sink: append to a Parquet table."""
-    metrics.write.mode("append").parquet(path)
+# ------------------------------------------------------- state of a run on disk
+_COMMITS = "level int, attempt string, at timestamp"
+_STATE = {"frontier": schemas.FRONTIER, "incumbent": schemas.INCUMBENT, "metrics": schemas.RUN_METRICS}
+
+
+def write_level(path: str, level: int, frontier: DataFrame, incumbent: DataFrame, metrics: DataFrame) -> str:
+    """Sink of a run's state after ``level`` levels (S6, S7); the name of this attempt.
+
+    Each table goes to a folder of its own for the level and attempt, and a commit
+    row is appended last.  Readers go by the first commit of a level, so a half
+    written attempt is never read, and one that is written again counts once.
+    """
+    attempt = uuid.uuid4().hex
+    for name, table in (("frontier", frontier), ("incumbent", incumbent), ("metrics", metrics)):
+        table.select(*[f.name for f in _STATE[name].fields]).write.parquet(_folder(path, name, level, attempt))
+    commit_level(frontier.sparkSession, path, level, attempt)
+    return attempt
+
+
+def commit_level(spark: SparkSession, path: str, level: int, attempt: str) -> None:
+    """Declare an attempt whole; a repeated commit changes nothing."""
+    row = spark.range(1).select(F.lit(level).cast("int").alias("level"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{path.rstrip('/')}/commits")
+
+
+def _folder(path: str, name: str, level: int, attempt: str) -> str:
+    return f"{path.rstrip('/')}/{name}/level={level}/attempt={attempt}"
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(level, attempt) of the whole levels of a run, the first attempt of each."""
+    try:
+        commits = spark.read.schema(_COMMITS).parquet(f"{path.rstrip('/')}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        commits = spark.createDataFrame([], _COMMITS)
+    first = F.min(F.struct("at", "attempt")).alias("c")
+    return commits.groupBy("level").agg(first).select("level", F.col("c.attempt").alias("attempt"))
+
+
+def last_level(spark: SparkSession, path: str) -> int | None:
+    """The last whole level of a run, or None."""
+    return committed(spark, path).agg(F.max("level")).first()[0]
+
+
+def read_level(spark: SparkSession, path: str, level: int) -> dict[str, DataFrame]:
+    """The tables frontier, incumbent and metrics that the run held after a whole level."""
+    row = committed(spark, path).where(F.col("level") == level).first()
+    if row is None:
+        raise ValueError(f"level {level} of {path} is not whole")
+    return {name: spark.read.schema(schema).parquet(_folder(path, name, level, row["attempt"])) for name, schema in _STATE.items()}
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The progress rows of all whole levels of a run (one committed row per level is listed)."""
+    folders = [_folder(path, "metrics", r["level"], r["attempt"]) for r in committed(spark, path).collect()]
+    return spark.read.schema(schemas.RUN_METRICS).parquet(*folders) if folders else spark.createDataFrame([], schemas.RUN_METRICS)
 
 
 def bucket_results(solutions: DataFrame, nodes: DataFrame, sense: str = "min", key: str | tuple[str, ...] | None = None,

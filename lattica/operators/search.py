@@ -26,23 +26,63 @@ def _sign(sense: str) -> float:
     return 1.0 if sense == "min" else -1.0
 
 
+def _tightest(changes: Column, upper: bool) -> Column:
+    """The upper (or lower) changes of one child as a map, the strictest of each variable."""
+    mine = F.filter(changes, lambda c: c["is_upper"] == upper)
+    best = F.array_min if upper else F.array_max
+    names = F.array_distinct(F.transform(mine, lambda c: c["var"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: best(F.transform(F.filter(mine, lambda c: c["var"] == n), lambda c: c["value"]))))
+
+
+def with_branches(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """``nodes`` with ``branches`` (P5): for each child, of which there are two at most,
+    an array of its bound changes (var, value, is_upper).
+
+    ``changes``: problem_id, node_id, child (0 or 1), var, value, is_upper; a child may change any
+    number of bounds.  Nodes without changes keep their (var, split) branch; a
+    third child is an error.
+    """
+    per = changes.groupBy(*NODE_KEY, "child").agg(F.sort_array(F.collect_list(F.struct("var", "value", "is_upper"))).alias("c"))
+    per = per.groupBy(*NODE_KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("child", "c"))), lambda e: e["c"]).alias("branches"),
+                                     F.max("child").alias("_last"), F.min("child").alias("_least"))
+    out = nodes.join(per, NODE_KEY, "left")
+    fits = F.col("branches").isNull() | ((F.col("_least") >= 0) & (F.col("_last") <= 1))
+    return out.withColumn("branches", F.when(fits, F.col("branches")).otherwise(F.raise_error(F.lit("the children of a node are 0 and 1")))).drop("_last", "_least")
+
+
 def branch(nodes: DataFrame, easy_when: Column | None = None) -> DataFrame:
     """Two children per node with a branching choice ``var`` / ``split`` (P4, P11):
     down ``upper[var] = split``, up ``lower[var] = split + 1``, merged into the
-    parent's maps keeping the stricter bound (P3).  ``depth + 1``; ``node_id`` =
-    parent id + ``0``/``1``; children are hard unless ``easy_when`` (a Column over
-    the child) says so.  Nodes without a choice are not branched (they are dropped)."""
-    j = nodes.where(F.col("var").isNotNull()).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    parent's maps keeping the stricter bound (P3).  A column ``branches`` (of
+    ``with_branches``) gives at most two children with any number of bound changes
+    each instead, where it is not null.  ``depth + 1``; ``node_id`` = parent id + ``0``/``1``;
+    children are hard unless ``easy_when`` (a Column over the child) says so.  Nodes
+    without a choice are not branched (they are dropped).  Children of a node with
+    ``farmed`` (a column of ``split_groups``) start a subtree each.  A column ``lam``
+    (the node's multipliers) goes on to the children."""
+    general = "branches" in nodes.columns
+    choice = F.col("var").isNotNull()
+    if general:
+        j = nodes.where(choice | F.col("branches").isNotNull())
+        sides = F.sequence(F.lit(0), F.coalesce(F.size("branches"), F.lit(2)) - 1)
+        j = j.select("*", F.explode(sides).alias("side")).withColumn("_c", F.get("branches", F.col("side")))
+    else:
+        j = nodes.where(choice).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     one = F.create_map(F.col("var"), F.col("split"))
     one_up = F.create_map(F.col("var"), F.col("split") + 1)
+    lower = F.when(F.col("side") == 1, merge_lower("lower", one_up)).otherwise(F.col("lower"))
+    upper = F.when(F.col("side") == 0, merge_upper("upper", one)).otherwise(F.col("upper"))
+    if general:
+        lower = F.when(F.col("_c").isNotNull(), merge_lower("lower", _tightest(F.col("_c"), False))).otherwise(lower)
+        upper = F.when(F.col("_c").isNotNull(), merge_upper("upper", _tightest(F.col("_c"), True))).otherwise(upper)
+    child = F.concat(F.col("node_id"), F.col("side").cast("string"))
+    farmed = F.coalesce(F.col("farmed"), F.lit(False)) if "farmed" in nodes.columns else None
+    own = lambda new, old: F.col(old).alias(old) if farmed is None else F.when(farmed, new).otherwise(F.col(old)).alias(old)
     out = j.select(
-        PID,
-        F.concat(F.col("node_id"), F.col("side").cast("string")).alias("node_id"),
-        F.col("node_id").alias("parent_id"), "subtree_id", "subtree_root_depth", "bucket",
-        (F.col("depth") + 1).alias("depth"), F.lit(False).alias("is_easy"),
-        F.when(F.col("side") == 1, merge_lower("lower", one_up)).otherwise(F.col("lower")).alias("lower"),
-        F.when(F.col("side") == 0, merge_upper("upper", one)).otherwise(F.col("upper")).alias("upper"),
-        "bound", F.lit(schemas.OPEN).alias("status"),
+        PID, child.alias("node_id"), F.col("node_id").alias("parent_id"),
+        own(child, "subtree_id"), own(F.col("depth") + 1, "subtree_root_depth"), "bucket",
+        (F.col("depth") + 1).alias("depth"), F.lit(False).alias("is_easy"), lower.alias("lower"), upper.alias("upper"),
+        "bound", F.lit(schemas.OPEN).alias("status"), *(["lam"] if "lam" in nodes.columns else []),
     )
     if easy_when is not None:
         out = out.withColumn("is_easy", F.coalesce(easy_when, F.lit(False)))
@@ -55,8 +95,7 @@ def replace_farmed(nodes: DataFrame, easy_when: Column | None = None) -> DataFra
     A farmed node without a branching choice stays too."""
     farmed = F.col("farmed") & F.col("var").isNotNull()
     stay = nodes.where(~farmed).select(*[f.name for f in schemas.FRONTIER.fields])
-    children = branch(nodes.where(farmed), easy_when)
-    return stay.unionByName(children.withColumn("subtree_id", F.col("node_id")).withColumn("subtree_root_depth", F.col("depth")))
+    return stay.unionByName(branch(nodes.where(farmed), easy_when))
 
 
 def prune_nodes(nodes: DataFrame, incumbent: DataFrame, sense: str = "min",
@@ -120,15 +159,19 @@ def best_solution(solutions: DataFrame, incumbent: DataFrame | None = None, sens
 
 
 def split_groups(nodes: DataFrame, max_hard: int = MAX_HARD_LEAVES, farm_all: bool = False,
-                 key: str = "subtree_id") -> DataFrame:
+                 key: str = "subtree_id", waiting: DataFrame | None = None) -> DataFrame:
     """Farming decision per node (F5): adds ``farmed``.
 
     Never for a subtree root or an easy node; always when its (problem,
     subtree) group holds more than ``max_hard`` hard nodes; otherwise
     ``farm_all``.  The group count is an aggregate joined back (no window, so a
-    hot group is not sorted in one task); null keys are groups too.
+    hot group is not sorted in one task); null keys are groups too.  ``waiting``
+    are further leaves of the groups, which count but are not decided on.
     """
-    counts = nodes.groupBy(F.col(PID).alias("_p"), F.col(key).alias("_k")).agg(F.count_if(~F.col("is_easy")).alias("n_hard_group"))
+    leaves = nodes.select(PID, key, "is_easy")
+    if waiting is not None:
+        leaves = leaves.unionByName(waiting.select(PID, key, "is_easy"))
+    counts = leaves.groupBy(F.col(PID).alias("_p"), F.col(key).alias("_k")).agg(F.count_if(~F.col("is_easy")).alias("n_hard_group"))
     j = nodes.join(counts, F.col(PID).eqNullSafe(F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))).drop("_p", "_k")
     farm = (F.when(is_subtree_root("depth", "subtree_root_depth") | F.col("is_easy"), F.lit(False))
             .when(F.col("n_hard_group") > max_hard, F.lit(True))

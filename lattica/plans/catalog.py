@@ -8,8 +8,9 @@ exact.  Column names and types match the oracle's.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.bounds import bounds_changed, merge_lower, merge_upper, status_of
@@ -18,7 +19,7 @@ from lattica.operators import report as R
 from lattica.operators import search as S
 from lattica.operators.bounds import bound_nodes, by_cost, effective_bounds
 from lattica.plans import fixtures as X
-from lattica.plans.solve import solve
+from lattica.plans.solve import RoundControl, solve
 from lattica.sources.mps import parse_mps
 from lattica.sources.program import Program, check_program, program_from_tables, root_nodes
 from lattica.sources.tables import table
@@ -435,9 +436,17 @@ def q23_solve_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q26_solver_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Progress rows of the search (S7): its first level, per bucket and in total."""
-    res = solve(X.selection_program(spark, sf), max_iterations=1, track=True)
-    return res.metrics.select("iteration", "bucket", "n_easy", "n_hard", "n_trees", "n_open", "phase")
+    """Progress rows of a whole search (S7): those of its first level, per bucket and in
+    total, and whether all levels add up: a level's open nodes are two for each
+    node of the level before that was neither pruned nor done, and the last leaves none."""
+    m = solve(X.selection_program(spark, sf), track=True).metrics
+    total = m.where("bucket is null").select("iteration", "n_open", "n_pruned", "n_completed")
+    after = total.select((F.col("iteration") - 1).alias("iteration"), F.col("n_open").alias("n_next"))
+    left = 2 * (F.col("n_open") - F.col("n_pruned") - F.col("n_completed"))
+    ends = total.join(after, "iteration", "left").agg(F.bool_and(left == F.coalesce("n_next", F.lit(0))).alias("adds_up"))
+    parts = m.groupBy("iteration").agg(F.sum(F.when(F.col("bucket").isNull(), F.col("n_open")).otherwise(-F.col("n_open"))).alias("d")).agg((F.max(F.abs("d")) == 0).alias("by_bucket"))
+    first = m.where("iteration = 0").select("iteration", "bucket", "n_easy", "n_hard", "n_trees", "n_open", "phase")
+    return first.join(F.broadcast(ends.join(F.broadcast(parts))))  # one row each
 
 
 def q27_solve_refused(spark: SparkSession, sf: str) -> DataFrame:
@@ -469,6 +478,140 @@ def q35_mix_bounds(spark: SparkSession, sf: str) -> DataFrame:
                     (F.col("box") <= F.col("lag")).alias("not_worse"), (F.col("lag") <= F.col("objective")).alias("valid"))
 
 
+# ---------------------------------------------------------------- Q36 – Q42
+#: Defects of q36, by the part's key; the first is none.
+DEFECTS = ("clean", "null sense", "null coefficient", "NaN rhs", "null rhs", "null objective", "NaN coefficient", "null bound", "unknown row",
+           "row twice", "variable twice", "NaN bound", "infinite objective", "entry twice", "bad objective sense", "no objective sense")
+
+
+def q36_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """One problem per part with one of the DEFECTS: maximise x, 0 <= x <= size, x <= size
+    div 2.  Broken problems get status error and their findings (S3); the clean
+    ones beside them are solved."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("problem_id"), F.col("p_size").cast("double").alias("s"),
+                                        F.element_at(F.array(*[F.lit(d) for d in DEFECTS]), F.pmod("p_partkey", F.lit(len(DEFECTS))).cast("int") + 1).alias("k"))
+    is_ = lambda k: F.col("k") == k
+    null, nan, inf = F.lit(None).cast("double"), F.lit(float("nan")), F.lit(float("inf"))
+    vars = p.select("problem_id", F.lit("x").alias("var"), F.when(is_("NaN bound"), nan).otherwise(F.lit(0.0)).alias("lb"), F.when(~is_("null bound"), F.col("s")).alias("ub"),
+                    F.when(is_("null objective"), null).when(is_("infinite objective"), inf).otherwise(F.lit(1.0)).alias("obj"), F.lit(True).alias("is_int"), "k")
+    cons = p.select("problem_id", F.lit("c").alias("con"), F.when(~is_("null sense"), F.lit("<=")).alias("sense"),
+                    F.when(is_("NaN rhs"), nan).when(~is_("null rhs"), F.floor(F.col("s") / 2).cast("double")).alias("rhs"), "k")
+    coefs = p.select("problem_id", F.when(is_("unknown row"), F.lit("d")).otherwise(F.lit("c")).alias("con"), F.lit("x").alias("var"),
+                     F.when(is_("NaN coefficient"), nan).when(~is_("null coefficient"), F.lit(1.0)).alias("coef"), "k")
+    again = lambda t, k: t.unionByName(t.where(is_(k))).drop("k")
+    senses = p.where(~is_("no objective sense")).select("problem_id", F.when(is_("bad objective sense"), F.lit("most")).otherwise(F.lit("max")).alias("sense"))
+    prog = program_from_tables(again(vars, "variable twice"), again(cons, "row twice"), again(coefs, "entry twice"), senses)
+    found = check_program(prog).groupBy("problem_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("findings"))
+    best = solve(prog).incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best"), "status")
+    return best.join(found, "problem_id", "left").select("problem_id", "best", "status", F.coalesce("findings", F.lit("")).alias("findings"))
+
+
+def q37_mixed_senses(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch of both senses (U3): orders of even key maximise Q22's program, the others minimise Q23's."""
+    odd = F.col("problem_id") % 2 == 1
+    a, b = X.selection_program(spark, sf), X.mix_program(spark, sf)
+    both = [x.where(~odd).unionByName(y.where(odd)) for x, y in ((a.vars, b.vars), (a.cons, b.cons), (a.coefs, b.coefs))]
+    senses = both[0].select("problem_id").distinct().withColumn("sense", F.when(odd, F.lit("min")).otherwise(F.lit("max")))
+    res = solve(program_from_tables(*both, senses))
+    return res.incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best_v"), "status")
+
+
+#: Limits of q38's budget per bucket and level, in node costs: the average demand.
+CONTROL = RoundControl(lo=50, hi=10 ** 9)
+
+
+def _best(res) -> DataFrame:
+    return res.incumbent.select("problem_id", F.col("objective").cast("bigint").alias("best_v"), "status")
+
+
+def q38_round_control(spark: SparkSession, sf: str) -> DataFrame:
+    """Q22's search in rounds (A5, A6): phase and budget of every level follow the live
+    counts.  ``follows``: they equal what the recorded counts per bucket give; the first
+    level's are given too."""
+    res = solve(X.selection_program(spark, sf), control=CONTROL, track=True)
+    per = res.metrics.where("bucket is not null").groupBy("iteration").agg(F.min("n_hard").alias("least"), F.avg("n_easy").alias("e"), F.avg("n_hard").alias("h"), F.min("phase").alias("was"))
+    due = F.least(F.greatest(CONTROL.w_hard * F.col("h") + CONTROL.w_easy * F.col("e"), F.lit(float(CONTROL.lo))), F.lit(float(CONTROL.hi)))
+    phase = F.when(F.col("least") > CONTROL.threshold, F.lit("solve")).otherwise(F.lit("farm"))
+    same = res.control.join(per, "iteration").agg(F.bool_and((F.col("phase") == phase) & (F.col("was") == F.col("phase")) & (F.col("min_hard") == F.col("least")) & (F.abs(F.col("budget") - due) < 1e-6)).alias("follows"))
+    first = res.control.where("iteration = 0").select(F.col("phase").alias("phase0"), F.col("min_hard").alias("min_hard0"), F.col("budget").alias("budget0"))
+    return _best(res).join(F.broadcast(first.join(F.broadcast(same))))  # one row each
+
+
+def q39_farmed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Q22's search with subtrees that re-root (F5, F6, F3): when a subtree holds more than
+    one hard leaf, children of its hard nodes start subtrees.  ``rooted``: at every level
+    each node stands below the root that its subtree is named by, at its depth."""
+    res = solve(X.selection_program(spark, sf), max_hard=1, keep_levels=True)
+    root = F.col("node_id").startswith(F.col("subtree_id")) & (F.length("subtree_id") == F.col("subtree_root_depth") + 1) & (F.length("node_id") == F.col("depth") + 1)
+    flags = [t["open"].agg(F.bool_and(root).alias("ok"), F.max("subtree_root_depth").alias("d")) for t in res.trace]
+    rooted = reduce(DataFrame.unionByName, flags).agg(F.bool_and("ok").alias("rooted"), (F.max("d") > 0).alias("farmed"))
+    return _best(res).join(F.broadcast(rooted))  # one row
+
+
+def q40_subtree_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Q22's search with a budget per bucket of 12 for each of its orders on average,
+    shared by its subtrees (W2, W3, W4).  Share and expansions at the first level; ``within``: at
+    every level no subtree spends more than its share and credit, and one that leaves
+    nodes waiting could not pay for another."""
+    prog = X.selection_program(spark, sf)
+    res = solve(prog, budget=12.0 * prog.cons.count() / N_BUCKETS, by_subtree=True, track=True)
+    paid = F.col("spent") <= F.col("share") + 1e-9
+    full = (F.col("n_expanded") == F.col("n_easy") + F.col("n_hard")) | (F.col("share") - F.col("spent") < B.W_HARD)
+    within = res.ledger.agg(F.bool_and(paid & full).alias("within"))
+    first = res.ledger.where("iteration = 0").select("problem_id", "bucket", F.round("share", 6).alias("share"), "n_expanded")
+    return _best(res).join(first, "problem_id").join(F.broadcast(within))  # one row
+
+
+def halves(bounds: DataFrame) -> DataFrame:
+    """Bound changes that split a node's free lines in two (P4, P5): one of them is chosen
+    at most, so either the later half or the earlier half is 0."""
+    w = Window.partitionBy("problem_id", "node_id")  # the variables of one node
+    free = bounds.where((F.col("lb") < F.col("ub")) & (F.col("lb") == 0)).withColumns({"k": F.row_number().over(w.orderBy("var")), "n": F.count(F.lit(1)).over(w)})
+    child = F.when(F.col("k") > F.col("n") / 2, F.lit(0)).otherwise(F.lit(1))
+    return free.where("n > 1").select("problem_id", "node_id", child.alias("child"), "var", F.lit(0.0).alias("value"), F.lit(True).alias("is_upper"))
+
+
+def q41_set_branching(spark: SparkSession, sf: str) -> DataFrame:
+    """The cheapest line of at least average quantity, found by splitting sets of lines."""
+    res = solve(X.one_line_program(spark, sf), changes=halves)
+    chosen = R.solution_rows(res.incumbent).where("value > 0.5").groupBy("problem_id").agg(F.count(F.lit(1)).alias("n_chosen"))
+    return _best(res).join(chosen, "problem_id", "left")
+
+
+def q42_mps_records(spark: SparkSession, sf: str) -> DataFrame:
+    """MPS text of every record type built from ``part`` (one file per brand): both senses,
+    two N rows, a constant, RANGES on each row type, all bound types, sets with and
+    without names; read back as one row per sense, variable, row and coefficient."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("file"), "p_partkey", "p_size", F.regexp_extract("p_brand", r"#(\d+)", 1).cast("bigint").alias("b"))
+    head = p.select("file", "b").distinct()
+    text = lambda rows, no, line: rows.select("file", no.cast("bigint").alias("line_no"), line.alias("line"))
+    fixed = lambda no, line: text(head, F.lit(no), F.lit(line))
+    lines = [text(head, F.lit(0), F.concat(F.lit("NAME          "), "file"))]
+    lines += [text(head.where("b % 2 = 1"), F.lit(1), F.lit("OBJSENSE")), text(head.where("b % 2 = 1"), F.lit(2), F.lit("    MAX")), fixed(3, "* a comment"), fixed(4, "ROWS")]
+    lines += [fixed(5 + i, row) for i, row in enumerate((" N  cost", " N  other", " L  most", " G  least", " E  up", " E  down", " L  plain"))]
+    lines += [fixed(20, "COLUMNS")]
+    column = F.format_string("    P%d  cost  %d  most  %d", "p_partkey", F.col("p_size") * 2, "p_size")
+    second = F.format_string("    P%d  other  7  %s  %d", "p_partkey", F.element_at(F.array(*[F.lit(r) for r in ("least", "up", "down", "plain")]), F.pmod("p_partkey", F.lit(4)).cast("int") + 1), F.col("p_size") + 1)
+    integer = F.col("p_partkey") % 2 == 0
+    lines += [text(p.where(~integer), 100 + 2 * F.col("p_partkey"), column), text(p.where(~integer), 101 + 2 * F.col("p_partkey"), second)]
+    far = 10 ** 10
+    lines += [fixed(far, "    M1                 'MARKER'                 'INTORG'"), text(p.where(integer), far + 100 + 2 * F.col("p_partkey"), column),
+              text(p.where(integer), far + 101 + 2 * F.col("p_partkey"), second), fixed(2 * far, "    M2                 'MARKER'                 'INTEND'")]
+    lines += [fixed(3 * far, "RHS"), fixed(3 * far + 1, "    SET  most  100  least  5"), fixed(3 * far + 2, "    up  10  down  20"), fixed(3 * far + 3, "    SET  cost  -50")]
+    lines += [fixed(4 * far, "RANGES"), fixed(4 * far + 1, "    R  most  30  least  40"), fixed(4 * far + 2, "    up  3"), fixed(4 * far + 3, "    R  down  -4"), fixed(5 * far, "BOUNDS")]
+    kinds = F.element_at(F.array(*[F.lit(f) for f in (" UP BND  P%d  9", " LO BND  P%d  2", " FX P%d  4", " FR BND  P%d", " MI P%d", " PL BND  P%d", " BV BND  P%d", " LI BND  P%d  3", " UI P%d  8", " UP BND  P%d  -5")]),
+                         F.pmod("p_partkey", F.lit(11)).cast("int") + 1)
+    bounded = p.where("p_partkey % 11 < 10")
+    lines += [text(bounded, 5 * far + 1 + F.col("p_partkey"), F.replace(kinds, F.lit("%d"), F.col("p_partkey").cast("string"))), fixed(6 * far, "ENDATA")]
+    prog = parse_mps(reduce(DataFrame.unionByName, lines), problem_id=F.regexp_extract("file", r"#(\d+)", 1).cast("bigint"))
+    none = F.lit(None).cast("double")
+    row = lambda t, kind, name, a, b, c, note: t.select("problem_id", F.lit(kind).alias("kind"), name.alias("name"), a.alias("a"), b.alias("b"), c.alias("c"), note.alias("note"))
+    return (row(prog.sense, "sense", F.lit(""), none, none, none, F.col("sense"))
+            .unionByName(row(prog.vars, "var", F.col("var"), F.col("lb"), F.col("ub"), F.col("obj"), F.col("is_int").cast("string")))
+            .unionByName(row(prog.cons, "row", F.col("con"), F.col("rhs"), none, none, F.col("sense")))
+            .unionByName(row(prog.coefs, "entry", F.concat_ws("/", "con", "var"), F.col("coef"), none, none, F.lit(""))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_root_nodes": q01_root_nodes,
     "q02_read_mps": q02_read_mps,
@@ -505,4 +648,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q33_select_depth_first": q33_select_depth_first,
     "q34_prune_halt_max": q34_prune_halt_max,
     "q35_mix_bounds": q35_mix_bounds,
+    "q36_quarantine": q36_quarantine,
+    "q37_mixed_senses": q37_mixed_senses,
+    "q38_round_control": q38_round_control,
+    "q39_farmed_search": q39_farmed_search,
+    "q40_subtree_budget": q40_subtree_budget,
+    "q41_set_branching": q41_set_branching,
+    "q42_mps_records": q42_mps_records,
 }

@@ -80,3 +80,17 @@ def mix_program(spark: SparkSession, sf_dir: str) -> Program:
         F.struct(F.lit("count").alias("con"), F.lit(1.0).alias("coef")))).alias("k"), "item_id") \
         .select("problem_id", F.col("k.con").alias("con"), F.col("item_id").alias("var"), F.col("k.coef").alias("coef"))
     return program_from_tables(vars, cover.unionByName(count), coefs, "min")
+
+
+def one_line_program(spark: SparkSession, sf_dir: str) -> Program:
+    """One program per order: exactly one line, of at least the average quantity, of least value."""
+    it = items(spark, sf_dir).withColumnRenamed("l_orderkey", "problem_id")
+    vars = it.select("problem_id", F.col("item_id").alias("var"), F.lit(0.0).alias("lb"), F.lit(1.0).alias("ub"),
+                     F.col("v").cast("double").alias("obj"), F.lit(True).alias("is_int"))
+    need = it.groupBy("problem_id").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("n"))
+    rows = need.select("problem_id", F.inline(F.array(
+        F.struct(F.lit("one").alias("con"), F.lit("=").alias("sense"), F.lit(1.0).alias("rhs")),
+        F.struct(F.lit("enough").alias("con"), F.lit(">=").alias("sense"), F.ceil(F.col("W") / F.col("n")).cast("double").alias("rhs")))))
+    coefs = it.select("problem_id", F.col("item_id").alias("var"), F.inline(F.array(
+        F.struct(F.lit("one").alias("con"), F.lit(1.0).alias("coef")), F.struct(F.lit("enough").alias("con"), F.col("w").cast("double").alias("coef")))))
+    return program_from_tables(vars, rows, coefs, "min")

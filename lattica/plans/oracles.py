@@ -283,7 +283,7 @@ ORACLE["q26_solver_metrics"] = f"""
 WITH {BUCKETS}, o AS (SELECT DISTINCT l_orderkey, CAST(l_orderkey % 40 AS INTEGER) AS bucket FROM lineitem),
 c AS (SELECT bk.bucket, count(l_orderkey) AS n FROM bk LEFT JOIN o USING (bucket) GROUP BY 1)
 SELECT 0 AS iteration, bucket, CAST(0 AS BIGINT) AS n_easy, CAST(sum(n) AS BIGINT) AS n_hard, CAST(sum(n) AS BIGINT) AS n_trees,
-       CAST(sum(n) AS BIGINT) AS n_open, 'solve' AS phase FROM c GROUP BY ROLLUP (bucket)"""
+       CAST(sum(n) AS BIGINT) AS n_open, 'solve' AS phase, true AS adds_up, true AS by_bucket FROM c GROUP BY ROLLUP (bucket)"""
 
 ORACLE["q27_solve_refused"] = f"""
 WITH p AS (SELECT p_partkey, p_size AS s, p_partkey % 5 AS k FROM part),
@@ -305,3 +305,51 @@ ORACLE["q31_replace_farmed"] = f"""
 WITH o AS (SELECT l_orderkey, count(*) > 5 AS farmed FROM lineitem GROUP BY 1)
 SELECT l_orderkey AS problem_id, 'r' AS node_id, 'r' AS subtree_id, 0 AS subtree_root_depth, 0 AS depth FROM o WHERE NOT farmed
 UNION ALL SELECT l_orderkey, 'r' || side, 'r' || side, 1, 1 FROM o, (SELECT unnest(['0', '1']) AS side) WHERE farmed"""
+
+ORACLE["q36_quarantine"] = """
+WITH p AS (SELECT p_partkey, p_size // 2 AS best, p_partkey % 16 AS k FROM part)
+SELECT p_partkey AS problem_id, CASE WHEN k = 0 THEN CAST(best AS BIGINT) END AS best, CASE WHEN k = 0 THEN 'optimal' ELSE 'error' END AS status,
+       CASE WHEN k = 0 THEN '' WHEN k IN (1, 2, 4, 5, 7) THEN 'null_value' WHEN k IN (3, 6, 11, 12) THEN 'not_finite' WHEN k = 8 THEN 'unknown_con'
+            WHEN k = 9 THEN 'duplicate_con' WHEN k = 10 THEN 'duplicate_var' WHEN k = 13 THEN 'duplicate_coef' ELSE 'bad_objective_sense' END AS findings FROM p"""
+
+ORACLE["q37_mixed_senses"] = f"""
+SELECT * FROM ({ORACLE['q22_solve_selection']}) WHERE problem_id % 2 = 0
+UNION ALL SELECT problem_id, CAST(best_v AS BIGINT), status FROM ({ORACLE['q23_solve_mix']}) WHERE problem_id % 2 = 1"""
+
+ROOTS = """SELECT CAST(b.range AS INTEGER) AS bucket, count(k) AS n, min(k) AS head
+FROM range(40) b LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) o ON k % 40 = b.range GROUP BY 1"""
+
+ORACLE["q38_round_control"] = f"""
+WITH best AS ({ORACLE['q22_solve_selection']}), roots AS ({ROOTS}),
+first AS (SELECT CASE WHEN min(n) > 5 THEN 'solve' ELSE 'farm' END AS phase0, CAST(min(n) AS BIGINT) AS min_hard0, greatest(10 * avg(n), 50)::DOUBLE AS budget0 FROM roots)
+SELECT best.*, first.*, true AS follows FROM best, first"""
+
+ORACLE["q39_farmed_search"] = f"SELECT *, true AS rooted, true AS farmed FROM ({ORACLE['q22_solve_selection']})"
+
+ORACLE["q40_subtree_budget"] = f"""
+WITH best AS ({ORACLE['q22_solve_selection']}), roots AS ({ROOTS}), all_ AS (SELECT 12.0 * sum(n) / 40 AS budget FROM roots)
+SELECT best.*, bucket, round(CASE WHEN budget > 10 * n THEN 10 + CASE WHEN problem_id = head THEN budget - 10 * n ELSE 0 END ELSE greatest(10, budget / n) END, 6)::DOUBLE AS share,
+       CAST(1 AS BIGINT) AS n_expanded, true AS within
+FROM best JOIN roots ON problem_id % 40 = bucket, all_"""
+
+ORACLE["q41_set_branching"] = f"""
+WITH it AS (SELECT l_orderkey, {CENTS} AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
+po AS (SELECT l_orderkey, (sum(w) + count(*) - 1) // count(*) AS need FROM it GROUP BY 1)
+SELECT it.l_orderkey AS problem_id, min(v) AS best_v, 'optimal' AS status, CAST(1 AS BIGINT) AS n_chosen
+FROM it JOIN po ON po.l_orderkey = it.l_orderkey AND w >= need GROUP BY 1"""
+
+ORACLE["q42_mps_records"] = """
+WITH p AS (SELECT CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS BIGINT) AS b, p_partkey AS k, p_size AS s, 'P' || p_partkey AS name FROM part),
+brand AS (SELECT DISTINCT b FROM p),
+other AS (SELECT b, name, s, ['least', 'up', 'down', 'plain'][CAST(k % 4 AS INTEGER) + 1] AS con FROM p),
+rows AS (SELECT unnest([{'name': 'most#lo', 'a': 70, 'note': '>='}, {'name': 'most#hi', 'a': 100, 'note': '<='}, {'name': 'least#lo', 'a': 5, 'note': '>='}, {'name': 'least#hi', 'a': 45, 'note': '<='},
+  {'name': 'up#lo', 'a': 10, 'note': '>='}, {'name': 'up#hi', 'a': 13, 'note': '<='}, {'name': 'down#lo', 'a': 16, 'note': '>='}, {'name': 'down#hi', 'a': 20, 'note': '<='},
+  {'name': 'plain', 'a': 0, 'note': '<='}]) AS r),
+entries AS (SELECT b, name, 'most' AS con, s AS v FROM p UNION ALL SELECT b, name, con, s + 1 FROM other)
+SELECT b AS problem_id, 'sense' AS kind, '' AS name, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL::DOUBLE AS c, CASE WHEN b % 2 = 1 THEN 'max' ELSE 'min' END AS note FROM brand
+UNION ALL SELECT b, 'var', '#constant', 1, 1, 50, 'true' FROM brand
+UNION ALL SELECT b, 'var', name, CASE k % 11 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN '-inf'::DOUBLE WHEN 4 THEN '-inf'::DOUBLE WHEN 7 THEN 3 WHEN 9 THEN '-inf'::DOUBLE ELSE 0 END,
+  CASE k % 11 WHEN 0 THEN 9 WHEN 2 THEN 4 WHEN 6 THEN 1 WHEN 8 THEN 8 WHEN 9 THEN -5 ELSE 'inf'::DOUBLE END, 2 * s, CASE WHEN k % 2 = 0 OR k % 11 IN (6, 7, 8) THEN 'true' ELSE 'false' END FROM p
+UNION ALL SELECT b, 'row', r.name, r.a, NULL, NULL, r.note FROM brand, rows
+UNION ALL SELECT b, 'entry', con || side || '/' || name, v, NULL, NULL, '' FROM entries, (SELECT unnest(['#lo', '#hi']) AS side) WHERE con <> 'plain'
+UNION ALL SELECT b, 'entry', 'plain/' || name, v, NULL, NULL, '' FROM entries WHERE con = 'plain'"""

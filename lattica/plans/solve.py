@@ -2,8 +2,9 @@
 
 One loop turn = one tree level for the open nodes of every problem:
 
-    evaluate (join to the model) → best candidate per problem (incumbent)
-    → prune and halt → [budget: the rest waits] → branch → next level
+    [round control: phase and budget] → [the nodes that the budget pays for; the rest waits]
+    → evaluate (join to the model) → best candidate per problem (incumbent)
+    → prune and halt → [farming: which nodes' children start a subtree] → branch → next level
 
 with the same operators that stand alone in ``operators``.  The frontier holds
 one small row per open node (bounds that differ from the model's); model columns
@@ -11,6 +12,10 @@ never travel with it.  Evaluated nodes, incumbents and the next frontier are
 reliable checkpoints, so a lost executor costs one step of one level; the
 session's ``spark.cleaner.referenceTracking.cleanCheckpoints`` deletes those of
 earlier levels.  Counters come back through Observations (one small row each).
+
+Inside, every problem is minimised (``sign * objective``, ``sign * bound``), so a batch
+may hold both senses.  The model and the incumbents shrink with the search: when
+only half of their problems are open, the others are set aside.
 """
 
 from __future__ import annotations
@@ -26,15 +31,35 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica import schemas
-from lattica.operators.balance import count_by_bucket, select_nodes
-from lattica.operators.bounds import NODE_KEY, by_reduced_cost, evaluate, evaluation, prepare_model
-from lattica.operators.report import metrics_row
-from lattica.operators.search import best_solution, branch, halt_subtrees, prune_nodes
+from lattica.operators import balance as B
+from lattica.operators.bounds import NODE_KEY, NODE_STEPS, by_reduced_cost, effective_bounds, evaluate, evaluation, prepare_model
+from lattica.operators.report import metrics_row, write_level
+from lattica.operators.search import best_solution, branch, halt_subtrees, prune_nodes, split_groups, with_branches
 from lattica.session import cut
 from lattica.sources.program import PID, Program, root_nodes, unsupported_problems, without_problems
 
-N_BUCKETS = 40
+N_BUCKETS = B.N_BUCKETS
+SUBTREE = (PID, "subtree_id")
 _INCUMBENT = "problem_id bigint, objective double, status string, values array<double>"
+_CONTROL = ("iteration int, phase string, min_hard bigint, avg_easy double, avg_hard double, budget double, n_open bigint, n_expanded bigint, "
+            "n_farmed bigint, n_halted bigint")
+
+
+@dataclass(frozen=True)
+class RoundControl:
+    """Phase and budget of each level from the live counts per bucket.
+
+    A level is in the solution phase if every bucket holds more than ``threshold``
+    hard nodes; otherwise it farms: every hard node that is no subtree's root
+    hands its children out as subtrees of their own.  The budget per bucket is
+    that of ``iteration_budget``.
+    """
+
+    threshold: int = B.MIN_HARD_PER_BUCKET
+    w_easy: float = B.W_EASY
+    w_hard: float = B.W_HARD
+    lo: float = B.BUDGET_LO
+    hi: float = B.BUDGET_HI
 
 
 @dataclass
@@ -45,53 +70,93 @@ class SolveResult:
     levels: int = 0
     nodes: int = 0
     level_nodes: list = field(default_factory=list)
+    control: DataFrame | None = None   # phase, budget and counts of each level
+    ledger: DataFrame | None = None    # share and expansions per level and subtree, if tracked
+    trace: list = field(default_factory=list)  # the tables of each level, if asked for
 
 
 def solve(program: Program, max_iterations: int | None = None, rel_gap: float = 0.0, method: str = "lagrangian",
           n_buckets: int = N_BUCKETS, rounds: int = 2, frontier: DataFrame | None = None, incumbent: DataFrame | None = None,
-          budget: int | None = None, depth_first: bool = False, branch_rule: Callable[[Column], Column] = by_reduced_cost,
-          easy_when: Column | None = None, track: bool = False) -> SolveResult:
+          budget: float | None = None, depth_first: bool = False, branch_rule: Callable[[Column], Column] = by_reduced_cost,
+          easy_when: Column | None = None, track: bool = False, max_hard: int | None = None, by_subtree: bool = False,
+          control: RoundControl | None = None, changes: Callable[[DataFrame], DataFrame] | None = None, sink: str | None = None,
+          first_level: int = 0, keep_levels: bool = False) -> SolveResult:
     """Solve every program of the batch to optimality (or to ``rel_gap``).
 
     Returns the incumbent per problem in the program's own sense, with status
     ``optimal`` (search finished, gap 0), ``feasible`` (open nodes left, or gap
-    > 0), ``infeasible``, ``unknown`` (open nodes and no solution) or ``error``
-    (continuous variables, infinite bounds, duplicate or unknown entries: the
-    problem is not touched).
+    > 0), ``infeasible``, ``unknown`` (open nodes and no solution) or ``error`` (a
+    finding of ``check_program`` that is unsupported: the problem is not touched, and
+    the others are solved).
 
     ``max_iterations`` levels are done at most; ``frontier`` and ``incumbent`` of
     such a result go on with it.  ``budget`` expands that many nodes per bucket
     and level, best bound first or deepest first; the others wait, none is
-    dropped.  ``rel_gap`` halts whole subtrees.  ``track`` adds metrics rows per
-    bucket, read from the levels' checkpoints.
+    dropped.  With ``by_subtree`` the budget is in node costs and is shared by the
+    bucket's subtrees (``fair_shares``); what a subtree cannot spend on whole nodes is
+    credited to its next level.  ``max_hard``: when a subtree holds more hard
+    leaves, the children of its hard nodes start subtrees of their own.
+    ``control`` sets phase (farm everything or solve) and budget of each level from the
+    live counts, shared by subtree.  ``rel_gap`` halts whole subtrees.
+
+    ``branch_rule`` scores a variable; ``changes`` is a rule of another kind: from the
+    open nodes' bounds (problem_id, node_id, var, lb, ub, obj, is_int) to bound
+    changes (problem_id, node_id, child, var, value, is_upper).  Its children must
+    cover all solutions of the node and be smaller; nodes it leaves out are split by ``branch_rule``.
+
+    ``track`` adds metrics rows per bucket and the ledger of subtrees; ``sink`` is a
+    folder for the state after each level (``report.write_level``), from which
+    ``resume`` goes on; ``keep_levels`` keeps references to the tables of all levels.
     """
     spark = program.vars.sparkSession
-    sense, sign = program.sense, program.sign
     bad = cut(unsupported_problems(program))
     clean = without_problems(program, bad)
-    model = cut(prepare_model(clean, method))
-    steps = evaluation(sign, rounds, branch_rule)
+    own = cut(prepare_model(clean, method))
+    signs = own.select(PID, "sign", "names")
+    model = own.withColumn("sign", F.lit(1.0))  # inside the loop everything is minimised
+    # Multipliers travel with the nodes only where some problem has several rows.
+    warm = not own.where("several").isEmpty()
+    steps = evaluation(rounds, branch_rule, NODE_STEPS if warm else 0)
 
-    names = model.select(PID, "names")
     if incumbent is None:
         best = spark.createDataFrame([], _INCUMBENT)
     else:
-        known = incumbent.where(F.col("values").isNotNull()).join(names, PID)
-        best = cut(known.select(PID, "objective", F.lit(schemas.FEASIBLE).alias("status"),
+        known = incumbent.where(F.col("values").isNotNull()).join(signs, PID)
+        best = cut(known.select(PID, (F.col("sign") * F.col("objective")).alias("objective"), F.lit(schemas.FEASIBLE).alias("status"),
                                 F.transform("names", lambda n: F.try_element_at("values", n)).alias("values")))
-    start = frontier if frontier is not None else root_nodes(clean.vars, n_buckets)
-    seen = Observation("lattica_root")
-    open_ = cut(start.join(bad, PID, "left_anti").select(*[f.name for f in schemas.FRONTIER.fields]).observe(seen, F.count(F.lit(1)).alias("n")))
-    n_open = seen.get["n"]
+    fields = [f.name for f in schemas.FRONTIER.fields]
+    if frontier is None:
+        start = root_nodes(clean.vars, n_buckets)
+    else:
+        start = frontier.join(bad, PID, "left_anti").join(signs.drop("names"), PID).withColumn("bound", F.col("sign") * F.col("bound"))
+    lam = [F.lit(None).cast("array<double>").alias("lam")] if warm else []
+    open_, n_open, n_problems = _counted(start.select(*fields, *lam), "root")
+    held = n_problems  # problems in the model and the incumbents, about
 
-    level, total, level_nodes, metrics = 0, 0, [], []
+    level, total, level_nodes, metrics, controls, ledgers, kept_levels, aside = first_level, 0, [], [], [], [], [], []
+    credits = None
+    share_out = by_subtree or control is not None
     trace = os.environ.get("LATTICA_TRACE") == "1"
-    while n_open and (max_iterations is None or level < max_iterations):
+    while n_open and (max_iterations is None or level - first_level < max_iterations):
         t0 = time.perf_counter()
-        chosen = open_
-        if budget is not None:
-            order = F.lit(sign) * F.coalesce("bound", F.lit(sign * float("-inf")))
-            chosen = cut(select_nodes(open_.withColumn("_o", order), budget, order="_o", tie=tuple(NODE_KEY), depth_first=depth_first).drop("_o"))
+        state = {"phase": "solve", "min_hard": None, "avg_easy": None, "avg_hard": None, "budget": None if budget is None else float(budget)}
+        if control is not None:
+            state = _round(open_, control, n_buckets)
+        chosen, waiting, shares = open_, None, None
+        if share_out and state["budget"] is not None:
+            cost = (control.w_easy, control.w_hard) if control is not None else (B.W_EASY, B.W_HARD)
+            shares = cut(subtree_shares(open_, state["budget"], credits, *cost))
+            chosen = cut(B.select_by_share(open_, shares, tie=tuple(NODE_KEY), depth_first=depth_first, w_easy=cost[0], w_hard=cost[1]))
+            spent = chosen.groupBy(*SUBTREE).agg(F.sum(B.node_cost(*cost)).alias("spent"), F.count(F.lit(1)).alias("n_expanded"))
+            shares = cut(shares.join(spent, list(SUBTREE), "left").na.fill(0, ["spent", "n_expanded"]))
+            credits = shares.select(*SUBTREE, (F.col("share") - F.col("spent")).alias("credit"))
+            if track:
+                ledgers.append(shares.select(F.lit(level).alias("iteration"), *shares.columns))
+        elif budget is not None:
+            order = F.coalesce("bound", F.lit(float("-inf")))
+            chosen = cut(B.select_nodes(open_.withColumn("_o", order), int(budget), order="_o", tie=tuple(NODE_KEY), depth_first=depth_first).drop("_o"))
+        if chosen is not open_:
+            waiting = open_.join(chosen.select(*NODE_KEY), NODE_KEY, "left_anti")
         counted = Observation(f"lattica_level_{level}")
         nodes = cut(evaluate(chosen, model, steps).observe(
             counted, F.count(F.lit(1)).alias("n"), F.count_if("is_easy").alias("n_easy"), F.count(F.col("cand_obj")).alias("n_candidates"),
@@ -100,37 +165,118 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
         if at["n_candidates"]:
             points = nodes.where("cand_obj is not null").select(
                 PID, F.col("cand_obj").alias("objective"), F.lit(schemas.FEASIBLE).alias("status"), F.col("cand_x").alias("values"), "node_id")
-            best = cut(best_solution(points, best, sense))
-        kept = prune_nodes(nodes.where(~F.col("infeasible") & F.col("var").isNotNull()), best, sense)
+            best = cut(best_solution(points, best))
+        kept, n_farmed, n_halted = prune_nodes(nodes.where(~F.col("infeasible") & F.col("var").isNotNull()), best), 0, 0
         if rel_gap > 0:
-            kept = halt_subtrees(kept, best, rel_gap, sense)
+            live = cut(kept) if track or keep_levels else kept
+            kept = halt_subtrees(live, best, rel_gap)
+            if track or keep_levels:
+                kept = cut(kept)
+                n_halted = live.select(*SUBTREE).distinct().count() - kept.select(*SUBTREE).distinct().count()
+        farm_all = state["phase"] == "farm"
+        if changes is not None:
+            kept = cut(kept)
+            kept = with_branches(kept, changes(effective_bounds(kept, clean.vars)))
+        if max_hard is not None or farm_all:
+            kept = split_groups(kept, (1 << 62) if max_hard is None else max_hard, farm_all, waiting=waiting)
+        n_branched = None
+        if keep_levels or changes is not None or "farmed" in kept.columns:
+            seen = Observation(f"lattica_kept_{level}")
+            farmed = F.col("farmed") if "farmed" in kept.columns else F.lit(False)
+            kept = cut(kept.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(farmed).alias("farmed")))
+            n_branched, n_farmed = seen.get["n"], seen.get["farmed"]
         children = branch(kept, easy_when)
-        if budget is not None:
-            children = children.unionByName(open_.join(chosen.select(*NODE_KEY), NODE_KEY, "left_anti"))
-        seen = Observation(f"lattica_next_{level}")
-        before, open_ = open_, cut(children.observe(seen, F.count(F.lit(1)).alias("n")))
-        n_next = seen.get["n"]
-        waiting = n_open - at["n"]
-        n_branched = (n_next - waiting) // 2
+        if waiting is not None:
+            children = children.unionByName(waiting)
+        before, (open_, n_next, n_problems) = open_, _counted(children, f"next_{level}")
+        if n_branched is None:
+            n_branched = (n_next - n_open + at["n"]) // 2
+        n_pruned = at["n"] - n_branched - at["n_done"]
         if track:
-            metrics.append(metrics_row(spark, level, count_by_bucket(before, n_buckets), "solve", at["n"] - n_branched - at["n_done"], at["n_done"]))
+            metrics.append(metrics_row(spark, level, B.count_by_bucket(before, n_buckets), state["phase"], n_pruned, at["n_done"]))
         else:
-            row = (level, None, at["n_easy"], at["n"] - at["n_easy"], None, n_open, at["n"] - n_branched - at["n_done"], at["n_done"], "solve")
+            row = (level, None, at["n_easy"], at["n"] - at["n_easy"], None, n_open, n_pruned, at["n_done"], state["phase"])
             metrics.append(spark.createDataFrame([row], schemas.RUN_METRICS))
+        controls.append((level, state["phase"], state["min_hard"], state["avg_easy"], state["avg_hard"], state["budget"], n_open, at["n"], n_farmed, n_halted))
+        if keep_levels:
+            kept_levels.append({"open": before, "shares": shares, "nodes": nodes, "best": best, "kept": kept, "next": open_})
         if trace:
             print(f"level {level}: {n_open} open, {at['n']} expanded, {n_next} next, {time.perf_counter() - t0:.2f}s", file=sys.stderr, flush=True)
         level_nodes.append(at["n"])
         total += at["n"]
+        if n_problems * 2 < held:  # shrinks at most log2(number of problems) times
+            alive = cut(open_.select(PID).distinct())
+            aside.append(cut(best.join(alive, PID, "left_anti")))
+            best, model = cut(best.join(alive, PID, "left_semi")), cut(model.join(alive, PID, "left_semi"))
+            held = n_problems
         level, n_open = level + 1, n_next
+        if sink is not None:
+            write_level(sink, level, _own_sense(open_.select(*fields), signs, "bound"),
+                        _with_status(program, signs, reduce(DataFrame.unionByName, [*aside, best]), open_, bad, rel_gap), metrics[-1])
 
-    result = _with_status(program, names, best, open_, bad, rel_gap)
+    best = reduce(DataFrame.unionByName, [*aside, best])
+    result = _with_status(program, signs, best, open_, bad, rel_gap)
     table = reduce(DataFrame.unionByName, metrics) if metrics else spark.createDataFrame([], schemas.RUN_METRICS)
-    return SolveResult(result, open_, table, level, total, level_nodes)
+    ledger = reduce(DataFrame.unionByName, ledgers) if ledgers else None
+    return SolveResult(result, _own_sense(open_.select(*fields), signs, "bound"), table, level - first_level, total, level_nodes,
+                       spark.createDataFrame(controls, _CONTROL), ledger, kept_levels)
+
+
+def _counted(nodes: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """``nodes`` materialised, their number and about how many problems they are of."""
+    seen = Observation(f"lattica_{name}")
+    nodes = cut(nodes.observe(seen, F.count(F.lit(1)).alias("n"), F.approx_count_distinct(PID).alias("problems")))
+    got = seen.get
+    return nodes, got["n"], got["problems"]
+
+
+def _round(nodes: DataFrame, control: RoundControl, n_buckets: int) -> dict:
+    """Phase and budget from the counts of the open nodes: one row reaches the driver."""
+    counts = cut(B.count_by_bucket(nodes, n_buckets, trees=False))
+    phase = B.needs_rebalance(counts, control.threshold)
+    budget = B.iteration_budget(counts, control.w_easy, control.w_hard, control.lo, control.hi)
+    row = phase.join(F.broadcast(budget)).first()  # one row each
+    return {"phase": "solve" if row["solution_phase"] else "farm", **{c: row[c] for c in ("min_hard", "avg_easy", "avg_hard", "budget")}}
+
+
+def subtree_shares(nodes: DataFrame, budget: float, credits: DataFrame | None = None, w_easy: float = B.W_EASY, w_hard: float = B.W_HARD) -> DataFrame:
+    """(problem_id, subtree_id, bucket, n_easy, n_hard, w, demand, share) of every subtree of ``nodes``.
+
+    ``share`` is the fair share of the bucket's budget, one node at least, and the
+    subtree's credit from the level before.  The first subtree by (problem_id,
+    subtree_id) gets a bucket's surplus.
+    """
+    leaves = B.leaves_by_subtree(nodes, (*SUBTREE, "bucket"))
+    out = B.fair_shares(leaves, budget, w_easy, w_hard, floor=max(w_easy, w_hard), order=PID, tie="subtree_id")
+    if credits is not None:
+        out = out.join(credits, list(SUBTREE), "left").withColumn("share", F.col("share") + F.coalesce("credit", F.lit(0.0))).drop("credit")
+    return out
+
+
+def resume(program: Program, path: str, **options) -> SolveResult:
+    """Go on with the run whose levels ``solve(sink=path)`` wrote, from the last whole level.
+
+    The program must be the same; ``options`` are those of ``solve``.  Credits of
+    subtrees start anew.
+    """
+    from lattica.operators.report import last_level, read_level
+
+    spark = program.vars.sparkSession
+    level = last_level(spark, path)
+    if level is None:
+        return solve(program, sink=path, **options)
+    state = read_level(spark, path, level)
+    return solve(program, frontier=state["frontier"], incumbent=state["incumbent"], sink=path, first_level=level, **options)
+
+
+def _own_sense(df: DataFrame, signs: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` turned back to the sense of each problem."""
+    return df.join(signs.select(PID, "sign"), PID).withColumn(column, F.col("sign") * F.col(column)).drop("sign").select(*df.columns)
 
 
-def _with_status(program: Program, names: DataFrame, best: DataFrame, open_: DataFrame, bad: DataFrame, rel_gap: float) -> DataFrame:
+def _with_status(program: Program, signs: DataFrame, best: DataFrame, open_: DataFrame, bad: DataFrame, rel_gap: float) -> DataFrame:
     """Every problem of the batch with its objective, status and values as a map."""
-    out = (program.vars.select(PID).distinct().join(names, PID, "left").join(best.drop("status"), PID, "left")
+    out = (program.vars.where(F.col(PID).isNotNull()).select(PID).distinct().join(signs, PID, "left").join(best.drop("status"), PID, "left")
            .join(open_.select(PID).distinct().withColumn("_open", F.lit(True)), PID, "left")
            .join(bad.select(PID).withColumn("_bad", F.lit(True)), PID, "left"))
     still, has = F.coalesce("_open", F.lit(False)), F.col("objective").isNotNull()
@@ -139,4 +285,4 @@ def _with_status(program: Program, names: DataFrame, best: DataFrame, open_: Dat
               .when(has, F.lit(schemas.FEASIBLE))
               .when(still, F.lit(schemas.UNKNOWN))
               .otherwise(F.lit(schemas.INFEASIBLE)))
-    return out.select(PID, "objective", status.alias("status"), F.map_from_arrays("names", "values").alias("values"))
+    return out.select(PID, (F.col("sign") * F.col("objective")).alias("objective"), status.alias("status"), F.map_from_arrays("names", "values").alias("values"))

@@ -71,8 +71,7 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
     """MPS lines ``(file, [chunk,] line_no, line)`` → a program batch, one problem per file.
 
     ``problem_id`` defaults to ``xxhash64(file)``; pass a Column to override.
-    ``sense`` is the batch's, and that of files without an OBJSENSE; the costs of a
-    file with the other sense are negated, so its objective comes out negated.
+    ``sense`` is that of files without an OBJSENSE; the program has the sense of each file.
     Without a ``chunk`` column, lines are chunked by ``line_no div 2^20``.
     """
     if "chunk" not in lines.columns:
@@ -94,9 +93,9 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
         "problem_id", F.upper(F.get(F.col("tok"), 0)).alias("type"), F.get(F.col("tok"), 1).alias("con"), "chunk", "line_no")
     # The first N row of the file is the objective; others are free rows without effect.
     obj_row = rows.where(F.col("type") == "N").groupBy("problem_id").agg(F.min_by("con", F.struct("chunk", "line_no")).alias("obj_row"))
-    other = "max" if sense == "min" else "min"
-    flipped = (l.where(F.col("section") == "OBJSENSE").groupBy("problem_id")
-               .agg(F.max(F.lower(F.substring(F.get(F.col("tok"), F.lit(0)), 1, 3)) == other).alias("flip")))
+    # MAX, MAXIMIZE and the like; the last OBJSENSE line of a file counts.
+    told = l.where(F.col("section") == "OBJSENSE").groupBy("problem_id").agg(
+        F.max_by(F.lower(F.substring(F.get(F.col("tok"), F.lit(0)), 1, 3)), F.struct("chunk", "line_no")).alias("told"))
 
     col = l.where(F.col("section") == "COLUMNS")
     marker = F.get(F.col("tok"), 1) == "'MARKER'"
@@ -169,9 +168,8 @@ def parse_mps(lines: DataFrame, problem_id=None, sense: str = "min") -> Program:
         F.coalesce("bub", F.lit(float("inf"))).alias("ub"),
         F.coalesce("obj", F.lit(0.0)).alias("obj"),
         (F.col("is_int") | F.coalesce("bint", F.lit(False))).alias("is_int"))
-    vars = vars.unionByName(constant).join(flipped, "problem_id", "left").withColumn(
-        "obj", F.when(F.col("flip"), -F.col("obj")).otherwise(F.col("obj"))).drop("flip")
-    return program_from_tables(vars, cons, coefs_r, sense)
+    senses = l.select("problem_id").distinct().join(told, "problem_id", "left").select("problem_id", F.coalesce("told", F.lit(sense)).alias("sense"))
+    return program_from_tables(vars.unionByName(constant), cons, coefs_r, senses)
 
 
 def read_mps(spark: SparkSession, path: str, sense: str = "min") -> Program:

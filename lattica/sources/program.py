@@ -7,6 +7,7 @@ the reference's single program is the case of one ``problem_id``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,23 +20,29 @@ PID = "problem_id"
 
 @dataclass(frozen=True)
 class Program:
-    """A batch of integer programs.  ``sense`` is ``"min"`` or ``"max"`` for all."""
+    """A batch of integer programs.  ``sense`` is ``"min"`` or ``"max"`` for all, or
+    a DataFrame (problem_id, sense) with the sense of each problem."""
 
     vars: DataFrame
     cons: DataFrame
     coefs: DataFrame
-    sense: str = "min"
+    sense: str | DataFrame = "min"
 
-    @property
-    def sign(self) -> float:
-        """Internally everything is minimised: ``c = sign * obj``."""
-        if self.sense not in ("min", "max"):
+    def __post_init__(self) -> None:
+        if isinstance(self.sense, str) and self.sense not in ("min", "max"):
             raise ValueError(f"sense must be 'min' or 'max', not {self.sense!r}")
-        return 1.0 if self.sense == "min" else -1.0
 
+    def with_sign(self, problems: DataFrame) -> DataFrame:
+        """``problems`` with ``sign``: 1 where a problem is minimised, -1 where it is
+        maximised.  Internally everything is minimised: ``c = sign * obj``."""
+        if isinstance(self.sense, str):
+            return problems.withColumn("sign", F.lit(1.0 if self.sense == "min" else -1.0))
+        signs = self.sense.select(PID, F.when(F.col("sense") == "max", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign"))
+        return problems.join(signs, PID)
 
-def program_from_tables(vars: DataFrame, cons: DataFrame, coefs: DataFrame, sense: str = "min") -> Program:
-    """Type the three tables to the engine's schemas (casts only, no inference)."""
+
+def program_from_tables(vars: DataFrame, cons: DataFrame, coefs: DataFrame, sense: str | DataFrame = "min") -> Program:
+    """Type the three tables (and the senses) to the engine's schemas (casts only, no inference)."""
     v = vars.select(
         F.col(PID).cast("bigint").alias(PID),
         F.col("var").cast("string").alias("var"),
@@ -57,6 +64,8 @@ def program_from_tables(vars: DataFrame, cons: DataFrame, coefs: DataFrame, sens
         F.col("var").cast("string").alias("var"),
         F.col("coef").cast("double").alias("coef"),
     )
+    if not isinstance(sense, str):
+        sense = sense.select(F.col(PID).cast("bigint").alias(PID), F.lower(F.col("sense").cast("string")).alias("sense"))
     return Program(v, c, k, sense)
 
 
@@ -80,45 +89,74 @@ def check_program(program: Program) -> DataFrame:
     """Problems that break the engine's assumptions, one row per finding.
 
     Output ``(problem_id, kind, name)``.  Kinds: ``uncovered_var`` (a variable in
-    no row, the reference's coverage assumption), ``unknown_var`` (a coefficient on
-    an undeclared variable), ``duplicate_var``, ``duplicate_coef``,
-    ``bad_sense``, ``continuous_var`` / ``infinite_bound`` (need an LP per node,
-    out of scope), ``empty_domain`` (lb > ub).
+    no row, the reference's coverage assumption), ``unknown_var`` / ``unknown_con`` (a
+    coefficient on an undeclared variable or row), ``duplicate_var``, ``duplicate_con``,
+    ``duplicate_coef``, ``duplicate_objective_sense``, ``bad_sense``, ``bad_objective_sense`` (neither
+    min nor max, or none), ``null_value`` (a null name, bound, objective, sense,
+    right-hand side or coefficient), ``not_finite`` (NaN or infinite objective,
+    right-hand side or coefficient, NaN bound), ``continuous_var`` / ``infinite_bound`` (need
+    an LP per node, out of scope), ``empty_domain`` (lb > ub).  Every finding comes from
+    the long tables by filters, counts and anti joins, so a broken problem never
+    reaches the folds to arrays and maps.
     """
     v, c, k = program.vars, program.cons, program.coefs
-    uncovered = v.join(k.select(PID, "var").distinct(), [PID, "var"], "left_anti").select(
-        PID, F.lit("uncovered_var").alias("kind"), F.col("var").alias("name"))
-    unknown = k.select(PID, "var").distinct().join(v.select(PID, "var"), [PID, "var"], "left_anti").select(
-        PID, F.lit("unknown_var").alias("kind"), F.col("var").alias("name"))
-    dup_var = v.groupBy(PID, "var").count().where("count > 1").select(
-        PID, F.lit("duplicate_var").alias("kind"), F.col("var").alias("name"))
-    dup_coef = k.groupBy(PID, "con", "var").count().where("count > 1").select(
-        PID, F.lit("duplicate_coef").alias("kind"), F.concat_ws("/", "con", "var").alias("name"))
-    bad_sense = c.where(~F.col("sense").isin("<=", ">=", "=")).select(
-        PID, F.lit("bad_sense").alias("kind"), F.col("con").alias("name"))
-    continuous = v.where(~F.col("is_int")).select(
-        PID, F.lit("continuous_var").alias("kind"), F.col("var").alias("name"))
-    infinite = v.where(F.isnan("lb") | F.isnan("ub") | (F.abs("lb") == float("inf")) | (F.abs("ub") == float("inf"))).select(
-        PID, F.lit("infinite_bound").alias("kind"), F.col("var").alias("name"))
-    empty = v.where(F.col("lb") > F.col("ub")).select(
-        PID, F.lit("empty_domain").alias("kind"), F.col("var").alias("name"))
-    return (uncovered.unionByName(unknown).unionByName(dup_var).unionByName(dup_coef)
-            .unionByName(bad_sense).unionByName(continuous).unionByName(infinite).unionByName(empty))
+
+    def found(rows: DataFrame, kind: str, name: Column | str) -> DataFrame:
+        return rows.select(PID, F.lit(kind).alias("kind"), (F.col(name) if isinstance(name, str) else name).alias("name"))
+
+    def twice(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.groupBy(PID, *key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+
+    nulls = lambda *names: F.exists(F.array(*[F.col(n).isNull() for n in names]), lambda x: x)
+    odd = lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
+    used = k.where(F.col("var").isNotNull()).select(PID, "var").distinct()
+    bounds = F.coalesce(F.isnan("lb") | F.isnan("ub"), F.lit(False))
+    infinite = F.coalesce((F.abs("lb") == float("inf")) | (F.abs("ub") == float("inf")), F.lit(False))
+    entry = F.concat_ws("/", "con", "var")
+    parts = [
+        found(v.join(used, [PID, "var"], "left_anti"), "uncovered_var", "var"),
+        found(used.join(v.select(PID, "var"), [PID, "var"], "left_anti"), "unknown_var", "var"),
+        found(k.where(F.col("con").isNotNull()).select(PID, "con").distinct().join(c.select(PID, "con"), [PID, "con"], "left_anti"), "unknown_con", "con"),
+        found(twice(v, "var"), "duplicate_var", "var"),
+        found(twice(c, "con"), "duplicate_con", "con"),
+        found(twice(k, "con", "var"), "duplicate_coef", entry),
+        found(c.where(~F.coalesce(F.col("sense").isin("<=", ">=", "="), F.lit(True))), "bad_sense", "con"),
+        found(v.where(~F.col("is_int")), "continuous_var", "var"),
+        found(v.where(infinite), "infinite_bound", "var"),
+        found(v.where((F.col("lb") > F.col("ub")) & ~bounds), "empty_domain", "var"),
+        found(v.where(nulls("var", "lb", "ub", "obj")), "null_value", "var"),
+        found(c.where(nulls("con", "sense", "rhs")), "null_value", "con"),
+        found(k.where(nulls("con", "var", "coef")), "null_value", entry),
+        found(v.where(odd(F.col("obj")) | bounds), "not_finite", "var"),
+        found(c.where(odd(F.col("rhs"))), "not_finite", "con"),
+        found(k.where(odd(F.col("coef"))), "not_finite", entry),
+    ]
+    if not isinstance(program.sense, str):
+        none = F.lit(None).cast("string")
+        senses = program.sense
+        bad = senses.where(~F.coalesce(F.col("sense").isin("min", "max"), F.lit(False)))
+        absent = v.select(PID).distinct().join(senses.select(PID), PID, "left_anti")
+        parts += [found(bad, "bad_objective_sense", "sense"), found(absent, "bad_objective_sense", none), found(twice(senses), "duplicate_objective_sense", none)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: Findings that make a problem unsolvable here; the others are remarks.
-UNSUPPORTED = ("unknown_var", "duplicate_var", "duplicate_coef", "bad_sense", "continuous_var", "infinite_bound")
+UNSUPPORTED = ("unknown_var", "unknown_con", "duplicate_var", "duplicate_con", "duplicate_coef", "duplicate_objective_sense", "bad_sense",
+               "bad_objective_sense", "null_value", "not_finite", "continuous_var", "infinite_bound")
 
 
 def unsupported_problems(program: Program) -> DataFrame:
     """(problem_id) of the problems that the solver must not touch."""
-    return check_program(program).where(F.col("kind").isin(*UNSUPPORTED)).select(PID).distinct()
+    return check_program(program).where(F.col("kind").isin(*UNSUPPORTED) & F.col(PID).isNotNull()).select(PID).distinct()
 
 
 def without_problems(program: Program, problems: DataFrame) -> Program:
-    """The program batch without the given problems (anti join, no collect)."""
+    """The program batch without the given problems (anti join, no collect), nor
+    rows that name no problem."""
     gone = problems.select(PID)
-    return Program(*(t.join(gone, PID, "left_anti") for t in (program.vars, program.cons, program.coefs)), program.sense)
+    left = lambda t: t.where(F.col(PID).isNotNull()).join(gone, PID, "left_anti")
+    sense = program.sense if isinstance(program.sense, str) else left(program.sense)
+    return Program(left(program.vars), left(program.cons), left(program.coefs), sense)
 
 
 def bucket_of(problem_id: Column | str, n_buckets: int) -> Column:
@@ -146,11 +184,7 @@ def root_nodes(vars: DataFrame, n_buckets: int = 40) -> DataFrame:
     )
 
 
-def empty_frontier(spark) -> DataFrame:
-    return spark.createDataFrame([], schemas.FRONTIER)
-
-
 __all__ = [
     "Program", "program_from_tables", "normalized_rows", "check_program", "root_nodes",
-    "bucket_of", "empty_frontier", "unsupported_problems", "without_problems", "UNSUPPORTED", "PID", "T",
+    "bucket_of", "unsupported_problems", "without_problems", "UNSUPPORTED", "PID", "T",
 ]
