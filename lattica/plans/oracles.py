@@ -316,22 +316,6 @@ ORACLE["q37_mixed_senses"] = f"""
 SELECT * FROM ({ORACLE['q22_solve_selection']}) WHERE problem_id % 2 = 0
 UNION ALL SELECT problem_id, CAST(best_v AS BIGINT), status FROM ({ORACLE['q23_solve_mix']}) WHERE problem_id % 2 = 1"""
 
-ROOTS = """SELECT CAST(b.range AS INTEGER) AS bucket, count(k) AS n, min(k) AS head
-FROM range(40) b LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) o ON k % 40 = b.range GROUP BY 1"""
-
-ORACLE["q38_round_control"] = f"""
-WITH best AS ({ORACLE['q22_solve_selection']}), roots AS ({ROOTS}),
-first AS (SELECT CASE WHEN min(n) > 5 THEN 'solve' ELSE 'farm' END AS phase0, CAST(min(n) AS BIGINT) AS min_hard0, greatest(10 * avg(n), 50)::DOUBLE AS budget0 FROM roots)
-SELECT best.*, first.*, true AS follows FROM best, first"""
-
-ORACLE["q39_farmed_search"] = f"SELECT *, true AS rooted, true AS farmed FROM ({ORACLE['q22_solve_selection']})"
-
-ORACLE["q40_subtree_budget"] = f"""
-WITH best AS ({ORACLE['q22_solve_selection']}), roots AS ({ROOTS}), all_ AS (SELECT 12.0 * sum(n) / 40 AS budget FROM roots)
-SELECT best.*, bucket, round(CASE WHEN budget > 10 * n THEN 10 + CASE WHEN problem_id = head THEN budget - 10 * n ELSE 0 END ELSE greatest(10, budget / n) END, 6)::DOUBLE AS share,
-       CAST(1 AS BIGINT) AS n_expanded, true AS within
-FROM best JOIN roots ON problem_id % 40 = bucket, all_"""
-
 ORACLE["q41_set_branching"] = f"""
 WITH it AS (SELECT l_orderkey, {CENTS} AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem),
 po AS (SELECT l_orderkey, (sum(w) + count(*) - 1) // count(*) AS need FROM it GROUP BY 1)
