@@ -75,8 +75,8 @@ BOUNDS
  FR BND       w
 ENDATA"""
 
-WANT_VARS = {"x": (-2.0, 3.0, -2.0, False), "y": (float("-inf"), -5.0, -1.0, True), "z": (0.0, 1.0, -1.0, True), "u": (float("-inf"), 4.0, 0.0, True),
-             "v": (2.0, 2.0, 0.0, True), "w": (float("-inf"), float("inf"), 0.0, True), "#constant": (1.0, 1.0, -7.0, True)}
+WANT_VARS = {"x": (-2.0, 3.0, 2.0, False), "y": (float("-inf"), -5.0, 1.0, True), "z": (0.0, 1.0, 1.0, True), "u": (float("-inf"), 4.0, 0.0, True),
+             "v": (2.0, 2.0, 0.0, True), "w": (float("-inf"), float("inf"), 0.0, True), "#constant": (1.0, 1.0, 7.0, True)}
 WANT_CONS = {"c1#lo": (">=", 1.0), "c1#hi": ("<=", 4.0), "c2#lo": (">=", 1.0), "c2#hi": ("<=", 3.5), "c3#lo": (">=", 1.0), "c3#hi": ("<=", 2.0)}
 
 
