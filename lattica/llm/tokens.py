@@ -13,7 +13,7 @@ import functools
 import hashlib
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -74,6 +74,42 @@ class ChunkEncoder:
                 self._known.update((c, i) for c, i in new.items() if len(c) <= CACHE_CHARS)
         return b"".join(got)
 
+    def encode_all(self, texts: Iterable[str], most: int) -> Iterator[bytes]:
+        """``encode`` of each text, in order; the chunks that are new in many texts,
+        of about ``most`` characters, are encoded in one call."""
+        waiting, new, size = [], {}, 0
+        for text in texts:
+            waiting.append(text)
+            if any(s in text for s in self._whole):
+                continue
+            for c in self._named(text):
+                if c not in self._known and c not in new:
+                    new[c] = b""
+                    size += len(c)
+            if size >= most:
+                yield from self._ready(waiting, new)
+                waiting, new, size = [], {}, 0
+        yield from self._ready(waiting, new)
+
+    def _named(self, text: str) -> list[str]:
+        """A text's chunks under the names by which they are remembered."""
+        chunks = self._cut(text)
+        chunks[0] = self._lead + chunks[0]
+        return chunks
+
+    def _ready(self, waiting: list[str], new: dict[str, bytes]) -> Iterator[bytes]:
+        lead = self._lead
+        content = [(c[len(lead):] if c.startswith(lead) else lead + c) if lead else c for c in new]
+        new.update(zip(new, self._encode_many(content)))
+        known = self._known
+        for text in waiting:
+            if any(s in text for s in self._whole):
+                yield self.encode(text)
+            else:
+                yield b"".join([known[c] if c in known else new[c] for c in self._named(text)])
+        if len(known) < CACHE_CHUNKS:
+            known.update((c, i) for c, i in new.items() if len(c) <= CACHE_CHARS)
+
 
 def _library(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -3,6 +3,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -77,3 +78,33 @@ def test_queue_pops_lowest_rank_then_leftmost():
     while queue.top:
         got.append(queue.pop())
     assert got == sorted(entries)
+
+
+def test_many_pretokens_in_one_queue():
+    """Against one at a time; ranks in random order, so that merges make pairs of lower rank too."""
+    rng = random.Random(11)
+    for trial in range(20):
+        words = {bytes([i]) for i in range(256)}
+        while len(words) < 340:
+            words.add(bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))))
+        ranks = dict(zip(rng.sample(sorted(words), len(words)), range(len(words))))
+        ours = bpe.Bpe(ranks, r"\S+")
+        pieces = list({bytes(rng.choice(b"abcd\xff") for _ in range(rng.randint(1, 40))) for _ in range(300)} - ranks.keys())
+        pieces += [b"a" * 64, b"ab" * 20, b"d"]
+        expected = [np.asarray(ours.merge(p), "<u4").tobytes() for p in pieces]
+        assert ours.merge_many(pieces) == expected
+        assert not ours._queue.top and not ours._queue.buckets
+
+
+def test_encode_all_equals_one_text_at_a_time(monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé\n ") for _ in range(rng.randint(1, 9))) for _ in range(9000)]
+    texts = ["", " ", " a  b ", *[" ".join(rng.sample(words, 200)) for _ in range(60)], "", "x" * 5000]
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ours = bpe.from_file(path, pattern)
+    expected = [ours.encode(t) for t in texts]
+    for together in (1_000_000, 4_000):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "LEAST", 500)
+        assert list(bpe.Bpe(ours.ranks, pattern).encode_all(texts)) == expected
+    assert list(ours.encode_all([])) == []
