@@ -11,13 +11,12 @@ number of documents:
    and the few left over placed largest first;
 3. the actual documents take the places of their group, longest first, which
    leaves room where they are shorter;
-4. a sequence that the configurations leave with too much room gives its
-   documents back, and these and the small ones go, longest first, to the fullest
-   sequence that has room.
+4. the small ones go, longest first, to the fullest sequence that has room.
 
-How much room is too much is tried (``MOST_ROOM``); the plan with the fewest
-sequences counts.  All sequences that hold the same lengths are one *run* in the plan.  Pieces get
-a rank among those of equal length and look up their place by it.
+Every large piece has its place from a configuration.  Which lengths are large
+is tried (``SMALL_SHARES``); the plan with the fewest sequences counts.  All
+sequences that hold the same lengths are one *run* in the plan.  Pieces get a
+rank among those of equal length and look up their place by it.
 """
 
 from __future__ import annotations
@@ -33,13 +32,10 @@ from pyspark.sql import functions as F
 from .common import pick, with_result, written
 from .tokens import json_encoder
 
-#: Lengths over this share of the capacity are large.
-SMALL_SHARE = 1 / 8
-#: Groups of large lengths, and steps of the linear program at most (a plan is valid after any step).
-GROUPS = 64
+#: Lengths over a share of the capacity are large, and sorted into so many groups; each is tried.
+SMALL_SHARES = ((1 / 4, 256), (1 / 3, 512))
+#: Steps of the linear program at most (a plan is valid after any step).
 MAX_STEPS = 2_000
-#: Room, in tokens, up to which a sequence of the configurations is kept; each is tried.
-MOST_ROOM = (1 << 30, 64, 8, 0)
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -101,15 +97,15 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return out
 
 
-def fill_configurations(large: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+def fill_configurations(large: dict[int, int], capacity: int, groups: int) -> list[tuple[int, list[int]]]:
     """(number of sequences, actual lengths in each) for the large lengths.
 
-    Groups of equal cardinality are rounded up to their longest, configurations
+    At most about ``groups`` groups of equal cardinality are rounded up to their longest, configurations
     of the rounded sizes are chosen, and the group's documents, longest first,
     take the places.
     """
     lengths = sorted(large, reverse=True)
-    share = -(-sum(large.values()) // GROUPS)
+    share = -(-sum(large.values()) // groups)
     queues: dict[int, list] = {}  # rounded size -> [[length, number]], longest first
     size, filled = 0, share
     for length in lengths:
@@ -147,11 +143,11 @@ def fill_configurations(large: dict[int, int], capacity: int) -> list[tuple[int,
 class Plan:
     """Where the pieces of each length go, by their rank among equal lengths."""
 
-    def __init__(self, counts: dict[int, int], filled: list[tuple[int, list[int]]], capacity: int, most_room: int):
+    def __init__(self, counts: dict[int, int], filled: list[tuple[int, list[int]]], capacity: int):
         """``counts``: number of pieces of each length, 1 to ``capacity``.
 
-        ``filled`` sequences are taken if they leave no more than ``most_room``;
-        all other pieces are best-fitted.
+        ``filled``: sequences from the configurations; all pieces that are in
+        none of them are best-fitted.
         """
         self.capacity, self.n_sequences = capacity, 0
         self._rooms: dict[int, list] = defaultdict(list)  # room -> [(first sequence, number)]
@@ -159,14 +155,13 @@ class Plan:
         self._next = dict.fromkeys(counts, 0)
         left = dict(counts)
         for number, held in filled:
-            if capacity - sum(held) <= most_room:
-                fill = 0
-                for length in held:
-                    self._put(length, self.n_sequences, number, fill)
-                    left[length] -= number
-                    fill += length
-                self._rooms[capacity - fill].append((self.n_sequences, number))
-                self.n_sequences += number
+            fill = 0
+            for length in held:
+                self._put(length, self.n_sequences, number, fill)
+                left[length] -= number
+                fill += length
+            self._rooms[capacity - fill].append((self.n_sequences, number))
+            self.n_sequences += number
         self._best_fit(left)
         self._placed.sort()
         table = np.array(self._placed, np.int64).reshape(-1, 4)
@@ -211,10 +206,12 @@ class Plan:
 
     @classmethod
     def fewest(cls, counts: dict[int, int], capacity: int) -> Plan:
-        """The plan with the fewest sequences over MOST_ROOM."""
-        large = {n: c for n, c in counts.items() if c and n > capacity * SMALL_SHARE}
-        filled = fill_configurations(large, capacity) if large else []
-        return min((cls(counts, filled, capacity, room) for room in MOST_ROOM), key=lambda p: p.n_sequences)
+        """The plan with the fewest sequences over SMALL_SHARES."""
+        plans = []
+        for share, groups in SMALL_SHARES:
+            large = {n: c for n, c in counts.items() if c and n > capacity * share}
+            plans.append(cls(counts, fill_configurations(large, capacity, groups) if large else [], capacity))
+        return min(plans, key=lambda p: p.n_sequences)
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces, by length and rank among equal lengths."""

@@ -101,10 +101,27 @@ def test_plan_covers_every_piece_once(lengths, capacity):
 
 def test_configurations_beat_best_fit_where_it_is_poor():
     counts = dict.fromkeys(range(1000, 2100), 20)
-    alone = pack.Plan(counts, [], 4096, 0).n_sequences
+    alone = pack.Plan(counts, [], 4096).n_sequences
     assert pack.Plan.fewest(counts, 4096).n_sequences < 0.97 * alone
 
 
+@pytest.mark.parametrize("share, groups", pack.SMALL_SHARES)
+def test_large_pieces_get_their_places_from_configurations(share, groups):
+    random = np.random.default_rng(5)
+    lengths, numbers = np.unique(np.minimum(random.lognormal(6.6, 1.2, 20_000).astype(int) + 1, 4096), return_counts=True)
+    counts = dict(zip(lengths.tolist(), numbers.tolist()))
+    large = {n: c for n, c in counts.items() if n > 4096 * share}
+    filled = pack.fill_configurations(large, 4096, groups)
+    held = dict.fromkeys(large, 0)
+    for number, row in filled:
+        assert number > 0 and sum(row) <= 4096
+        for n in row:
+            held[n] += number
+    assert held == large
+    bound = -(-sum(n * c for n, c in counts.items()) // 4096)
+    assert pack.Plan(counts, filled, 4096).n_sequences <= 1.002 * bound
+
+
 def test_counts_and_cache(spark, docs, none):
     cache = shared_folder(spark, "test_cache")
     encode = _library(WORDS)
