@@ -233,10 +233,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
 
     @F.pandas_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
     def cut(texts: pd.Series) -> pd.Series:
-        encode = json_encoder(tokenizer).encode
         out = []
-        for text in texts:
-            ids = encode(text) + end
+        for ids in json_encoder(tokenizer).encode_batch(texts.tolist()):
+            ids += end
             parts = [ids[i:i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
             out.append([(i, i * capacity, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(parts)])
         return pd.Series(out)

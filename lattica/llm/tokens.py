@@ -11,17 +11,22 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from .common import held
 
 #: Chunks that a worker remembers, and the longest that it does.
 CACHE_CHUNKS = 1_200_000
 CACHE_CHARS = 64
+#: Characters of texts that are cut and looked up together, and new chunks in one call of the library.
+BATCH_CHARS = 1 << 22
+NEW_CHUNKS = 20_000
 _SPACE_THEN_WORD = re.compile(r" (?=\S)")
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|$)")
 
@@ -91,6 +96,47 @@ class ChunkEncoder:
                 waiting, new, size = [], {}, 0
         yield from self._ready(waiting, new)
 
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each text, in order; chunks are looked up once for many texts.
+
+        Texts are taken together up to ``BATCH_CHARS`` characters, a longer one alone.
+        """
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= BATCH_CHARS:
+                size += len(texts[end])
+                end += 1
+            yield from self._together(texts[at:end])
+            at = end
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        whole = [any(s in t for s in self._whole) for t in texts]
+        parts = [[] if w else self._named(t) for t, w in zip(texts, whole)]
+        named = pa.array(itertools.chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+        names = named.dictionary.to_pylist()
+        ids = list(map(self._known.get, names))
+        unknown = [i for i, known in enumerate(ids) if known is None]
+        lead = self._lead
+        for lo in range(0, len(unknown), NEW_CHUNKS):
+            mine = unknown[lo:lo + NEW_CHUNKS]
+            content = [(c[len(lead):] if c.startswith(lead) else lead + c) if lead else c for c in map(names.__getitem__, mine)]
+            for i, got in zip(mine, self._encode_many(content)):
+                ids[i] = got
+                if len(names[i]) <= CACHE_CHARS and len(self._known) < CACHE_CHUNKS:
+                    self._known[names[i]] = got
+        # The ids of all texts in a row: each chunk's stretch of the names' ids.
+        content = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = named.indices.to_numpy()
+        each, first = length[place], (np.cumsum(length) - length)[place]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        out = content[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])]
+        chunk = 0
+        for text, alone, part in zip(texts, whole, parts):
+            lo, chunk = chunk, chunk + len(part)
+            yield self.encode(text) if alone else out[ends[lo]:ends[chunk]].tobytes()
+
     def _named(self, text: str) -> list[str]:
         """A text's chunks under the names by which they are remembered."""
         chunks = self._cut(text)

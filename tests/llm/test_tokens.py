@@ -31,6 +31,24 @@ def test_chunks_give_the_librarys_ids(file):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_looked_up_together_give_the_librarys_ids(file, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    library = Tokenizer.from_file(path)
+    texts = [*_texts(2000, 7), "word " * 500]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for chars, chunks, most in ((1, 3, 10), (300, 7, 1 << 20), (1 << 22, 20_000, 1 << 20)):
+        monkeypatch.setattr(tokens, "BATCH_CHARS", chars)
+        monkeypatch.setattr(tokens, "NEW_CHUNKS", chunks)
+        monkeypatch.setattr(tokens, "CACHE_CHUNKS", most)
+        ours = tokens._json_encoder(path)
+        for _ in range(2):  # the second time with remembered chunks
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in ours.encode_batch(texts)] == want
+    assert list(ours.encode_batch([])) == []
+
+
 def test_bpe_gives_tiktokens_ids_and_round_trips():
     import tiktoken
 
