@@ -71,15 +71,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, and read again.
 
     Cuts the lineage: a lost executor costs a new read, not a new computation,
-    and Python work below runs once.
+    and Python work below runs once.  The write's own shuffle files have no reader
+    after it; Spark removes them when it ends, not when the driver's garbage is
+    collected.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")  # read when the write is planned
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
