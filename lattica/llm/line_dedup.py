@@ -27,6 +27,8 @@ from .common import pick, with_result, written
 
 #: Lines with fewer words count as duplicates only if they are equal.
 MIN_WORDS = 10
+#: Bits at most of the filter of the documents whose lines are compared (16 MB).
+FILTER_BITS = 1 << 27
 _NO_ID = -(1 << 63)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -118,6 +120,27 @@ def _keys(doc_id: Column, text: Column) -> dict[str, Column]:
     return {"_id": F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)), "_text": F.xxhash64(F.coalesce(text, F.lit("")))}
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (_id, _text) is in ``wanted``, and a few others.
+
+    A Bloom filter of at most ``FILTER_BITS`` bits keeps most other texts out of
+    the shuffle; the join that follows is exact.
+    """
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * wanted.count()).bit_length()))
+    places = [F.pmod(F.xxhash64("_id", "_text", F.lit(i)), F.lit(bits)) for i in range(3)]
+    words = wanted.select(F.explode(F.array(*places)).alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("mask")).toArrow()  # bits / 64 rows at most
+    filled = np.zeros(bits >> 6, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(np.logical_and.reduce([shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1 == 1 for p in (a, b, c)]))
+
+    return docs.filter(held(*places))
+
+
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest) of the lines that have an earlier line one word away.
 
@@ -137,7 +160,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     some = long.select("id", "digest", "first._id", "first._text", "first.line").join(some, "id")
     some = written(some, "lines_to_compare")
     wanted = some.groupBy("_id", "_text").agg(F.collect_list("line").alias("lines"))
-    texts = docs.hint("shuffle_hash").join(wanted.hint("shuffle_hash"), ["_id", "_text"])
+    texts = _likely(docs, some.select("_id", "_text").distinct()).hint("shuffle_hash").join(wanted.hint("shuffle_hash"), ["_id", "_text"])
     texts = texts.select("_id", "_text", F.inline(words_of("text", "lines"))).dropDuplicates(["_id", "_text", "line"])
     lines = written(some.join(texts, ["_id", "_text", "line"])
                     .select("id", "digest", F.struct("_id", "_text", "line").alias("at"), "words"), "candidate_lines")

@@ -105,6 +105,15 @@ def test_configurations_beat_best_fit_where_it_is_poor():
     assert pack.Plan.fewest(counts, 4096).n_sequences < 0.97 * alone
 
 
+def test_filter_of_documents_keeps_all_that_are_wanted(spark):
+    rows = spark.range(20_000).selectExpr("id - 7 as _id", "xxhash64(id, 'x') as _text", "cast(id as string) as text")
+    wanted = rows.filter("_id % 10 = 3").select("_id", "_text")
+    kept = {r[0] for r in line_dedup._likely(rows, wanted).select("_id").collect()}
+    due = {r[0] for r in wanted.select("_id").collect()}
+    assert due <= kept and len(kept - due) < 400
+    assert line_dedup._likely(rows, wanted.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("share, groups", pack.SMALL_SHARES)
 def test_large_pieces_get_their_places_from_configurations(share, groups):
     random = np.random.default_rng(5)
