@@ -1,12 +1,13 @@
 """Node relaxation: effective bounds, propagation, bounds, candidates, branching choice.
 
 A program is one row of the *model*: its variables in name order as arrays, and
-its rows as dense coefficient arrays, all minimised (``c = sign · obj``) with
+its rows as one dense row-major array, all minimised (``c = sign · obj``) with
 ``a·x <= b``.  A node is one row of the map-form frontier: only the bounds that
 differ from the model's.  Evaluating nodes is one join on ``problem_id`` (which
-adaptive execution splits for a problem with very many nodes) and higher-order
-functions on the node's arrays: no explode, sort or fold over rows, and no model
-column in the frontier.  The unit of work is the node: its arrays must fit one row.
+adaptive execution splits for a problem with very many nodes) and the arithmetic of
+``operators.nodes`` on whole Arrow batches of joined rows: no explode, sort or fold
+over rows, and no model column in the frontier.  The unit of work is the node: its
+arrays must fit one row.
 """
 
 from __future__ import annotations
@@ -17,19 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.bounds import tighten_lower, tighten_upper
+from lattica.operators.nodes import RELAXED, ROUND_EPS, relaxed, root_multipliers
 from lattica.sources.program import PID, Program, normalized_rows
 
-# Fixed numeric tolerances.
-ROW_EPS = 1e-9        # slack allowed on a row activity
-ROUND_EPS = 1e-9      # guard when flooring/ceiling an implied bound
-BOUND_ROUND_EPS = 1e-6  # guard when rounding a bound up for integer objectives
-SUBGRADIENT_STEPS = 60  # root multipliers of programs with several rows
-STEP_DECAY = 0.9        # each step's length against the one before
-NODE_STEPS = 3          # dual steps of a node from its parent's multipliers ...
-NODE_DECAY, NODE_BEGIN = 0.5, 5  # ... whose lengths begin small, as these are near the optimum
-REPAIR_STEPS = 12       # single changes that may lead a candidate back to all rows
-REPAIR_EVERY = 3        # levels between two repairs on a path
-
 NODE_KEY = [PID, "node_id"]
 
 
@@ -51,119 +42,9 @@ def effective_bounds(frontier: DataFrame, vars: DataFrame) -> DataFrame:
     )
 
 
-# --------------------------------------------------------------- array helpers
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-
-def _activity(a: Column, x: Column) -> Column:
-    """Least value of ``a·x`` over the box ``x`` (array of l, u)."""
-    return _sum(F.zip_with(a, x, lambda a, v: F.when(a > 0, a * v["l"]).otherwise(a * v["u"])))
-
-
-def _dot(a: Column, xs: Column) -> Column:
-    return _sum(F.zip_with(a, xs, lambda a, v: a * v))
-
-
-def _tighten(x: Column, r: Column) -> Column:
-    """Bounds implied by one row (Savelsbergh 1994): for a > 0 ``ub' = floor((b −
-    rest)/a)``, for a < 0 ``lb' = ceil((b − rest)/a)``, rest without the own term."""
-    def with_activity(least: Column) -> Column:
-        def one(a: Column, v: Column) -> Column:
-            q = (r["b"] - least) / F.when(a != 0, a) + F.when(a > 0, v["l"]).otherwise(v["u"])
-            # Clamped before rounding: in range, and still crossing if infeasible.
-            up = F.floor(F.least(F.greatest(q + ROUND_EPS, v["l"] - 1), v["u"])).cast("double")
-            lo = F.ceil(F.greatest(F.least(q - ROUND_EPS, v["u"] + 1), v["l"])).cast("double")
-            return F.struct(F.when(a < 0, F.greatest(v["l"], lo)).otherwise(v["l"]).alias("l"),
-                            F.when(a > 0, F.least(v["u"], up)).otherwise(v["u"]).alias("u"))
-        return F.zip_with(r["a"], x, one)
-    return _let(_activity(r["a"], x), with_activity)
-
-
-def _reduced(c: Column, rows: Column, lam: Column) -> Column:
-    """``c + Σ λ·a`` per variable."""
-    return F.transform(c, lambda cj, j: cj + _sum(F.zip_with(rows, lam, lambda r, m: m * r["a"][j])))
-
-
-def _lagrangian(x: Column, rc: Column, rows: Column, lam: Column) -> Column:
-    """``Σ min(rc·l, rc·u) − Σ λ·b``, a lower bound for any λ >= 0."""
-    return _sum(F.zip_with(x, rc, lambda v, r: F.least(r * v["l"], r * v["u"]))) - _sum(F.zip_with(rows, lam, lambda r, m: m * r["b"]))
-
-
-def _critical(c: Column, x: Column, r: Column) -> Column:
-    """Multiplier of a single row at the LP optimum: the dual's slope ``a·x(λ) − b``
-    drops at each breakpoint ``−c/a``; the first where it reaches 0."""
-    e = F.zip_with(F.zip_with(c, x, lambda cj, v: F.struct(cj.alias("c"), v["l"].alias("l"), v["u"].alias("u"))), r["a"],
-                   lambda v, a: F.struct(a.alias("a"), v["c"].alias("c"), v["l"].alias("l"), v["u"].alias("u")))
-    start = lambda v: v["a"] * F.when(v["c"] > 0, v["l"]).when(v["c"] < 0, v["u"]).when(v["a"] > 0, v["l"]).otherwise(v["u"])
-    moves = F.array_sort(F.transform(
-        F.filter(e, lambda v: (v["a"] != 0) & (v["l"] < v["u"]) & (-v["c"] / F.when(v["a"] != 0, v["a"]) > 0)),
-        lambda v: F.struct((-v["c"] / v["a"]).alias("bp"), (-F.abs(v["a"]) * (v["u"] - v["l"])).alias("d"))))
-
-    def scan(slope: Column) -> Column:
-        def with_moves(m: Column) -> Column:
-            end = F.aggregate(m, F.struct(slope.alias("s"), F.lit(None).cast("double").alias("lam")), lambda s, b: F.struct(
-                (s["s"] + b["d"]).alias("s"), F.when(s["lam"].isNull() & (s["s"] + b["d"] <= 0), b["bp"]).otherwise(s["lam"]).alias("lam")))
-            last = F.try_element_at(m, F.lit(-1))["bp"]
-            return F.when(slope <= 0, F.lit(0.0)).otherwise(F.coalesce(end["lam"], last, F.lit(0.0)))
-        return _let(moves, with_moves)
-    return _let(_sum(F.transform(e, start)) - r["b"], scan)
-
-
-def _subgradient(c: Column, x: Column, rows: Column, first: Column, begin: int, steps: int, decay: float = STEP_DECAY) -> Column:
-    """Multipliers of several rows: projected subgradient steps from ``first``, the
-    best kept; step k has the length of ``decay^(begin + k)``."""
-    scale = F.array_max(F.zip_with(c, x, lambda cj, v: F.abs(cj) * (v["u"] - v["l"])))
-    start = F.struct(first.alias("lam"), first.alias("best"), F.lit(float("-inf")).alias("value"))
-
-    def step(s: Column, k: Column) -> Column:
-        def with_rc(rc: Column) -> Column:
-            def with_slope(g: Column) -> Column:
-                length = F.coalesce(scale, F.lit(0.0)) * F.pow(F.lit(decay), k) / (_sum(F.transform(g, lambda v: v * v)) + F.lit(1e-9))
-                value = _lagrangian(x, rc, rows, s["lam"])
-                better = value > s["value"]
-                return F.struct(
-                    F.zip_with(s["lam"], g, lambda m, v: F.greatest(F.lit(0.0), m + length * v)).alias("lam"),
-                    F.when(better, s["lam"]).otherwise(s["best"]).alias("best"), F.greatest(value, s["value"]).alias("value"))
-            at = F.zip_with(x, rc, lambda v, r: F.when(r > 0, v["l"]).otherwise(v["u"]))
-            return _let(F.transform(rows, lambda r: _dot(r["a"], at) - r["b"]), with_slope)
-        return _let(_reduced(c, rows, s["lam"]), with_rc)
-    return F.aggregate(F.sequence(F.lit(begin), F.lit(begin + steps - 1)), start, step)["best"]
-
-
-def _repaired(xs: Column, c: Column, x: Column, rows: Column) -> Column:
-    """A point led towards all rows: each step the change by one unit that lowers
-    the total violation most cheaply, until none is left or none helps."""
-    violation = lambda acts: _sum(F.zip_with(acts, rows, lambda v, r: F.greatest(F.lit(0.0), v - r["b"])))
-
-    def step(s: Column, _: Column) -> Column:
-        def with_violation(now: Column) -> Column:
-            def moves(sign: float) -> Column:
-                def one(cj: Column, j: Column) -> Column:
-                    after = _sum(F.transform(rows, lambda r, k: F.greatest(F.lit(0.0), s["acts"][k] + r["a"][j] * sign - r["b"])))
-                    inside = (s["xs"][j] + sign <= x[j]["u"]) & (s["xs"][j] + sign >= x[j]["l"])
-                    return _let(now - after, lambda gain: F.when(inside & (gain > ROW_EPS), F.struct(
-                        (cj * sign / gain).alias("price"), j.alias("j"), F.lit(sign).alias("d"))))
-                return F.transform(c, one)
-
-            def go(m: Column) -> Column:
-                return F.when(m.isNull(), s).otherwise(F.struct(
-                    F.transform(s["xs"], lambda v, j: F.when(j == m["j"], v + m["d"]).otherwise(v)).alias("xs"),
-                    F.zip_with(s["acts"], rows, lambda v, r: v + r["a"][m["j"]] * m["d"]).alias("acts")))
-            return F.when(now <= ROW_EPS, s).otherwise(_let(F.array_min(F.concat(moves(1.0), moves(-1.0))), go))
-        return _let(violation(s["acts"]), with_violation)
-    start = F.struct(xs.alias("xs"), F.transform(rows, lambda r: _dot(r["a"], xs)).alias("acts"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(REPAIR_STEPS)), start, step)["xs"]
-
-
 # --------------------------------------------------------------------- model
 def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
-    """One row per problem: names, sign, c, vlb, vub, rows (a, b), lam, int_obj.
+    """One row per problem: names, sign, c, vlb, vub, rows as ``a`` (row-major) and ``b``, lam, int_obj.
 
     Boxes of integer variables are rounded inward.  ``method`` is ``"box"``
     (λ = 0) or ``"lagrangian"`` (root multipliers for programs with several rows;
@@ -178,28 +59,31 @@ def prepare_model(program: Program, method: str = "lagrangian") -> DataFrame:
     entries = normalized_rows(program).groupBy(PID, "row").agg(
         F.max("b").alias("b"), F.sort_array(F.collect_list(F.when(F.col("var").isNotNull(), F.struct("var", "a")))).alias("e"))
     rows = entries.groupBy(PID).agg(F.sort_array(F.collect_list(F.struct("row", "b", "e"))).alias("sparse"))
-    dense = F.transform("sparse", lambda r: F.struct(
-        _let(F.map_from_entries(r["e"]), lambda m: F.transform("names", lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0)))).alias("a"),
-        r["b"].alias("b")))
+    of_row = lambda m: F.transform("names", lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0)))
+    dense = F.flatten(F.transform("sparse", lambda r: F.transform(F.array(F.map_from_entries(r["e"])), of_row)[0]))
     model = (v.join(rows, PID, "left").withColumn("sparse", F.coalesce("sparse", F.array().cast(rows.schema["sparse"].dataType)))
              .select(PID, "sign", F.transform("v", lambda e: e["var"]).alias("names"), F.transform("v", lambda e: e["c"]).alias("c"),
                      F.transform("v", lambda e: e["l"]).alias("vlb"), F.transform("v", lambda e: e["u"]).alias("vub"), "sparse"))
-    model = model.select(PID, "sign", "names", "c", "vlb", "vub", dense.alias("rows"), F.forall("c", lambda c: c == F.floor(c)).alias("int_obj"))
-    zero = F.transform("rows", lambda r: F.lit(0.0))
+    model = model.select(PID, "sign", "names", "c", "vlb", "vub", dense.alias("a"), F.transform("sparse", lambda r: r["b"]).alias("b"),
+                         F.forall("c", lambda c: c == F.floor(c)).alias("int_obj"))
     if method == "box":
-        return model.withColumns({"lam": zero, "single": F.lit(False), "several": F.lit(False)})
-    box = F.zip_with("vlb", "vub", lambda l, u: F.struct(l.alias("l"), u.alias("u")))
-    several = F.size("rows") > 1
-    return (model.withColumn("lam", F.when(several & F.forall(box, lambda b: b["l"] <= b["u"]), _subgradient(F.col("c"), box, F.col("rows"), zero, 0, SUBGRADIENT_STEPS)).otherwise(zero))
-            .withColumns({"single": F.size("rows") == 1, "several": several}))
+        return model.withColumns({"lam": F.transform("b", lambda b: F.lit(0.0)), "single": F.lit(False), "several": F.lit(False)})
+    at_root = F.arrow_udf(lambda c, l, u, a, b: root_multipliers(c, l, u, a, b), "array<double>").asNondeterministic()
+    return (model.withColumn("lam", at_root("c", "vlb", "vub", "a", "b"))
+            .withColumns({"single": F.size("b") == 1, "several": F.size("b") > 1}))
 
 
 # --------------------------------------------------------------- evaluation
 def by_reduced_cost(v: Column) -> Column:
-    """Default branching score of a variable (fields c, r, l, u): ``|rc|·(ub − lb)``."""
+    """Branching score of a variable (fields c, r, l, u): ``|rc|·(ub − lb)``."""
     return F.abs(v["r"]) * (v["u"] - v["l"])
 
 
+def by_least_reduced_cost(v: Column) -> Column:
+    """``−|rc|``: the variable that the relaxation leaves least decided, for the smallest trees."""
+    return -F.abs(v["r"])
+
+
 def by_cost(v: Column) -> Column:
     """``|c|·(ub − lb)``."""
     return F.abs(v["c"]) * (v["u"] - v["l"])
@@ -211,40 +95,19 @@ def evaluation(rounds: int = 2, branch_rule: Callable[[Column], Column] = by_red
     They are built once for all levels of a search.  ``node_steps`` dual steps improve a
     node's multipliers of several rows from its parent's.
     """
-    x, c, rows, lam, v = (F.col(n) for n in ("_x", "c", "rows", "_lam", "_v"))
-    base = F.zip_with(F.zip_with("names", "vlb", lambda n, b: F.greatest(b, F.try_element_at(F.col("lower"), n))),
-                      F.zip_with("names", "vub", lambda n, b: F.least(b, F.try_element_at(F.col("upper"), n))),
-                      lambda l, u: F.struct(l.alias("l"), u.alias("u")))
-    crossing = F.exists(x, lambda v: v["l"] > v["u"]) | F.exists(rows, lambda r: _activity(r["a"], x) > r["b"] + ROW_EPS)
-    raw = F.greatest(_sum(F.transform(v, lambda e: F.least(e["c"] * e["l"], e["c"] * e["u"]))),
-                     _lagrangian(x, F.col("_rc"), rows, lam), F.col("sign") * F.col("bound"))
-    cheap = lambda e: F.when(e["c"] >= 0, e["l"]).otherwise(e["u"])
-    reduced = lambda e: F.when(e["r"] > 0, e["l"]).when(e["r"] < 0, e["u"])
-    # At a single row's critical entry (rc = 0) the bound that lowers the activity: the greedy fill.
-    greedy = F.zip_with(v, F.get(rows, F.lit(0))["a"], lambda e, a: F.coalesce(reduced(e), F.when(a > 0, e["l"]).when(a < 0, e["u"]), cheap(e)))
-    by_rc = F.transform(v, lambda e: F.coalesce(reduced(e), cheap(e)))
-    third = F.when(F.size(rows) == 1, greedy).when((F.size(rows) > 1) & (F.col("depth") % REPAIR_EVERY == 0), _repaired(F.col("_xr"), c, x, rows)).otherwise(F.col("_xr"))
-    ok = lambda xs: F.forall(rows, lambda r: _dot(r["a"], xs) <= r["b"] + ROW_EPS)
-    point = lambda kind, xs: F.when(ok(xs), F.struct(_dot(c, xs).alias("obj"), F.lit(kind).alias("kind"), xs.alias("xs")))
-    free = F.filter(F.transform(v, lambda e, j: F.when(e["l"] < e["u"], F.struct((-branch_rule(e)).alias("s"), j.alias("j")))), lambda e: e.isNotNull())
-    chosen = F.get(v, F.col("_j"))
-    found = F.when(F.col("single"), F.array(_critical(c, x, F.get(rows, F.lit(0)))))
-    if node_steps:
-        found = found.when(F.col("several") & ~F.col("infeasible") & F.col("_own").isNotNull(), _subgradient(c, x, rows, F.col("_own"), NODE_BEGIN, node_steps, NODE_DECAY))
+    lower = F.zip_with("names", "vlb", lambda n, b: F.greatest(b, F.try_element_at(F.col("lower"), n)))
+    upper = F.zip_with("names", "vub", lambda n, b: F.least(b, F.try_element_at(F.col("upper"), n)))
+
+    relax = F.arrow_udf(lambda *columns: relaxed(rounds, node_steps, *columns), RELAXED).asNondeterministic()
+    scores = F.transform("_v", lambda e, j: F.when(e["l"] < e["u"], F.struct((-branch_rule(e)).alias("s"), j.alias("j"))))
+    chosen = F.get("_v", F.col("_j"))
     return [
-        {"_x": F.aggregate(F.flatten(F.array_repeat(rows, rounds)), base, _tighten) if rounds else base},
-        {"infeasible": crossing},
-        {"_lam": found.otherwise(F.col("lam"))},
-        {"_rc": _reduced(c, rows, lam)},
-        {"_v": F.zip_with(F.zip_with(c, x, lambda cj, b: F.struct(cj.alias("c"), b["l"].alias("l"), b["u"].alias("u"))), "_rc",
-                          lambda e, r: F.struct(e["c"].alias("c"), r.alias("r"), e["l"].alias("l"), e["u"].alias("u")))},
-        {"_raw": raw, "_xc": F.transform(v, cheap), "_xr": by_rc, "_j": F.array_min(free)["j"]},
-        {"_xg": F.when(~F.col("infeasible"), third)},
-        {"bound": F.when(~F.col("infeasible"), F.col("sign") * F.when(F.col("int_obj"), F.ceil(F.col("_raw") - BOUND_ROUND_EPS).cast("double")).otherwise(F.col("_raw"))),
-         "all_fixed": F.forall(x, lambda b: b["l"] == b["u"]),
-         "_best": F.when(~F.col("infeasible"), F.array_min(F.array(point("c", F.col("_xc")), point("g", F.col("_xg")), point("r", F.col("_xr"))))),
-         "var": F.get("names", F.col("_j")), "split": F.floor((chosen["l"] + chosen["u"]) / 2).cast("double")},
-        {"cand_obj": F.col("sign") * F.col("_best.obj"), "cand_kind": F.col("_best.kind"), "cand_x": F.col("_best.xs")},
+        {"_e": relax("c", lower, upper, "a", "b", F.col("model_lam"), "_own", "bound", "sign", "int_obj", F.col("single") | F.col("several"))},
+        {name: F.col(f"_e.{name}") for name in ("r", "l", "u")},
+        {"_v": F.arrays_zip("c", "r", "l", "u")},
+        {"_j": F.array_min(scores)["j"]},
+        {"bound": F.col("_e.bound"), "var": F.get("names", F.col("_j")), "split": F.floor((chosen["l"] + chosen["u"]) / 2).cast("double"),
+         **{name: F.col(f"_e.{name}") for name in ("infeasible", "all_fixed", "cand_obj", "cand_kind", "cand_x")}},
     ]
 
 
@@ -265,10 +128,10 @@ def evaluate(frontier: DataFrame, model: DataFrame, steps: list[dict[str, Column
     """
     carried = "lam" in frontier.columns
     own = F.col("lam") if carried else F.lit(None).cast("array<double>")
-    df = frontier.withColumn("_own", own).drop("lam").join(model, PID)
+    df = frontier.withColumn("_own", own).drop("lam").join(model.withColumnRenamed("lam", "model_lam"), PID)
     for step in steps:
         df = df.withColumns(step)
-    lam = [F.when(F.col("several"), F.col("_lam")).alias("lam")] if carried else []
+    lam = [F.when(F.col("several"), F.col("_e.lam")).alias("lam")] if carried else []
     return df.select(*[c for c in frontier.columns if c != "lam"], *lam, *RESULT)
 
 

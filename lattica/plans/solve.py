@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lattica import schemas
 from lattica.operators import balance as B
-from lattica.operators.bounds import NODE_KEY, NODE_STEPS, by_reduced_cost, effective_bounds, evaluate, evaluation, prepare_model
+from lattica.operators.bounds import NODE_KEY, by_least_reduced_cost, effective_bounds, evaluate, evaluation, prepare_model
+from lattica.operators.nodes import NODE_STEPS
 from lattica.operators.report import metrics_row, write_level
 from lattica.operators.search import best_solution, branch, halt_subtrees, prune_nodes, split_groups, with_branches
 from lattica.session import cut
@@ -77,7 +78,7 @@ class SolveResult:
 
 def solve(program: Program, max_iterations: int | None = None, rel_gap: float = 0.0, method: str = "lagrangian",
           n_buckets: int = N_BUCKETS, rounds: int = 2, frontier: DataFrame | None = None, incumbent: DataFrame | None = None,
-          budget: float | None = None, depth_first: bool = False, branch_rule: Callable[[Column], Column] = by_reduced_cost,
+          budget: float | None = None, depth_first: bool = False, branch_rule: Callable[[Column], Column] = by_least_reduced_cost,
           easy_when: Column | None = None, track: bool = False, max_hard: int | None = None, by_subtree: bool = False,
           control: RoundControl | None = None, changes: Callable[[DataFrame], DataFrame] | None = None, sink: str | None = None,
           first_level: int = 0, keep_levels: bool = False) -> SolveResult:
