@@ -10,6 +10,8 @@ Conventions that hold for every operator of the package:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,10 +63,21 @@ def held(owner: str, make: Callable[[], object]) -> object:
     """
     if _HELD[0] != owner:
         _HELD[:] = [None, None]
+        _release()
         _HELD[:] = [owner, make()]
     return _HELD[1]
 
 
+def _release() -> None:
+    """Give freed memory back to the machine: the C library and Arrow keep it for later otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table, under the session's shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)  # the session's; a new local one in an unconfigured local session
