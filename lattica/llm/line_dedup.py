@@ -27,7 +27,7 @@ from .common import pick, with_result, written
 
 #: Lines with fewer words count as duplicates only if they are equal.
 MIN_WORDS = 10
-#: Bits at most of the filter of the documents whose lines are compared (16 MB).
+#: Bits at most of the filter of the keys that a large table is joined with (16 MB).
 FILTER_BITS = 1 << 27
 _NO_ID = -(1 << 63)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -120,33 +120,36 @@ def _keys(doc_id: Column, text: Column) -> dict[str, Column]:
     return {"_id": F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)), "_text": F.xxhash64(F.coalesce(text, F.lit("")))}
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (_id, _text) is in ``wanted``, and a few others.
+def _likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys (of ``_id`` and ``_text`` by default) are in ``wanted``, and a few others.
 
-    A Bloom filter of at most ``FILTER_BITS`` bits keeps most other texts out of
+    A Bloom filter of at most ``FILTER_BITS`` bits keeps most other rows out of
     the shuffle; the join that follows is exact.
     """
+    keys = keys or ("_id", "_text")
     bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * wanted.count()).bit_length()))
-    places = [F.pmod(F.xxhash64("_id", "_text", F.lit(i)), F.lit(bits)) for i in range(3)]
+    places = [F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(bits)) for i in range(3)]
     words = wanted.select(F.explode(F.array(*places)).alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("mask")).toArrow()  # bits / 64 rows at most
     filled = np.zeros(bits >> 6, np.int64)
     filled[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    shared = rows.sparkSession.sparkContext.broadcast(filled)
 
     @F.pandas_udf("boolean")
     def held(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(np.logical_and.reduce([shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1 == 1 for p in (a, b, c)]))
 
-    return docs.filter(held(*places))
+    return rows.filter(held(*places))
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(digest) of the lines that have an earlier line one word away.
+    """(_id, _text, line) of the lines that have an earlier line one word away.
 
     ``distinct``: digest, first (_id, _text, line), h0 to h5 of every distinct
     line; ``docs``: _id, _text, text.  Up to the pairs, a line goes by a 64-bit
-    hash of its digest; two lines of one hash are told apart by their words.
+    hash of its digest; two lines of one hash are told apart by their words.  Of
+    the tables of all lines, thirds and deletions, only the rows that a join
+    keeps (and a few others) are shuffled for it.
     """
     words_of = F.pandas_udf(_words_of, "array<struct<line:int,words:string>>")
     variants = F.pandas_udf(_variants, "array<struct<hash:bigint,place:int>>")
@@ -156,19 +159,19 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     shared = written(keyed.groupBy("third").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("third"), "shared_thirds")
     # Both sides of these joins are plain shuffles, which adaptive execution may
     # split where very many lines share a third or a deletion.
-    some = written(keyed.join(shared, "third").select("id").distinct(), "lines_sharing_thirds")
-    some = long.select("id", "digest", "first._id", "first._text", "first.line").join(some, "id")
-    some = written(some, "lines_to_compare")
+    some = written(_likely(keyed, shared, "third").join(shared, "third").select("id").distinct(), "lines_sharing_thirds")
+    places = long.select("id", "first._id", "first._text", "first.line")
+    some = written(_likely(places, some, "id").join(some, "id"), "lines_to_compare")
     wanted = some.groupBy("_id", "_text").agg(F.collect_list("line").alias("lines"))
     texts = _likely(docs, some.select("_id", "_text").distinct()).hint("shuffle_hash").join(wanted.hint("shuffle_hash"), ["_id", "_text"])
     texts = texts.select("_id", "_text", F.inline(words_of("text", "lines"))).dropDuplicates(["_id", "_text", "line"])
     lines = written(some.join(texts, ["_id", "_text", "line"])
-                    .select("id", "digest", F.struct("_id", "_text", "line").alias("at"), "words"), "candidate_lines")
+                    .select("id", F.struct("_id", "_text", "line").alias("at"), "words"), "candidate_lines")
     emitted = written(lines.select("id", F.inline(variants("words"))), "line_deletions")
     # Hashes that several lines have; of these, the earliest line at each place.
     several = written(emitted.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("b"))
                       .filter("a != b").select("hash"), "shared_deletions")
-    emitted = written(emitted.join(several, "hash").join(lines.select("id", "at"), "id"), "joined_deletions")
+    emitted = written(_likely(emitted, several, "hash").join(several, "hash").join(lines.select("id", "at"), "id"), "joined_deletions")
     earliest = emitted.groupBy("hash", "place").agg(F.min(F.struct("at", "id")).alias("e"))
     earliest = written(earliest.select("hash", "place", "e.at", "e.id"), "earliest_deletions")
     # A line meets the earliest that lacks the same place (one word replaced), ...
@@ -182,9 +185,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     inserted = emitted.filter("place = -1").join(longer, "hash")
     pairs = [p.filter("at0 < at").select("id", "id0") for p in (replaced, deleted, inserted)]
     pairs = written(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), "line_pairs")
-    pairs = pairs.join(lines.select("id", "digest", "words"), "id").join(
+    pairs = pairs.join(lines.select("id", "at", "words"), "id").join(
         lines.select(F.col("id").alias("id0"), F.col("words").alias("words0")), "id0")
-    return pairs.filter(near("words", "words0")).select("digest").distinct()
+    return pairs.filter(near("words", "words0")).select("at.*").distinct()
 
 
 def _decided(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +202,10 @@ def _decided(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     distinct = written(distinct.select("digest", F.struct("e._id", "e._text", "e.line").alias("first"), *[f"e.{h}" for h in _THIRDS]), "distinct_lines")
     whole = slim.select("text", *[c.alias(n) for n, c in _keys(F.col("doc_id"), F.col("text")).items()])
     gone = written(near_lines(distinct, whole), "near_lines")
-    kept = distinct.join(gone, "digest", "left_anti").groupBy("first._id", "first._text").agg(F.sort_array(F.collect_list("first.line")).alias("kept_lines"))
+    # What goes from a document is taken from its own lines, where they are gathered.
+    lines = distinct.select("first.*", F.lit(False).alias("goes")).unionByName(gone.withColumn("goes", F.lit(True)))
+    first, less = F.collect_list(F.expr("if(goes, null, line)")), F.collect_list(F.expr("if(goes, line, null)"))
+    kept = lines.groupBy("_id", "_text").agg(F.sort_array(F.array_except(first, less)).alias("kept_lines"))
     return rows.select("doc_id", "_id", "_text", F.size("lines").cast("long").alias("n_lines")), kept
 
 

@@ -3,6 +3,7 @@ rows, empty tables and columns with clashing names; brute force where it is exac
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -114,6 +115,29 @@ def test_filter_of_documents_keeps_all_that_are_wanted(spark):
     assert line_dedup._likely(rows, wanted.limit(0)).count() == 0
 
 
+def test_lines_without_a_near_one_are_not_shuffled_for_it(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(3000)]
+    texts += [texts[i].replace(f"w{i}x5", "other") for i in range(0, 3000, 600)]
+    shuffled, write = {}, line_dedup.written
+
+    def spy(df, name):
+        df.collect()
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("Initial Plan")[0]
+        shuffled[name] = max([int(float(n)) for n in re.findall(r"ShuffleQueryStage.*rowCount=([\d.E+]+)", plan)], default=0)
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", spy)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        rows = line_dedup.line_decisions(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {r["doc_id"] for r in rows if not r["n_kept"]} == set(range(3000, 3005))
+    assert shuffled["shared_thirds"] > 15_000 and shuffled["kept_lines"] <= 3010
+    assert max(shuffled[n] for n in ("lines_sharing_thirds", "lines_to_compare", "joined_deletions")) < 400
+
+
 @pytest.mark.parametrize("share, groups", pack.SMALL_SHARES)
 def test_large_pieces_get_their_places_from_configurations(share, groups):
     random = np.random.default_rng(5)
