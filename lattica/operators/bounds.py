@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.bounds import tighten_lower, tighten_upper
-from lattica.operators.nodes import RELAXED, ROUND_EPS, relaxed, root_multipliers
+from lattica.operators.nodes import BOXES, CHOICE, RELAXED, ROUND_EPS, relaxed, root_multipliers
 from lattica.sources.program import PID, Program, normalized_rows
 
 NODE_KEY = [PID, "node_id"]
@@ -89,25 +89,35 @@ def by_cost(v: Column) -> Column:
     return F.abs(v["c"]) * (v["u"] - v["l"])
 
 
-def evaluation(rounds: int = 2, branch_rule: Callable[[Column], Column] = by_reduced_cost, node_steps: int = 0) -> list[dict[str, Column]]:
+#: Rules whose choice the node step makes itself, by their names there.
+_KNOWN = {by_reduced_cost: "reduced cost", by_least_reduced_cost: "least reduced cost", by_cost: "cost"}
+
+
+def evaluation(rounds: int = 2, branch_rule: Callable[[Column], Column] = by_reduced_cost, node_steps: int = 0, points: int = 0) -> list[dict[str, Column]]:
     """The steps of ``evaluate`` as columns over a node joined to its model.
 
     They are built once for all levels of a search.  ``node_steps`` dual steps improve a
-    node's multipliers of several rows from its parent's.
+    node's multipliers of several rows from its parent's.  A node whose box holds at
+    most ``points`` points is solved by listing them: its bound is its optimum.
     """
     lower = F.zip_with("names", "vlb", lambda n, b: F.greatest(b, F.try_element_at(F.col("lower"), n)))
     upper = F.zip_with("names", "vub", lambda n, b: F.least(b, F.try_element_at(F.col("upper"), n)))
-
-    relax = F.arrow_udf(lambda *columns: relaxed(rounds, node_steps, *columns), RELAXED).asNondeterministic()
+    lower, upper = (F.when(F.size(m) == 0, F.col(v)).otherwise(bounds) for m, v, bounds in (("lower", "vlb", lower), ("upper", "vub", upper)))
+
+    score = _KNOWN.get(branch_rule)
+    relax = F.arrow_udf(lambda *columns: relaxed(rounds, node_steps, *columns, score=score, points=points), f"{RELAXED}, {CHOICE if score else BOXES}").asNondeterministic()
+    node = {"_e": relax("c", lower, upper, "a", "b", F.col("model_lam"), "_own", "bound", "sign", "int_obj", F.col("single") | F.col("several"))}
+    result = {"bound": F.col("_e.bound"), **{name: F.col(f"_e.{name}") for name in ("infeasible", "all_fixed", "cand_obj", "cand_kind", "cand_x")}}
+    if score:
+        return [node, {"_j": F.col("_e.j")}, result | {"var": F.get("names", F.col("_j")), "split": F.col("_e.split")}]
     scores = F.transform("_v", lambda e, j: F.when(e["l"] < e["u"], F.struct((-branch_rule(e)).alias("s"), j.alias("j"))))
     chosen = F.get("_v", F.col("_j"))
     return [
-        {"_e": relax("c", lower, upper, "a", "b", F.col("model_lam"), "_own", "bound", "sign", "int_obj", F.col("single") | F.col("several"))},
+        node,
         {name: F.col(f"_e.{name}") for name in ("r", "l", "u")},
         {"_v": F.arrays_zip("c", "r", "l", "u")},
         {"_j": F.array_min(scores)["j"]},
-        {"bound": F.col("_e.bound"), "var": F.get("names", F.col("_j")), "split": F.floor((chosen["l"] + chosen["u"]) / 2).cast("double"),
-         **{name: F.col(f"_e.{name}") for name in ("infeasible", "all_fixed", "cand_obj", "cand_kind", "cand_x")}},
+        result | {"var": F.get("names", F.col("_j")), "split": F.floor((chosen["l"] + chosen["u"]) / 2).cast("double")},
     ]
 
 
@@ -136,6 +146,7 @@ def evaluate(frontier: DataFrame, model: DataFrame, steps: list[dict[str, Column
 
 
 def bound_nodes(frontier: DataFrame, program: Program, method: str = "box", rounds: int = 2,
-                branch_rule: Callable[[Column], Column] = by_reduced_cost) -> DataFrame:
-    """Bound every node of a map-form frontier (U4): the frontier with RESULT added."""
-    return evaluate(frontier, prepare_model(program, method), evaluation(rounds, branch_rule))
+                branch_rule: Callable[[Column], Column] = by_reduced_cost, model: DataFrame | None = None) -> DataFrame:
+    """Bound every node of a map-form frontier (U4): the frontier with RESULT added.
+    ``model`` is the program's prepared model, if there is one already."""
+    return evaluate(frontier, prepare_model(program, method) if model is None else model, evaluation(rounds, branch_rule))

@@ -19,7 +19,7 @@ from lattica.operators import report as R
 from lattica.operators import search as S
 from lattica.operators.bounds import bound_nodes, by_cost, effective_bounds
 from lattica.plans import fixtures as X
-from lattica.plans.solve import solve
+from lattica.plans.solve import prepare, solve
 from lattica.sources.mps import parse_mps
 from lattica.sources.program import Program, check_program, program_from_tables, root_nodes
 from lattica.sources.tables import table
@@ -469,10 +469,11 @@ def q35_mix_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Root bounds of the mix program (U4): the Lagrangian one is no worse than the
     box bound and no better than the optimum."""
     prog = X.mix_program(spark, sf)
-    roots = root_nodes(prog.vars, N_BUCKETS)
-    box = bound_nodes(roots, prog, "box", rounds=0).select("problem_id", F.col("bound").alias("box"))
-    lag = bound_nodes(roots, prog, "lagrangian", rounds=0).select("problem_id", F.col("bound").alias("lag"))
-    best = solve(prog).incumbent.select("problem_id", "objective")
+    known = prepare(prog)
+    roots = root_nodes(known.model, N_BUCKETS)
+    box = bound_nodes(roots, prog, "box", rounds=0, model=known.bounds_model("box")).select("problem_id", F.col("bound").alias("box"))
+    lag = bound_nodes(roots, prog, "lagrangian", rounds=0, model=known.bounds_model()).select("problem_id", F.col("bound").alias("lag"))
+    best = solve(prog, prepared=known).incumbent.select("problem_id", "objective")
     j = box.join(lag, "problem_id").join(best, "problem_id")
     return j.select("problem_id", F.col("objective").cast("bigint").alias("best_v"),
                     (F.col("box") <= F.col("lag")).alias("not_worse"), (F.col("lag") <= F.col("objective")).alias("valid"))

@@ -8,10 +8,11 @@ One loop turn = one tree level for the open nodes of every problem:
 
 with the same operators that stand alone in ``operators``.  The frontier holds
 one small row per open node (bounds that differ from the model's); model columns
-never travel with it.  Evaluated nodes, incumbents and the next frontier are
-reliable checkpoints, so a lost executor costs one step of one level; the
-session's ``spark.cleaner.referenceTracking.cleanCheckpoints`` deletes those of
-earlier levels.  Counters come back through Observations (one small row each).
+never travel with it.  Model, evaluated nodes, incumbents and the next frontier are
+tables in the shared folder, dealt by problem (``session.Tables``): a level's joins and
+aggregates need no shuffle, a lost executor costs one step of one level, and
+those of earlier levels are deleted as soon as nothing reads them.  Counters come
+back through Observations (one small row each).
 
 Inside, every problem is minimised (``sign * objective``, ``sign * bound``), so a batch
 may hold both senses.  The model and the incumbents shrink with the search: when
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from lattica import schemas
 from lattica.operators import balance as B
 from lattica.operators.bounds import NODE_KEY, by_least_reduced_cost, effective_bounds, evaluate, evaluation, prepare_model
+from lattica.operators.model import checked_model, parts_for, rows_of
 from lattica.operators.nodes import NODE_STEPS
 from lattica.operators.report import metrics_row, write_level
 from lattica.operators.search import best_solution, branch, halt_subtrees, prune_nodes, split_groups, with_branches
-from lattica.session import cut
-from lattica.sources.program import PID, Program, root_nodes, unsupported_problems, without_problems
+from lattica.session import Tables, cut
+from lattica.sources.program import PID, Program, root_nodes
 
 N_BUCKETS = B.N_BUCKETS
+LIST_POINTS = 256  # a node of at most so many points is solved by listing them
 SUBTREE = (PID, "subtree_id")
 _INCUMBENT = "problem_id bigint, objective double, status string, values array<double>"
 _CONTROL = ("iteration int, phase string, min_hard bigint, avg_easy double, avg_hard double, budget double, n_open bigint, n_expanded bigint, "
@@ -63,6 +66,39 @@ class RoundControl:
     hi: float = B.BUDGET_HI
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A program's checked model, which several steps of a query may share."""
+
+    program: Program
+    tables: Tables
+    model: DataFrame   # checked_model
+    n_sound: int
+    n_bad: int
+
+    def sound(self) -> DataFrame:
+        return self.model.where(~F.col("bad")).drop("bad")
+
+    def bounds_model(self, method: str = "lagrangian") -> DataFrame:
+        """``prepare_model`` of all problems, also of those that ``solve`` refuses."""
+        out = self.sound()
+        if method == "box":
+            out = out.withColumns({"lam": F.transform("b", lambda b: F.lit(0.0)), "single": F.lit(False), "several": F.lit(False)})
+        if self.n_bad:
+            bad = self.model.where("bad").select(PID)
+            only = lambda t: t.join(bad, PID, "left_semi")
+            p = self.program
+            out = out.unionByName(prepare_model(Program(only(p.vars), only(p.cons), only(p.coefs), p.sense if isinstance(p.sense, str) else only(p.sense)), method))
+        return out
+
+
+def prepare(program: Program, method: str = "lagrangian") -> Prepared:
+    """Check the program and fold it to its model, in one pass over its tables."""
+    rows = rows_of(program)
+    tables = Tables(program.vars.sparkSession, parts_for(program, rows))
+    return Prepared(program, tables, *checked_model(program, tables, rows, method))
+
+
 @dataclass
 class SolveResult:
     incumbent: DataFrame          # problem_id, objective, status, values
@@ -81,7 +117,7 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
           budget: float | None = None, depth_first: bool = False, branch_rule: Callable[[Column], Column] = by_least_reduced_cost,
           easy_when: Column | None = None, track: bool = False, max_hard: int | None = None, by_subtree: bool = False,
           control: RoundControl | None = None, changes: Callable[[DataFrame], DataFrame] | None = None, sink: str | None = None,
-          first_level: int = 0, keep_levels: bool = False) -> SolveResult:
+          first_level: int = 0, keep_levels: bool = False, prepared: Prepared | None = None, list_points: int | None = None) -> SolveResult:
     """Solve every program of the batch to optimality (or to ``rel_gap``).
 
     Returns the incumbent per problem in the program's own sense, with status
@@ -108,30 +144,39 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
     ``track`` adds metrics rows per bucket and the ledger of subtrees; ``sink`` is a
     folder for the state after each level (``report.write_level``), from which
     ``resume`` goes on; ``keep_levels`` keeps references to the tables of all levels.
+
+    ``prepared`` is the program's ``prepare(program, method)``, if there is one already.  A node
+    of at most ``list_points`` points is solved by listing them.  By default these are LIST_POINTS,
+    and none where the caller steers or follows the tree itself (an argument from
+    ``max_iterations`` to ``keep_levels`` other than ``rel_gap``, ``track``, ``n_buckets``, ``rounds`` and the bounds).
     """
     spark = program.vars.sparkSession
-    bad = cut(unsupported_problems(program))
-    clean = without_problems(program, bad)
-    own = cut(prepare_model(clean, method))
-    signs = own.select(PID, "sign", "names")
+    known = prepared or prepare(program, method)
+    tables = known.tables
+    signs = known.model.select(PID, "bad", "sign", "names")
+    own = known.sound()
     model = own.withColumn("sign", F.lit(1.0))  # inside the loop everything is minimised
     # Multipliers travel with the nodes only where some problem has several rows.
     warm = not own.where("several").isEmpty()
-    steps = evaluation(rounds, branch_rule, NODE_STEPS if warm else 0)
+    variables = _variables(own)
+    if list_points is None:
+        steered = (max_iterations, budget, easy_when, max_hard, control, changes, sink)
+        list_points = 0 if any(x is not None for x in steered) or keep_levels or first_level else LIST_POINTS
+    steps = evaluation(rounds, branch_rule, NODE_STEPS if warm else 0, list_points)
 
     if incumbent is None:
-        best = spark.createDataFrame([], _INCUMBENT)
+        best = None
     else:
-        known = incumbent.where(F.col("values").isNotNull()).join(signs, PID)
-        best = cut(known.select(PID, (F.col("sign") * F.col("objective")).alias("objective"), F.lit(schemas.FEASIBLE).alias("status"),
-                                F.transform("names", lambda n: F.try_element_at("values", n)).alias("values")))
+        held_points = incumbent.where(F.col("values").isNotNull()).join(signs, PID)
+        best = tables.deal(held_points.select(PID, (F.col("sign") * F.col("objective")).alias("objective"), F.lit(schemas.FEASIBLE).alias("status"),
+                                              F.transform("names", lambda n: F.try_element_at("values", n)).alias("values")))
     fields = [f.name for f in schemas.FRONTIER.fields]
-    if frontier is None:
-        start = root_nodes(clean.vars, n_buckets)
-    else:
-        start = frontier.join(bad, PID, "left_anti").join(signs.drop("names"), PID).withColumn("bound", F.col("sign") * F.col("bound"))
     lam = [F.lit(None).cast("array<double>").alias("lam")] if warm else []
-    open_, n_open, n_problems = _counted(start.select(*fields, *lam), "root")
+    if frontier is None:  # the roots lie with the model
+        open_, n_open, n_problems = root_nodes(own, n_buckets).select(*fields, *lam), known.n_sound, known.n_sound
+    else:
+        start = frontier.join(signs.where(~F.col("bad")).select(PID, "sign"), PID).withColumn("bound", F.col("sign") * F.col("bound"))
+        open_, n_open, n_problems = _counted(tables.deal, start.select(*fields, *lam), "root")
     held = n_problems  # problems in the model and the incumbents, about
 
     level, total, level_nodes, metrics, controls, ledgers, kept_levels, aside = first_level, 0, [], [], [], [], [], []
@@ -143,7 +188,7 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
         state = {"phase": "solve", "min_hard": None, "avg_easy": None, "avg_hard": None, "budget": None if budget is None else float(budget)}
         if control is not None:
             state = _round(open_, control, n_buckets)
-        chosen, waiting, shares = open_, None, None
+        chosen, waiting, shares, passing = open_, None, None, []
         if share_out and state["budget"] is not None:
             cost = (control.w_easy, control.w_hard) if control is not None else (B.W_EASY, B.W_HARD)
             shares = cut(subtree_shares(open_, state["budget"], credits, *cost))
@@ -159,42 +204,49 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
         if chosen is not open_:
             waiting = open_.join(chosen.select(*NODE_KEY), NODE_KEY, "left_anti")
         counted = Observation(f"lattica_level_{level}")
-        nodes = cut(evaluate(chosen, model, steps).observe(
+        nodes = tables.put(evaluate(chosen, model, steps).observe(
             counted, F.count(F.lit(1)).alias("n"), F.count_if("is_easy").alias("n_easy"), F.count(F.col("cand_obj")).alias("n_candidates"),
             F.count_if(F.col("infeasible") | F.col("all_fixed")).alias("n_done")))
         at = counted.get
         if at["n_candidates"]:
             points = nodes.where("cand_obj is not null").select(
                 PID, F.col("cand_obj").alias("objective"), F.lit(schemas.FEASIBLE).alias("status"), F.col("cand_x").alias("values"), "node_id")
-            best = cut(best_solution(points, best))
+            last, best = best, tables.put(best_solution(points, best))
+            if not keep_levels:
+                tables.drop(last)
+        elif best is None:
+            best = spark.createDataFrame([], _INCUMBENT)
         kept, n_farmed, n_halted = prune_nodes(nodes.where(~F.col("infeasible") & F.col("var").isNotNull()), best), 0, 0
         if rel_gap > 0:
-            live = cut(kept) if track or keep_levels else kept
+            live = tables.put(kept) if track or keep_levels else kept
             kept = halt_subtrees(live, best, rel_gap)
             if track or keep_levels:
-                kept = cut(kept)
+                kept = tables.put(kept)
+                passing += [live, kept]
                 n_halted = live.select(*SUBTREE).distinct().count() - kept.select(*SUBTREE).distinct().count()
         farm_all = state["phase"] == "farm"
         if changes is not None:
-            kept = cut(kept)
-            kept = with_branches(kept, changes(effective_bounds(kept, clean.vars)))
+            kept = tables.put(kept)
+            passing.append(kept)
+            kept = with_branches(kept, changes(effective_bounds(kept, variables)))
         if max_hard is not None or farm_all:
             kept = split_groups(kept, (1 << 62) if max_hard is None else max_hard, farm_all, waiting=waiting)
         n_branched = None
         if keep_levels or changes is not None or "farmed" in kept.columns:
             seen = Observation(f"lattica_kept_{level}")
             farmed = F.col("farmed") if "farmed" in kept.columns else F.lit(False)
-            kept = cut(kept.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(farmed).alias("farmed")))
+            kept = tables.put(kept.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(farmed).alias("farmed")))
+            passing.append(kept)
             n_branched, n_farmed = seen.get["n"], seen.get["farmed"]
         children = branch(kept, easy_when)
         if waiting is not None:
             children = children.unionByName(waiting)
-        before, (open_, n_next, n_problems) = open_, _counted(children, f"next_{level}")
+        before, (open_, n_next, n_problems) = open_, _counted(tables.put if waiting is None else tables.deal, children, f"next_{level}")
         if n_branched is None:
             n_branched = (n_next - n_open + at["n"]) // 2
         n_pruned = at["n"] - n_branched - at["n_done"]
         if track:
-            metrics.append(metrics_row(spark, level, B.count_by_bucket(before, n_buckets), state["phase"], n_pruned, at["n_done"]))
+            metrics.append(cut(metrics_row(spark, level, cut(B.count_by_bucket(before, n_buckets)), state["phase"], n_pruned, at["n_done"])))
         else:
             row = (level, None, at["n_easy"], at["n"] - at["n_easy"], None, n_open, n_pruned, at["n_done"], state["phase"])
             metrics.append(spark.createDataFrame([row], schemas.RUN_METRICS))
@@ -206,31 +258,45 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
         level_nodes.append(at["n"])
         total += at["n"]
         if n_problems * 2 < held:  # shrinks at most log2(number of problems) times
-            alive = cut(open_.select(PID).distinct())
-            aside.append(cut(best.join(alive, PID, "left_anti")))
-            best, model = cut(best.join(alive, PID, "left_semi")), cut(model.join(alive, PID, "left_semi"))
+            alive = open_.select(PID).distinct()
+            last = best, model
+            aside.append(tables.put(best.join(alive, PID, "left_anti")))
+            best, model = tables.put(best.join(alive, PID, "left_semi")), tables.put(model.join(alive, PID, "left_semi"))
+            if not keep_levels:
+                tables.drop(*last)
             held = n_problems
+        if not keep_levels:
+            tables.drop(before, nodes, *passing)
         level, n_open = level + 1, n_next
         if sink is not None:
             write_level(sink, level, _own_sense(open_.select(*fields), signs, "bound"),
-                        _with_status(program, signs, reduce(DataFrame.unionByName, [*aside, best]), open_, bad, rel_gap), metrics[-1])
+                        _with_status(signs, reduce(DataFrame.unionByName, [*aside, best]), open_, rel_gap), metrics[-1])
 
+    if best is None:
+        best = spark.createDataFrame([], _INCUMBENT)
     best = reduce(DataFrame.unionByName, [*aside, best])
-    result = _with_status(program, signs, best, open_, bad, rel_gap)
+    result = _with_status(signs, best, open_ if n_open else None, rel_gap)
     table = reduce(DataFrame.unionByName, metrics) if metrics else spark.createDataFrame([], schemas.RUN_METRICS)
     ledger = reduce(DataFrame.unionByName, ledgers) if ledgers else None
     return SolveResult(result, _own_sense(open_.select(*fields), signs, "bound"), table, level - first_level, total, level_nodes,
                        spark.createDataFrame(controls, _CONTROL), ledger, kept_levels)
 
 
-def _counted(nodes: DataFrame, name: str) -> tuple[DataFrame, int, int]:
-    """``nodes`` materialised, their number and about how many problems they are of."""
+def _counted(put: Callable[[DataFrame], DataFrame], nodes: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """``nodes`` as a table of ``put``, their number and about how many problems they are of."""
     seen = Observation(f"lattica_{name}")
-    nodes = cut(nodes.observe(seen, F.count(F.lit(1)).alias("n"), F.approx_count_distinct(PID).alias("problems")))
+    nodes = put(nodes.observe(seen, F.count(F.lit(1)).alias("n"), F.approx_count_distinct(PID).alias("problems")))
     got = seen.get
     return nodes, got["n"], got["problems"]
 
 
+def _variables(model: DataFrame) -> DataFrame:
+    """The variables of a model as rows, in their own sense."""
+    one = F.inline(F.arrays_zip("names", "vlb", "vub", "c"))
+    return model.select(PID, "sign", one).select(PID, F.col("names").alias("var"), F.col("vlb").alias("lb"), F.col("vub").alias("ub"),
+                                                 (F.col("sign") * F.col("c")).alias("obj"), F.lit(True).alias("is_int"))
+
+
 def _round(nodes: DataFrame, control: RoundControl, n_buckets: int) -> dict:
     """Phase and budget from the counts of the open nodes: one row reaches the driver."""
     counts = cut(B.count_by_bucket(nodes, n_buckets, trees=False))
@@ -275,13 +341,13 @@ def _own_sense(df: DataFrame, signs: DataFrame, column: str) -> DataFrame:
     return df.join(signs.select(PID, "sign"), PID).withColumn(column, F.col("sign") * F.col(column)).drop("sign").select(*df.columns)
 
 
-def _with_status(program: Program, signs: DataFrame, best: DataFrame, open_: DataFrame, bad: DataFrame, rel_gap: float) -> DataFrame:
+def _with_status(signs: DataFrame, best: DataFrame, open_: DataFrame | None, rel_gap: float) -> DataFrame:
     """Every problem of the batch with its objective, status and values as a map."""
-    out = (program.vars.where(F.col(PID).isNotNull()).select(PID).distinct().join(signs, PID, "left").join(best.drop("status"), PID, "left")
-           .join(open_.select(PID).distinct().withColumn("_open", F.lit(True)), PID, "left")
-           .join(bad.select(PID).withColumn("_bad", F.lit(True)), PID, "left"))
-    still, has = F.coalesce("_open", F.lit(False)), F.col("objective").isNotNull()
-    status = (F.when(F.col("_bad"), F.lit(schemas.ERROR))
+    out = signs.join(best.drop("status"), PID, "left")
+    if open_ is not None:
+        out = out.join(open_.select(PID).distinct().withColumn("_open", F.lit(True)), PID, "left")
+    still, has = F.coalesce("_open", F.lit(False)) if open_ is not None else F.lit(False), F.col("objective").isNotNull()
+    status = (F.when(F.col("bad"), F.lit(schemas.ERROR))
               .when(has & ~still & F.lit(rel_gap <= 0), F.lit(schemas.OPTIMAL))
               .when(has, F.lit(schemas.FEASIBLE))
               .when(still, F.lit(schemas.UNKNOWN))
