@@ -176,7 +176,7 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
         open_, n_open, n_problems = root_nodes(own, n_buckets).select(*fields, *lam), known.n_sound, known.n_sound
     else:
         start = frontier.join(signs.where(~F.col("bad")).select(PID, "sign"), PID).withColumn("bound", F.col("sign") * F.col("bound"))
-        open_, n_open, n_problems = _counted(tables.deal, start.select(*fields, *lam), "root")
+        open_, n_open, n_problems = _counted(tables, start.select(*fields, *lam).repartition(tables.parts, PID), "root")
     held = n_problems  # problems in the model and the incumbents, about
 
     level, total, level_nodes, metrics, controls, ledgers, kept_levels, aside = first_level, 0, [], [], [], [], [], []
@@ -240,8 +240,8 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
             n_branched, n_farmed = seen.get["n"], seen.get["farmed"]
         children = branch(kept, easy_when)
         if waiting is not None:
-            children = children.unionByName(waiting)
-        before, (open_, n_next, n_problems) = open_, _counted(tables.put if waiting is None else tables.deal, children, f"next_{level}")
+            children = children.unionByName(waiting).repartition(tables.parts, PID)
+        before, (open_, n_next, n_problems) = open_, _counted(tables, children, f"next_{level}")
         if n_branched is None:
             n_branched = (n_next - n_open + at["n"]) // 2
         n_pruned = at["n"] - n_branched - at["n_done"]
@@ -282,10 +282,11 @@ def solve(program: Program, max_iterations: int | None = None, rel_gap: float =
                        spark.createDataFrame(controls, _CONTROL), ledger, kept_levels)
 
 
-def _counted(put: Callable[[DataFrame], DataFrame], nodes: DataFrame, name: str) -> tuple[DataFrame, int, int]:
-    """``nodes`` as a table of ``put``, their number and about how many problems they are of."""
+def _counted(tables: Tables, nodes: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """``nodes`` as a table, their number and about how many problems they are of.  They are counted
+    last: adaptive execution leaves out what lies under a shuffle of no rows, and its counters."""
     seen = Observation(f"lattica_{name}")
-    nodes = put(nodes.observe(seen, F.count(F.lit(1)).alias("n"), F.approx_count_distinct(PID).alias("problems")))
+    nodes = tables.put(nodes.observe(seen, F.count(F.lit(1)).alias("n"), F.approx_count_distinct(PID).alias("problems")))
     got = seen.get
     return nodes, got["n"], got["problems"]
 
